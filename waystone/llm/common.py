@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: What stands between the words of the alphanumeric tokenisation.
@@ -37,6 +38,11 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
+def with_fields(schema: T.StructType, **kinds: str) -> T.StructType:
+    """The schema with further fields of these types."""
+    return T.StructType([*schema.fields, *[T.StructField(k, T._parse_datatype_string(v)) for k, v in kinds.items()]])
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """df written as Parquet into the shared folder and read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
@@ -92,3 +98,64 @@ def text_chunks(texts: list[str | None], limit: int = CHUNK_BYTES) -> Iterator[t
         np.cumsum([len(x) for x in raw[i:j]], out=off[1:])
         yield i, j, np.frombuffer(b"".join(raw[i:j]), dtype=np.uint8), off
         i = j
+
+
+#: Fixed random values of the hashes, from one seed: the same in every process.
+_RNG = np.random.default_rng(20240229)
+_BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
+_ODD = _RNG.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def mix64(h: np.ndarray) -> np.ndarray:
+    """Scrambles 64-bit values one to one."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    if len(_POWERS[0]) < n:
+        m = max(n, 1 << 18)
+        for i, b in enumerate((_STEP, _BACK)):
+            p = np.full(m, b, np.uint64)
+            p[0] = 1
+            _POWERS[i] = np.cumprod(p)
+    return _POWERS
+
+
+def word_spans(buf: np.ndarray, off: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, text number) of the words of texts laid end to end; inside: by byte, whether it is of a word."""
+    w = inside[buf].astype(np.int8)
+    edge = np.diff(w, prepend=np.int8(0), append=np.int8(0)) != 0
+    edge[off[:-1]] |= w[np.minimum(off[:-1], len(w) - 1)] == 1 if len(w) else False
+    starts = np.flatnonzero(edge[:-1] & (w == 1)) if len(w) else np.zeros(0, np.int64)
+    stop = np.diff(w, append=np.int8(0)) == -1 if len(w) else np.zeros(0, bool)
+    cut = off[1:-1]
+    cut = cut[(cut > 0) & (cut <= len(w))]
+    if len(cut):
+        stop[cut - 1] |= w[cut - 1] == 1
+    ends = np.flatnonzero(stop) + 1
+    return starts, ends, np.searchsorted(off, starts, side="right") - 1
+
+
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span; equal bytes, equal hash."""
+    p, back = _powers(len(buf) + 1)
+    total = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(_BYTE[buf] * p[: len(buf)], out=total[1:])
+    return mix64((total[ends] - total[starts]) * back[starts] + (ends - starts).astype(np.uint64))
+
+
+def gram_hashes(h: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text number) of every run of k values of h inside one text."""
+    if len(h) < k:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    n = len(h) - k + 1
+    s = np.zeros(n, np.uint64)
+    for j in range(k):
+        s += h[j : j + n] * _ODD[j % 64]
+    one = doc[:n] == doc[k - 1 :]
+    return mix64(s[one]), doc[:n][one]

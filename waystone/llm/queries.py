@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op2_benchmark_decontamination
+from .langid import op10_language_id
 from .licenses import op1_license_scans
 from .mixing import op4_mix_sources
+from .quality import op3_quality_classifier
+from .secrets import op5_secret_scans
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,7 +25,10 @@ def queries() -> dict[str, Query]:
     return {
         "op1_license_scans": lambda s, d: op1_license_scans(t(s, d, "documents")),
         "op2_benchmark_decontamination": lambda s, d: op2_benchmark_decontamination(t(s, d, "documents"), t(s, d, "benchmark")),
+        "op3_quality_classifier": lambda s, d: op3_quality_classifier(t(s, d, "documents"), t(s, d, "labels")),
         "op4_mix_sources": lambda s, d: op4_mix_sources(t(s, d, "documents")),
+        "op5_secret_scans": lambda s, d: op5_secret_scans(t(s, d, "documents")),
+        "op10_language_id": lambda s, d: op10_language_id(t(s, d, "documents")),
     }
 
 
