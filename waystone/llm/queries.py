@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import op6_chat_formatting
 from .decontaminate import op2_benchmark_decontamination
+from .html import op8_html_extraction
 from .langid import op10_language_id
 from .licenses import op1_license_scans
 from .mixing import op4_mix_sources
@@ -28,6 +30,8 @@ def queries() -> dict[str, Query]:
         "op3_quality_classifier": lambda s, d: op3_quality_classifier(t(s, d, "documents"), t(s, d, "labels")),
         "op4_mix_sources": lambda s, d: op4_mix_sources(t(s, d, "documents")),
         "op5_secret_scans": lambda s, d: op5_secret_scans(t(s, d, "documents")),
+        "op6_chat_formatting": lambda s, d: op6_chat_formatting(t(s, d, "conversations")),
+        "op8_html_extraction": lambda s, d: op8_html_extraction(t(s, d, "pages")),
         "op10_language_id": lambda s, d: op10_language_id(t(s, d, "documents")),
     }
 
