@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import op6_chat_formatting
 from .decontaminate import op2_benchmark_decontamination
+from .embeddings import op9_embedding_near_dedup
 from .html import op8_html_extraction
 from .langid import op10_language_id
 from .licenses import op1_license_scans
 from .mixing import op4_mix_sources
+from .ngram_join import op7_ngram_jaccard_join
 from .quality import op3_quality_classifier
 from .secrets import op5_secret_scans
 
@@ -31,7 +33,9 @@ def queries() -> dict[str, Query]:
         "op4_mix_sources": lambda s, d: op4_mix_sources(t(s, d, "documents")),
         "op5_secret_scans": lambda s, d: op5_secret_scans(t(s, d, "documents")),
         "op6_chat_formatting": lambda s, d: op6_chat_formatting(t(s, d, "conversations")),
+        "op7_ngram_jaccard_join": lambda s, d: op7_ngram_jaccard_join(t(s, d, "documents")),
         "op8_html_extraction": lambda s, d: op8_html_extraction(t(s, d, "pages")),
+        "op9_embedding_near_dedup": lambda s, d: op9_embedding_near_dedup(t(s, d, "embeddings")),
         "op10_language_id": lambda s, d: op10_language_id(t(s, d, "documents")),
     }
 
