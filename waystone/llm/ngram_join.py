@@ -13,7 +13,7 @@ from .common import connected_components, gram_hashes, materialize, mix64, small
 
 #: Words of a shingle and the least similarity, as a fraction, unless a caller asks for others.
 WORDS, SIMILAR = 5, (4, 5)
-#: Buckets of the frequency sketch: so many counts are broadcast whatever the corpus.
+#: Buckets of the frequency sketches: twice so many counts are broadcast whatever the corpus.
 BUCKETS, SLICE = 1 << 20, 1 << 14
 #: Longest lengthening of a prefix, and what verifying a candidate costs in prefix tokens read.
 MOST, VERIFY = 4, 8.0
@@ -28,24 +28,31 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
-    """The set of each whole text: sorted 64-bit hashes of its k-word runs; fewer words: one of all of them."""
-    out: list[np.ndarray] = []
+def shingles(texts: list[str | None], k: int, counts: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(words, set, rarest) of each whole text: hashes of its words; sorted hashes of its k-word runs, of all words if
+    they are fewer; with counts by word bucket, the least count of a run's words."""
     for lo, hi, buf, off in text_chunks(texts):
         buf = _LOWER[buf]
         s, e, doc = word_spans(buf, off, ~_SPACE)
         h = span_hashes(buf, s, e)
         g, at = gram_hashes(h, doc, k)
         w_off, g_off = (np.searchsorted(x, np.arange(hi - lo + 1)) for x in (doc, at))
+        c = None if counts is None else counts[_bucket(h)]
         for i in range(hi - lo):
             a, b = w_off[i], w_off[i + 1]
             if b - a >= k:
-                out.append(np.unique(g[g_off[i] : g_off[i + 1]]))
-            elif b > a:
-                out.append(gram_hashes(h[a:b], doc[a:b], int(b - a))[0] ^ np.uint64(b - a))
+                one, first = np.unique(g[g_off[i] : g_off[i + 1]], return_index=True)
             else:
-                out.append(np.zeros(0, np.uint64))
-    return out
+                one, first = gram_hashes(h[a:b], doc[a:b], int(b - a))[0] ^ np.uint64(b - a) if b > a else np.zeros(0, np.uint64), np.zeros(int(b > a), np.int64)
+            least = first
+            if c is not None:
+                least = np.minimum.reduce([c[a + first + j] for j in range(min(k, int(b - a)))]) if b > a else first
+            yield h[a:b], one, least
+
+
+def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
+    """The set of each whole text."""
+    return [s for _, s, _ in shingles(texts, k)]
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:
@@ -59,23 +66,26 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
 
 
 def describe(docs: DataFrame, k: int) -> DataFrame:
-    """One pass over docs: rows (doc_id, n, d1, d2), size and digest of each text's set, and rows (slice, counts) of a
-    frequency sketch: for each task, how many sets hold a shingle of each bucket of hashes."""
+    """One pass over docs: rows (doc_id, n, d1, d2), size and digest of each text's set, and rows (slice, counts) of two
+    frequency sketches: for each task, how many sets hold a shingle of each bucket of hashes, and how often words of
+    each bucket stand in the texts."""
     kind = dict(docs.dtypes)["doc_id"]
     names = ["doc_id", "n", "d1", "d2", "slice", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, seen = np.zeros(BUCKETS, np.int64), None
+        total, seen = np.zeros(2 * BUCKETS, np.int64), None
         for b in batches:
             seen = b.schema.field("doc_id").type
-            sets = shingle_sets(b.column("text").to_pylist(), k)
-            if any(map(len, sets)):
-                total += np.bincount(_bucket(np.concatenate(sets)), minlength=BUCKETS)
+            sets = []
+            for words, one, _ in shingles(b.column("text").to_pylist(), k):
+                sets.append(one)
+                np.add.at(total, _bucket(one), 1)
+                np.add.at(total, BUCKETS + _bucket(words), 1)
             d = [_digest(s) for s in sets]
             none = pa.nulls(len(sets))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in d], pa.int64()), pa.array([x for _, x in d], pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], names)
         if seen is not None:
-            for i in range(BUCKETS // SLICE):
+            for i in range(2 * BUCKETS // SLICE):
                 part = total[i * SLICE : (i + 1) * SLICE]
                 if part.any():
                     width = next(w for w in ("u1", "u2", "u4", "u8") if part.max() <= np.iinfo(w).max)
@@ -85,10 +95,10 @@ def describe(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n bigint, d1 bigint, d2 bigint, slice int, counts binary")
 
 
-def frequency_levels(described: DataFrame) -> np.ndarray:
-    """By bucket, how common its shingles are: 0, or the log2 of its count over what chance explains.
+def frequencies(described: DataFrame) -> np.ndarray:
+    """The sketches of all documents: BUCKETS counts of shingles, then as many of words.
 
-    Tasks' counts are added up slice by slice in Spark; BUCKETS levels come to the driver.
+    Tasks' counts are added up slice by slice in Spark; a fixed number of counts comes to the driver.
     """
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,53 +111,60 @@ def frequency_levels(described: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([s.tobytes()])], ["slice", "counts"])
 
     rows = described.where("slice IS NOT NULL").select("slice", "counts").repartition("slice").mapInArrow(add, "slice int, counts binary").collect()
-    total = np.zeros(BUCKETS, np.int64)
+    total = np.zeros(2 * BUCKETS, np.int64)
     for r in rows:
         total[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["counts"], np.int64)
-    usual = np.median(total)
-    excess = total - usual
-    common = excess > max(8.0, 6 * np.sqrt(max(usual, 1.0)))
-    return np.where(common, np.log2(np.maximum(excess, 2)), 0).astype(np.uint8)
+    return total
 
 
-def prefix_tokens(s: np.ndarray, levels: np.ndarray, similar: tuple[int, int]) -> tuple[np.ndarray, int]:
+def shingle_levels(counts: np.ndarray) -> tuple[np.ndarray, float]:
+    """(by shingle bucket, how often its shingles may occur; what chance alone explains)."""
+    usual = float(np.median(counts[:BUCKETS]))
+    return counts[:BUCKETS], usual + max(8.0, 6 * np.sqrt(max(usual, 1.0)))
+
+
+def prefix_tokens(s: np.ndarray, rarest: np.ndarray, counts: np.ndarray, chance: float, similar: tuple[int, int]) -> tuple[np.ndarray, int]:
     """(prefix, matches): the set's first tokens in the global order, rare ones first, and how many must be shared.
 
-    A prefix for m matches has m - 1 tokens more than one for a single match. The one of least estimated cost is
-    taken: its tokens' frequencies are the postings read, and their sum over m bounds the candidates to verify.
+    A shingle occurs no more often than its bucket's count or its rarest word; the lesser ranks it. A prefix for m
+    matches has m - 1 tokens more than one for a single match. The one of least estimated cost is taken: its tokens'
+    frequencies are the postings read, and their sum over m bounds the candidates to verify.
     """
     num, den = similar
     n = len(s)
-    level = levels[_bucket(s)].astype(np.uint64)
-    t = np.sort((level << np.uint64(57)) | (s >> np.uint64(7)))
+    c = counts[_bucket(s)]
+    level = (4 * np.log2(np.maximum(1, np.minimum(c, rarest)))).astype(np.uint64)
+    t = (np.minimum(level, np.uint64(127)) << np.uint64(57)) | (s >> np.uint64(7))
     short = n - -(-num * n // den)
-    f = np.cumsum(np.exp2((t[: short + MOST] >> np.uint64(57)).astype(np.float64)) - 1)
+    order = np.argsort(t)[: short + MOST]
+    f = np.cumsum(np.maximum(1, np.minimum(np.where(c > chance, c, 1), rarest))[order].astype(np.float64))
     best, cost = 1, np.inf
     for m in range(1, min(MOST, n - short) + 1):
         postings = f[short + m - 1]
-        c = short + m + postings + VERIFY * postings / m
-        if c < cost:
-            best, cost = m, c
-    return t[: short + best], best
+        all_in = short + m + postings + VERIFY * postings / m
+        if all_in < cost:
+            best, cost = m, all_in
+    return t[order[: short + best]], best
 
 
-def prefix_rows(docs: DataFrame, k: int, levels: np.ndarray, similar: tuple[int, int]) -> DataFrame:
+def prefix_rows(docs: DataFrame, k: int, counts: np.ndarray, similar: tuple[int, int]) -> DataFrame:
     """(token, doc_id, n, i, m): the prefix of every text's set, by place; of equal sets that a task meets only the first's."""
     kind = dict(docs.dtypes)["doc_id"]
-    shared = docs.sparkSession.sparkContext.broadcast(levels)
+    shared = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, np.iinfo(np.int32).max).astype(np.int32))
     names = ["token", "doc_id", "meta"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
+        grams, chance = shingle_levels(shared.value)
         for b in batches:
             ids = b.column("doc_id")
             rows, tokens, meta = [], [], []
-            for i, s in enumerate(shingle_sets(b.column("text").to_pylist(), k)):
+            for i, (_, s, rarest) in enumerate(shingles(b.column("text").to_pylist(), k, shared.value[BUCKETS:])):
                 key = _digest(s)
                 if not len(s) or key in seen:
                     continue
                 seen.add(key)
-                t, m = prefix_tokens(s, shared.value, similar)
+                t, m = prefix_tokens(s, rarest, grams, chance, similar)
                 rows.append(np.full(len(t), i))
                 tokens.append(t.view(np.int64))
                 meta.append((np.int64(len(s)) << 32 | m << 28) | np.arange(len(t)))
@@ -230,13 +247,13 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, similar: tuple[int, int]
     of null doc_id link with nothing and have no component; an empty table gives no rows. doc_id is a whole number.
     """
     d = materialize(describe(docs, k))
-    levels = frequency_levels(d)
+    counts = frequencies(d)
     rows = d.where("slice IS NULL").select("doc_id", "n", "d1", "d2")
     usable = rows.where("n > 0 AND doc_id IS NOT NULL")
     first = usable.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("dst"), F.count("*").alias("c")).where("c > 1").drop("c")
     equal = materialize(usable.join(first, ["n", "d1", "d2"]).select(F.col("doc_id").alias("src"), "dst").where("src <> dst").distinct())
 
-    tokens = prefix_rows(docs, k, levels, similar)
+    tokens = prefix_rows(docs, k, counts, similar)
     bucket = Window.partitionBy("token")
     tokens = tokens.withColumn("c", F.count("*").over(bucket)).withColumn("lead", F.min(F.struct(_i(F.col("meta")).alias("i"), "doc_id", "meta")).over(bucket))
     tokens = materialize(tokens.where("c > 1").select("token", "doc_id", "meta", F.col("lead.doc_id").alias("lead"), F.col("lead.meta").alias("lead_meta")))
@@ -249,9 +266,15 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, similar: tuple[int, int]
 
     own = tokens.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("token", "doc_id", "meta", F.coalesce("root", "doc_id").alias("root"))
     mixed = own.withColumn("low", F.min("root").over(bucket)).withColumn("high", F.max("root").over(bucket)).where("low < high").select("token", "doc_id", "meta", "root")
-    mixed = materialize(mixed)
-    left, right = (mixed.select("token", F.col("doc_id").alias(x), F.col("meta").alias(f"meta_{x}"), F.col("root").alias(f"root_{x}")) for x in "xy")
-    more = left.join(right, "token").where((F.col("root_x") < F.col("root_y")) & _may_match(F.col("meta_x"), F.col("meta_y"), similar))
+    # a document's prefix tokens outside these buckets are shared with no other component: they bound every overlap
+    num, den = similar
+    n = _n(F.col("meta"))
+    length = n + _m(F.col("meta")) - F.ceil(num * n / den)
+    mixed = mixed.withColumn("most", n - length + F.count("*").over(Window.partitionBy("doc_id", n)))
+    mixed = materialize(mixed.where(F.col("most") * den >= num * n))
+    left, right = (mixed.select("token", F.col("doc_id").alias(x), F.col("meta").alias(f"meta_{x}"), F.col("root").alias(f"root_{x}"), F.col("most").alias(f"most_{x}")) for x in "xy")
+    enough = F.least("most_x", "most_y") * (num + den) >= num * (_n(F.col("meta_x")) + _n(F.col("meta_y")))
+    more = left.join(right, "token").where((F.col("root_x") < F.col("root_y")) & enough & _may_match(F.col("meta_x"), F.col("meta_y"), similar))
     more = more.groupBy("x", "y").agg(F.count("*").alias("c"), F.max(F.least(_m(F.col("meta_x")), _m(F.col("meta_y")))).alias("m")).where("c >= m").select("x", "y")
     both = tried.unionByName(tried.select(F.col("y").alias("x"), F.col("x").alias("y")))
     more = more.join(both, ["x", "y"], "left_anti")
