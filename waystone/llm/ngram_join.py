@@ -19,6 +19,8 @@ BUCKETS, SLICE = 1 << 20, 1 << 14
 MOST, VERIFY = 4, 8.0
 #: Rows (under 40 bytes each) of the verification's document list that are broadcast; longer lists are joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: Rows of prefix tokens that one block of documents counts shared tokens in.
+GATHER = 1 << 16
 #: Partners of one document that are verified in one group.
 GROUP = 512
 
@@ -194,6 +196,85 @@ def _may_match(a: Column, b: Column, similar: tuple[int, int]) -> Column:
     return (rest * (num + den) >= num * (_n(a) + _n(b))) & (_n(a) * den >= num * _n(b)) & (_n(b) * den >= num * _n(a))
 
 
+def shared_pairs(mixed: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """(x, y), x < y, of documents in different components that share enough prefix tokens to be similar.
+
+    mixed has token, doc_id, meta, root, most (what a document can share at all) and lead. Prefixes of px and py tokens
+    of sets that overlap by t share at least the lesser of px - (nx - t) and py - (ny - t) tokens, as all of one
+    prefix's matches lie in the other. Rows are gathered by the document that leads their bucket, whose buckets hold
+    much the same documents, and shared tokens are counted there for whole blocks of documents at once; a large
+    gathering is cut into blocks of documents by hash, each pair of blocks a task's group, so none grows with the data.
+    """
+    num, den = similar
+    kind = dict(mixed.dtypes)["doc_id"]
+    size = mixed.groupBy("lead").agg(F.ceil(F.count("*") / GATHER).cast("int").alias("blocks"))
+    d = mixed.join(size, "lead").withColumn("b", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    d = d.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    d = d.select("lead", F.least("b", "o").alias("b0"), F.greatest("b", "o").alias("b1"), "b", "token", "doc_id", "meta", "root", "most")
+    d = d.repartition("lead", "b0", "b1").sortWithinPartitions("lead", "b0", "b1")
+
+    def emit(rows: dict[str, np.ndarray], ids: pa.Array) -> pa.RecordBatch | None:
+        _, token = np.unique(rows["token"], return_inverse=True)
+        _, first, doc = np.unique(np.stack([rows["row"], rows["meta"] >> 28]), axis=1, return_index=True, return_inverse=True)
+        doc = doc.ravel()
+        n, m, root, most, block = (rows[c][first] for c in ("n", "m", "root", "most", "b"))
+        out = []
+        for i0 in range(0, len(first), 1024):
+            for j0 in range(i0, len(first), 1024):
+                i1, j1 = min(i0 + 1024, len(first)), min(j0 + 1024, len(first))
+                a, b = ((doc >= lo) & (doc < hi) for lo, hi in ((i0, i1), (j0, j1)))
+                both = np.intersect1d(token[a], token[b])
+                counts = np.zeros((i1 - i0, j1 - j0), np.float32)
+                for t0 in range(0, len(both), 4096):
+                    some = both[t0 : t0 + 4096]
+                    side = []
+                    for at, lo, hi in ((a, i0, i1), (b, j0, j1)):
+                        k = np.searchsorted(some, token[at])
+                        ok = (k < len(some)) & (some[np.minimum(k, len(some) - 1)] == token[at])
+                        x = np.zeros((hi - lo, len(some)), np.float32)
+                        x[doc[at][ok] - lo, k[ok]] = 1
+                        side.append(x)
+                    counts += side[0] @ side[1].T
+                x, y = np.nonzero(counts)
+                c = counts[x, y].astype(np.int64)
+                x, y = x + i0, y + j0
+                t = -(-num * (n[x] + n[y]) // (num + den))
+                keep = (root[x] != root[y]) & (x < y) & (np.minimum(most[x], most[y]) >= t) & (n[x] * den >= num * n[y]) & (n[y] * den >= num * n[x])
+                if rows["b0"][0] != rows["b1"][0]:
+                    keep &= block[x] != block[y]
+                need = np.minimum(t - (-(-num * n[x] // den)) + m[x], t - (-(-num * n[y] // den)) + m[y])
+                out.append((first[x[keep]], first[y[keep]], c[keep], need[keep]))
+        x, y, c, need = (np.concatenate([o[i] for o in out]) for i in range(4))
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(x)), ids.take(pa.array(y)), pa.array(c), pa.array(need)], ["x", "y", "c", "need"]) if len(x) else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def settle(t: pa.Table) -> pa.RecordBatch | None:
+            t = t.combine_chunks()
+            ids = t["doc_id"].combine_chunks() if isinstance(t["doc_id"], pa.ChunkedArray) else t["doc_id"]
+            ids = ids if isinstance(ids, pa.Array) else ids.chunk(0)
+            rows = {c: t[c].to_numpy() for c in ("token", "meta", "root", "most", "b", "b0", "b1")}
+            rows |= {"row": ids.to_numpy(zero_copy_only=False), "n": rows["meta"] >> 32, "m": (rows["meta"] >> 28) & 15}
+            return emit(rows, ids)
+
+        for batch in batches:
+            held.append(batch)
+            t = pa.Table.from_batches(held)
+            key = [t[c].to_numpy() for c in ("lead", "b0", "b1")]
+            cut = np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0)) + 1
+            for lo, hi in zip(np.append(0, cut[:-1]), cut, strict=True) if len(cut) else ():
+                if (r := settle(t.slice(int(lo), int(hi - lo)))) is not None:
+                    yield r
+            held = t.slice(int(cut[-1])).to_batches() if len(cut) else held
+        if held and (r := settle(pa.Table.from_batches(held))) is not None:
+            yield r
+
+    pairs = d.mapInArrow(run, f"x {kind}, y {kind}, c bigint, need bigint")
+    pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "c", "need").where("x <> y")
+    return pairs.groupBy("x", "y").agg(F.sum("c").alias("c"), F.min("need").alias("need")).where("c >= need").select("x", "y")
+
+
 def verify_pairs(docs: DataFrame, pairs: DataFrame, k: int, similar: tuple[int, int]) -> DataFrame:
     """The pairs (x, y) of doc_ids whose texts' sets are similar enough, compared shingle by shingle.
 
@@ -264,18 +345,15 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, similar: tuple[int, int]
     edges = equal.unionByName(links.select(F.col("x").alias("src"), F.col("y").alias("dst")))
     roots = connected_components(edges)
 
-    own = tokens.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("token", "doc_id", "meta", F.coalesce("root", "doc_id").alias("root"))
-    mixed = own.withColumn("low", F.min("root").over(bucket)).withColumn("high", F.max("root").over(bucket)).where("low < high").select("token", "doc_id", "meta", "root")
+    own = tokens.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("token", "doc_id", "meta", F.coalesce("root", "doc_id").alias("root"), "lead")
+    mixed = own.withColumn("low", F.min("root").over(bucket)).withColumn("high", F.max("root").over(bucket)).where("low < high").select("token", "doc_id", "meta", "root", "lead")
     # a document's prefix tokens outside these buckets are shared with no other component: they bound every overlap
     num, den = similar
     n = _n(F.col("meta"))
     length = n + _m(F.col("meta")) - F.ceil(num * n / den)
     mixed = mixed.withColumn("most", n - length + F.count("*").over(Window.partitionBy("doc_id", n)))
     mixed = materialize(mixed.where(F.col("most") * den >= num * n))
-    left, right = (mixed.select("token", F.col("doc_id").alias(x), F.col("meta").alias(f"meta_{x}"), F.col("root").alias(f"root_{x}"), F.col("most").alias(f"most_{x}")) for x in "xy")
-    enough = F.least("most_x", "most_y") * (num + den) >= num * (_n(F.col("meta_x")) + _n(F.col("meta_y")))
-    more = left.join(right, "token").where((F.col("root_x") < F.col("root_y")) & enough & _may_match(F.col("meta_x"), F.col("meta_y"), similar))
-    more = more.groupBy("x", "y").agg(F.count("*").alias("c"), F.max(F.least(_m(F.col("meta_x")), _m(F.col("meta_y")))).alias("m")).where("c >= m").select("x", "y")
+    more = shared_pairs(mixed, similar)
     both = tried.unionByName(tried.select(F.col("y").alias("x"), F.col("x").alias("y")))
     more = more.join(both, ["x", "y"], "left_anti")
     links = verify_pairs(docs, more, k, similar)
