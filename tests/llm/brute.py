@@ -55,3 +55,26 @@ def op4_targets(sizes):
         if not over:
             return capped | share
         capped |= {s: 3.0 * sizes[s] for s in over}
+
+
+def jaccard_components(rows, k, num, den):
+    """rows: [(id, text)]; {id: (set size, least id of its component)}."""
+    sets = {}
+    for i, text in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+        sets[i] = {tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if w else set()
+    parent = {i: i for i in sets}
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    ids = [i for i in sets if sets[i]]
+    for n, a in enumerate(ids):
+        for b in ids[:n]:
+            both = len(sets[a] & sets[b])
+            if den * both >= num * (len(sets[a]) + len(sets[b]) - both):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), find(i)) for i in sets}

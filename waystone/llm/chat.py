@@ -73,8 +73,8 @@ def assemble(roles: pa.Array, texts: pa.Array) -> tuple[pa.Buffer, np.ndarray]:
 class _Conversations:
     """Cuts turns that come in order of their conversations into pieces; keeps the last, unfinished one back."""
 
-    def __init__(self, names: list[str]):
-        self.names, self.kept, self.base = names, None, 0
+    def __init__(self, names: list[str], piece_bytes: int):
+        self.names, self.piece_bytes, self.kept, self.base = names, piece_bytes, None, 0
 
     def feed(self, batch: pa.RecordBatch | None) -> Iterator[pa.RecordBatch]:
         t = pa.concat_tables([pa.Table.from_batches([x]) for x in (self.kept, batch) if x is not None]) if self.kept is not None or batch is not None else None
@@ -90,7 +90,7 @@ class _Conversations:
         conv = np.cumsum(first) - 1
         before = np.cumsum(length) - length
         offset = before - before[first][conv] + np.where(conv == 0, self.base, 0)
-        piece = offset // PIECE_BYTES
+        piece = offset // self.piece_bytes
         new = first.copy()
         new[1:] |= piece[1:] != piece[:-1]
         starts = np.flatnonzero(new)
@@ -117,7 +117,7 @@ class _Conversations:
         return pa.RecordBatch.from_arrays([key.take(pa.array(starts)), pa.array(piece[starts]), text, loss], self.names)
 
 
-def format_chat(conversations: DataFrame) -> DataFrame:
+def format_chat(conversations: DataFrame, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """Conversations (conv_id, turn, role, text) as (conv_id, piece, formatted, loss: byte spans of formatted).
 
     Turns go by turn (null first), then role and text where turns tie; repeated rows are repeated turns. Null role and
@@ -130,7 +130,7 @@ def format_chat(conversations: DataFrame) -> DataFrame:
     names = ["conv_id", "piece", "formatted", "loss"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = _Conversations(names)
+        cutter = _Conversations(names, piece_bytes)
         for b in batches:
             yield from cutter.feed(b)
         yield from cutter.feed(None)
