@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waystone.functions.coords import parse_coordinate, parse_instant, parse_number, path_instant, tz_missing
+from waystone.functions.coords import let, offset_instant, parse_coordinate, parse_instant, parse_number, parse_offset_minutes, tz_missing
 from waystone.functions.geo import in_domain
 
 DOC = "source string, text string"
@@ -50,13 +50,21 @@ def flatten_segments(parsed: DataFrame) -> DataFrame:
     s = s.withColumn("zoned", F.coalesce(~tz_missing(F.col("t0")) & ~tz_missing(F.col("t1")), F.lit(False)))
 
     def point(order: Column, kind: str, ts: Column, raw: Column, at: Column) -> Column:
-        missing = F.coalesce(tz_missing(raw), F.lit(False))
-        return F.struct(order.cast("long").alias("ord"), F.lit(kind).alias("kind"), ts.alias("ts"), missing.alias("tz_missing"), F.when(missing, F.to_date(F.substr(F.trim(raw), F.lit(1), F.lit(10)))).alias("recorded"), at["lat"].alias("lat"), at["lon"].alias("lon"))
+        def shape(v: Column) -> Column:
+            date = F.when(v["missing"], F.to_date(F.substr(F.trim(v["raw"]), F.lit(1), F.lit(10))))
+            return F.struct(v["ord"].alias("ord"), F.lit(kind).alias("kind"), v["ts"].alias("ts"), v["missing"].alias("tz_missing"), date.alias("recorded"), v["at"]["lat"].alias("lat"), v["at"]["lon"].alias("lon"))
+
+        return let(F.struct(order.cast("long").alias("ord"), ts.alias("ts"), raw.alias("raw"), F.coalesce(tz_missing(raw), F.lit(False)).alias("missing"), at.alias("at")), shape)
 
     def on_path(p: Column, i: Column) -> Column:
-        time, offset = _text(p, "$.time"), _text(p, "$.durationMinutesOffsetFromStartTime")
-        raw = F.when(parse_instant(time).isNotNull(), time).otherwise(F.col("t0"))
-        return point(i, "path", path_instant(time, F.col("st"), F.col("en"), offset, F.col("zoned")), raw, _coordinate(p, "$.point"))
+        absolute = parse_instant(_text(p, "$.time"))
+        by_offset = offset_instant(F.col("st"), F.col("en"), parse_offset_minutes(_text(p, "$.durationMinutesOffsetFromStartTime")), F.col("zoned"))
+
+        def use(v: Column) -> Column:
+            raw = F.when(v["t"].isNotNull(), _text(p, "$.time")).otherwise(F.col("t0"))
+            return point(i, "path", F.coalesce(v["t"], by_offset), raw, _coordinate(p, "$.point"))
+
+        return let(F.struct(absolute.alias("t")), use)
 
     last = F.lit(1 << 40)
     points = F.concat(
