@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,18 +86,22 @@ def _mark(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
-def text_chunks(texts: list[str | None], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Runs of texts as (first, last + 1, UTF-8 bytes, byte offsets), at most limit bytes or one text each."""
-    raw = [b"" if x is None else x.encode("utf-8", "surrogatepass") for x in texts]
+def text_chunks(texts: pa.Array | list[str | None], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of texts as (first, last + 1, UTF-8 bytes, byte offsets), at most limit bytes or one text each.
+
+    The bytes of an Arrow array are looked at where they are, not copied.
+    """
+    a = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+    a = a.fill_null("") if a.null_count else a
+    if not len(a):
+        return
+    off = np.frombuffer(a.buffers()[1], np.int32)[a.offset : a.offset + len(a) + 1].astype(np.int64)
+    data = a.buffers()[2]
+    buf = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     i = 0
-    while i < len(raw):
-        j, n = i + 1, len(raw[i])
-        while j < len(raw) and n + len(raw[j]) <= limit:
-            n += len(raw[j])
-            j += 1
-        off = np.zeros(j - i + 1, dtype=np.int64)
-        np.cumsum([len(x) for x in raw[i:j]], out=off[1:])
-        yield i, j, np.frombuffer(b"".join(raw[i:j]), dtype=np.uint8), off
+    while i < len(a):
+        j = max(i + 1, int(np.searchsorted(off, off[i] + limit, side="right")) - 1)
+        yield i, j, buf[off[i] : off[j]], off[i : j + 1] - off[i]
         i = j
 
 

@@ -30,7 +30,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def shingles(texts: list[str | None], k: int, counts: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def shingles(texts: pa.Array | list[str | None], k: int, counts: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(words, set, rarest) of each whole text: hashes of its words; sorted hashes of its k-word runs, of all words if
     they are fewer; with counts by word bucket, the least count of a run's words."""
     for lo, hi, buf, off in text_chunks(texts):
@@ -52,7 +52,7 @@ def shingles(texts: list[str | None], k: int, counts: np.ndarray | None = None)
             yield h[a:b], one, least
 
 
-def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
+def shingle_sets(texts: pa.Array | list[str | None], k: int) -> list[np.ndarray]:
     """The set of each whole text."""
     return [s for _, s, _ in shingles(texts, k)]
 
@@ -79,7 +79,7 @@ def describe(docs: DataFrame, k: int) -> DataFrame:
         for b in batches:
             seen = b.schema.field("doc_id").type
             sets = []
-            for words, one, _ in shingles(b.column("text").to_pylist(), k):
+            for words, one, _ in shingles(b.column("text"), k):
                 sets.append(one)
                 np.add.at(total, _bucket(one), 1)
                 np.add.at(total, BUCKETS + _bucket(words), 1)
@@ -161,7 +161,7 @@ def prefix_rows(docs: DataFrame, k: int, counts: np.ndarray, similar: tuple[int,
         for b in batches:
             ids = b.column("doc_id")
             rows, tokens, meta = [], [], []
-            for i, (_, s, rarest) in enumerate(shingles(b.column("text").to_pylist(), k, shared.value[BUCKETS:])):
+            for i, (_, s, rarest) in enumerate(shingles(b.column("text"), k, shared.value[BUCKETS:])):
                 key = _digest(s)
                 if not len(s) or key in seen:
                     continue
@@ -296,7 +296,7 @@ def verify_pairs(docs: DataFrame, pairs: DataFrame, k: int, similar: tuple[int,
         for b in batches:
             xs, parts, roles, ids = (b.column(c).to_pylist() for c in ("x", "part", "role", "doc"))
             found = []
-            for j, s in enumerate(shingle_sets(b.column("text").to_pylist(), k)):
+            for j, s in enumerate(shingle_sets(b.column("text"), k)):
                 if (xs[j], parts[j]) != group:
                     group, heads = (xs[j], parts[j]), []
                 if roles[j] == 0:

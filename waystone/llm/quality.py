@@ -54,7 +54,7 @@ def _repeats(h: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
     return np.bincount(doc, minlength=n).astype(float), np.bincount(d[at], minlength=n).astype(float), most
 
 
-def document_statistics(texts: list[str | None]) -> np.ndarray:
+def document_statistics(texts: pa.Array | list[str | None]) -> np.ndarray:
     """A row of FEATURES statistics for each whole text: shares of byte classes, word and line lengths, repetition."""
     out = np.zeros((len(texts), FEATURES), np.float64)
     for lo, hi, buf, off in text_chunks(texts):
@@ -172,7 +172,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, sample_row
 
     def statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = document_statistics(b.column("text").to_pylist())
+            x = document_statistics(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality").cast(pa.int32()), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "quality", "x"])
 
     kind = dict(seen.dtypes)["doc_id"]
@@ -193,7 +193,7 @@ def score_quality(docs: DataFrame, forest: Forest, column: str = "quality_score"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = forest.scores(document_statistics(b.column("text").to_pylist()))
+            s = forest.scores(document_statistics(b.column("text")))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], [*keep, column])
 
     return d.mapInArrow(run, schema)
