@@ -151,7 +151,7 @@ def test_op8_marginals_by_enumeration():
         weights = np.zeros((2, n))
         for bits in range(1 << n):
             y = [bits >> i & 1 for i in range(n)]
-            lp = sum(-np.logaddexp(0, -s[i] if y[i] else s[i]) for i in range(n)) + sum(model.edge[int(p.text[i] is not None), y[p.parent[i]], y[i]] for i in range(1, n))
+            lp = sum(-np.logaddexp(0, -s[i] if y[i] else s[i]) for i in range(n)) + sum(model.edge[html._kinds(p)[i], y[p.parent[i]], y[i]] for i in range(1, n))
             for i in range(n):
                 weights[y[i], i] += np.exp(lp)
         assert np.allclose(got[at : at + n], weights[1] / weights.sum(axis=0), atol=1e-4)

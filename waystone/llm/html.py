@@ -24,7 +24,7 @@ RAW = frozenset("script style textarea title noscript iframe template svg object
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var label".split())
 CLOSES_ITSELF = {"li": "ul ol menu", "dt": "dl", "dd": "dl", "tr": "table thead tbody tfoot", "td": "tr table", "th": "tr table", "option": "select", "thead": "table", "tbody": "table", "tfoot": "table"}
 SAME_GROUP = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "thead": ("thead", "tbody", "tfoot"), "tbody": ("thead", "tbody", "tfoot"), "tfoot": ("thead", "tbody", "tfoot")}
-P_STAYS = INLINE | frozenset("img br wbr input".split())
+PARTS = frozenset("li dt dd tr td th thead tbody tfoot figcaption".split())
 
 #: Element names and parts of class, id and role that are features of a node.
 TAGS = "text html body main article section div p h1 h2 h3 h4 h5 h6 header footer nav aside form ul ol li dl table tr td figure figcaption blockquote pre button fieldset dialog address details center menu".split()
@@ -170,6 +170,9 @@ def node_features(pages: list[Page]) -> np.ndarray:
     i = 0
     for p in pages:
         for tag, name, text, linked in zip(p.tag, p.name, p.text, p.linked, strict=True):
+            if tag in PARTS and not name:  # says nothing that its parent doesn't
+                i += 1
+                continue
             x[i, _TAG_NO.get(tag, _TAG_NO["div"])] = 1
             if name:
                 if name not in seen:
@@ -187,9 +190,16 @@ def node_features(pages: list[Page]) -> np.ndarray:
     return x
 
 
+def _kinds(page: Page) -> np.ndarray:
+    return np.array([1 if t is not None else 2 if tag in PARTS else 0 for t, tag in zip(page.text, page.tag, strict=True)], np.int64)
+
+
 @dataclass
 class TreeModel:
-    """Node weights of a logistic potential, and log potentials edge[is text, parent, child] of neighbouring labels."""
+    """Node weights of a logistic potential, and log potentials edge[kind, parent, child] of neighbouring labels.
+
+    Kinds of child: elements, texts, and elements that are part of their parent (list items, cells and the like).
+    """
 
     weight: np.ndarray
     edge: np.ndarray
@@ -202,7 +212,7 @@ class TreeModel:
         first = np.repeat(np.cumsum([0, *size[:-1]]), size)
         parent = np.concatenate([p.parent for p in pages]) + first
         root = parent < first
-        kind = np.array([t is not None for p in pages for t in p.text], np.int64)
+        kind = np.concatenate([_kinds(p) for p in pages])
         score = np.clip(node_features(pages) @ self.weight, -30, 30)
         own = np.stack([-np.logaddexp(0, score), -np.logaddexp(0, -score)], axis=1)
         depth = np.zeros(len(parent), np.int64)
@@ -271,7 +281,7 @@ def labelled_pages(count: int = 700, seed: int = 8) -> list[tuple[Page, list[int
         text = f"\x01{prose(*pick([(1, 4), (4, 20), (10, 60), (30, 150)]))}\x01"
         return pick([
             lambda: f"<p>{text}</p>", lambda: f"<p>{text}</p>", lambda: f"<p>{text}</p>", lambda: f"<p>{text}<p>{text}</p>", lambda: f"<p><b>{text}<br><p>{text}</p>",
-            lambda: f"<h{(k := r.randint(2, 4))}>{text}</h{k}>", lambda: f"<ul>{''.join(f'<li>{text}</li>' for _ in range(3))}</ul>", lambda: f"<ol><li>{text}<li>{text}</ol>",
+            lambda: f"<h{(k := r.randint(2, 4))}>{text}</h{k}>", lambda: f"<ul>{''.join(f'<li>{text}</li>' for _ in range(3))}</ul>", lambda: f"<ul><li>{text}<li>{text}</ul>", lambda: f"<ul><li>{text}<li>\x01{prose(3, 12)}\x01</ul>", lambda: f"<ol><li>{text}<li>{text}</ol>",
             lambda: f"<blockquote>{pick([text, f'<p>{text}</p>'])}</blockquote>", lambda: f"<div>{text}</div>", lambda: f"<pre>{text}</pre>", lambda: f"<table><tr><td>{text}</td><td>{text}</td></tr></table>",
             lambda: f"<p>{text} <a href='z'>\x01{prose(1, 5)}\x01</a></p>", lambda: f"<figure><img src=i><figcaption>{text}</figcaption></figure>", lambda: text, lambda: f"<p><a href='z'>{text}</a></p>", lambda: f"<section>{f'<p>{text}</p>' * 2}</section>",
         ])()
@@ -306,7 +316,7 @@ def labelled_pages(count: int = 700, seed: int = 8) -> list[tuple[Page, list[int
 
 def train_tree_model(pages: list[tuple[Page, list[int]]] | None = None, steps: int = 25, ridge: float = 2.0) -> TreeModel:
     """Potentials learnt from labelled pages: node weights by regularised logistic regression (Newton steps), edge
-    potentials by counting label pairs over what the labels' own frequencies give."""
+    potentials by counting label pairs, over what the labels' own frequencies give."""
     pages = labelled_pages() if pages is None else pages
     x = node_features([p for p, _ in pages]).astype(np.float64)
     y = np.array([v for _, label in pages for v in label], np.float64)
@@ -318,13 +328,14 @@ def train_tree_model(pages: list[tuple[Page, list[int]]] | None = None, steps: i
         w -= step
         if np.abs(step).max() < 1e-6:
             break
-    edge = np.ones((2, 2, 2))
+    edge = np.ones((3, 2, 2))
     for page, label in pages:
-        for i, up in enumerate(page.parent):
+        for k, up, own in zip(_kinds(page), page.parent, label, strict=True):
             if up >= 0:
-                edge[int(page.text[i] is not None), label[up], label[i]] += 1
+                edge[k, label[up], own] += 1
     edge /= edge.sum(axis=2, keepdims=True)
-    prior = np.array([[1 - (m := y[k].mean()), m] for k in (np.array([t is None for p, _ in pages for t in p.text]), np.array([t is not None for p, _ in pages for t in p.text]))])
+    kinds = np.concatenate([_kinds(p) for p, _ in pages])
+    prior = np.array([[1 - (m := y[kinds == k].mean()), m] for k in range(3)])
     return TreeModel(w, np.log(edge) - np.log(prior)[:, None, :])
 
 
