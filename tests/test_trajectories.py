@@ -124,9 +124,9 @@ def test_geometry(spark):
 
 
 def test_overview_split_at_the_edge(spark):
-    d = spark.createDataFrame([(1, 0, 0, 0.99, 0.5), (1, 1, 1, 1.01, 0.6), (1, 2, 2, 2.2, 0.6)], "traveler_id long, seq long, t_ms long, x double, y double")
+    d = spark.createDataFrame([(1, i, i, x, 0.5) for i, x in enumerate((0.2, 0.5, 0.9, 1.3, 1.6))], "traveler_id long, seq long, t_ms long, x double, y double")
     got = journey.overview_split(d).orderBy("part", "part_no").collect()
-    assert len({r.part for r in got}) >= 2 and all(1.7 <= r.x <= 2.7 for r in got)
+    assert [(r.part, round(r.x, 9)) for r in got] == [(0, 1.2), (0, 1.5), (0, 1.9), (0, 2.1), (1, 1.1), (1, 1.3), (1, 1.6)]
 
 
 def test_journey_lookup_and_densify(spark):
@@ -168,7 +168,7 @@ def test_pacing(spark):
     assert knots[longest].x - knots[longest - 1].x < (knots[longest].y - knots[longest - 1].y) / total
 
 
-@pytest.mark.parametrize(("name", "framing"), [("fixed", None), ("steady", None), ("dynamic", None), ("close_up", 0.78), ("dynamic", 1.0)])
+@pytest.mark.parametrize(("name", "framing"), [("fixed", None), ("close_up", 0.78)])
 def test_camera_keeps_the_marker_in_view(spark, name, framing):
     h, lim, t = route(spark)
     m, lg = K.MOVEMENTS[name], journey.legs(h, lim)

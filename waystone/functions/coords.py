@@ -2,23 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from waystone import constants as K
+from waystone.functions.geo import let
 
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 INSTANT = r"^\d{4}-\d{2}-\d{2}[Tt]\d{2}:\d{2}(:\d{2}([.,]\d{1,9})?)?([Zz]|[+-]\d{2}:?\d{2})?$"
 ZONE = r"([Zz]|[+-]\d{2}:?\d{2})$"
 
 
-def let(x: Column, use: Callable[[Column], Column]) -> Column:
-    """use(x), with x written and evaluated once however often use names it."""
-    return F.get(F.transform(F.array(x), use), F.lit(0))
-
-
 def parse_number(s: Column) -> Column:
     """A finite decimal number, or null."""
     return let(F.trim(s.cast("string")), lambda t: F.when(t.rlike(NUMBER), t.try_cast("double")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,6 +17,11 @@ def _c(x: Num | str) -> Column:
     return F.col(x) if isinstance(x, str) else x if isinstance(x, Column) else F.lit(float(x))
 
 
+def let(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x), with x written and evaluated once however often use names it."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
 def clamp(x: Num, low: Num, high: Num) -> Column:
     """x kept between low and high; null stays null, which greatest and least alone would skip."""
     return F.when(_c(x).isNotNull(), F.greatest(_c(low), F.least(_c(high), _c(x))))
@@ -52,24 +58,31 @@ def haversine_km(lat1: Num, lon1: Num, lat2: Num, lon2: Num) -> Column:
     a = F.sin((p2 - p1) / 2)
     b = F.sin((F.radians(_c(lon2)) - F.radians(_c(lon1))) / 2)
     h = F.sqrt(a * a + F.cos(p1) * F.cos(p2) * b * b)
-    return F.lit(2 * K.EARTH_KM) * F.asin(F.when(h > 1, F.lit(1.0)).otherwise(h))
+    return F.lit(2 * K.EARTH_KM) * F.nanvl(F.asin(h), F.lit(math.pi / 2))  # antipodes may come out a little over 1
 
 
 def great_circle(lat1: Num, lon1: Num, lat2: Num, lon2: Num, f: Num) -> Column:
     """struct(lat, lon) at fraction f of the way; outside 0..1 the ends themselves; linear for tiny angles."""
-    f, out = _c(f), []
     p = [F.radians(_c(x)) for x in (lat1, lon1, lat2, lon2)]
-    v = [[F.cos(p[i]) * F.cos(p[i + 1]), F.cos(p[i]) * F.sin(p[i + 1]), F.sin(p[i])] for i in (0, 2)]
-    dot = clamp(v[0][0] * v[1][0] + v[0][1] * v[1][1] + v[0][2] * v[1][2], -1.0, 1.0)
-    w = F.acos(dot)
-    tiny = F.sin(w) < 1e-8
-    s = F.when(tiny, F.lit(1.0)).otherwise(F.sin(w))
-    a = F.when(tiny, F.lit(1.0) - f).otherwise(F.sin((F.lit(1.0) - f) * w) / s)
-    b = F.when(tiny, f).otherwise(F.sin(f * w) / s)
-    x, y, z = (a * v[0][i] + b * v[1][i] for i in range(3))
-    out.append(F.when(f <= 0, _c(lat1)).when(f >= 1, _c(lat2)).otherwise(F.degrees(F.atan2(z, F.sqrt(x * x + y * y)))))
-    out.append(F.when(f <= 0, _c(lon1)).when(f >= 1, _c(lon2)).otherwise(F.degrees(F.atan2(y, x))))
-    return F.struct(out[0].alias("lat"), out[1].alias("lon"))
+    unit = {f"{n}{k}": c for k, i in ((0, 0), (1, 2)) for n, c in (("x", F.cos(p[i]) * F.cos(p[i + 1])), ("y", F.cos(p[i]) * F.sin(p[i + 1])), ("z", F.sin(p[i])))}
+    ends = {"f": _c(f), "lat1": _c(lat1), "lon1": _c(lon1), "lat2": _c(lat2), "lon2": _c(lon2)}
+    named = lambda d: F.struct(*[c.alias(n) for n, c in d.items()])
+
+    def angle(v: Column) -> Column:
+        dot = clamp(v["x0"] * v["x1"] + v["y0"] * v["y1"] + v["z0"] * v["z1"], -1.0, 1.0)
+        return named({"v": v, "w": F.acos(dot)})
+
+    def weights(a: Column) -> Column:
+        f, w, tiny = a["v"]["f"], a["w"], F.sin(a["w"]) < 1e-8
+        part = lambda t: F.when(tiny, t).otherwise(F.sin(t * w) / F.sin(w))
+        return named({"v": a["v"], "a": part(F.lit(1.0) - f), "b": part(f)})
+
+    def place(q: Column) -> Column:
+        v, (x, y, z) = q["v"], (q["a"] * q["v"][f"{n}0"] + q["b"] * q["v"][f"{n}1"] for n in "xyz")
+        at = lambda n, c: F.when(v["f"] <= 0, v[f"{n}1"]).when(v["f"] >= 1, v[f"{n}2"]).otherwise(F.degrees(c)).alias(n)
+        return F.struct(at("lat", F.atan2(z, F.sqrt(x * x + y * y))), at("lon", F.atan2(y, x)))
+
+    return let(let(let(named(unit | ends), angle), weights), place)
 
 
 def mercator_m(lat: Num, lon: Num) -> Column:

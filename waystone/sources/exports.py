@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waystone.functions.coords import let, offset_instant, parse_coordinate, parse_instant, parse_number, parse_offset_minutes, tz_missing
-from waystone.functions.geo import in_domain
+from waystone.functions.coords import offset_instant, parse_coordinate, parse_instant, parse_number, parse_offset_minutes, tz_missing
+from waystone.functions.geo import in_domain, let
 
 DOC = "source string, text string"
 
