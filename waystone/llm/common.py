@@ -16,7 +16,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: What stands between the words of the alphanumeric tokenisation.
 WORD_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Most text bytes that a Python worker turns into numpy arrays at once.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def lower_ascii(text: Column) -> Column:
@@ -123,7 +123,7 @@ def mix64(h: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> list[np.ndarray]:
     if len(_POWERS[0]) < n:
-        m = max(n, 1 << 18)
+        m = max(n, CHUNK_BYTES + 1)
         for i, b in enumerate((_STEP, _BACK)):
             p = np.full(m, b, np.uint64)
             p[0] = 1

@@ -218,15 +218,15 @@ def shared_pairs(mixed: DataFrame, similar: tuple[int, int]) -> DataFrame:
         _, first, doc = np.unique(np.stack([rows["row"], rows["meta"] >> 28]), axis=1, return_index=True, return_inverse=True)
         doc = doc.ravel()
         n, m, root, most, block = (rows[c][first] for c in ("n", "m", "root", "most", "b"))
-        out = []
-        for i0 in range(0, len(first), 1024):
-            for j0 in range(i0, len(first), 1024):
-                i1, j1 = min(i0 + 1024, len(first)), min(j0 + 1024, len(first))
+        out, side_rows = [], 512
+        for i0 in range(0, len(first), side_rows):
+            for j0 in range(i0, len(first), side_rows):
+                i1, j1 = min(i0 + side_rows, len(first)), min(j0 + side_rows, len(first))
                 a, b = ((doc >= lo) & (doc < hi) for lo, hi in ((i0, i1), (j0, j1)))
                 both = np.intersect1d(token[a], token[b])
                 counts = np.zeros((i1 - i0, j1 - j0), np.float32)
-                for t0 in range(0, len(both), 4096):
-                    some = both[t0 : t0 + 4096]
+                for t0 in range(0, len(both), 2048):
+                    some = both[t0 : t0 + 2048]
                     side = []
                     for at, lo, hi in ((a, i0, i1), (b, j0, j1)):
                         k = np.searchsorted(some, token[at])
@@ -235,11 +235,12 @@ def shared_pairs(mixed: DataFrame, similar: tuple[int, int]) -> DataFrame:
                         x[doc[at][ok] - lo, k[ok]] = 1
                         side.append(x)
                     counts += side[0] @ side[1].T
-                x, y = np.nonzero(counts)
+                apart = root[i0:i1, None] != root[None, j0:j1]
+                x, y = np.nonzero((counts > 0) & (np.triu(apart, 1) if i0 == j0 else apart))
                 c = counts[x, y].astype(np.int64)
                 x, y = x + i0, y + j0
                 t = -(-num * (n[x] + n[y]) // (num + den))
-                keep = (root[x] != root[y]) & (x < y) & (np.minimum(most[x], most[y]) >= t) & (n[x] * den >= num * n[y]) & (n[y] * den >= num * n[x])
+                keep = (np.minimum(most[x], most[y]) >= t) & (n[x] * den >= num * n[y]) & (n[y] * den >= num * n[x])
                 if rows["b0"][0] != rows["b1"][0]:
                     keep &= block[x] != block[y]
                 need = np.minimum(t - (-(-num * n[x] // den)) + m[x], t - (-(-num * n[y] // den)) + m[y])
