@@ -453,10 +453,10 @@ def j5(s: SparkSession, d: str) -> DataFrame:
     return pacing.distance_at(p, c, t).select("traveler_id", "frame", r("d", 2))
 
 
-@query("j6_frame_point_index", f"WITH {sql.TOTALS}, {_PROBE} SELECT p.traveler_id, p.frame, max(h.i) AS index FROM probes p JOIN hops h ON h.traveler_id = p.traveler_id AND h.cum_km <= p.d GROUP BY 1, 2")
+@query("j6_frame_point_index", f"WITH {sql.TOTALS}, {_PROBE} SELECT p.traveler_id, p.frame, max(h.i) AS index FROM probes p JOIN hops h ON h.traveler_id = p.traveler_id AND h.cum_km <= p.d + 1e-6 GROUP BY 1, 2")
 def j6(s: SparkSession, d: str) -> DataFrame:
     h = hops(s, d)
-    return lookup.point_index_at(probes(h), h).select("traveler_id", "frame", "index")
+    return lookup.point_index_at(probes(h).withColumn("d", F.col("d") + 1e-6), h).select("traveler_id", "frame", "index")
 
 
 # --- camera, tiles, frames -----------------------------------------------------------------------------------------
