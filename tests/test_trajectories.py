@@ -204,15 +204,15 @@ def test_streams(spark, tmp_path):
     d = raw(spark, *[(m, 37 + m * 0.0001, 5) for m in (0, 10, 20, 60, 70, 200)]).withColumn("ts", F.timestamp_millis("t_ms"))
     d.write.parquet(src)
     stream = spark.readStream.schema(d.schema).parquet(src)
-    q = sessions.stream_sessions(stream).writeStream.format("memory").queryName("runs").outputMode("append").start()
-    q.processAllAvailable()
+    q = sessions.stream_sessions(stream).writeStream.format("memory").queryName("runs").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(60)
     q.stop()
     assert sorted(r.n for r in spark.sql("SELECT * FROM runs").collect()) == [2, 3]
     raw_src = str(tmp_path / "raw")
     raw(spark, (0, 37, 5), (1, 38, 5), (2, 37.0001, 5), (60, 37.1, 5)).write.parquet(raw_src)
     s = spark.readStream.schema(raw(spark, (0, 1, 1)).schema).parquet(raw_src)
-    q = sessions.stream_spike_filter(s).writeStream.format("memory").queryName("calm").outputMode("append").start()
-    q.processAllAvailable()
+    q = sessions.stream_spike_filter(s).writeStream.format("memory").queryName("calm").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(60)
     q.stop()
     assert sorted(r.seq for r in spark.sql("SELECT * FROM calm").collect()) == [0, 2]
 
