@@ -12,7 +12,7 @@ import pytest
 from waystone.llm import html
 from waystone.llm.langid import op10_language_id, score_languages, train_languages
 from waystone.llm.quality import document_statistics, fit_forest, keep_quality, op3_quality_classifier, train_quality
-from waystone.llm.secrets import find_secrets, grams_of, op5_secret_scans, redact_secrets, trigram_query
+from waystone.llm.secrets import RULES, find_secrets, grams_of, op5_secret_scans, redact_secrets, trigram_query
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, score double, secrets string"
 ODD = [
@@ -110,6 +110,31 @@ def test_op5_redacts_and_adds(spark):
     assert kinds == ["assign", "hex", "private_key"]
 
 
+KEY = "\n".join(["MIIEowIBAAKCAQEA+/" + "xY9" * 15] * 4 + ["q0/Zz9a="])
+HEAD, TAIL = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+KEYS = {
+    f"a\n{HEAD}\n{KEY}\n{TAIL}\nb": "a\n[SECRET]\nb",
+    f"a {HEAD} {KEY} {TAIL} b".replace("\n", " "): "a [SECRET] b",
+    f'{{"k":"{HEAD}\n{KEY}\n{TAIL}\n"}}'.replace("\n", "\\n"): '{"k":"[SECRET]\\n"}',
+    f"a\r\n{HEAD}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n{KEY}\nThe next line.".replace("\n", "\r\n").replace("\r\r", "\r"): "a\r\n[SECRET]\r\nThe next line.",
+    f"{HEAD}\n{KEY}\nNo end here.\n{HEAD}\n{KEY}\n{TAIL}\nafter": "[SECRET]\nNo end here.\n[SECRET]\nafter",
+    f"{HEAD}\n{KEY}\n-----BEGIN CERTIFICATE-----\npublic\n-----END CERTIFICATE-----\n{TAIL}": "[SECRET]\n-----BEGIN CERTIFICATE-----\npublic\n-----END CERTIFICATE-----\n" + TAIL,
+    f"  {HEAD}\n  {KEY}".replace("\n", "\n  "): "  [SECRET]",
+    f"{HEAD} is the first line of a key.": "[SECRET] is the first line of a key.",
+}
+
+
+def test_op5_takes_whole_private_keys(spark):
+    docs = spark.createDataFrame(list(enumerate(KEYS)), "doc_id long, text string")
+    assert [r.text for r in redact_secrets(docs).orderBy("doc_id").collect()] == list(KEYS.values())
+    spans = {r.doc_id: r.spans for r in op5_secret_scans(docs).collect()}
+    first = next(iter(KEYS))
+    assert f"private_key:2:{len(first) - 2}" in spans[0].split(",")
+    rule = next(r for r in RULES if r.kind == "private_key")
+    assert trigram_query(rule.pattern) == trigram_query(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----")
+    assert not re.search(rule.pattern, "-----BEGIN PUBLIC KEY-----\n" + KEY) and len(re.findall(rule.pattern, (HEAD + "\na-b: c\n") * 20000)) == 20000
+
+
 def test_trigram_queries():
     assert trigram_query("[0-9a-f]+") == ("all",) and trigram_query("ab") == ("all",)
     assert grams_of(trigram_query("(foo|barn)x?[0-9]{3}")) == {b"foo", b"bar", b"arn", b"oox", b"rnx"}

@@ -28,12 +28,23 @@ class Rule:
     fold: bool = False
 
 
+#: A PEM key: from its BEGIN line to the END line, if no other BEGIN or END line comes first; else to the end of the base64
+#: lines (indented, quoted or with \n written for line ends), encryption headers before them included. Linear: nothing is tried twice.
+_EOL = r"""(?=[\x20\t"',;]*+(?:\\|[\r\n]|\Z))"""
+_LINE = r"""(?:\r?\n|(?:\\r)?\\n)[\x20\t>#*|"']*+"""
+_BASE64 = rf"""(?:(?:[\s>#*|"',]|\\[nrt])*+[A-Za-z0-9+/]{{20,}}+={{0,2}}|{_LINE}[A-Za-z0-9+/]++={{0,2}}{_EOL})"""
+PRIVATE_KEY = (
+    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
+    r"(?:[^-]*+(?:-(?!----(?:BEGIN|END)\x20)[^-]*+)*+-----END [A-Z ]{0,40}PRIVATE KEY-----"
+    rf"|(?:(?:{_LINE}[A-Za-z][A-Za-z-]*+:\x20[^\r\n\\]*+)*+(?:{_LINE}(?=[\r\n\\]))*+{_BASE64})?+{_BASE64}*+)"
+)
+
 #: The base kinds first, then further kinds of secrets.
 RULES = (
     Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6, 2, True),
     Rule("access", r"AKIA[A-Z0-9]+", 20),
     Rule("hex", r"[0-9a-f]{24,}", 24),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("private_key", PRIVATE_KEY),
     Rule("code_host", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat_hook", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("cloud_key", r"AIza[A-Za-z0-9_-]{35}"),
