@@ -99,6 +99,49 @@ def test_raw_signals(spark):
     assert [r.accuracy_m for r in one] == [10]
 
 
+@pytest.mark.parametrize("form", ["object", "raw", "cut", "one"])
+def test_exports_beyond_a_variant(spark, tmp_path, form):
+    """56 MiB of segments, of signals, or in one segment, over 128 MiB as a VARIANT: nothing goes missing unsaid."""
+    note = "[" + "1," * (1 << 19) + "1]"
+    seg = json.dumps(visit("2024-05-11T00:00:00Z", "2024-05-11T01:00:00Z", "37.5,127"))[:-1] + f',"note":{note}}}'
+    signal = json.dumps({"position": {"LatLng": "37.5,127", "timestamp": "2024-01-01T00:00:00Z", "accuracyMeters": 5}})[:-1] + f',"note":{note}}}'
+    segments = ",".join([seg] * 56)
+    text, *want = {
+        "object": (f'{{"semanticSegments":[{segments}]}}', "OK", 56, 0), "cut": (f'{{"semanticSegments":[{segments},', "MALFORMED", 0, 0),
+        "raw": (f'{{"rawSignals":[{",".join([signal] * 56)}]}}', "RAW_ONLY", 0, 56), "one": (f"[{seg.replace(note, '[' + '1,' * (56 << 19) + '1]')},{seg}]", "TOO_LARGE", 1, 0),
+    }[form]
+    (tmp_path / "a.json").write_text(text)
+    p = exports.parse_documents(exports.read_exports(spark, str(tmp_path)).select("source", "text"))
+    (row,) = exports.classify_exports(p).collect()
+    assert [row.reason, row.n_points, exports.raw_signals(p).count()] == want
+
+
+def test_long_documents_say_what_short_ones_say(spark):
+    docs = ['{"timelineObjects":[]}', '{"rawSignals":[]}', '{"semanticSegments":[]}', "", "  ", '{"semanticSegments":[', None, [visit("2024-01-01T00:00:00Z", "2024-01-01T00:00:00Z", "1,1"), None, 7, "x"], "[]", "{}", "[1", "no"]
+    rows = [(str(i), d if isinstance(d, str) or d is None else json.dumps(d)) for i, d in enumerate(docs)]
+    d = spark.createDataFrame(rows, exports.DOC)
+    whole, split = (exports.classify_exports(exports.parse_documents(d, n)).collect() for n in (exports.WHOLE_BYTES, 0))
+    assert sorted(whole) == sorted(split)
+
+
+def test_elements_a_line(spark, tmp_path):
+    seg = [json.dumps(visit(f"2024-05-11T{i % 24:02}:00:00", f"2024-05-11T{i % 24:02}:30:00", f"{i / 100},127")) for i in range(300)]
+    (tmp_path / "a.jsonl").write_text("\n".join(seg[:200]) + "\n\n{broken\n")
+    (tmp_path / "b.jsonl").write_text("\n".join(seg[200:]))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        e = exports.read_elements(spark, str(tmp_path))
+        assert e.rdd.getNumPartitions() > 3
+        got = exports.segment_points(exports.flatten_segments(exports.parse_elements(e))).orderBy("source", "seg_idx").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert [p.lat for p in got] == [i / 100 for i in range(300)] and len({p.source for p in got}) == 2
+    signal = [("s", i, json.dumps({"position": {"LatLng": "37.5,127", "timestamp": "2024-01-01T00:00:00Z", "accuracyMeters": i}})) for i in range(5)]
+    raw = exports.raw_signals(exports.parse_elements(spark.createDataFrame(signal, "source string, idx long, text string")))
+    assert sorted((r.ord, r.accuracy_m) for r in raw.collect()) == [(i, i) for i in range(5)]
+
+
 def test_instants_need_date_and_time(spark):
     d = spark.createDataFrame([("2026",), ("2026-01-01",), ("2026-01-01T00:00:00+0900",), ("2026-01-01T00:00",)], "s string")
     assert [r.ok for r in d.select(coords.parse_instant(F.col("s")).isNotNull().alias("ok")).collect()] == [False, False, True, True]

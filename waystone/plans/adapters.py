@@ -31,8 +31,8 @@ def raw_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def export_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(source, text): every user's points as a location export, visits and standalone paths in turn."""
+def export_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source, idx, text): every user's points as the segments of a location export, visits and standalone paths in turn."""
     p = points(spark, sf_dir)
     at = F.concat(F.format_string("%.6f", "lat"), F.lit("°, "), F.format_string("%.6f", "lon"), F.lit("°"))
     iso = lambda ms: F.concat(F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z"))
@@ -42,6 +42,4 @@ def export_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(visit, F.struct(F.struct(F.struct(at.alias("latLng")).alias("placeLocation")).alias("topCandidate"))).alias("visit"),
         F.when(~visit, F.array(F.struct(F.concat(F.lit("geo:"), F.translate(at, "° ", "")).alias("point"), F.lit("2").alias("durationMinutesOffsetFromStartTime")))).alias("timelinePath"),
     )
-    d = p.groupBy("traveler_id").agg(F.array_sort(F.collect_list(F.struct("seq", seg.alias("s")))).alias("s"))
-    body = F.to_json(F.struct(F.transform("s", lambda x: x["s"]).alias("semanticSegments")))
-    return d.select(F.col("traveler_id").cast("string").alias("source"), body.alias("text"))
+    return p.select(F.col("traveler_id").cast("string").alias("source"), F.col("seq").alias("idx"), F.to_json(seg).alias("text"))

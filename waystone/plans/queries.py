@@ -15,7 +15,7 @@ from waystone import constants as K
 from waystone.functions import coords, geo, text
 from waystone.operators import camera, clean, frames, journey, lookup, pacing, progress, reconcile, tiles
 from waystone.plans import sql
-from waystone.plans.adapters import export_documents, points, raw_points, table
+from waystone.plans.adapters import export_segments, points, raw_points, table
 from waystone.sources import catalog, exports
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -144,8 +144,8 @@ kept AS (SELECT * FROM paths p WHERE NOT EXISTS (SELECT 1 FROM visits v WHERE v.
 u AS (SELECT traveler_id, t_ms, lat, lon FROM visits UNION ALL SELECT traveler_id, t_ms, lat, lon FROM kept)
 SELECT DISTINCT CAST(traveler_id AS VARCHAR) AS source, t_ms, lat, lon FROM u""")
 def s1(s: SparkSession, d: str) -> DataFrame:
-    """Every user's export document, parsed and reconciled."""
-    seg = exports.flatten_segments(exports.parse_documents(export_documents(s, d)))
+    """Every user's export, parsed a segment a row and reconciled."""
+    seg = exports.flatten_segments(exports.parse_elements(export_segments(s, d)))
     return reconcile.reconcile(seg).select("source", F.unix_millis("ts").alias("t_ms"), "lat", "lon")
 
 
@@ -155,8 +155,8 @@ def s4(s: SparkSession, d: str) -> DataFrame:
     at = F.concat(F.format_string("%.6f", "lat"), F.lit(","), F.format_string("%.6f", "lon"))
     iso = F.concat(F.date_format(F.timestamp_millis("t_ms"), "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z"))
     signal = F.struct(F.struct(at.alias("LatLng"), iso.alias("timestamp"), F.when(F.col("seq") % 2 == 0, F.col("accuracy_m").cast("string")).otherwise(F.format_string("%.1f", "accuracy_m")).alias("accuracyMeters")).alias("position"))
-    docs = p.groupBy("traveler_id").agg(F.to_json(F.struct(F.collect_list(signal).alias("rawSignals"))).alias("text")).select(F.col("traveler_id").cast("string").alias("source"), "text")
-    return exports.raw_signals(exports.parse_documents(docs)).select("source", F.unix_millis("ts").alias("t_ms"), "lat", "lon", "accuracy_m")
+    signals = p.select(F.col("traveler_id").cast("string").alias("source"), F.col("seq").alias("idx"), F.to_json(signal).alias("text"))
+    return exports.raw_signals(exports.parse_elements(signals)).select("source", F.unix_millis("ts").alias("t_ms"), "lat", "lon", "accuracy_m")
 
 
 DOCUMENTS = ['{"timelineObjects":[]}', '{"rawSignals":[]}', '{"semanticSegments":[]}', "", "  ", '{"semanticSegments":[', "[]", '"text"', '{"locations":[]}', None]

@@ -11,21 +11,70 @@ from waystone.functions.geo import in_domain, let
 DOC = "source string, text string"
 
 
+#: Texts up to so many bytes are parsed as one VARIANT, longer ones an element at a time: a VARIANT may have 128 MiB (16 MiB
+#: under SPARK_TESTING), which short numbers reach from a few times less text.
+WHOLE_BYTES = 2 << 20
+
+
 def read_exports(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(source, text, size, modified), a whole file a row; nothing is parsed yet."""
+    """(source, text, size, modified), a whole file a row, so of 2 GB at most (more is an error); nothing is parsed yet."""
     d = spark.read.text(path, wholetext=True)
     return d.select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("text"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_modification_time").alias("modified"))
 
 
-def parse_documents(docs: DataFrame) -> DataFrame:
-    """docs (source, text) with doc (VARIANT, null if malformed), segments and signals (arrays of VARIANT), per root form.
+def read_elements(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(source, idx, text) of files with a segment or raw signal a line: files are split, so of any size; idx rises in a file.
+
+    parse_elements makes them fit for flatten_segments and raw_signals.
+    """
+    d = spark.read.text(path).where("trim(value) <> ''")
+    row = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)  # of a partition; a block's rows are in one
+    idx = F.col("_metadata.file_block_start").cast("decimal(19,0)") * F.lit(1 << 33).cast("decimal(10,0)") + row.cast("decimal(10,0)")
+    return d.select(F.col("_metadata.file_path").alias("source"), idx.alias("idx"), F.col("value").alias("text"))
+
+
+def parse_elements(elements: DataFrame) -> DataFrame:
+    """Elements (source, idx, text: a segment or a raw signal) with element (VARIANT, null if malformed)."""
+    return elements.withColumn("element", F.try_parse_json("text"))
+
+
+def parse_documents(docs: DataFrame, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
+    """docs (source, text) with doc (VARIANT, null if malformed or long), root, segments and signals, per root form.
 
-    S3: an array root is the segments; an object root has them under semanticSegments, raw signals under rawSignals.
+    S3: an array root is the segments; an object root has them under semanticSegments, raw signals under rawSignals. Both
+    are arrays of (v: VARIANT) or, where text has over whole_bytes, of (t: JSON text), which is parsed a row each;
+    oversized tells of one too large even so. legacy: an older form.
     """
-    d = docs.withColumn("doc", F.try_parse_json("text"))
-    segments = F.coalesce(F.try_variant_get("doc", "$.semanticSegments", "array<variant>"), F.try_variant_get("doc", "$", "array<variant>"))
-    d = d.withColumn("root", F.when(F.col("doc").isNull(), "malformed").when(F.schema_of_variant("doc").startswith("ARRAY"), "array").when(F.schema_of_variant("doc").startswith("OBJECT"), "object").otherwise("other"))
-    return d.withColumn("segments", segments).withColumn("signals", F.try_variant_get("doc", "$.rawSignals", "array<variant>"))
+    long = F.octet_length("text") > whole_bytes
+    first = F.when(long, F.substr(F.ltrim(F.regexp_replace(F.substr("text", F.lit(1), F.lit(1000)), "[\\s\uFEFF]+", " ")), F.lit(1), F.lit(1)))
+    array = F.when(first == "[", F.from_json("text", "array<string>"))
+    of = lambda k: F.when(first == "{", F.from_json("text", f"{k} array<string>")[k])
+    strings = {"segments": F.coalesce(array, of("semanticSegments")), "signals": of("rawSignals")}
+    doc = F.when(~long, F.try_parse_json("text"))
+    get = lambda v, path, kind="array<variant>": F.try_variant_get(v, path, kind)
+    whole = lambda f: let(F.struct(doc.alias("d")), lambda x: f(x["d"]))  # noqa: E731  inlined: no row holds text and what comes of it
+    variants = {"segments": whole(lambda v: F.coalesce(get(v, "$.semanticSegments"), get(v, "$"))), "signals": get(doc, "$.rawSignals")}
+    d = {"doc": doc}
+    for k in strings:
+        t = F.transform(strings[k], lambda x: F.struct(F.lit(None).cast("variant").alias("v"), x.alias("t")))
+        v = F.transform(variants[k], lambda x: F.struct(x.alias("v"), F.lit(None).cast("string").alias("t")))
+        d[k] = F.when(long, t).otherwise(v)
+    old = F.from_json("text", "timelineObjects string, locations string, bad string", {"columnNameOfCorruptRecord": "bad"})
+    old = F.when(first == "{", let(old, lambda o: F.struct(o["bad"].isNull().alias("intact"), (o["timelineObjects"].isNotNull() | o["locations"].isNotNull()).alias("legacy"))))
+    split = F.when(first == "[", F.when(array.isNotNull(), "array").otherwise("malformed")).otherwise(F.when(old["intact"], "object").otherwise("malformed"))
+    form = lambda v: F.when(v.isNull(), "malformed").when(F.schema_of_variant(v).startswith("ARRAY"), "array").when(F.schema_of_variant(v).startswith("OBJECT"), "object").otherwise("other")
+    legacy = whole(lambda v: get(v, "$.timelineObjects", "variant").isNotNull() | get(v, "$.locations", "variant").isNotNull())
+    lost = [F.coalesce(F.exists(x, lambda e: (F.octet_length(e) > WHOLE_BYTES) & F.try_parse_json(e).isNull()), F.lit(False)) for x in strings.values()]
+    d |= {"root": F.when(long, split).otherwise(whole(form)), "legacy": F.when(long, old["legacy"]).otherwise(legacy), "oversized": F.when(long, lost[0] | lost[1]).otherwise(F.lit(False))}
+    return docs.withColumns(d)
+
+
+def _elements(parsed: DataFrame, array: str, idx: str, name: str) -> DataFrame:
+    """source, idx and name (VARIANT) of parse_documents or of parse_elements."""
+    if "element" in parsed.columns:
+        return parsed.select("source", F.col("idx").alias(idx), F.col("element").alias(name))
+    e = parsed.select("source", F.posexplode(array).alias(idx, "e"))
+    return e.select("source", idx, F.coalesce("e.v", F.try_parse_json("e.t")).alias(name))
 
 
 def _text(v: Column | str, path: str) -> Column:
@@ -44,7 +93,7 @@ def flatten_segments(parsed: DataFrame) -> DataFrame:
     Inside a segment the path comes first, then the visit at the start, the activity's start and its end. P8: points
     need a time and a coordinate. P10: standalone tells a path without any usable semantic point.
     """
-    s = parsed.select("source", F.posexplode("segments").alias("seg_idx", "s"))
+    s = _elements(parsed, "segments", "seg_idx", "s")
     s = s.select("source", "seg_idx", "s", _text("s", "$.startTime").alias("t0"), _text("s", "$.endTime").alias("t1"), F.try_variant_get("s", "$.timelinePath", "array<variant>").alias("path"))
     s = s.withColumn("st", parse_instant(F.col("t0"))).withColumn("en", parse_instant(F.col("t1")))
     s = s.withColumn("zoned", F.coalesce(~tz_missing(F.col("t0")) & ~tz_missing(F.col("t1")), F.lit(False)))
@@ -92,24 +141,29 @@ def semantic_intervals(segments: DataFrame) -> DataFrame:
 
 def raw_signals(parsed: DataFrame) -> DataFrame:
     """Source, ord, ts, lat, lon, accuracy_m of raw position signals; other kinds and bad values are left out."""
-    r = parsed.select("source", F.posexplode("signals").alias("ord", "r"))
+    r = _elements(parsed, "signals", "ord", "r")
     at = parse_coordinate(F.coalesce(_text("r", "$.position.LatLng"), _text("r", "$.position.latLng")))
     r = r.select("source", "ord", parse_instant(_text("r", "$.position.timestamp"), strict=True).alias("ts"), at["lat"].alias("lat"), at["lon"].alias("lon"), parse_number(_text("r", "$.position.accuracyMeters")).alias("accuracy_m"))
     return r.where("ts IS NOT NULL AND lat IS NOT NULL AND accuracy_m >= 0")
 
 
 def classify_exports(parsed: DataFrame) -> DataFrame:
-    """Source and reason: OK, EMPTY, MALFORMED, RAW_ONLY, LEGACY, UNSUPPORTED or NO_USABLE."""
-    legacy = F.try_variant_get("doc", "$.timelineObjects", "variant").isNotNull() | F.try_variant_get("doc", "$.locations", "variant").isNotNull()
+    """Source and reason: OK, EMPTY, MALFORMED, TOO_LARGE, RAW_ONLY, LEGACY, UNSUPPORTED or NO_USABLE.
+
+    TOO_LARGE: one segment or signal is beyond a VARIANT, so it is missing, whatever else the export holds.
+    """
     n = segment_points(flatten_segments(parsed)).groupBy(F.col("source").alias("__s")).agg(F.count("*").alias("n"))
-    d = parsed.join(n, F.col("source") == F.col("__s"), "left")
+    empty = (F.coalesce(F.trim("text"), F.lit("")) == "").alias("empty")
+    d = parsed.select("source", "root", empty, "oversized", "legacy", F.col("segments").isNotNull().alias("segments"), F.col("signals").isNotNull().alias("signals"))
+    d = d.join(n, F.col("source") == F.col("__s"), "left")
     reason = (
-        F.when(F.coalesce(F.trim("text"), F.lit("")) == "", "EMPTY")
-        .when(F.col("doc").isNull(), "MALFORMED")
+        F.when(F.col("empty"), "EMPTY")
+        .when(F.col("root") == "malformed", "MALFORMED")
+        .when(F.col("oversized"), "TOO_LARGE")
         .when(F.col("n") > 0, "OK")
-        .when(F.col("signals").isNotNull(), "RAW_ONLY")
-        .when(legacy, "LEGACY")
-        .when((F.col("root") == "other") | F.col("segments").isNull(), "UNSUPPORTED")
+        .when(F.col("signals"), "RAW_ONLY")
+        .when(F.col("legacy"), "LEGACY")
+        .when((F.col("root") == "other") | ~F.col("segments"), "UNSUPPORTED")
         .otherwise("NO_USABLE")
     )
     return d.select("source", "root", F.coalesce("n", F.lit(0)).cast("long").alias("n_points"), reason.alias("reason"))
