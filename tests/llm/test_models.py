@@ -135,6 +135,13 @@ def test_op5_takes_whole_private_keys(spark):
     assert not re.search(rule.pattern, "-----BEGIN PUBLIC KEY-----\n" + KEY) and len(re.findall(rule.pattern, (HEAD + "\na-b: c\n") * 20000)) == 20000
 
 
+@pytest.mark.parametrize(("user", "word"), [("u", "pw-" * 50), ("u" * 70, "pwd"), ("", "p.w-d"), ("u!$", "p" * 129)])
+def test_op5_takes_logins_of_any_length(spark, user, word):
+    text = f"see ftp://{user}:{word}@host/x and http://host:8080/a@b http://u:pw@h"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert redact_secrets(docs).first().text == "see [SECRET]ost/x and http://host:8080/a@b http://u:pw@h"
+
+
 def test_trigram_queries():
     assert trigram_query("[0-9a-f]+") == ("all",) and trigram_query("ab") == ("all",)
     assert grams_of(trigram_query("(foo|barn)x?[0-9]{3}")) == {b"foo", b"bar", b"arn", b"oox", b"rnx"}

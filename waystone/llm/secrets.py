@@ -51,7 +51,7 @@ RULES = (
     Rule("payment", r"[sr]k_(?:live|test)_[A-Za-z0-9]{16,}"),
     Rule("signed", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("bearer", r"bearer\x20+[A-Za-z0-9+/_.=-]{20,}", fold=True),
-    Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[A-Za-z0-9._%+-]{1,64}:[^\s:/@]{3,128}@[A-Za-z0-9]"),
+    Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\s:/@]*+:[^\s:/@]{3,}+@[A-Za-z0-9]"),
 )
 BASE_KINDS = ("assign", "access", "hex")
 #: Most exact strings that a part of an expression is followed as.
