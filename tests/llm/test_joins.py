@@ -134,6 +134,7 @@ def vectors(spark, sf_dir):
 def test_op9_matches_all_pairs(spark, sf_dir, rows, fan, monkeypatch):
     e = vectors(spark, sf_dir)
     monkeypatch.setattr(embeddings.near_intervals, "__defaults__", (fan,))
+    monkeypatch.setattr(embeddings.near_blocks, "__defaults__", (fan,))
     got = {r.vec_id: (r.n_links, r.component_id, r.vec_id == r.component_id) for r in epsilon_join(e, block_rows=rows).collect()}
     assert got == plain_links([tuple(r) for r in e.collect()])
 
@@ -148,6 +149,17 @@ def test_op9_edges(spark):
     assert op9_embedding_near_dedup(e.where("vec_id IS NULL")).count() == 1
 
 
+def test_op9_one_id_under_two_labels_and_long_vectors(spark):
+    e = spark.createDataFrame([(1, [1.0, 0.0], 1), (2, [1.0, 0.01], 1), (1, [1.0, 0.0], 2), (3, [1.0, 0.0], 2), (4, [1.0, 0.0], 2), (1, [0.0, 1.0], 2)], "vec_id long, embedding array<float>, label int")
+    got = Counter(map(tuple, op9_embedding_near_dedup(e).collect()))
+    assert got == Counter([(1, 1, 1, True), (2, 1, 1, False), (1, 2, 1, True), (3, 2, 1, False), (4, 2, 1, False), (1, 0, 1, True)])
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=5000)
+    rows = [(i, (base + rng.normal(size=5000) * (0.1 if i % 2 else 9)).tolist(), 1) for i in range(40)]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    assert {r.vec_id: (r.n_links, r.component_id, r.vec_id == r.component_id) for r in epsilon_join(e).collect()} == plain_links([tuple(r) for r in e.collect()])
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 50), (50, 100), (7, 7), (None, 3), (60, 61), (61, 62)]
     got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()))

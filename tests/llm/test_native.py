@@ -4,13 +4,15 @@ import re
 from collections import Counter
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from brute import op1, op2, op4_targets
 from pyspark.sql import functions as F
 
 from waystone.llm import decontaminate
 from waystone.llm.decontaminate import drop_contaminated, op2_benchmark_decontamination
 from waystone.llm.licenses import op1_license_scans
-from waystone.llm.mixing import mix_sources, op4_mix_sources
+from waystone.llm.mixing import fair_queue, mix_sources, op4_mix_sources
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, row int, score string, w int"
 ODD = [
@@ -95,3 +97,20 @@ def test_op4_edges(spark):
     assert op4_mix_sources(docs.limit(0)).count() == 0
     assert all(r.taken == 0 for r in op4_mix_sources(docs.where(F.col("text").isNull())).collect())
     assert mix_sources(docs).columns == [*docs.columns, "copy_no"]
+
+
+MIXED = st.lists(st.tuples(st.sampled_from([None, 1, 2, 3]), st.sampled_from([None, "", "a", "a b", "a b c d e", "c " * 9]), st.sampled_from([None, "x", "y"])), max_size=40)
+
+
+@settings(max_examples=12, deadline=None)
+@given(MIXED)
+def test_op4_repeated_ids_stay_within_the_budget(spark, rows):
+    docs = spark.createDataFrame([(i, t, s, "z", 7, "r", 1, 2) for i, t, s in rows], "doc_id long, text string, source string, copy_no string, c_source int, row string, key int, top int")
+    queue, taken = Counter(), Counter()
+    for r in fair_queue(docs).collect():
+        queue[r.doc_id, r.source, r["size"]] += len(r.copies)
+    mixed = mix_sources(docs)
+    assert dict(mixed.dtypes) == dict(docs.dtypes) | {"copy_no": "int"} and mixed.columns[-1] == "copy_no"
+    for r in mixed.collect():
+        taken[r.doc_id, r.source, len(r.text.split())] += 1
+    assert +taken == +queue and sum(k[2] * n for k, n in taken.items()) <= sum(len((t or "").split()) for _, t, _ in rows)

@@ -31,9 +31,11 @@ def words(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master may leave it unset."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         d = f"file://{tempfile.mkdtemp(prefix='waystone-')}"
         spark.conf.set("spark.checkpoint.dir", d)
     return d.rstrip("/")
@@ -44,12 +46,34 @@ def with_fields(schema: T.StructType, **kinds: str) -> T.StructType:
     return T.StructType([*schema.fields, *[T.StructField(k, T._parse_datatype_string(v)) for k, v in kinds.items()]])
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores in front as no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        n = f"__{n}"
+        while n in taken:
+            n = f"_{n}"
+        out.append(n)
+    return out
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """df written as Parquet into the shared folder and read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that materialize wrote; only for those that no later result reads."""
+    for t in tables:
+        jvm, conf = t.sparkSession._jvm, t.sparkSession._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(t.written_path)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def small_enough(df: DataFrame, rows: int) -> bool:
@@ -72,7 +96,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        old, e = e, materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        discard(old)
         new = _mark(e)
         if new == mark:
             break

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_enough, words
+from .common import free_names, materialize, small_enough, words
 
 #: Shared spans of WINDOW words are found without exception: GRAM + SPAN - 1.
 GRAM, SPAN = 5, 6
 WINDOW = GRAM + SPAN - 1
 #: Most benchmark windows that are broadcast (under 200 bytes each); more are joined by a shuffle.
 BROADCAST_WINDOWS = 200_000
+#: Most contaminated ids that are broadcast to be dropped; more are dropped by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def _shift(a: Column, n: int) -> Column:
@@ -113,10 +115,13 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs without any word inside a benchmark window, with their own columns; see find_contamination.
 
     Rows are told apart by doc_id: where several rows share one, all go if any of them is contaminated. A row with
-    null doc_id is judged together with the other rows of null doc_id.
+    null doc_id is judged together with the other rows of null doc_id. The texts aren't shuffled where the bad ids can
+    be broadcast; an empty table stays empty.
     """
-    bad = find_contamination(docs, benchmark).where("n_hit > 0").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti")
+    (name,) = free_names(docs, "bad")
+    bad = materialize(find_contamination(docs, benchmark).where("n_hit > 0").select(F.col("doc_id").alias(name)).distinct())
+    bad = F.broadcast(bad) if small_enough(bad, BROADCAST_IDS) else bad
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
 
 
 def op2_benchmark_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -6,21 +6,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
+from .common import connected_components, discard, materialize, small_enough
 
 #: Vectors are linked from this cosine on.
 COSINE = 0.98
-#: Leading principal dimensions of the grid.
-DIMS = 6
-#: Most vectors that the principal dimensions are learnt from, those of least hash; they only steer the pruning.
-SAMPLE_ROWS = 10_000
-#: Vectors of a block, the shortest sequence interval.
-BLOCK_ROWS = 256
+#: Leading principal dimensions of the grid, and of the bounds by which intervals are told apart.
+DIMS, BOUNDS = 6, 16
+#: Most vectors, and components of them, that the principal dimensions are learnt from, those of least hash; they only
+#: steer the pruning.
+SAMPLE_ROWS, SAMPLE_VALUES = 10_000, 1 << 21
+#: Vectors of a block, the shortest sequence interval; as many fewer as keep it at so many components.
+BLOCK_ROWS, BLOCK_VALUES = 256, 1 << 18
 #: Intervals that an interval of the next level joins.
 FAN = 16
+#: Most partitions' block numbers that are broadcast.
+BROADCAST_PARTS = 1_000_000
 #: What distances in the grid may be off by rounding.
 SLACK = 1e-6
 
@@ -31,64 +35,66 @@ def _usable(v: Column) -> Column:
     return F.coalesce(v.isNotNull() & ok & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def principal_dimensions(classes: DataFrame, dims: int = DIMS, sample_rows: int = SAMPLE_ROWS) -> dict[int, np.ndarray]:
+def _matrices(vecs: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, unit rows in double precision) of the vectors of each length."""
+    size = pc.list_value_length(vecs).to_numpy(zero_copy_only=False)
+    for n in np.unique(size):
+        at = np.flatnonzero(size == n)
+        x = vecs.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), n)
+        yield at, x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def principal_dimensions(classes: DataFrame, dims: int = BOUNDS, sample_rows: int = SAMPLE_ROWS) -> dict[int, np.ndarray]:
     """By vector length, the leading principal dimensions (orthonormal columns) of a bounded sample of unit vectors."""
-    rows = classes.select("vec", F.xxhash64("rep").alias("h")).orderBy("h").limit(sample_rows).select("vec").toArrow()["vec"].to_pylist()
-    by: dict[int, list] = {}
-    for v in rows:
-        by.setdefault(len(v), []).append(v)
+    longest = classes.agg(F.max(F.size("vec"))).first()[0] or 1
+    rows = classes.select("vec", F.xxhash64("k1").alias("h")).orderBy("h").limit(min(sample_rows, max(64, SAMPLE_VALUES // longest))).select("vec").toArrow()
     out = {}
-    for n, vs in by.items():
-        x = np.array(vs, np.float64)
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-        x -= x.mean(axis=0)
-        out[n] = np.ascontiguousarray(np.linalg.svd(x.T @ x)[0][:, :dims])
+    for _, x in _matrices(rows["vec"].combine_chunks()) if rows.num_rows else ():
+        x = x - x.mean(axis=0)
+        out[x.shape[1]] = np.ascontiguousarray(np.linalg.svd(x.T @ x)[0][:, :dims])
     return out
 
 
-def _project(vecs: list, basis: dict[int, np.ndarray], dims: int) -> np.ndarray:
+def _project(vecs: pa.ListArray, basis: dict[int, np.ndarray], dims: int) -> np.ndarray:
     out = np.zeros((len(vecs), dims))
-    for i, v in enumerate(vecs):
-        x = np.asarray(v, np.float64)
-        x = x / np.linalg.norm(x)
-        q = x @ basis[len(x)] if len(x) in basis else x[:dims]
-        out[i, : len(q)] = q
+    for at, x in _matrices(vecs):
+        q = x @ basis[x.shape[1]] if x.shape[1] in basis else x[:, :dims]
+        out[at, : q.shape[1]] = q
     return out
 
 
 def vector_classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members vec_id, k1, k2, label of usable vectors; a row per distinct vector and label: rep, copies, vec and keys).
+    """(members vec_id, k1, k2, label of usable vectors; a row per distinct vector and label: cid, rep, copies, vec, keys).
 
-    Equal vectors share a 128-bit hash; each class goes on as one row, so copies cost nothing later on.
+    Equal vectors of a label share a 128-bit hash; each class goes on as one row under a number of its own, so copies
+    cost nothing later on. The classes are written, so their numbers stay.
     """
-    v = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("vec"), "label").where(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & _usable(F.col("vec")))
-    v = v.withColumn("k1", F.xxhash64(F.lit(1), "vec")).withColumn("k2", F.xxhash64(F.lit(2), "vec"))
-    members = v.select("vec_id", "k1", "k2", "label")
-    first = members.groupBy("label", "k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    one = v.join(first.withColumnRenamed("rep", "vec_id"), ["label", "k1", "k2", "vec_id"]).dropDuplicates(["label", "k1", "k2"])
-    return members, one.select("label", "k1", "k2", F.col("vec_id").alias("rep"), "copies", "vec")
+    d = vectors.select("vec_id", F.col("embedding").alias("vec"), "label").where(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & _usable(F.col("embedding")))
+    d = d.withColumns({"k1": F.xxhash64(F.lit(1), "vec"), "k2": F.xxhash64(F.lit(2), "vec")})
+    one = d.groupBy("label", "k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("vec").alias("vec"))
+    return d.select("vec_id", "k1", "k2", "label"), materialize(one.withColumn("cid", F.monotonically_increasing_id()))
 
 
 def grid_blocks(classes: DataFrame, epsilon: float, dims: int = DIMS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Blocks of consecutive vectors in epsilon grid order: grp, part, seq, lo and hi (of coordinates), reps, copies, vecs.
+    """Blocks of consecutive vectors in epsilon grid order: grp, part, seq, lo and hi (of coordinates), cids, copies, vecs.
 
     Vectors of a group (label and length) are range-sorted by their grid cells over the leading dimensions.
     """
-    basis = principal_dimensions(classes, dims)
-    shared = classes.sparkSession.sparkContext.broadcast(basis)
+    width = max(dims, BOUNDS)
+    shared = classes.sparkSession.sparkContext.broadcast(principal_dimensions(classes, width))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            q = _project(b.column("vec").to_pylist(), shared.value, dims)
-            cells = np.floor(q / epsilon).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(q), pa.list_(pa.float64())), *[pa.array(c) for c in cells.T]], [*b.schema.names, "q", *[f"c{i}" for i in range(dims)]])
+            q = _project(b.column("vec"), shared.value, width)
+            cells = np.floor(q[:, :dims] / epsilon).astype(np.int64)
+            q = pa.ListArray.from_arrays(np.arange(len(q) + 1, dtype=np.int32) * width, q.ravel())
+            yield pa.RecordBatch.from_arrays([*b.columns, q, *[pa.array(c) for c in cells.T]], [*b.schema.names, "q", *[f"c{i}" for i in range(dims)]])
 
-    d = classes.select(F.concat_ws("/", F.col("label").cast("string"), F.size("vec")).alias("grp"), "rep", "copies", "vec")
-    cells = [f"c{i}" for i in range(dims)]
-    kind = dict(d.dtypes)["rep"]
-    d = d.mapInArrow(place, f"grp string, rep {kind}, copies bigint, vec array<double>, q array<double>, " + ", ".join(f"{c} bigint" for c in cells))
-    d = d.repartitionByRange("grp", *cells, "rep").sortWithinPartitions("grp", *cells, "rep").drop(*cells).withColumn("part", F.spark_partition_id())
-    names = ["grp", "part", "seq", "lo", "hi", "reps", "copies", "vecs"]
+    d = classes.select(F.concat_ws("/", F.col("label").cast("string"), F.size("vec")).alias("grp"), "cid", "copies", "vec")
+    cells, kind = [f"c{i}" for i in range(dims)], dict(d.dtypes)["vec"]
+    d = d.mapInArrow(place, f"grp string, cid bigint, copies bigint, vec {kind}, q array<double>, " + ", ".join(f"{c} bigint" for c in cells))
+    d = d.repartitionByRange("grp", *cells, "cid").sortWithinPartitions("grp", *cells, "cid").drop(*cells).withColumn("part", F.spark_partition_id())
+    names = ["grp", "part", "seq", "lo", "hi", "cids", "copies", "vecs"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, seq = None, 0
@@ -101,24 +107,27 @@ def grid_blocks(classes: DataFrame, epsilon: float, dims: int = DIMS, block_rows
         if held is not None and held.num_rows:
             yield _block(held, seq, names)
 
-    return d.mapInArrow(cut, f"grp string, part int, seq bigint, lo array<double>, hi array<double>, reps array<{kind}>, copies array<bigint>, vecs array<double>")
+    return d.mapInArrow(cut, f"grp string, part int, seq bigint, lo array<double>, hi array<double>, cids array<bigint>, copies array<bigint>, vecs {kind}")
 
 
 def _cuts(t: pa.Table, rows: int) -> list[pa.Table]:
-    """t in runs of one group and at most rows rows; the last may go on."""
+    """t in runs of one group and a block's rows at most; the last may go on."""
     g = t["grp"].to_numpy()
     change = np.flatnonzero(g[1:] != g[:-1]) + 1
     out = []
     for a, b in zip(np.append(0, change), np.append(change, len(g)), strict=True):
-        out += [t.slice(i, min(rows, b - i)) for i in range(int(a), int(b), rows)]
+        size = len(t["vec"][int(a)]) if b > a else 1
+        step = max(4, min(rows, BLOCK_VALUES // max(1, size)))
+        out += [t.slice(i, min(step, b - i)) for i in range(int(a), int(b), step)]
     return out or [t]
 
 
 def _block(t: pa.Table, seq: int, names: list[str]) -> pa.RecordBatch:
-    q = np.array(t["q"].to_pylist())
-    flat = pa.concat_arrays([c.flatten() for c in t["vec"].chunks])
-    one = lambda values, kind: pa.array([values], pa.list_(kind))
-    return pa.RecordBatch.from_arrays([pa.array([t["grp"][0].as_py()]), pa.array([t["part"][0].as_py()], pa.int32()), pa.array([seq]), one(q.min(axis=0), pa.float64()), one(q.max(axis=0), pa.float64()), one(t["rep"].to_pylist(), t.schema.field("rep").type), one(t["copies"].to_pylist(), pa.int64()), one(flat.to_numpy(), pa.float64())], names)
+    t = t.combine_chunks()
+    q = t["q"].combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+    one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+    columns = [pa.array(q.min(axis=0)), pa.array(q.max(axis=0)), *[t[c].combine_chunks() for c in ("cid", "copies")], t["vec"].combine_chunks().flatten()]
+    return pa.RecordBatch.from_arrays([t["grp"].combine_chunks().slice(0, 1), t["part"].combine_chunks().slice(0, 1), pa.array([seq]), *map(one, columns)], names)
 
 
 def near_intervals(blocks: DataFrame, epsilon: float, fan: int = FAN) -> DataFrame:
@@ -176,54 +185,76 @@ def _forest(near: np.ndarray, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray,
     return ends[keep], low[keep]
 
 
+def near_blocks(blocks: DataFrame, pairs: DataFrame, fan: int = FAN) -> DataFrame:
+    """grp, ia, ib, no, cids, copies, vecs and near: for each pair of intervals of fan blocks, its near block pairs as
+    one row (no -1), then the blocks that occur in them, each once however many pairs it is in."""
+    p = pairs.select("grp", F.floor(F.col("a") / fan).alias("ia"), F.floor(F.col("b") / fan).alias("ib"), "a", "b")
+    near = p.groupBy("grp", "ia", "ib").agg(F.collect_list(F.struct("a", "b")).alias("near")).withColumn("no", F.lit(-1).cast("long"))
+    need = p.select("grp", "ia", "ib", F.explode(F.array("a", "b")).alias("no")).distinct()
+    rows = need.join(blocks.select("grp", "no", "cids", "copies", "vecs"), ["grp", "no"])
+    rows = rows.unionByName(near, allowMissingColumns=True).select("grp", "ia", "ib", "no", "cids", "copies", "vecs", "near")
+    return rows.repartition("grp", "ia", "ib").sortWithinPartitions("grp", "ia", "ib", "no")
+
+
 def epsilon_join(vectors: DataFrame, cosine: float = COSINE, dims: int = DIMS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """For each row of vectors (vec_id, embedding, label): n_links and component_id over links of cosine or more.
 
     Only vectors of equal label and length are compared, in double precision. Null, zero and non-finite vectors, and
-    those with null label or vec_id, link with nothing. Equal vectors are joined as one class with its number of
-    copies; repeated rows count as vectors of their own. Links between classes are counted block against block and
-    never listed; components come from the edges that span each block pair's links. Empty tables give no rows.
+    those with null label or vec_id, link with nothing. Equal vectors of a label are joined as one class with its
+    number of copies. Repeated rows, and different vectors under one vec_id, count as vectors of their own: each has
+    its own links, and its component_id is the least vec_id among the vectors that it reaches. Links between classes
+    are counted block against block and never listed; components come from the edges that span each block pair's
+    links. Empty tables give no rows.
     """
     epsilon = float(np.sqrt(max(0.0, 2 - 2 * cosine))) + SLACK
     members, classes = vector_classes(vectors)
-    classes = materialize(classes)
-    blocks = materialize(grid_blocks(classes, epsilon, dims, block_rows))
+    cut = materialize(grid_blocks(classes, epsilon, dims, block_rows))
     # numbers in order: blocks of earlier partitions come first
-    parts = blocks.groupBy("grp", "part").agg(F.count("*").alias("n"), F.min("seq").alias("s0"))
+    parts = cut.groupBy("grp", "part").agg(F.count("*").alias("n"), F.min("seq").alias("s0"))
     earlier = Window.partitionBy("grp").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = parts.select("grp", "part", "s0", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    blocks = materialize(blocks.join(base, ["grp", "part"]).withColumn("no", F.col("base") + F.col("seq") - F.col("s0")))
-    pairs = near_intervals(blocks, epsilon)
-    side = lambda x: blocks.select("grp", F.col("no").alias(x), F.col("reps").alias(f"reps_{x}"), F.col("copies").alias(f"copies_{x}"), F.col("vecs").alias(f"vecs_{x}"))
-    pairs = pairs.join(side("a"), ["grp", "a"]).join(side("b"), ["grp", "b"])
-
-    def unit(b: pa.RecordBatch, x: str, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        reps = b.column(f"reps_{x}")[i].values.to_numpy(zero_copy_only=False)
-        v = b.column(f"vecs_{x}")[i].values.to_numpy(zero_copy_only=False).reshape(len(reps), -1)
-        return reps, b.column(f"copies_{x}")[i].values.to_numpy(zero_copy_only=False), v / np.linalg.norm(v, axis=1, keepdims=True)
+    blocks = cut.join(F.broadcast(base) if small_enough(base, BROADCAST_PARTS) else base, ["grp", "part"]).withColumn("no", F.col("base") + F.col("seq") - F.col("s0"))
+    rows = near_blocks(blocks, near_intervals(blocks, epsilon))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near: list[dict] = []
+        held: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+        def links() -> Iterator[pa.RecordBatch]:
+            for pair in near:
+                (u, m, x), (v, n, y) = held[pair["a"]], held[pair["b"]]
+                same = pair["a"] == pair["b"]
+                hit = x @ y.T >= cosine
+                if same:
+                    np.fill_diagonal(hit, False)
+                if not hit.any():
+                    continue
+                count = [(u, hit @ n)] + ([] if same else [(v, m @ hit)])
+                ids, found = np.concatenate([c[0] for c in count]), np.concatenate([c[1] for c in count])
+                ids, found = ids[found > 0], found[found > 0]
+                src, dst = _forest(hit, u, v)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids, src])), pa.array(np.concatenate([np.zeros(len(ids), np.int64), dst]), mask=np.arange(len(ids) + len(src)) < len(ids)), pa.array(np.concatenate([found, np.zeros(len(src), np.int64)]))], ["u", "v", "links"])
+
         for batch in batches:
             for i in range(batch.num_rows):
-                u, m, x = unit(batch, "a", i)
-                v, n, y = unit(batch, "b", i)
-                same = batch.column("a")[i].as_py() == batch.column("b")[i].as_py()
-                near = x @ y.T >= cosine
-                if same:
-                    np.fill_diagonal(near, False)
-                if not near.any():
+                no = batch.column("no")[i].as_py()
+                if no < 0:  # the next pair of intervals
+                    yield from links()
+                    near, held = batch.column("near")[i].as_py(), {}
                     continue
-                count = [(u, near @ n)] + ([] if same else [(v, m @ near)])
-                ids, links = np.concatenate([c[0] for c in count]), np.concatenate([c[1] for c in count])
-                ids, links = ids[links > 0], links[links > 0]
-                src, dst = _forest(near, u, v)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids, src])), pa.array(np.concatenate([np.zeros(len(ids), np.int64), dst]), mask=np.arange(len(ids) + len(src)) < len(ids)), pa.array(np.concatenate([links, np.zeros(len(src), np.int64)]))], ["u", "v", "links"])
-
-    found = materialize(pairs.select("a", "b", *[f"{c}_{x}" for x in "ab" for c in ("reps", "copies", "vecs")]).mapInArrow(verify, "u bigint, v bigint, links bigint"))
-    links = found.where("v IS NULL").groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links"))
+                cids, copies, vecs = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("cids", "copies", "vecs"))
+                x = vecs.astype(np.float64).reshape(len(cids), -1)
+                held[no] = cids, copies, x / np.linalg.norm(x, axis=1, keepdims=True)
+        yield from links()
+
+    found = materialize(rows.mapInArrow(verify, "u bigint, v bigint, links bigint"))
+    discard(cut)
+    links = found.where("v IS NULL").groupBy(F.col("u").alias("cid")).agg(F.sum("links").alias("links"))
     roots = connected_components(found.where("v IS NOT NULL").select(F.col("u").alias("src"), F.col("v").alias("dst")))
-    per = classes.select("label", "k1", "k2", "rep", "copies").join(links, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left")
-    per = per.select("label", "k1", "k2", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
+    per = classes.select("label", "k1", "k2", "cid", "rep", "copies").join(links, "cid", "left").join(roots.withColumnRenamed("node", "cid"), "cid", "left")
+    per = per.withColumn("root", F.coalesce("root", "cid"))
+    least = per.groupBy("root").agg(F.min("rep").alias("component_id"))
+    per = per.join(least, "root").select("label", "k1", "k2", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
     done = members.join(per, ["label", "k1", "k2"]).select("vec_id", "n_links", "component_id")
     rest = vectors.where(~(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & _usable(F.col("embedding"))))
     return done.unionByName(rest.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))

@@ -7,6 +7,7 @@ import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,28 +15,37 @@ from pyspark.sql import DataFrame
 
 from .common import with_fields
 
-_ATTR = r"[^>\"']*(?:(?:\"[^\"<]*\"|'[^'<]*')[^>\"']*)*"
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)({_ATTR}|[^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
+#: Attributes up to a tag's end: a quote right after = runs to its fellow, whatever stands inside; elsewhere quotes say nothing.
+_ATTR = r"""[^>=]*+(?:=\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])[^\s>]*+)[^>=]*+)*+"""
+_TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([A-Za-z][^\s/>]*)({_ATTR}|[^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 _NAMED = re.compile(r"""(?:^|[\s"'])(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+_ANY_TAG = re.compile(r"<[^>]*>")
 
 #: Elements by how the parser treats them.
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg object select xmp noframes".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var label".split())
+VOID = frozenset("area base basefont bgsound br col embed frame hr img input keygen link meta param source track wbr".split())
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark nobr output picture q rb rp rt rtc ruby s samp slot small span strike strong sub sup time tt u var label "
+    "svg g path circle ellipse line polygon polyline rect text tspan textpath defs desc use symbol clippath mask marker pattern lineargradient radialgradient stop filter math mi mn mo mrow mfrac msup msub msqrt".split()
+)
+#: Elements with a fallback or inert inside; those without a word leave no trace in the block around them.
+EMBEDS = frozenset("noscript object template select video audio canvas".split())
 CLOSES_ITSELF = {"li": "ul ol menu", "dt": "dl", "dd": "dl", "tr": "table thead tbody tfoot", "td": "tr table", "th": "tr table", "option": "select", "thead": "table", "tbody": "table", "tfoot": "table"}
 SAME_GROUP = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "thead": ("thead", "tbody", "tfoot"), "tbody": ("thead", "tbody", "tfoot"), "tfoot": ("thead", "tbody", "tfoot")}
-PARTS = frozenset("li dt dd tr td th thead tbody tfoot figcaption".split())
+PARTS = frozenset("li dt dd tr td th thead tbody tfoot figcaption option".split())
 
 #: Element names and parts of class, id and role that are features of a node.
-TAGS = "text html body main article section div p h1 h2 h3 h4 h5 h6 header footer nav aside form ul ol li dl table tr td figure figcaption blockquote pre button fieldset dialog address details center menu".split()
+TAGS = "text html body main article section div p h1 h2 h3 h4 h5 h6 header footer nav aside form ul ol li dl table tr td figure figcaption blockquote pre button fieldset dialog address details center menu noscript object template select video xmp".split()
 WORDS = (
     "nav menu header footer side sidebar ad ads advert sponsor promo banner cookie consent notice privacy popup modal overlay newsletter subscribe "
     "signup share social comment reply discuss respond related recommend more breadcrumb pag login search form widget copyright legal tag toolbar "
     "alert hidden skip toc rating user avatar article content post entry main body story text page wrapper container title headline lead summary"
 ).split()
 SIGNS = ("©", "|", "»", "→", "•", "·")
-KINDS = 8  #: numeric features of a text
-FEATURES = len(TAGS) + len(WORDS) + len(SIGNS) + KINDS + 2
+NAMES = len(TAGS) + len(WORDS)
+KINDS = 9  #: features of a text's shape
+SHAPES = 8  #: features of what a node holds: its length and share of links
+FEATURES = 2 * NAMES + len(SIGNS) + KINDS + 4 * SHAPES + 1
 
 
 @dataclass
@@ -52,25 +62,28 @@ class Page:
 def parse_page(source: str | None) -> Page:
     """The block structure of a page: an element a node, a run of inline content a leaf with its decoded text.
 
-    Void and raw elements (scripts, styles, forms' text fields and the like) leave nothing; inline elements are part
-    of the run that they stand in, br is white space in it. Wrong nesting is mended as browsers do in the main:
-    blocks end an open paragraph, list items and cells their like, stray end tags nothing.
+    Void and raw elements (scripts, styles, text fields, frames) leave nothing, a raw one without its end tag takes the
+    rest as in browsers; xmp leaves its text as it is. Inline elements are part of the run that they stand in, br is
+    white space in it. What stands in noscript, object, template, select and the like is parsed as any other; without
+    their end tags they go on like other blocks. Wrong nesting is mended as browsers do in the main: blocks end an open
+    paragraph, list items and cells their like, stray end tags nothing.
     """
     page = Page([-1], ["html"], [""], [None], [0])
     stack: list[tuple[str, int]] = [("html", 0)]
     run: list[str] = []
     links = [0, 0]  # open anchors, characters in them
 
+    def add(tag: str, name: str, text: str | None = None, linked: int = 0) -> None:
+        page.parent.append(next(n for _, n in reversed(stack) if n >= 0))
+        for column, value in ((page.tag, tag), (page.name, name), (page.text, text), (page.linked, linked)):
+            column.append(value)
+
     def flush() -> None:
         if run:
             text = " ".join("".join(run).split())
             run.clear()
             if text:
-                page.parent.append(next(n for _, n in reversed(stack) if n >= 0))
-                page.tag.append("text")
-                page.name.append("")
-                page.text.append(text)
-                page.linked.append(min(links[1], len(text)))
+                add("text", "", text, min(links[1], len(text)))
             links[1] = 0
 
     def leave(k: int) -> None:
@@ -104,10 +117,20 @@ def parse_page(source: str | None) -> Page:
             elif name == "br":
                 run.append("\n")
             continue
+        end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(source, at) if name in RAW or name in EMBEDS else None
         if name in RAW:
-            if not attrs.rstrip().endswith("/") or name not in ("svg", "script"):
-                end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(source, at)
-                at = end.start() if end else len(source)
+            stop = end.start() if end else len(source)
+            if name == "xmp":
+                flush()
+                add("xmp", "")
+                stack.append(("xmp", len(page.parent) - 1))
+                run.append(source[at:stop])
+                flush()
+                stack.pop()
+            at = stop
+            continue
+        if end and not _ANY_TAG.sub("", source[at : end.start()]).strip():
+            at = end.start()
             continue
         if name in VOID:
             if name == "br":
@@ -116,6 +139,8 @@ def parse_page(source: str | None) -> Page:
                 flush()
             continue
         if name in INLINE:
+            if name in ("svg", "path", "circle", "rect", "line", "use") and attrs.endswith("/"):
+                continue
             stack.append((name, -1))
             links[0] += name == "a"
             continue
@@ -139,11 +164,7 @@ def parse_page(source: str | None) -> Page:
         found = " ".join(x.strip("\"'") for x in _NAMED.findall(attrs)).lower() if attrs else ""
         if attrs and re.search(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*.?true", attrs, re.I):
             found += " hidden"
-        page.parent.append(next(n for _, n in reversed(stack) if n >= 0))
-        page.tag.append(name)
-        page.name.append(found)
-        page.text.append(None)
-        page.linked.append(0)
+        add(name, found)
         stack.append((name, len(page.parent) - 1))
     say(source[at:])
     flush()
@@ -162,17 +183,35 @@ def _words_of(name: str) -> set[int]:
     return out | {_WORD_NO[w] for w in _LONG_WORDS if any(w in x for x in parts)}
 
 
-def node_features(pages: list[Page]) -> np.ndarray:
-    """A row of FEATURES for each node of the pages: element, words of its names, and of a text its shape."""
-    x = np.zeros((sum(len(p.tag) for p in pages), FEATURES), np.float32)
+class _Trees:
+    """Nodes of pages end to end: parent (-1: none) by number, and levels of nodes by depth."""
+
+    def __init__(self, pages: list[Page]):
+        size = [len(p.tag) for p in pages]
+        first = np.repeat(np.cumsum([0, *size[:-1]]), size)
+        parent = np.concatenate([p.parent for p in pages]).astype(np.int64)
+        self.parent = np.where(parent < 0, -1, parent + first)
+        levels, nodes = [], np.flatnonzero(parent < 0)
+        order = np.argsort(self.parent, kind="stable")
+        sorted_parent = self.parent[order]
+        while len(nodes):
+            levels.append(nodes)
+            lo, hi = np.searchsorted(sorted_parent, nodes, "left"), np.searchsorted(sorted_parent, nodes, "right")
+            nodes = order[np.repeat(hi - np.cumsum(hi - lo), hi - lo) + np.arange((hi - lo).sum())]
+        self.levels = levels
+
+
+def node_features(pages: list[Page], trees: _Trees | None = None) -> np.ndarray:
+    """A row of FEATURES for each node of the pages: element and words of its names, those of all that it stands in,
+    a text's shape, and how long and how linked the node is, and each of the three next around it."""
+    trees = trees or _Trees(pages)
+    parent = trees.parent
+    x = np.zeros((len(parent), FEATURES), np.float32)
+    length, linked = np.zeros(len(parent)), np.zeros(len(parent))
     seen: dict[str, list[int]] = {}
-    t0 = len(TAGS) + len(WORDS)
-    i = 0
+    i, t0 = 0, 2 * NAMES
     for p in pages:
-        for tag, name, text, linked in zip(p.tag, p.name, p.text, p.linked, strict=True):
-            if tag in PARTS and not name:  # says nothing that its parent doesn't
-                i += 1
-                continue
+        for tag, name, text, own_linked in zip(p.tag, p.name, p.text, p.linked, strict=True):
             x[i, _TAG_NO.get(tag, _TAG_NO["div"])] = 1
             if name:
                 if name not in seen:
@@ -180,13 +219,24 @@ def node_features(pages: list[Page]) -> np.ndarray:
                 x[i, seen[name]] = 1
             if text is not None:
                 n = len(text)
+                length[i], linked[i] = n, own_linked
                 for k, s in enumerate(SIGNS):
                     x[i, t0 + k] = s in text
-                f = t0 + len(SIGNS)
-                share = linked / n
-                x[i, f : f + KINDS] = (n < 25, 25 <= n < 80, 80 <= n < 250, n >= 250, share > 0.9, 0.3 < share <= 0.9, text[-1] in ".!?:;\"'”»", min(3, text.count(",") * 100 / n))
-            x[i, -1] = 1
+                f, share = t0 + len(SIGNS), own_linked / n
+                x[i, f : f + KINDS] = (n < 12, 12 <= n < 25, 25 <= n < 80, 80 <= n < 250, n >= 250, share > 0.9, 0.3 < share <= 0.9, text[-1] in ".!?:;\"'”»", min(3, text.count(",") * 100 / n))
             i += 1
+    for nodes in reversed(trees.levels[1:]):
+        np.add.at(length, parent[nodes], length[nodes])
+        np.add.at(linked, parent[nodes], linked[nodes])
+    share = linked / np.maximum(length, 1)
+    shape = np.stack([share > 0.9, (share > 0.5) & (share <= 0.9), (share > 0.2) & (share <= 0.5), share <= 0.05, length < 60, (length >= 60) & (length < 300), (length >= 300) & (length < 1500), length >= 1500], axis=1)
+    f = t0 + len(SIGNS) + KINDS
+    x[:, f : f + SHAPES] = shape
+    for nodes in trees.levels[1:]:
+        up = parent[nodes]
+        x[nodes, NAMES : 2 * NAMES] = np.maximum(x[up, NAMES : 2 * NAMES], x[up, :NAMES])
+        x[nodes, f + SHAPES : f + 4 * SHAPES] = x[up, f : f + 3 * SHAPES]
+    x[:, -1] = 1
     return x
 
 
@@ -208,23 +258,11 @@ class TreeModel:
         """Probability that each node is content: sums of products passed up and down all trees at once, by depth."""
         if not pages:
             return np.zeros(0)
-        size = [len(p.tag) for p in pages]
-        first = np.repeat(np.cumsum([0, *size[:-1]]), size)
-        parent = np.concatenate([p.parent for p in pages]) + first
-        root = parent < first
+        trees = _Trees(pages)
+        parent, levels = trees.parent, trees.levels
         kind = np.concatenate([_kinds(p) for p in pages])
-        score = np.clip(node_features(pages) @ self.weight, -30, 30)
+        score = np.clip(node_features(pages, trees) @ self.weight, -30, 30)
         own = np.stack([-np.logaddexp(0, score), -np.logaddexp(0, -score)], axis=1)
-        depth = np.zeros(len(parent), np.int64)
-        for p, at in zip(pages, np.cumsum([0, *size[:-1]]), strict=True):
-            d = [0] * len(p.parent)
-            for i, up in enumerate(p.parent):
-                if up >= 0:
-                    d[i] = d[up] + 1
-            depth[at : at + len(d)] = d
-        order = np.argsort(depth, kind="stable")
-        cuts = np.searchsorted(depth[order], np.arange(depth.max() + 2))
-        levels = [order[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         up, sent = own.copy(), np.zeros_like(own)
         for nodes in reversed(levels[1:]):
             sent[nodes] = np.logaddexp(self.edge[kind[nodes], :, 0] + up[nodes, :1], self.edge[kind[nodes], :, 1] + up[nodes, 1:])
@@ -233,7 +271,6 @@ class TreeModel:
         for nodes in levels[1:]:
             rest = full[parent[nodes]] - sent[nodes]
             full[nodes] += np.logaddexp(self.edge[kind[nodes], 0] + rest[:, :1], self.edge[kind[nodes], 1] + rest[:, 1:])
-        assert root[levels[0]].all()
         return 1 / (1 + np.exp(np.clip(full[:, 0] - full[:, 1], -60, 60)))
 
     def extract(self, pages: list[Page]) -> list[str]:
@@ -244,64 +281,148 @@ class TreeModel:
         return out
 
 
-def labelled_pages(count: int = 700, seed: int = 8) -> list[tuple[Page, list[int]]]:
-    """Pages made up in common layouts, each node labelled: 1 content, 0 not. The same ones for each seed.
+class _Layouts:
+    """Pages made up in six layouts that share no structure; \x01 marks what is content."""
+
+    def __init__(self, r: random.Random):
+        self.r = r
+        part = lambda: r.choice("bcdfghklmnprstvwz") + r.choice("aeiou") + r.choice(["", "", "n", "r", "s"])
+        self.words = ["".join(part() for _ in range(r.randint(1, 4))) for _ in range(3000)]
+
+    def prose(self, low: int, high: int) -> str:
+        r = self.r
+        words, comma = r.choices(self.words, k=r.randint(low, high)), r.choice([0.0, 0.05, 0.12])
+        if comma:
+            words = [w + "," if r.random() < comma else w for w in words[:-1]] + words[-1:]
+        body = " ".join(words)
+        return body.capitalize() + r.choice([".", ".", ".", "", "", "!", "?", ":"])
+
+    def many(self, low: int, high: int, make) -> str:
+        return "".join(make() for _ in range(self.r.randint(low, high)))
+
+    def named(self, tag: str, inner: str, *names: str, bare: float = 0.0) -> str:
+        if not names or self.r.random() < bare:
+            return f"<{tag}>{inner}</{tag}>"
+        return f'<{tag} {self.r.choice(["class", "class", "id"])}="{self.r.choice(names)}">{inner}</{tag}>'
+
+    def link(self, low: int = 1, high: int = 4) -> str:
+        return f"<a href='/{self.r.randint(1, 99)}'>{self.prose(low, high)}</a>"
+
+    def links(self, low: int = 3, high: int = 8) -> str:
+        wrap = self.r.choice(["<li>{}</li>", "<li>{}</li>", "<li>{}", "<span>{}</span> | ", "{} &middot; ", "<div>{}</div>"])
+        inner = self.many(low, high, lambda: wrap.format(self.link(1, 3)))
+        return f"<ul>{inner}</ul>" if "li" in wrap else inner
+
+    def mark(self, low: int, high: int) -> str:
+        return f"\x01{self.prose(low, high)}\x01"
+
+    def sentence(self) -> str:
+        return self.mark(*self.r.choice([(1, 4), (4, 20), (10, 60), (30, 150)]))
+
+    def block(self) -> str:
+        """A block of an article: paragraphs, headings, lists (of links too), quotes, tables, figures, fallbacks."""
+        t, r = self.sentence, self.r
+        return r.choice([
+            lambda: f"<p>{t()}</p>", lambda: f"<p>{t()}</p>", lambda: f"<p>{t()}</p>", lambda: f"<p>{t()}</p>", lambda: f"<p>{t()}<p>{t()}", lambda: f"<p><strong>{t()}</strong></p>",
+            lambda: f"<p><em>{t()}<br>{t()}</em><p>{t()}</p>", lambda: f"<h{(k := r.randint(2, 4))}>{self.mark(1, 9)}</h{k}>", lambda: f"<p>{t()} <a href='z'>{self.mark(1, 5)}</a> {t()}</p>",
+            lambda: f"<p><a href='z'>{t()}</a></p>", lambda: f"<ul>{self.many(2, 6, lambda: f'<li>{t()}</li>')}</ul>", lambda: f"<ol>{self.many(2, 6, lambda: f'<li>{self.mark(2, 25)}')}</ol>",
+            lambda: f"<ul>{self.many(2, 5, lambda: f'<li><a href=y>{self.mark(1, 6)}</a>')}</ul>", lambda: f"<p>{self.mark(2, 9)}</p><ul>{self.many(2, 5, lambda: f'<li><a href=y>{self.mark(1, 6)}</a></li>')}</ul>",
+            lambda: f"<blockquote>{r.choice([t(), f'<p>{t()}</p>'])}</blockquote>", lambda: f"<div>{t()}</div>", lambda: f"<pre>{t()}</pre>", lambda: f"<xmp>{t()}</xmp>",
+            lambda: f"<table>{self.many(1, 4, lambda: f'<tr><td>{self.mark(1, 6)}</td><td>{self.mark(1, 12)}</td></tr>')}</table>", lambda: f"<figure><img src=i><figcaption>{self.mark(2, 20)}</figcaption></figure>",
+            lambda: f"<dl><dt>{self.mark(1, 3)}<dd>{t()}</dl>", lambda: f"<section><h3>{self.mark(1, 6)}</h3>{self.many(1, 3, lambda: f'<p>{t()}</p>')}</section>", lambda: f"<noscript><p>{t()}</p></noscript>",
+            lambda: f"<object data=x><p>{t()}</p></object>", lambda: f"<details><summary>{self.mark(1, 6)}</summary><p>{t()}</p></details>", t,
+        ])()
+
+    def blocks(self, low: int = 1, high: int = 10) -> str:
+        return self.many(low, high, lambda: self.block() + (self.inset() if self.r.random() < 0.1 else ""))
+
+    def title(self) -> str:
+        return self.r.choice([f"<h1>{self.mark(2, 12)}</h1>", f"<h1>{self.mark(2, 12)}</h1>", f"<header><h1>{self.mark(2, 10)}</h1></header>", f"<h2>{self.mark(2, 10)}</h2>", ""])
+
+    def inset(self) -> str:
+        """What stands in the way inside an article."""
+        p = self.prose
+        return self.r.choice([
+            lambda: self.named(self.r.choice(["div", "aside", "ins"]), self.r.choice([p(2, 30), f"<p>{p(2, 30)}</p>", self.link(2, 9)]), "ad", "ads", "ad-slot", "advertisement", "sponsored", "promo", "banner"),
+            lambda: f"<aside>{self.r.choice([p(3, 40), f'<h3>{p(1, 4)}</h3>{self.links()}'])}</aside>", lambda: self.named("div", self.links(2, 5), "share", "social", "share-buttons", "toolbar", "tags"),
+            lambda: self.named("div", f"<h4>{p(1, 4)}</h4>{self.links(2, 5)}", "related", "more-links", "recommended", "related-posts"),
+            lambda: self.named("div", f"<p>{p(3, 25)}</p><form><input name=e><button>{p(1, 2)}</button></form>", "newsletter", "signup", "subscribe"), lambda: f"<form><label>{p(1, 3)}</label><select><option>{p(1, 2)}<option>{p(1, 2)}</select><button>{p(1, 2)}</button></form>",
+            lambda: f"<template><p>{p(2, 12)}</p></template>", lambda: f"<video controls>{p(4, 9)}</video>", lambda: f"<script>var x = '<p>{p(2, 5)}</p>';</script>", lambda: f"<button>{p(1, 3)}</button>",
+        ])()
+
+    def notice(self) -> str:
+        p = self.prose
+        return self.r.choice([
+            lambda: self.named(self.r.choice(["div", "section", "aside", "dialog"]), f"<p>{p(3, 50)}</p>" + self.r.choice(["", f"<button>{p(1, 2)}</button>"]), "cookie", "cookie-banner", "cookie-notice", "consent", "gdpr-notice", "privacy-notice", "alert", "popup", "modal", "overlay"),
+            lambda: f"<noscript>{p(4, 14)}</noscript>", lambda: f"<a class='skip-link' href='#c'>{p(2, 4)}</a>", lambda: "",
+        ])()
+
+    def comments(self) -> str:
+        p = self.prose
+        one = self.r.choice(["<div class='comment'><p>{}</p></div>", "<article class='comment'><b>{}</b><p>{}</p></article>", "<p>{}</p>", "<li class='comment'>{}</li>", "<div><span>{}</span><p>{}</p></div>"])
+        inner = self.r.choice(["", f"<h3>{p(1, 3)}</h3>"]) + self.many(1, 6, lambda: one.format(p(1, 60), p(3, 60)))
+        return self.named(self.r.choice(["section", "div", "div", "ol", "ul"]), inner, "comments", "comment-list", "reader-comments", "replies", "discussion", "responses", "respond")
+
+    def end(self) -> str:
+        p = self.prose
+        return self.r.choice([f"&copy; {p(1, 4)} &middot; {p(2, 12)}", self.links() + p(2, 12), f"<p>{p(3, 40)}</p>", f"<p>&copy; {p(2, 30)}</p>", p(2, 25)])
+
+    def semantic(self) -> str:
+        p, pick = self.prose, self.r.choice
+        head = pick([f"<header><a href='/'>{p(1, 3)}</a>{pick(['', self.links(), f'<p>{p(2, 9)}</p>'])}</header>", "", f"<header>{p(1, 6)}</header>"])
+        nav = pick([f"<nav>{self.links()}</nav>", f"<nav>{p(1, 8)}</nav>", ""])
+        inner = f"<article>{self.title()}{self.blocks()}</article>"
+        inner = pick([inner, f"<main>{inner}{pick(['', f'<aside>{self.links()}</aside>'])}</main>", f"<main>{self.title()}{self.blocks()}</main>"])
+        return head + nav + self.notice() + pick(["", self.inset()]) + inner + pick(["", f"<aside>{p(3, 40)}</aside>", f"<aside><h3>{p(1, 3)}</h3>{self.links()}</aside>"]) + pick(["", self.comments()]) + f"<footer>{self.end()}</footer>"
+
+    def blog(self) -> str:
+        p, pick, n = self.prose, self.r.choice, self.named
+        head = n("div", f"<h1><a href='/'>{p(1, 4)}</a></h1><p>{p(2, 9)}</p>", "header", "masthead", "site-header") + n("div", self.links(), "menu", "nav", "main-menu", "navbar")
+        post = n("div", self.title() + pick(["", n("div", p(1, 6), "user", "avatar")]) + n("div", self.blocks(), "entry-content", "post-body", "entry", bare=0.1), "post", "entry", "content", "hentry post")
+        side = n("div", self.many(1, 4, lambda: n("div", f"<h3>{p(1, 3)}</h3>" + pick([self.links(), f"<p>{p(5, 60)}</p>"]), "widget", bare=0.2)), "sidebar", "side", "right-side")
+        body = pick([post + self.comments() + side, side + post, post + side + self.comments()])
+        return head + n("div", body, "wrapper", "container", "page", bare=0.3) + self.notice() + n("div", self.end(), "footer", "site-footer", "copyright")
+
+    def news(self) -> str:
+        p, pick, n = self.prose, self.r.choice, self.named
+        top = n("section", self.links(), "top-nav", "topbar nav", "breadcrumbs") + n("div", f"<form><input name=q><button>{p(1, 1)}</button></form>", "search")
+        story = n("section", f"<h1>{self.mark(3, 14)}</h1>" + n("p", self.mark(6, 30), "lead", "summary", bare=0.5) + n("div", self.blocks(2, 12), "article-body", "story-text", "body-text", "text"), "story", "article", "article-wrapper")
+        rest = self.many(0, 3, lambda: pick([self.inset, self.comments, lambda: n("section", f"<h2>{p(1, 4)}</h2>" + self.many(2, 5, lambda: f"<div>{self.link(3, 12)}<p>{p(4, 25)}</p></div>"), "related", "recommended", "more-stories")])())
+        return self.notice() + top + pick(["", self.inset()]) + pick([story, n("div", story, "page", "container")]) + rest + n("section", self.end(), "footer", "legal", "copyright")
+
+    def tables(self) -> str:
+        p, pick = self.prose, self.r.choice
+        text = self.many(2, 7, lambda: pick([f"<font size=2>{self.sentence()}</font><br><br>", f"<p>{self.sentence()}", f"<b>{self.mark(1, 6)}</b><p>{self.sentence()}</p>", f"<center><h2>{self.mark(1, 7)}</h2></center>", f"<div align=left>{self.sentence()}</div>"]))
+        nav = self.many(3, 9, lambda: pick([f"{self.link(1, 3)}<br>", f"<tr><td>{self.link(1, 3)}</td></tr>"]))
+        nav = f"<table>{nav}</table>" if "<tr>" in nav else nav
+        bar = pick([f"<tr><td colspan=2>{self.links(3, 6)}</td></tr>", f"<tr><td><a href=/>{p(1, 3)}</a></td></tr>", ""])
+        return f"<table width=100%>{bar}<tr><td valign=top>{nav}</td><td>{text}</td></tr><tr><td colspan=2>&copy; {p(1, 6)}{pick(['', ' | ' + self.link()])}</td></tr></table>"
+
+    def docs(self) -> str:
+        p, pick, n = self.prose, self.r.choice, self.named
+        tree = "<ul>" + self.many(2, 4, lambda: f"<li>{self.link(1, 3)}<ul>{self.many(1, 4, lambda: f'<li>{self.link(1, 3)}</li>')}</ul></li>") + "</ul>"
+        main = n(pick(["div", "main"]), n("div", self.links(2, 4), "breadcrumb", "breadcrumbs") + self.title() + n("div", self.links(2, 6), "toc", "page-toc") + self.blocks(2, 12) + n("div", self.link() + self.link(), "pagination", "pager"), "content", "main-content", "main", "document body", bare=0.1)
+        return n(pick(["div", "nav", "aside"]), f"<form><input name=q></form>{tree}", "sidebar", "side-nav", "menu") + main + n(pick(["div", "footer"]), self.end(), "footer", bare=0.1)
+
+    def plain(self) -> str:
+        p, pick, n = self.prose, self.r.choice, self.named
+        core = n("div", self.title() + self.blocks(1, 6), "main", "content", "text", "page", bare=0.4)
+        core = pick([core, f"<div>{core}</div>", f"<object>{core}</object>", f"<center>{core}</center>"])
+        return pick(["", f"<ul>{self.many(3, 6, lambda: f'<li>{self.link(1, 2)}')}</ul>", n("div", self.links(), "nav", "menu")]) + pick(["", self.notice()]) + core + pick(["", self.comments()]) + pick(["", f"<hr><address>{p(2, 12)}</address>", f"<footer>{self.end()}</footer>", n("p", f"&copy; {p(1, 9)}", "copyright", "footer", bare=0.3)])
+
+
+LAYOUTS = ("semantic", "blog", "news", "tables", "docs", "plain")
+
+
+def labelled_pages(count: int = 720, seed: int = 8, layouts: tuple[str, ...] = LAYOUTS) -> list[tuple[Page, list[int]]]:
+    """Pages made up in these layouts in turn, each node labelled: 1 content, 0 not. The same ones for each seed.
 
     Labels come from how a page is put together: what stands between private marks in its blocks' text is content,
     and so is an element that holds more content than other blocks.
     """
-    r = random.Random(seed)
-    pick = r.choice
-
-    def prose(low: int, high: int) -> str:
-        w = ["".join(r.choices("etaonrishdlu", k=r.randint(2, 9))) for _ in range(r.randint(low, high))]
-        return " ".join(x + pick(["", "", "", "", "", ",", ".", "***", "&amp;"] if r.random() < 0.5 else [""]) for x in w).capitalize() + pick([".", ".", ".", "", "!", "?"])
-
-    def named(tag: str, inner: str, *names: str, bare: float = 0.1) -> str:
-        at = "" if not names or r.random() < bare else f' {pick(["class", "id", "class"])}="{pick(names)}"'
-        return f"<{tag}{at}>{inner}</{tag}>"
-
-    def links(low: int = 3, high: int = 8) -> str:
-        return "<ul>" + "".join(f'<li><a href="/{i}">{prose(1, 3)}</a></li>' for i in range(r.randint(low, high))) + "</ul>"
-
-    def junk() -> str:
-        return pick([
-            lambda: pick([named("nav", links()), named("div", links(), "menu", "main-menu", "nav", "navbar", "navigation", "breadcrumbs", bare=0), named("nav", prose(2, 8))]),
-            lambda: pick([named("header", f"<a href='/'>{prose(1, 3)}</a>" + pick(["", links(), f"<p>{prose(2, 9)}</p>"]), "site-header", "masthead", bare=0.5), named("div", f"<p>{prose(2, 9)}</p>", "header", "page-header", bare=0)]),
-            lambda: pick([named("footer", pick([f"&copy; {prose(1, 3)} &middot; {prose(2, 12)}", links() + prose(2, 12), f"<p>{prose(3, 40)}</p>"]), "footer", bare=0.7), named("div", f"<p>&copy; {prose(2, 30)}</p>", "footer", "site-footer", "copyright", "legal", bare=0)]),
-            lambda: pick([named("aside", pick([f"<h3>{prose(1, 4)}</h3>{links()}", f"<p>{prose(5, 60)}</p>", prose(3, 30)]), "sidebar", "related", "widget", bare=0.6), named("div", f"<h3>{prose(1, 3)}</h3>" + pick([links(), f"<p>{prose(5, 60)}</p>"]), "sidebar", "side", "widget", "related-posts", "recommended", "left-side", bare=0)]),
-            lambda: named(pick(["div", "div", "section", "p", "ins"]), pick([prose(2, 40), f"<p>{prose(2, 40)}</p>", f"<a href='x'>{prose(2, 9)}</a>"]), "ad", "ads", "advert", "ad-box", "advertisement", "banner", "sponsored", "promo", "promoted", bare=0),
-            lambda: named(pick(["div", "div", "section", "aside"]), f"<p>{prose(3, 50)}</p>" + pick(["", f"<button>{prose(1, 2)}</button>"]), "cookie", "cookie-banner", "cookie-notice", "consent", "notice", "gdpr-notice", "alert", "popup", "privacy-notice", bare=0),
-            lambda: pick([named("form", f"<label>{prose(1, 3)}</label><input name=q><button>{prose(1, 2)}</button>" + pick(["", f"<p>{prose(2, 20)}</p>"]), "search", "login", "newsletter", bare=0.6), named("div", f"<p>{prose(3, 20)}</p><form><input><button>Go</button></form>", "newsletter", "subscribe", "signup", bare=0)]),
-            lambda: named(pick(["section", "div", "div", "ol", "ul"]), pick(["", f"<h3>{prose(1, 3)}</h3>"]) + "".join(pick([f"<div class='comment'><p>{prose(3, 60)}</p></div>", f"<article class='comment'><b>{prose(1, 2)}</b><p>{prose(3, 60)}</p></article>", f"<p>{prose(3, 60)}</p>", f"<li class='comment'>{prose(3, 60)}</li>"]) for _ in range(r.randint(1, 6))), "comments", "comment-list", "reader-comments", "replies", "discussion", "responses", bare=0),
-            lambda: named("div", links(2, 5), "share", "social", "share-buttons", "tags", "pagination", "toolbar", bare=0),
-        ])()
-
-    def block() -> str:
-        text = f"\x01{prose(*pick([(1, 4), (4, 20), (10, 60), (30, 150)]))}\x01"
-        return pick([
-            lambda: f"<p>{text}</p>", lambda: f"<p>{text}</p>", lambda: f"<p>{text}</p>", lambda: f"<p>{text}<p>{text}</p>", lambda: f"<p><b>{text}<br><p>{text}</p>",
-            lambda: f"<h{(k := r.randint(2, 4))}>{text}</h{k}>", lambda: f"<ul>{''.join(f'<li>{text}</li>' for _ in range(3))}</ul>", lambda: f"<ul><li>{text}<li>{text}</ul>", lambda: f"<ul><li>{text}<li>\x01{prose(3, 12)}\x01</ul>", lambda: f"<ol><li>{text}<li>{text}</ol>",
-            lambda: f"<blockquote>{pick([text, f'<p>{text}</p>'])}</blockquote>", lambda: f"<div>{text}</div>", lambda: f"<pre>{text}</pre>", lambda: f"<table><tr><td>{text}</td><td>{text}</td></tr></table>",
-            lambda: f"<p>{text} <a href='z'>\x01{prose(1, 5)}\x01</a></p>", lambda: f"<figure><img src=i><figcaption>{text}</figcaption></figure>", lambda: text, lambda: f"<p><a href='z'>{text}</a></p>", lambda: f"<section>{f'<p>{text}</p>' * 2}</section>",
-        ])()
-
-    out = []
-    for _ in range(count):
-        inner = pick([f"<h1>\x01{prose(2, 10)}\x01</h1>", f"<h1>\x01{prose(2, 10)}\x01</h1>", f"<header><h1>\x01{prose(2, 10)}\x01</h1></header>", ""])
-        for _ in range(r.randint(1, 9)):
-            inner += block()
-            if r.random() < 0.12:
-                inner += junk()
-        if r.random() < 0.3:
-            inner += junk()
-        for _ in range(r.randint(0, 2)):
-            inner = pick([lambda: named("div", inner, "content", "post", "entry-content", "article-body", "main", "story", "text", bare=0.3), lambda: named("section", inner, "content", "post")])()
-        inner = pick([lambda: named("article", inner, "post", bare=0.7), lambda: named("article", inner, bare=1), lambda: named("main", inner, bare=1), lambda: named("div", inner, "content", "post", "article", "main-content", "story", "entry", bare=0.05)])()
-        if r.random() < 0.3:
-            inner = named(pick(["main", "div"]), inner + pick(["", junk()]), "wrapper", "container", "page", bare=0.3)
-        body = "".join(junk() for _ in range(r.randint(0, 4))) + inner + "".join(junk() for _ in range(r.randint(0, 4)))
-        page = parse_page(f"<html><head><title>{prose(1, 6)}</title></head><body>{body}</body></html>")
+    make, out = _Layouts(random.Random(seed)), []
+    for k in range(count):
+        page = parse_page(f"<html><head><title>{make.prose(1, 6)}</title></head><body>{getattr(make, layouts[k % len(layouts)])()}</body></html>")
         gain = [0] * len(page.tag)
         for i in range(len(gain) - 1, -1, -1):
             if page.text[i] is not None:
@@ -314,10 +435,16 @@ def labelled_pages(count: int = 700, seed: int = 8) -> list[tuple[Page, list[int
     return out
 
 
-def train_tree_model(pages: list[tuple[Page, list[int]]] | None = None, steps: int = 25, ridge: float = 2.0) -> TreeModel:
+@cache
+def default_model() -> TreeModel:
+    """The model of labelled_pages' pages, trained once in a process."""
+    return train_tree_model(labelled_pages())
+
+
+def train_tree_model(pages: list[tuple[Page, list[int]]], steps: int = 25, ridge: float = 2.0, trust: float = 0.5) -> TreeModel:
     """Potentials learnt from labelled pages: node weights by regularised logistic regression (Newton steps), edge
-    potentials by counting label pairs, over what the labels' own frequencies give."""
-    pages = labelled_pages() if pages is None else pages
+    potentials by counting label pairs, over what the labels' own frequencies give. Nodes see their surroundings too, so
+    the edges' potentials are trusted by half, lest the same evidence count twice."""
     x = node_features([p for p, _ in pages]).astype(np.float64)
     y = np.array([v for _, label in pages for v in label], np.float64)
     w = np.zeros(x.shape[1])
@@ -336,7 +463,7 @@ def train_tree_model(pages: list[tuple[Page, list[int]]] | None = None, steps: i
     edge /= edge.sum(axis=2, keepdims=True)
     kinds = np.concatenate([_kinds(p) for p, _ in pages])
     prior = np.array([[1 - (m := y[kinds == k].mean()), m] for k in range(3)])
-    return TreeModel(w, np.log(edge) - np.log(prior)[:, None, :])
+    return TreeModel(w, trust * (np.log(edge) - np.log(prior)[:, None, :]))
 
 
 def extract_text(pages: DataFrame, model: TreeModel | None = None) -> DataFrame:
@@ -347,7 +474,7 @@ def extract_text(pages: DataFrame, model: TreeModel | None = None) -> DataFrame:
     """
     keep = [c for c in pages.columns if c not in ("text", "n_chars")]
     d = pages.select(*keep)
-    shared = d.sparkSession.sparkContext.broadcast(model or train_tree_model())
+    shared = d.sparkSession.sparkContext.broadcast(model or default_model())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, gram_hashes, materialize, mix64, small_enough, span_hashes, text_chunks, word_spans
+from .common import connected_components, discard, free_names, gram_hashes, materialize, mix64, small_enough, span_hashes, text_chunks, word_spans
 
 #: Words of a shingle and the least similarity, as a fraction, unless a caller asks for others.
 WORDS, SIMILAR = 5, (4, 5)
@@ -19,6 +19,8 @@ BUCKETS, SLICE = 1 << 20, 1 << 14
 MOST, VERIFY = 4, 8.0
 #: Rows (under 40 bytes each) of the verification's document list that are broadcast; longer lists are joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: Most ids of dropped copies that are broadcast; more are dropped by a shuffle.
+BROADCAST_IDS = 1_000_000
 #: Rows of prefix tokens that one block of documents counts shared tokens in.
 GATHER = 1 << 16
 #: Partners of one document that are verified in one group.
@@ -366,8 +368,10 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, similar: tuple[int, int]
 
 def keep_one_of_each(docs: DataFrame, k: int = WORDS, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """The rows of docs whose doc_id is the least of its component, with their own columns; null doc_ids stay."""
-    gone = jaccard_components(docs, k, similar).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    (name,) = free_names(docs, "gone")
+    gone = materialize(jaccard_components(docs, k, similar).where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct())
+    gone = F.broadcast(gone) if small_enough(gone, BROADCAST_IDS) else gone
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
 
 
 def op7_ngram_jaccard_join(docs: DataFrame) -> DataFrame:

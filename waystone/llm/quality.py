@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import span_hashes, text_chunks, with_fields, word_spans
+from .common import free_names, span_hashes, text_chunks, with_fields, word_spans
 
 #: Most labelled documents that the classifier is fitted on, those of least hash.
 SAMPLE_ROWS = 20_000
@@ -201,7 +201,8 @@ def score_quality(docs: DataFrame, forest: Forest, column: str = "quality_score"
 
 def keep_quality(docs: DataFrame, forest: Forest, least: float = KEEP) -> DataFrame:
     """The rows of docs whose text scores at least so much, with their own columns."""
-    return score_quality(docs, forest, "__quality").where(F.col("__quality") >= least).drop("__quality")
+    (name,) = free_names(docs, "quality")
+    return score_quality(docs, forest, name).where(F.col(name) >= least).drop(name)
 
 
 def op3_quality_classifier(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from re import _constants as C
 from re import _parser
 
-from .common import text_chunks, with_fields
+from .common import free_names, text_chunks, with_fields
 
 
 @dataclass(frozen=True)
@@ -166,15 +166,16 @@ def _matches(rule: Rule, text: str, find: re.Pattern) -> list[tuple[int, int]]:
     return [m.span() for m in find.finditer(text) if m.end(rule.group) - m.start(rule.group) >= rule.least]
 
 
-def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs (doc_id, text and others) with secrets: array of (kind, start, end) in code points, by start then rule.
+def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, column: str = "secrets") -> DataFrame:
+    """docs (text and others) with one more column: array of (kind, start, end) in code points, by start then rule.
 
     Each run of texts gets an inverted index of the trigrams that the rules' queries name; a rule's postings are
     intersected and united as its query says, and its expression run over the candidates alone. Rules without
-    mandatory trigrams run over every whole text. No shuffle; a column named secrets is replaced. Null and empty
+    mandatory trigrams run over every whole text. The index only prunes and ends with its run of texts; what it lets
+    through is verified. No shuffle; a column of the name is replaced. Null and empty
     texts hold none; repeated rows are scanned each on its own; empty tables stay empty.
     """
-    keep = [c for c in docs.columns if c != "secrets"]
+    keep = [c for c in docs.columns if c != column]
     d = docs.select(*keep)
     queries = [trigram_query(r.pattern) for r in rules]
     asked = sorted(set().union(*map(grams_of, queries)))
@@ -193,27 +194,29 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
                         if texts[k]:
                             found[k] += [(s, i, e) for s, e in _matches(rule, texts[k], finds[i])]
             rows = [[{"kind": rules[i].kind, "start": s, "end": e} for s, i, e in sorted(x)] for x in found]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, kind)], [*keep, "secrets"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, kind)], [*keep, column])
 
-    return d.mapInArrow(run, with_fields(d.schema, secrets="array<struct<kind:string,start:bigint,end:bigint>>"))
+    return d.mapInArrow(run, with_fields(d.schema, **{column: "array<struct<kind:string,start:bigint,end:bigint>>"}))
 
 
 def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with every secret in text replaced by [SECRET], overlapping ones by one; n_chars, if there, follows.
 
-    Rows and columns stay; null texts stay null. See find_secrets.
+    Rows and columns stay, one named secrets too; null texts stay null. See find_secrets.
     """
+    found, spans = free_names(docs, "found", "spans")
     merged = F.aggregate(
-        "secrets",
+        found,
         F.array().cast("array<struct<start:bigint,end:bigint>>"),
         lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= x["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(F.struct(x["start"].alias("start"), x["end"].alias("end"))))),
     )
-    d = find_secrets(docs, rules).withColumn("__m", merged)
-    cut = F.transform("__m", lambda m, i: F.substr(F.col("text"), (F.when(i == 0, F.lit(0)).otherwise(F.get("__m", i - 1)["end"]) + 1).cast("int"), (m["start"] - F.when(i == 0, F.lit(0)).otherwise(F.get("__m", i - 1)["end"])).cast("int")))
-    tail = F.substr(F.col("text"), (F.element_at("__m", -1)["end"] + 1).cast("int"))
-    d = d.withColumn("text", F.when(F.size("__m") > 0, F.concat(F.array_join(cut, "[SECRET]"), F.lit("[SECRET]"), tail)).otherwise(F.col("text")))
+    d = find_secrets(docs, rules, found).withColumn(spans, merged)
+    before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(spans, i - 1)["end"])
+    cut = F.transform(spans, lambda m, i: F.substr(F.col("text"), (before(i) + 1).cast("int"), (m["start"] - before(i)).cast("int")))
+    tail = F.substr(F.col("text"), (F.element_at(spans, -1)["end"] + 1).cast("int"))
+    d = d.withColumn("text", F.when(F.size(spans) > 0, F.concat(F.array_join(cut, "[SECRET]"), F.lit("[SECRET]"), tail)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        changed = F.when(F.size("__m") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        changed = F.when(F.size(spans) > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
         d = d.withColumn("n_chars", changed)
     return d.select(*docs.columns)
 
