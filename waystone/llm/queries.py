@@ -14,6 +14,7 @@ from .langid import op10_language_id
 from .licenses import op1_license_scans
 from .mixing import op4_mix_sources
 from .ngram_join import op7_ngram_jaccard_join
+from .oracles import ORACLES
 from .quality import op3_quality_classifier
 from .secrets import op5_secret_scans
 
@@ -36,9 +37,10 @@ def queries() -> dict[str, Query]:
         "op7_ngram_jaccard_join": lambda s, d: op7_ngram_jaccard_join(t(s, d, "documents")),
         "op8_html_extraction": lambda s, d: op8_html_extraction(t(s, d, "pages")),
         "op9_embedding_near_dedup": lambda s, d: op9_embedding_near_dedup(t(s, d, "embeddings")),
+        "secret_base": lambda s, d: op5_secret_scans(t(s, d, "documents")).drop("spans"),
         "op10_language_id": lambda s, d: op10_language_id(t(s, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
