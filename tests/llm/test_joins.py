@@ -79,6 +79,7 @@ def test_op7_matches_all_pairs(spark, sf_dir, k, similar):
 def test_op7_common_shingles_groups_and_shuffled_texts(spark, rows, monkeypatch):
     monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", rows)
     monkeypatch.setattr(ngram_join, "GROUP", 7)
+    monkeypatch.setattr(ngram_join, "HOT", 20 if rows else 8192)
     monkeypatch.setattr(ngram_join, "GATHER", 500 if rows else 1 << 16)
     rng = np.random.default_rng(5)
     common = " ".join(f"c{i}" for i in range(40))

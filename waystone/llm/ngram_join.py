@@ -21,6 +21,8 @@ MOST, VERIFY = 4, 8.0
 BROADCAST_ROWS = 500_000
 #: Most ids of dropped copies that are broadcast; more are dropped by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: A token whose bucket of hashes counts more sets than this is dealt out over so many tasks.
+HOT, SALTS = 8192, 256
 #: Rows of prefix tokens that one block of documents counts shared tokens in.
 GATHER = 1 << 16
 #: Partners of one document that are verified in one group.
@@ -127,8 +129,9 @@ def shingle_levels(counts: np.ndarray) -> tuple[np.ndarray, float]:
     return counts[:BUCKETS], usual + max(8.0, 6 * np.sqrt(max(usual, 1.0)))
 
 
-def prefix_tokens(s: np.ndarray, rarest: np.ndarray, counts: np.ndarray, chance: float, similar: tuple[int, int]) -> tuple[np.ndarray, int]:
-    """(prefix, matches): the set's first tokens in the global order, rare ones first, and how many must be shared.
+def prefix_tokens(s: np.ndarray, rarest: np.ndarray, counts: np.ndarray, chance: float, similar: tuple[int, int]) -> tuple[np.ndarray, int, np.ndarray]:
+    """(prefix, matches, counts): the set's first tokens in the global order, rare ones first, how many must be shared,
+    and how many sets at most hold each.
 
     A shingle occurs no more often than its bucket's count or its rarest word; the lesser ranks it. A prefix for m
     matches has m - 1 tokens more than one for a single match. The one of least estimated cost is taken: its tokens'
@@ -148,35 +151,37 @@ def prefix_tokens(s: np.ndarray, rarest: np.ndarray, counts: np.ndarray, chance:
         all_in = short + m + postings + VERIFY * postings / m
         if all_in < cost:
             best, cost = m, all_in
-    return t[order[: short + best]], best
+    return t[order[: short + best]], best, c[order[: short + best]]
 
 
 def prefix_rows(docs: DataFrame, k: int, counts: np.ndarray, similar: tuple[int, int]) -> DataFrame:
-    """(token, doc_id, n, i, m): the prefix of every text's set, by place; of equal sets that a task meets only the first's."""
+    """(token, doc_id, meta: n, i, m, hot): the prefix of every text's set, by place; of equal sets that a task meets only
+    the first's. hot: so many sets may hold the token that its rows are to be dealt out over tasks."""
     kind = dict(docs.dtypes)["doc_id"]
     shared = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, np.iinfo(np.int32).max).astype(np.int32))
-    names = ["token", "doc_id", "meta"]
+    names = ["token", "doc_id", "meta", "hot"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         grams, chance = shingle_levels(shared.value)
         for b in batches:
             ids = b.column("doc_id")
-            rows, tokens, meta = [], [], []
+            rows, tokens, meta, hot = [], [], [], []
             for i, (_, s, rarest) in enumerate(shingles(b.column("text"), k, shared.value[BUCKETS:])):
                 key = _digest(s)
                 if not len(s) or key in seen:
                     continue
                 seen.add(key)
-                t, m = prefix_tokens(s, rarest, grams, chance, similar)
+                t, m, often = prefix_tokens(s, rarest, grams, chance, similar)
                 rows.append(np.full(len(t), i))
                 tokens.append(t.view(np.int64))
                 meta.append((np.int64(len(s)) << 32 | m << 28) | np.arange(len(t)))
+                hot.append(often > HOT)
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), ids.take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(meta))], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), ids.take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(meta)), pa.array(np.concatenate(hot))], names)
 
     d = docs.where("doc_id IS NOT NULL").select("doc_id", F.col("text").cast("string").alias("text"))
-    return d.mapInArrow(run, f"token bigint, doc_id {kind}, meta bigint")
+    return d.mapInArrow(run, f"token bigint, doc_id {kind}, meta bigint, hot boolean")
 
 
 def _n(meta: Column) -> Column:
@@ -318,6 +323,20 @@ def verify_pairs(docs: DataFrame, pairs: DataFrame, k: int, similar: tuple[int,
     return materialize(rows.mapInArrow(run, f"x {kind}, y {kind}"))
 
 
+def led_tokens(tokens: DataFrame) -> DataFrame:
+    """(token, doc_id, meta, lead, lead_meta): rows of tokens that several documents hold, with the one whose prefix has
+    the token first. Rows of a hot token meet salt by salt, and then as one row a salt."""
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).otherwise(0)
+    w = Window.partitionBy("token", "salt")
+    place = F.struct(_i(F.col("meta")).alias("i"), "doc_id", "meta")
+    t = tokens.withColumn("salt", salt).withColumn("c", F.count("*").over(w)).withColumn("lead", F.min(place).over(w))
+    t = materialize(t.where("hot OR c > 1").select("token", "doc_id", "meta", "hot", F.col("lead.doc_id").alias("lead"), F.col("lead.meta").alias("lead_meta")))
+    g = t.where("hot").groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct(_i(F.col("lead_meta")).alias("i"), "lead", "lead_meta")).alias("first"))
+    hot = t.where("hot").select("token", "doc_id", "meta").join(g.where("c > 1"), "token")
+    columns = ["token", "doc_id", "meta", "lead", "lead_meta"]
+    return t.where("NOT hot").select(*columns).unionByName(hot.select("token", "doc_id", "meta", F.col("first.lead").alias("lead"), F.col("first.lead_meta").alias("lead_meta")))
+
+
 def jaccard_components(docs: DataFrame, k: int = WORDS, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text): components of similar documents.
 
@@ -337,10 +356,7 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, similar: tuple[int, int]
     first = usable.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("dst"), F.count("*").alias("c")).where("c > 1").drop("c")
     equal = materialize(usable.join(first, ["n", "d1", "d2"]).select(F.col("doc_id").alias("src"), "dst").where("src <> dst").distinct())
 
-    tokens = prefix_rows(docs, k, counts, similar)
-    bucket = Window.partitionBy("token")
-    tokens = tokens.withColumn("c", F.count("*").over(bucket)).withColumn("lead", F.min(F.struct(_i(F.col("meta")).alias("i"), "doc_id", "meta")).over(bucket))
-    tokens = materialize(tokens.where("c > 1").select("token", "doc_id", "meta", F.col("lead.doc_id").alias("lead"), F.col("lead.meta").alias("lead_meta")))
+    tokens = led_tokens(prefix_rows(docs, k, counts, similar))
     star = tokens.where(F.col("doc_id") != F.col("lead")).where(_may_match(F.col("meta"), F.col("lead_meta"), similar))
     star = star.groupBy(F.col("lead").alias("x"), F.col("doc_id").alias("y")).agg(F.count("*").alias("c"), F.max(F.least(_m(F.col("meta")), _m(F.col("lead_meta")))).alias("m")).where("c >= m").select("x", "y")
     tried = materialize(star)
@@ -349,7 +365,8 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, similar: tuple[int, int]
     roots = connected_components(edges)
 
     own = tokens.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("token", "doc_id", "meta", F.coalesce("root", "doc_id").alias("root"), "lead")
-    mixed = own.withColumn("low", F.min("root").over(bucket)).withColumn("high", F.max("root").over(bucket)).where("low < high").select("token", "doc_id", "meta", "root", "lead")
+    apart = own.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
+    mixed = own.join(apart, "token")
     # a document's prefix tokens outside these buckets are shared with no other component: they bound every overlap
     num, den = similar
     n = _n(F.col("meta"))
