@@ -2,7 +2,7 @@
 
 import hashlib
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -78,3 +78,35 @@ def jaccard_components(rows, k, num, den):
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
     return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+def letters(text):
+    """Lower case, every run of what is no letter one space, a space at either end."""
+    return " " + "".join(c if c.isalpha() and (c.isascii() or ord(c) >= 128) else " " for c in text.lower()).strip() + " "
+
+
+def kneser_ney(texts, vocabulary, order=4):
+    """p(symbol | context) of interpolated Kneser-Ney over texts (spaces folded), contexts of up to order - 1 symbols."""
+    counts = [Counter() for _ in range(order + 1)]
+    for t in texts:
+        for i in range(len(t)):
+            if i >= 1:
+                n = min(order, i + 1)
+                counts[n][t[i + 1 - n : i + 1]] += 1
+    for n in range(order - 1, 0, -1):
+        for g in counts[n + 1]:
+            counts[n][g[1:]] += 1
+    cut = []
+    for c in counts:
+        n1, n2 = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+        cut.append(n1 / (n1 + 2 * n2) if n1 and n2 else 0.5)
+
+    def p(symbol, context):
+        n = len(context) + 1
+        below = p(symbol, context[1:]) if context else 1 / (len(vocabulary) + 1)
+        same = [v for g, v in counts[n].items() if g[:-1] == context]
+        if not same:
+            return below
+        return max(counts[n][context + symbol] - cut[n], 0) / sum(same) + cut[n] * len(same) / sum(same) * below
+
+    return p

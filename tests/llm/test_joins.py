@@ -47,7 +47,8 @@ def test_op6_reads_back_what_it_wrote(spark, sf_dir, piece, monkeypatch):
 
 
 def test_op6_empty(spark):
-    none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    none = spark.createDataFrame([], "conv_id long, turn long, role string, text string, piece int, formatted int, loss string")
+    assert chat.format_chat(none).columns == ["conv_id", "piece", "formatted", "loss"]
     assert [r.conv_id for r in chat.op6_chat_formatting(none).collect()] == [-7] and chat.format_chat(none).count() == 0
 
 

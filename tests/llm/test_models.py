@@ -8,9 +8,11 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from brute import kneser_ney, letters
+from pyspark.sql import functions as F
 
 from waystone.llm import html
-from waystone.llm.langid import op10_language_id, score_languages, train_languages
+from waystone.llm.langid import build_models, gram_counts, op10_language_id, score_languages, train_languages
 from waystone.llm.quality import document_statistics, fit_forest, keep_quality, op3_quality_classifier, train_quality
 from waystone.llm.secrets import RULES, find_secrets, grams_of, op5_secret_scans, redact_secrets, trigram_query
 
@@ -40,8 +42,8 @@ def test_op3_learns_labels(spark, sf_dir):
     assert Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in docs.collect())
     truth = {r.doc_id: r.quality for r in labels.collect()}
     assert all(r.held_out == (crc(r.doc_id) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
-    known = [r.predicted == truth[r.doc_id] for r in rows if r.doc_id in truth and not r.held_out]
-    assert sum(known) >= 0.9 * len(known)
+    known = [r.predicted == truth[r.doc_id] for r in rows if r.doc_id in truth and r.held_out]
+    assert len(known) > 5 and sum(known) >= 0.9 * len(known)
 
 
 def test_op3_ignores_held_out_labels_and_odd_rows(spark):
@@ -102,8 +104,9 @@ def test_op5_matches_plain_scan(spark, sf_dir, which):
 def test_op5_redacts_and_adds(spark):
     docs = odd(spark)
     out = redact_secrets(docs)
-    assert out.columns == docs.columns
+    assert out.dtypes == docs.dtypes
     got = {r.doc_id: r for r in out.collect()}
+    assert all(r.secrets == "z" and r.score == 9.0 and r.source == "s" for r in got.values())
     assert got[1].text is None and got[3].text == "Short one." and got[3].n_chars == 1
     assert got[9].text == "é" * 5 + " [SECRET]\n[SECRET]" and got[9].n_chars == len(got[9].text)
     kinds = [s.kind for r in find_secrets(docs).where("doc_id = 9").collect() for s in r.secrets]
@@ -173,6 +176,28 @@ def test_op8_other_layouts_and_edges(spark):
     assert html.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").limit(0)).count() == 0
 
 
+SENTENCE = "A paragraph of the article, which goes on for quite a while, as they do."
+FAULTS = {
+    f"<article><h1>A title here</h1><svg width=1 height=1><p>First of all, with text.</p><p>{SENTENCE}</p></article>": f"A title here\nFirst of all, with text.\n{SENTENCE}",
+    f"<div id=main><h1>Head line</h1><noscript><p>Kept words of noscript in the article.</p></noscript><object><p>Words of an object that stand in it as well.</p></object><p>{SENTENCE}</p></div>": f"Head line\nKept words of noscript in the article.\nWords of an object that stand in it as well.\n{SENTENCE}",
+    f"<article><p>{SENTENCE}</p><script src=/x/>var leaked = 'secret code';</script><p title=\"a <b> c\">{SENTENCE}</p></article>": f"{SENTENCE}\n{SENTENCE}",
+    f"<div id=main><h1>Links of the week</h1><p>{SENTENCE}</p><ul><li><a href=a>Link one</a></li><li><a href=b>Link two</a></li></ul><p>{SENTENCE}</p></div>": f"Links of the week\n{SENTENCE}\nLink one\nLink two\n{SENTENCE}",
+    f"<article><p>{SENTENCE}</p><xmp><b>raw &amp; text</b> in an article, more of it</xmp><p>{SENTENCE}</p></article>": f"{SENTENCE}\n<b>raw &amp; text</b> in an article, more of it\n{SENTENCE}",
+    f"<article><p>{SENTENCE}</p><object data=x><p class=foo\">{SENTENCE}</p><p>Text <noscript><img src=x></noscript> goes on <svg viewBox='0 0 1 1'><path d='M0'/></svg> here, too, for a while.</p></article>": f"{SENTENCE}\n{SENTENCE}\nText goes on here, too, for a while.",
+}
+
+
+@pytest.mark.parametrize("page", list(FAULTS))
+def test_op8_keeps_whole_articles(page):
+    assert html.default_model().extract([html.parse_page(page)]) == [FAULTS[page]]
+
+
+def test_op8_replaces_its_columns(spark):
+    d = spark.createDataFrame([(1, next(iter(FAULTS)), 5, "x")], "page_id long, html string, text int, n_chars string")
+    out = html.extract_text(d)
+    assert out.columns == ["page_id", "html", "text", "n_chars"] and out.first().text == next(iter(FAULTS.values()))
+
+
 def test_op8_marginals_by_enumeration():
     model = html.train_tree_model(html.labelled_pages(150))
     pages = [html.parse_page("<div class=ad><p>a b c</p></div><article><p>Long enough, a text.</p><nav>x</nav></article>"), html.parse_page("<p>x</p>")]
@@ -190,12 +215,16 @@ def test_op8_marginals_by_enumeration():
         at += n
 
 
-def test_op8_held_out_layouts():
-    model = html.train_tree_model()
-    pages = html.labelled_pages(150, seed=77)
+def accuracy(model, pages):
     p, y = model.marginals([a for a, _ in pages]), np.array([v for _, label in pages for v in label])
-    leaf = np.array([t is not None for a, _ in pages for t in a.text])
-    assert ((p >= 0.5) == y)[leaf].mean() > 0.95
+    return ((p >= 0.5) == y)[np.array([t is not None for a, _ in pages for t in a.text])].mean()
+
+
+@pytest.mark.parametrize(("layout", "least"), [("semantic", 0.84), ("blog", 0.89), ("news", 0.94), ("tables", 0.75), ("docs", 0.84), ("plain", 0.88)])
+def test_op8_layouts_seen_and_not(layout, least):
+    pages = html.labelled_pages(120, 77, (layout,))
+    assert accuracy(html.default_model(), pages) > 0.95
+    assert accuracy(html.train_tree_model(html.labelled_pages(600, 8, tuple(x for x in html.LAYOUTS if x != layout))), pages) > least
 
 
 def test_op10_held_out_accuracy(spark, sf_dir):
@@ -215,11 +244,25 @@ def test_op10_odd_rows(spark):
     assert all(r.lang_pred == "und" and r.rejected for r in score_languages(docs, train_languages(docs.limit(0))).collect())
 
 
-def test_op10_models_sum_to_one(spark, sf_dir):
-    m = train_languages(read(spark, sf_dir, "documents"))
-    chars = np.arange(97, 123)
-    for k in range(len(m.langs)):
-        for ctx in ("the", " de", "zzq"):
-            s = np.array([[*map(ord, ctx), c] for c in (*chars, 32)], np.uint32).ravel()
-            p = np.exp(m.log_probabilities(s, np.arange(3, len(s), 4), 4)[:, k])
-            assert 0.2 < p.sum() <= 1.0001
+def test_op10_models_are_plain_kneser_ney(spark):
+    texts = {"de": ["der hund und die katze", "die hunde und der kater", "ein Hund"], "en": ["the dog and the cat", "the dogs, the cats", "a dog"]}
+    rows = [(k, t) for k, lang in enumerate(sorted(texts)) for t in texts[lang]]
+    m = build_models(sorted(texts), gram_counts(spark.createDataFrame(rows, "k int, text string")))
+    told = {x: [re.sub(" +", " ", letters(t)) for t in ts] for x, ts in texts.items()}
+    vocabulary = sorted({c for ts in told.values() for t in ts for c in t})
+    unseen = "\u0416"
+    for k, lang in enumerate(sorted(texts)):
+        p = kneser_ney(told[lang], vocabulary)
+        for context in ("the", " de", "und", "zzq", "dog", "at "):
+            s = np.array([[*map(ord, context), ord(c)] for c in [*vocabulary, unseen]], np.uint32).ravel()
+            got = np.exp(m.log_probabilities(s, np.arange(3, len(s), 4), 4)[:, k])
+            assert np.allclose(got, [p(c, context) for c in [*vocabulary, unseen]], atol=1e-6) and abs(got.sum() - 1) < 1e-5
+
+
+def test_op10_sample_is_bounded(spark):
+    long = spark.range(300).selectExpr("id AS doc_id", "repeat(concat('word', id, ' '), 400) AS text", "'en' AS lang").unionByName(spark.range(200).selectExpr("cast(7 AS bigint) AS doc_id", "'same id' AS text", "'en' AS lang"))
+    m = train_languages(long, sample_rows=20, sample_bytes=10_000)
+    assert m.langs == ["en"] and 0 < len(m.keys[4]) < 200
+    clash = long.select("doc_id", "text", F.lit(1).alias("rejected"), F.lit("x").alias("lang_pred"))
+    out = score_languages(clash, m)
+    assert out.columns == ["doc_id", "text", "lang_pred", "score", "cross_entropy", "rejected"] and out.where("lang_pred = 'en'").count() == 500

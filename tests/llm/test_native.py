@@ -46,6 +46,10 @@ def test_op1_adds_labels_by_diagonals(spark):
     assert row.labels == "mit-text" and row.base_labels == "" and 0.6 <= row.score < 1
 
 
+def test_op1_empty_table(spark):
+    assert op1_license_scans(odd(spark).limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("wide", [False, True])
 def test_op2_matches_plain_windows(spark, sf_dir, wide, monkeypatch):
     if wide:

@@ -7,21 +7,22 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, with_fields
+from .common import materialize, mix64, with_fields
 from .quality import fold
 
 #: Characters of the longest gram.
 ORDER = 4
-#: About so many training documents are drawn for each language, by hash.
-SAMPLE_ROWS = 1_500
+#: Most training documents, and bytes of their texts, that are drawn for each language, by hash, and most languages.
+SAMPLE_ROWS, SAMPLE_BYTES, LANGUAGES = 1_500, 16 << 20, 400
 #: One in so many of them is kept back to calibrate rejection.
 HELD_BACK = 5
 #: Share of held-back documents of a language that its rejection bound lets through.
 ACCEPT = 0.995
-#: Symbols that the evidence for a score is counted up to.
+#: Symbols that the evidence for a score is counted up to: neighbouring symbols are no independent evidence, and all
+#: scores of longer texts would round to 1. The predicted language doesn't depend on it.
 EVIDENCE = 50
 CHUNK_CHARS = 1 << 20
 _P = np.uint64(0xD6E8FEB86659FD93)
@@ -130,93 +131,102 @@ def _look(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return i, keys[i] == h
 
 
-def build_models(langs: list[str], rows: list[tuple[str, str, int]]) -> Models:
-    """Models from (language, gram of ORDER or fewer symbols, count), the shorter grams being those at text starts.
+def gram_counts(d: DataFrame) -> DataFrame:
+    """(k, gram, c) of documents (k: number of the language, text): how often each gram of ORDER symbols occurs, and of
+    fewer symbols those at texts' starts, where nothing stands to the left."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lang, texts = b.column("k").to_numpy(), b.column("text").to_pylist()
+            for k in np.unique(lang):
+                for _, s, off in _runs([texts[i] for i in np.flatnonzero(lang == k)]):
+                    for n in range(2, ORDER + 1):
+                        first = off[:-1][off[:-1] + n <= off[1:]] if n < ORDER else np.flatnonzero(np.arange(len(s)) + n <= np.repeat(off[1:], np.diff(off)))
+                        _, at, c = np.unique(_place_hashes(s, first, n), return_index=True, return_counts=True)
+                        text = s.astype("<u4").tobytes().decode("utf-32-le")
+                        g = [text[i : i + n] for i in first[at]]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), k, np.int32)), pa.array(g, pa.string()), pa.array(c, pa.int64())], ["k", "gram", "c"])
+
+    return d.select("k", "text").mapInArrow(count, "k int, gram string, c bigint").groupBy("k", "gram").agg(F.sum("c").alias("c"))
+
+
+def _hashed(d: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, values) of rows (gram of n symbols, v: array<double>), hashed in Spark tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s = np.frombuffer("".join(b.column("gram").to_pylist()).encode("utf-32-le"), np.uint32)
+            h = _place_hashes(s, np.arange(b.num_rows) * n, n)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column("v")], ["h", "v"])
+
+    t = d.select("gram", "v").mapInArrow(run, "h bigint, v array<double>").toArrow().combine_chunks()
+    if not t.num_rows:
+        return np.zeros(0, np.uint64), np.zeros((0, 0), np.float32)
+    h = t["h"].to_numpy().view(np.uint64)
+    order = np.argsort(h)
+    return h[order], t["v"].combine_chunks().flatten().to_numpy().reshape(len(h), -1)[order].astype(np.float32)
+
+
+def build_models(langs: list[str], counts: DataFrame) -> Models:
+    """Models from gram_counts of these languages, as Spark aggregates.
 
     Counts of the longest grams are used as such, those of shorter ones count distinct left neighbours; each order
     takes the absolute discount n1 / (n1 + 2 n2) and interpolates with the next shorter, the shortest with the
-    uniform distribution over all symbols seen.
+    uniform distribution over all symbols seen and one more. Only hashes and log probabilities come to the driver.
     """
-    m = Models(langs)
-    per = {x: {n: {} for n in range(1, ORDER + 1)} for x in langs}
-    for lang, gram, c in rows:
-        per[lang][len(gram)][gram] = per[lang][len(gram)].get(gram, 0) + c
-    for x in langs:
-        for n in range(ORDER - 1, 0, -1):
-            cont: dict[str, int] = dict(per[x][n])  # at a text's start nothing stands to the left
-            for g in per[x][n + 1]:
-                cont[g[1:]] = cont.get(g[1:], 0) + 1
-            per[x][n] = cont
-    vocabulary = {g for x in langs for g in per[x][1]}
-    m.floor = float(-np.log(len(vocabulary) + 1))
-    lower: list[dict[str, float]] = [{} for _ in langs]
+    m, kinds = Models(langs), range(len(langs))
+    rows = materialize(counts)
+    level = {ORDER: rows.where(F.char_length("gram") == ORDER)}
+    for n in range(ORDER - 1, 0, -1):
+        starts = rows.where(F.char_length("gram") == n)
+        suffixes = level[n + 1].select("k", F.substring("gram", 2, n).alias("gram"), F.lit(1).cast("long").alias("c"))
+        level[n] = materialize(starts.unionByName(suffixes).groupBy("k", "gram").agg(F.sum("c").alias("c")))
+    m.floor = float(-np.log(level[1].select("gram").distinct().count() + 1))
+    dense = lambda x: F.array(*[F.sum(F.when(F.col("k") == k, x).otherwise(0)).cast("double") for k in kinds])
+    shorter = None
     for n in range(1, ORDER + 1):
-        known = sorted({g for x in langs for g in per[x][n]})
-        ctx = sorted({g[:-1] for g in known})
-        logp, back = np.zeros((len(known), len(langs)), np.float32), np.zeros((len(ctx), len(langs)), np.float32)
-        now: list[dict[str, float]] = []
-        place = {c: i for i, c in enumerate(ctx)}
-        for k, x in enumerate(langs):
-            counts = per[x][n]
-            total, kinds = {}, {}
-            for g, c in counts.items():
-                total[g[:-1]] = total.get(g[:-1], 0) + c
-                kinds[g[:-1]] = kinds.get(g[:-1], 0) + 1
-            n1, n2 = sum(c == 1 for c in counts.values()), sum(c == 2 for c in counts.values())
-            cut = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-            weight = {c: cut * kinds[c] / total[c] for c in total}
-            p: dict[str, float] = {}
-            for i, g in enumerate(known):
-                below = lower[k][g[1:]] if n > 1 else np.exp(m.floor)
-                seen = counts.get(g, 0)
-                p[g] = (max(seen - cut, 0) / total[g[:-1]] if seen else 0.0) + weight.get(g[:-1], 1.0) * below
-                logp[i, k] = np.log(p[g])
-            for c, w in weight.items():
-                back[place[c], k] = np.log(w)
-            now.append(p)
-        lower = now
-        for name, strings, values in (("keys", known, logp), ("contexts", ctx, back)):
-            size = n if name == "keys" else n - 1
-            s = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), np.uint32)
-            h = _place_hashes(s, np.arange(len(strings)) * size, size)
-            order = np.argsort(h)
-            getattr(m, name)[n] = h[order]
-            (m.logp if name == "keys" else m.backoff)[n] = values[order]
+        few = {r["k"]: r for r in level[n].groupBy("k").agg(F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")).collect()}
+        cuts = [few[k]["n1"] / (few[k]["n1"] + 2 * few[k]["n2"]) if k in few and few[k]["n1"] and few[k]["n2"] else 0.5 for k in kinds]
+        cut = F.array(*map(F.lit, cuts))
+        context = F.substring("gram", 1, n - 1).alias("context")
+        of = level[n].groupBy(context).agg(dense(F.col("c")).alias("total"), dense(F.lit(1)).alias("kinds"))
+        weight = F.transform(F.sequence(F.lit(0), F.lit(len(langs) - 1)), lambda k: F.when(F.get("total", k) > 0, F.get(cut, k) * F.get("kinds", k) / F.get("total", k)).otherwise(1.0))  # noqa: B023
+        of = materialize(of.withColumn("weight", weight))
+        d = level[n].groupBy("gram").agg(dense(F.col("c")).alias("c")).withColumn("context", context).join(of, "context")
+        if shorter is not None:
+            d = d.withColumn("low", F.substring("gram", 2, n - 1)).join(shorter.select(F.col("gram").alias("low"), F.col("p").alias("below")), "low")
+        else:
+            d = d.withColumn("below", F.array(*[F.lit(float(np.exp(m.floor)))] * len(langs)))
+        own = lambda k: F.when(F.get("c", k) > 0, F.greatest(F.get("c", k) - F.get(cut, k), F.lit(0.0)) / F.get("total", k)).otherwise(0.0)  # noqa: B023, E731
+        d = d.withColumn("p", F.transform(F.sequence(F.lit(0), F.lit(len(langs) - 1)), lambda k: own(k) + F.get("weight", k) * F.get("below", k)))  # noqa: B023
+        shorter = materialize(d.select("gram", "p"))
+        m.keys[n], m.logp[n] = _hashed(shorter.select("gram", F.transform("p", lambda x: F.log(x)).alias("v")), n)
+        m.contexts[n], m.backoff[n] = _hashed(of.select(F.col("context").alias("gram"), F.transform("weight", lambda x: F.log(x)).alias("v")), n - 1)
     return m
 
 
-def train_languages(docs: DataFrame, folds: int = 3, out_fold: int = 1, sample_rows: int = SAMPLE_ROWS) -> Models:
+def train_languages(docs: DataFrame, folds: int = 3, out_fold: int = 1, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, most: int = LANGUAGES) -> Models:
     """Models of the languages named in docs (doc_id, text, lang), learnt outside one fold of the ids.
 
-    Documents are drawn by hash at a rate that gives each language about sample_rows of them, whole texts; one in
-    HELD_BACK only sets the bound of its language's cross-entropy, beyond which a text is rejected. Grams are counted
-    in Spark; what comes to the driver is a row per distinct gram of the sample. Null languages are left out.
+    Whole documents are drawn by hash, at most sample_rows and together sample_bytes a language, one text for each id;
+    that bounds the models, too. One in HELD_BACK only sets the bound of its language's cross-entropy, beyond which a
+    text is rejected. Of more languages than most, the commonest are learnt. Null languages are left out.
     """
     d = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     d = d.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), folds) != out_fold))
-    sizes = {r["lang"]: r["n"] for r in d.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in d.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()}
     langs = sorted(sizes)
     if not langs:
         return Models([])
+    each = lambda f: F.element_at(F.create_map(*[x for i, n in enumerate(langs) for x in (F.lit(n), F.lit(f(i, n)))]), F.col("lang"))
     spot = F.shiftrightunsigned(F.xxhash64(F.lit(10), "doc_id"), 1) / F.lit(2.0**63)
-    rate = F.element_at(F.create_map(*[x for n in langs for x in (F.lit(n), F.lit(min(1.0, sample_rows / sizes[n])))]), F.col("lang"))
-    d = d.where(spot < rate).withColumn("back", F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(HELD_BACK)) == 0)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lang, texts = b.column("lang").to_pylist(), b.column("text").to_pylist()
-            for x in sorted(set(lang)):
-                for _, s, off in _runs([t for t, y in zip(texts, lang, strict=True) if y == x]):
-                    for n in range(2, ORDER + 1):
-                        first = off[:-1][off[:-1] + n <= off[1:]] if n < ORDER else np.flatnonzero(np.arange(len(s)) + n <= np.repeat(off[1:], np.diff(off)))
-                        _, at, c = np.unique(_place_hashes(s, first, n), return_index=True, return_counts=True)
-                        text = s.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
-                        g = [text[i : i + n] for i in first[at]]
-                        yield pa.RecordBatch.from_arrays([pa.array([x] * len(g), pa.string()), pa.array(g, pa.string()), pa.array(c, pa.int64())], ["lang", "gram", "c"])
-
-    rows = d.where("NOT back").select("lang", "text").mapInArrow(count, "lang string, gram string, c bigint").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
-    t = rows.toArrow()
-    m = build_models(langs, list(zip(t["lang"].to_pylist(), t["gram"].to_pylist(), t["c"].to_pylist(), strict=True)))
+    d = d.where(spot < each(lambda _, n: min(1.0, 2.0 * sample_rows / sizes[n]))).withColumn("k", each(lambda i, _: i))
+    d = d.groupBy("k", "lang", "doc_id").agg(F.min("text").alias("text"))
+    w = Window.partitionBy("k").orderBy(spot, "doc_id")
+    d = d.withColumn("no", F.row_number().over(w)).withColumn("bytes", F.sum(F.octet_length("text").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    d = d.where((F.col("no") <= sample_rows) & ((F.col("bytes") <= sample_bytes) | (F.col("no") == 1)))
+    d = materialize(d.withColumn("back", F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(HELD_BACK)) == 0).select("k", "lang", "text", "back"))
+    m = build_models(langs, gram_counts(d.where("NOT back")))
     back = score_languages(d.where("back").select("lang", "text"), m).where("lang_pred = lang").select("lang_pred", "cross_entropy")
     bounds = {r["lang_pred"]: r["b"] for r in back.groupBy("lang_pred").agg(F.percentile("cross_entropy", F.lit(ACCEPT)).alias("b")).collect()}
     m.bound = np.array([bounds.get(x, np.inf) for x in langs])
