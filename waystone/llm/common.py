@@ -58,11 +58,11 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """df written as Parquet into the shared folder and read again: cuts lineage, survives lost executors."""
+def materialize(df: DataFrame, *parts: str) -> DataFrame:
+    """df written as Parquet (in folders by parts) into the shared folder and read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*parts).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
     return out

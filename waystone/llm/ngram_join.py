@@ -21,7 +21,7 @@ MOST, VERIFY = 4, 8.0
 BROADCAST_ROWS = 500_000
 #: Most ids of dropped copies that are broadcast; more are dropped by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: A token whose bucket of hashes counts more sets than this is dealt out over so many tasks.
+#: A token that more sets than this may hold is dealt out over so many tasks.
 HOT, SALTS = 8192, 256
 #: Rows of prefix tokens that one block of documents counts shared tokens in.
 GATHER = 1 << 16
@@ -131,7 +131,7 @@ def shingle_levels(counts: np.ndarray) -> tuple[np.ndarray, float]:
 
 def prefix_tokens(s: np.ndarray, rarest: np.ndarray, counts: np.ndarray, chance: float, similar: tuple[int, int]) -> tuple[np.ndarray, int, np.ndarray]:
     """(prefix, matches, counts): the set's first tokens in the global order, rare ones first, how many must be shared,
-    and how many sets at most hold each.
+    and how many sets may hold each beyond what chance puts into its bucket.
 
     A shingle occurs no more often than its bucket's count or its rarest word; the lesser ranks it. A prefix for m
     matches has m - 1 tokens more than one for a single match. The one of least estimated cost is taken: its tokens'
@@ -144,14 +144,15 @@ def prefix_tokens(s: np.ndarray, rarest: np.ndarray, counts: np.ndarray, chance:
     t = (np.minimum(level, np.uint64(127)) << np.uint64(57)) | (s >> np.uint64(7))
     short = n - -(-num * n // den)
     order = np.argsort(t)[: short + MOST]
-    f = np.cumsum(np.maximum(1, np.minimum(np.where(c > chance, c, 1), rarest))[order].astype(np.float64))
+    often = np.maximum(1, np.minimum(np.where(c > chance, c, 1), rarest))[order]
+    f = np.cumsum(often.astype(np.float64))
     best, cost = 1, np.inf
     for m in range(1, min(MOST, n - short) + 1):
         postings = f[short + m - 1]
         all_in = short + m + postings + VERIFY * postings / m
         if all_in < cost:
             best, cost = m, all_in
-    return t[order[: short + best]], best, c[order[: short + best]]
+    return t[order[: short + best]], best, often[: short + best]
 
 
 def prefix_rows(docs: DataFrame, k: int, counts: np.ndarray, similar: tuple[int, int]) -> DataFrame:
@@ -324,17 +325,26 @@ def verify_pairs(docs: DataFrame, pairs: DataFrame, k: int, similar: tuple[int,
 
 
 def led_tokens(tokens: DataFrame) -> DataFrame:
-    """(token, doc_id, meta, lead, lead_meta): rows of tokens that several documents hold, with the one whose prefix has
-    the token first. Rows of a hot token meet salt by salt, and then as one row a salt."""
+    """(token, doc_id, meta, lead, lead_meta, hot): rows of tokens that several documents hold, with the one whose prefix
+    has the token first. Rows of a hot token meet salt by salt, and then as one row a salt."""
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).otherwise(0)
     w = Window.partitionBy("token", "salt")
-    place = F.struct(_i(F.col("meta")).alias("i"), "doc_id", "meta")
-    t = tokens.withColumn("salt", salt).withColumn("c", F.count("*").over(w)).withColumn("lead", F.min(place).over(w))
-    t = materialize(t.where("hot OR c > 1").select("token", "doc_id", "meta", "hot", F.col("lead.doc_id").alias("lead"), F.col("lead.meta").alias("lead_meta")))
-    g = t.where("hot").groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct(_i(F.col("lead_meta")).alias("i"), "lead", "lead_meta")).alias("first"))
-    hot = t.where("hot").select("token", "doc_id", "meta").join(g.where("c > 1"), "token")
-    columns = ["token", "doc_id", "meta", "lead", "lead_meta"]
-    return t.where("NOT hot").select(*columns).unionByName(hot.select("token", "doc_id", "meta", F.col("first.lead").alias("lead"), F.col("first.lead_meta").alias("lead_meta")))
+    t = tokens.withColumn("salt", salt).withColumn("c", F.count("*").over(w)).withColumn("lead", F.min(F.struct(_i(F.col("meta")).alias("i"), "doc_id", "meta")).over(w))
+    t = materialize(t.where("hot OR c > 1").select("token", "doc_id", "meta", F.col("lead.doc_id").alias("lead"), F.col("lead.meta").alias("lead_meta"), "hot"), "hot")
+    hot = t.where("hot")
+    if hot.isEmpty():
+        return t
+    first = hot.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct(_i(F.col("lead_meta")).alias("i"), "lead", "lead_meta")).alias("first")).where("c > 1")
+    hot = hot.select("token", "doc_id", "meta").join(first, "token").select("token", "doc_id", "meta", F.col("first.lead").alias("lead"), F.col("first.lead_meta").alias("lead_meta"), F.lit(True).alias("hot"))
+    return t.where("NOT hot").unionByName(materialize(hot))
+
+
+def apart_tokens(own: DataFrame) -> DataFrame:
+    """The rows of own (token, root, hot and others) whose token several components hold."""
+    w = Window.partitionBy("token")
+    cold = own.where("NOT hot").withColumn("low", F.min("root").over(w)).withColumn("high", F.max("root").over(w)).where("low < high")
+    hot = own.where("hot").groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
+    return cold.drop("low", "high").unionByName(own.where("hot").join(hot, "token").select(*own.columns))
 
 
 def jaccard_components(docs: DataFrame, k: int = WORDS, similar: tuple[int, int] = SIMILAR) -> DataFrame:
@@ -364,9 +374,8 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, similar: tuple[int, int]
     edges = equal.unionByName(links.select(F.col("x").alias("src"), F.col("y").alias("dst")))
     roots = connected_components(edges)
 
-    own = tokens.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("token", "doc_id", "meta", F.coalesce("root", "doc_id").alias("root"), "lead")
-    apart = own.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
-    mixed = own.join(apart, "token")
+    own = tokens.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("token", "doc_id", "meta", F.coalesce("root", "doc_id").alias("root"), "lead", "hot")
+    mixed = apart_tokens(own).drop("hot")
     # a document's prefix tokens outside these buckets are shared with no other component: they bound every overlap
     num, den = similar
     n = _n(F.col("meta"))
