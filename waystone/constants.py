@@ -24,6 +24,14 @@ LOCAL_HOP_KM = 120.0
 THRESHOLD_LOW_KM, THRESHOLD_HIGH_KM = 60.0, 120.0
 DENSIFY_KM, DENSIFY_MOST = 75.0, 320
 BLOCK_ROWS = 256
+#: Points of a node of the camera's bounds, nodes of one on the next level, and levels above the points.
+NODE_FAN, NODE_LEVELS = 32, 3
+
+POLAR_CORE, POLAR_CORRIDOR = 70.0, 50.0
+DRAWN_PX = 1.35
+OVERVIEW_EDGE, PREVIEW_EDGE = 1080, 240
+STALE_MS = 7 * 24 * 3_600_000
+REQUEST_VERSION, REQUEST_POINTS = 8, 2_000_000
 
 CAMERA_SAMPLES = 480
 CAMERA_ASPECT = 1.0

@@ -128,3 +128,23 @@ def uri_key(uri: Column) -> Column:
 def is_mp4(content: Column) -> Column:
     """Whether bytes carry the file type mark."""
     return F.coalesce(F.decode(F.substr(content, F.lit(5), F.lit(4)), "ISO-8859-1") == "ftyp", F.lit(False))
+
+
+def create_preset_link(base: str, token: Column) -> Column:
+    """The link under base (its address without parameters) that carries a preset's token."""
+    return F.concat(F.lit(f"{base}?preset="), token)
+
+
+def interpolate_message(template: Column, params: dict[str, Column]) -> Column:
+    """The template with {name} replaced for the given names; other braces stay.
+
+    All places are found in the template itself, so a value that looks like a placeholder stays as it is.
+    """
+    parts = F.split(template, r"(?=\{[a-zA-Z][a-zA-Z0-9_]*\})|(?<=\})")
+    value = lambda part: F.coalesce(*[F.when(part == F.lit("{" + n + "}"), v.cast("string")) for n, v in params.items()], part)
+    return F.array_join(F.transform(parts, value), "")
+
+
+def plural_form(forms: Column, category: Column) -> Column:
+    """Of a map of forms the category's, else that of other."""
+    return F.coalesce(F.try_element_at(forms, category), F.try_element_at(forms, F.lit("other")))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from waystone import constants as K
 from waystone.constants import Movement
 from waystone.functions.geo import clamp, clamp_center_y, ease_out_cubic, lerp, log_lerp, smoothstep, tile_zoom, unwrap_near, world_x, world_y
-from waystone.operators import lookup, pacing
+from waystone.operators import journey, lookup, pacing
 
 
 def samples(totals: DataFrame, key: str = "traveler_id", n: int = K.CAMERA_SAMPLES) -> DataFrame:
@@ -57,24 +57,75 @@ def context_windows(at: DataFrame, legs: DataFrame, totals: DataFrame, movement:
     return d.select(*at.columns, F.greatest(start, dist - F.col("__ctx")).alias("tail"), F.least(F.col("__ahead"), dist + F.col("__ctx")).alias("look"), "pad", "arrival", "alignment")
 
 
+def bounds_tree(h: DataFrame, key: str = "traveler_id", tie: str = "i") -> DataFrame:
+    """A2: key, level, node and the bounds (x0, x1, y0, y1; x unwrapped along the journey) of the points that it holds.
+
+    Level 0 are the points by their index, each next level NODE_FAN nodes of the one below: hardly more rows than points.
+    """
+    u = journey.unwrapped(h, key, (tie,)).select(key, tie, "x", "y", F.explode(F.array([F.lit(k) for k in range(K.NODE_LEVELS + 1)])).alias("level"))
+    node = F.floor(F.col(tie) / F.pow(F.lit(K.NODE_FAN), F.col("level"))).cast("long")
+    return u.groupBy(key, "level", node.alias("node")).agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+
+
+def window_nodes(ranges: DataFrame) -> DataFrame:
+    """ranges (lo, hi and others) with level and node: the few nodes that hold just the points lo <= index < hi."""
+    d, parts = ranges.withColumns({"__a": F.col("lo"), "__b": F.greatest("lo", "hi")}), []
+
+    def nodes(level: int, start: str, stop: str) -> Column:
+        one = F.transform(F.sequence(F.col(start), F.col(stop) - 1), lambda n: F.struct(F.lit(level).alias("level"), n.alias("node")))
+        return F.when(F.col(stop) > F.col(start), one).otherwise(F.array().cast("array<struct<level:int,node:bigint>>"))
+
+    for k in range(K.NODE_LEVELS):
+        up, down = F.ceil(F.col("__a") / K.NODE_FAN) * K.NODE_FAN, F.floor(F.col("__b") / K.NODE_FAN) * K.NODE_FAN
+        d = d.withColumns({"__u": up, "__d": down})
+        inner = F.col("__u") < F.col("__d")
+        d = d.withColumns({"__l": F.when(inner, F.col("__u")).otherwise(F.col("__b")), "__r": F.when(inner, F.col("__d")).otherwise(F.col("__b"))})
+        d = d.withColumn(f"__p{k}", F.concat(nodes(k, "__a", "__l"), nodes(k, "__r", "__b")))
+        step = lambda c: F.when(F.col("__u") < F.col("__d"), (F.col(c) / K.NODE_FAN).cast("long")).otherwise(F.lit(0).cast("long"))
+        d = d.withColumns({"__a": step("__u"), "__b": step("__d")})
+        parts.append(f"__p{k}")
+    d = d.withColumn("__top", nodes(K.NODE_LEVELS, "__a", "__b"))
+    return d.select(*ranges.columns, F.inline(F.concat(*parts, "__top")))
+
+
+def seen_bounds(m: DataFrame, h: DataFrame, key: str, ids: tuple[str, ...], tie: str) -> DataFrame:
+    """Key, ids, x0, x1, y0, y1 (x near marker_x) of the nodes of points between tail and look of m.
+
+    A node that reaches over the edge of the world around the marker is replaced by its points.
+    """
+    r = lookup.index_ranges(m, h, "tail", "look", ids, key)
+    tree = bounds_tree(h, key, tie)
+    d = window_nodes(r.join(m.select(key, *ids, "marker_x"), [key, *ids])).join(tree, [key, "level", "node"])
+    near = lambda c: unwrap_near(F.col(c), F.col("marker_x"))
+    torn = (F.col("level") > 0) & (F.abs((near("x0") - F.col("x0")) - (near("x1") - F.col("x1"))) > 0.5)
+    width = F.pow(F.lit(K.NODE_FAN), F.col("level")).cast("long")
+    inside = F.when(torn, F.sequence(F.greatest("lo", F.col("node") * width), F.least(F.col("hi"), (F.col("node") + 1) * width) - 1))
+    d = d.withColumn("__i", F.explode_outer(inside)).withColumn("__i", F.coalesce("__i", -1 - F.col("node")))
+    p = tree.where("level = 0").select(F.col(key).alias("__k"), F.col("node").alias("__n"), *[F.col(c).alias(f"__{c}") for c in ("x0", "x1", "y0", "y1")])
+    d = d.join(p, (F.col(key) == F.col("__k")) & (F.col("__i") == F.col("__n")), "left")
+    for c in ("x0", "x1", "y0", "y1"):
+        d = d.withColumn(c, F.coalesce(f"__{c}", c))
+    return d.select(key, *ids, near("x0").alias("x0"), near("x1").alias("x1"), "y0", "y1")
+
+
 def raw_viewports(windows: DataFrame, h: DataFrame, movement: Movement, aspect: float = K.CAMERA_ASPECT, key: str = "traveler_id", ids: tuple[str, ...] = ("sample",), tie: str = "i", points: bool = True) -> DataFrame:
     """T3, J7 (T5 without points): key, ids, marker_x, marker_y, center_x, center_y, span_x, span_y, arrival, alignment.
 
     The box holds the marker, both ends of the window and every point of the journey inside it, all unwrapped near the
-    marker; it is padded and kept between the movement's and the largest span. Points are reduced to minima and maxima
-    per window as they are joined, in both places before and after the shuffle.
+    marker; it is padded and kept between the movement's and the largest span. tie is the points' index, from 0 on.
+    Points come as bounds of whole runs of them (see bounds_tree), so a window costs some hundred rows at most, however
+    many points it covers.
     """
     probes = windows.select("*", F.explode(F.array(F.struct(F.lit("d").alias("what"), F.col("d").alias("at")), F.struct(F.lit("tail").alias("what"), F.col("tail").alias("at")), F.struct(F.lit("look").alias("what"), F.col("look").alias("at")))).alias("w")).select(key, *ids, "w.what", "w.at")
     pos = lookup.positions_at(probes, h, "at", key, tie).select(key, *ids, "what", world_x("lon").alias("x"), world_y("lat").alias("y"))
-    marker = pos.where("what = 'd'").select(key, *ids, F.col("x").alias("marker_x"), F.col("y").alias("marker_y"))
-    m = windows.join(marker, [key, *ids])
-    seen = pos.select(key, *ids, "x", "y")
+    one = lambda what, c: F.max(F.when(F.col("what") == what, F.col(c)))
+    ends = pos.groupBy(key, *ids).agg(one("d", "x").alias("marker_x"), one("d", "y").alias("marker_y"), F.array(one("d", "x"), one("tail", "x"), one("look", "x")).alias("xs"), F.array(one("d", "y"), one("tail", "y"), one("look", "y")).alias("ys"))
+    m = windows.join(ends, [key, *ids])
+    xs = F.transform("xs", lambda x: unwrap_near(x, F.col("marker_x")))
+    seen = m.select(key, *ids, F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min("ys").alias("y0"), F.array_max("ys").alias("y1"))
     if points:
-        p = h.select(F.col(key).alias("__k"), "cum_km", world_x("lon").alias("x"), world_y("lat").alias("y"))
-        inside = windows.select(key, *ids, "tail", "look").join(p, (F.col(key) == F.col("__k")) & (F.col("cum_km") >= F.col("tail")) & (F.col("cum_km") <= F.col("look")))
-        seen = seen.unionByName(inside.select(key, *ids, "x", "y"))
-    x = unwrap_near(F.col("x"), F.col("marker_x"))
-    box = seen.join(marker, [key, *ids]).groupBy(key, *ids).agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+        seen = seen.unionByName(seen_bounds(m, h, key, ids, tie))
+    box = seen.groupBy(key, *ids).agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"))
     d = m.join(box, [key, *ids])
     cx, cy = (F.greatest(F.lit(K.CONTENT_FLOOR), F.col(f"{a}1") - F.col(f"{a}0")) for a in "xy")
     d = d.withColumn("span_y", clamp(F.greatest(cy * F.col("pad"), cx * F.col("pad") / aspect), movement.min_span, K.SPAN_MAX))

@@ -1,13 +1,15 @@
-"""Frame tables of an animation and what is drawn on them."""
+"""Frame tables of an animation and what is drawn on them."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waystone import constants as K
 from waystone.functions.geo import clamp, unwrap_near, world_x, world_y
 from waystone.operators import lookup, pacing
+from waystone.operators.folds import Fold, fold_sorted
 
 
 def frame_counts(duration_s: float, fps: int) -> tuple[int, int]:
@@ -63,3 +65,47 @@ def video_formats(spark: SparkSession) -> DataFrame:
 def export_fraction(phase: Column, done: Column) -> Column:
     """Overall progress of a phase's own: a tenth for the map, eight for the journey, one for finishing."""
     return F.when(phase == "map", clamp(done, 0.0, 1.0) * 0.1).when(phase == "journey", clamp(done, 0.0, 1.0) * 0.8 + 0.1).otherwise(clamp(done, 0.0, 1.0) * 0.1 + 0.9)
+
+
+def preview_size(width: Column, height: Column, aspect: Column) -> Column:
+    """struct(width, height): the largest of the aspect that fits; a bad aspect counts as 1, sides are at least 1."""
+    w, h = (F.greatest(F.lit(1), x) for x in (width, height))
+    a = F.when((aspect > 0) & (aspect < float("inf")), aspect).otherwise(1.0)
+    tall = F.greatest(F.lit(1), F.floor(w / a + 0.5).cast("int"))
+    wide = F.greatest(F.lit(1), F.least(w, F.floor(h * a + 0.5).cast("int")))
+    return F.struct(F.when(tall > h, wide).otherwise(w).alias("width"), F.least(tall, h).alias("height"))
+
+
+def preview_canvas_size(width: Column, height: Column, css_width: Column, ratio: Column) -> Column:
+    """struct(width, height) of a canvas for a device, no larger than the format, its short edge 240 at least."""
+    device = F.when((css_width > 0) & (css_width < float("inf")), css_width * F.when((ratio > 0) & (ratio < float("inf")), ratio).otherwise(1.0)).otherwise(width)
+    scale = F.least(F.lit(1.0), F.greatest(F.least(F.lit(1.0), K.PREVIEW_EDGE / F.least(width, height)), device / width))
+    return F.struct(F.floor(width * scale + 0.5).cast("int").alias("width"), F.floor(height * scale + 0.5).cast("int").alias("height"))
+
+
+def overview_size(width: Column, height: Column) -> Column:
+    """struct(width, height) of an overview picture: 1080 on the longer side, the other one even."""
+    side = lambda a, b: F.floor(K.OVERVIEW_EDGE * a / b).cast("int")
+    even = lambda n: F.greatest(F.lit(1), n) + F.greatest(F.lit(1), n) % 2
+    return F.struct(F.when(width >= height, K.OVERVIEW_EDGE).otherwise(even(side(width, height))).alias("width"), F.when(height >= width, K.OVERVIEW_EDGE).otherwise(even(side(height, width))).alias("height"))
+
+
+class _Drawn(Fold):
+    """The last point drawn; arrays, one take for each run of rows."""
+
+    def __init__(self) -> None:
+        self.last: tuple[float, float] | None = None
+
+    def feed(self, rows: pd.DataFrame) -> list[pd.DataFrame]:
+        keep, last = [], self.last
+        for i, (x, y) in enumerate(zip(rows["sx"].to_numpy(), rows["sy"].to_numpy(), strict=True)):
+            if last is None or (x - last[0]) ** 2 + (y - last[1]) ** 2 >= K.DRAWN_PX**2:
+                last = x, y
+                keep.append(i)
+        self.last = last
+        return [rows.take(keep)] if keep else []
+
+
+def pixel_decimate(screen: DataFrame, key: str = "traveler_id", order: tuple[str, ...] = ("i",)) -> DataFrame:
+    """The rows (sx, sy) that lie 1.35 pixels or more from the last one kept; a key's first stays."""
+    return fold_sorted(screen, key, list(order), _Drawn, screen.schema)

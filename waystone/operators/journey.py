@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waystone import constants as K
-from waystone.functions.geo import great_circle, haversine_km, unwrap_near, world_x, world_y
+from waystone.functions.geo import great_circle, haversine_km, unwrap_near, world_x, world_y, wrap_near
 
 KEY, ORDER = "traveler_id", ("t_ms", "seq")
 
@@ -121,6 +121,32 @@ def unwrapped(points: DataFrame, key: str = KEY, order: tuple[str, ...] = ORDER)
     return d.withColumn("x", F.col("__x") + F.sum("__c").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__x", "__c")
 
 
+def polar_unwrapped(points: DataFrame, key: str = KEY, order: tuple[str, ...] = ORDER) -> DataFrame:
+    """Points with x and y as by unwrapped, but for flights over a pole.
+
+    A corridor is a longest run of latitudes of 50 degrees or more, first and last point aside, with one of 70 or more
+    in it. Where the points around it would end on another copy of the world than the shorter way leads to, its own
+    points follow the great circle between them, and all later points move over by the whole worlds that differ. Such
+    moves don't change what the next corridor finds, so a running sum of them does.
+    """
+    w, all_rows = ordered(key, order), Window.partitionBy(key)
+    d = unwrapped(points, key, order).withColumns({"__i": F.row_number().over(w), "__n": F.count("*").over(all_rows)})
+    d = d.withColumn("__p", (F.abs("lat") >= K.POLAR_CORRIDOR) & (F.col("__i") > 1) & (F.col("__i") < F.col("__n")))
+    fresh = F.col("__p") & ~F.coalesce(F.lag("__p").over(w), F.lit(False))
+    here = F.struct("lat", "lon", "x", "__i")
+    d = d.withColumns({"__run": F.sum(fresh.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)), "__before": F.lag(here).over(w), "__after": F.lead(here).over(w)})
+    runs = d.where("__p").groupBy(F.col(key).alias("__k"), F.col("__run").alias("__r")).agg(F.max(F.abs("lat")).alias("top"), F.min_by("__before", "__i").alias("a"), F.max_by("__after", "__i").alias("b"))
+    end = wrap_near(world_x("b.lon"), "a.x")
+    runs = runs.where(F.col("top") >= K.POLAR_CORE).withColumns({"end": end, "move": end - F.col("b.x")}).where(F.abs("move") >= 0.5)
+    moved = d.join(runs, (F.col(key) == F.col("__k")) & (F.col("__run") == F.col("__r")), "left").withColumn("__in", F.col("__p") & F.col("a").isNotNull())
+    f = (F.col("__i") - F.col("a.__i")) / (F.col("b.__i") - F.col("a.__i"))
+    way = great_circle(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon"), f)["lon"]
+    along = wrap_near(world_x(way), F.col("a.x") + (F.col("end") - F.col("a.x")) * f)
+    first = F.coalesce(F.when((F.col("__i") == F.col("b.__i")), F.col("move")), F.lit(0.0))  # the point after a corridor carries its move
+    moved = moved.withColumn("__x", F.when(F.col("__in"), along).otherwise(F.col("x"))).withColumn("__m", first)
+    return moved.withColumn("x", F.col("__x") + F.sum("__m").over(w.rowsBetween(Window.unboundedPreceding, 0))).select(*points.columns, "x", "y")
+
+
 def world_bounds(u: DataFrame, key: str = KEY) -> DataFrame:
     """A1: key, min_x, max_x, min_y, max_y."""
     return u.groupBy(key).agg(F.min("x").alias("min_x"), F.max("x").alias("max_x"), F.min("y").alias("min_y"), F.max("y").alias("max_y"))
@@ -195,5 +221,17 @@ def selection_summary(selected: DataFrame, kept: DataFrame, unit: str = "km", ke
     return d.select(key, n.cast("long").alias("n_points"), F.greatest(F.lit(0), F.col("n_selected") - n).cast("long").alias("ignored"), F.round(km * (K.MILE if unit == "mi" else 1.0), 0).alias("distance"), state.alias("state"))
 
 
+def tz_missing_any(points: DataFrame, column: str = "tz_missing", key: str = KEY) -> DataFrame:
+    """Key, tz_missing: whether any of its points came without a zone."""
+    return points.groupBy(key).agg(F.coalesce(F.bool_or(column), F.lit(False)).alias("tz_missing"))
+
+
+def select_source(semantic: DataFrame, raw: DataFrame, mode: str, start: str, end: str, **at: str) -> DataFrame:
+    """The points to show: cleaned raw signals whatever the period, or the semantic points of the dates."""
+    if mode not in ("semantic", "raw"):
+        raise ValueError("a source is semantic or raw")
+    return raw if mode == "raw" else filter_dates(semantic, start, end, **at)
+
+
 def near_marker(x: str, marker: str) -> Column:
     return unwrap_near(F.col(x), F.col(marker))

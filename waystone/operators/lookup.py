@@ -56,6 +56,19 @@ def point_index_at(probes: DataFrame, h: DataFrame, at: str = "d", key: str = "t
     return d.select(*probes.columns, F.col(f"knot.{tie}").cast("long").alias("index"))
 
 
+def index_ranges(windows: DataFrame, h: DataFrame, low: str, high: str, ids: tuple[str, ...], key: str = "traveler_id") -> DataFrame:
+    """key, ids, lo, hi: the points lo <= index < hi of the journey lie between low and high, both included.
+
+    Both ends meet the points in one union, sorted once per key; a running count is the index.
+    """
+    end = lambda c, side: F.struct(F.col(c).cast("double").alias("at"), F.lit(side).alias("side"))
+    p = windows.select(key, *ids, F.explode(F.array(end(low, 0), end(high, 2))).alias("e")).select(key, *ids, "e.at", "e.side")
+    d = p.unionByName(h.select(key, F.col("cum_km").cast("double").alias("at"), F.lit(1).alias("side")), allowMissingColumns=True)
+    w = Window.partitionBy(key).orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("n", F.count(F.when(F.col("side") == 1, 1)).over(w)).where("side <> 1")
+    return d.groupBy(key, *ids).agg(F.max(F.when(F.col("side") == 0, F.col("n"))).alias("lo"), F.max(F.when(F.col("side") == 2, F.col("n"))).alias("hi"))
+
+
 def progress(n: str | Column = "n", i: str | Column = "frame") -> Column:
     """I / (n - 1), 1 for a single frame."""
     n, i = (F.col(x) if isinstance(x, str) else x for x in (n, i))

@@ -58,3 +58,16 @@ def map_plan(views: DataFrame, px: int, *keep: str) -> DataFrame:
 def tile_key(zoom: str = "zoom", x: str = "x", y: str = "y") -> Column:
     """X20."""
     return F.concat_ws("/", zoom, x, y)
+
+
+def tile_url(template: str, zoom: Column, x: Column, y: Column) -> Column:
+    """The address of a tile from a template with {z}, {x} and {y}."""
+    out = F.lit(template)
+    for name, value in (("{z}", zoom), ("{x}", x), ("{y}", y)):
+        out = F.replace(out, F.lit(name), value.cast("string"))
+    return out
+
+
+def tiles_in_both(a: DataFrame, b: DataFrame) -> DataFrame:
+    """U4: the distinct tiles (zoom, x, y) of both."""
+    return a.select("zoom", "x", "y").intersect(b.select("zoom", "x", "y"))

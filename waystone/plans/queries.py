@@ -356,7 +356,7 @@ def w21(s: SparkSession, d: str) -> DataFrame:
 
 @query("w20_overview_split")
 def w20(s: SparkSession, d: str) -> DataFrame:
-    return journey.overview_split(journey.unwrapped(points(s, d)))
+    return journey.overview_split(journey.unwrapped(points(s, d))).select("traveler_id", "part", "part_no", r("x", 9), r("y", 9))
 
 
 @query("a8_available_months", f"WITH {sql.PTS} SELECT DISTINCT traveler_id, strftime(ts, '%Y-%m') AS month, strftime(ts, '%B %Y') AS label FROM pts")
@@ -468,6 +468,10 @@ def track_of(s: SparkSession, d: str, name: str, framing: float | None = None) -
     return camera.journey_camera(h, journey.legs(h, lim), t, pacing.pacing_curve(pacing.pacing_knots(h, lim)), K.MOVEMENTS[name], framing)
 
 
+def shown(track: DataFrame) -> DataFrame:
+    return track.select("traveler_id", "sample", r("center_x", 6), r("center_y", 6), r("span_y", 6), "zoom")
+
+
 @query("w16_raw_viewports")
 def w16(s: SparkSession, d: str) -> DataFrame:
     """Steady windows over a linear journey."""
@@ -479,25 +483,25 @@ def w16(s: SparkSession, d: str) -> DataFrame:
 
 @query("w17_camera_steady")
 def w17(s: SparkSession, d: str) -> DataFrame:
-    return track_of(s, d, "steady")
+    return shown(track_of(s, d, "steady"))
 
 
 @query("w18_camera_dynamic_framed")
 def w18(s: SparkSession, d: str) -> DataFrame:
     """W18, W19, T4."""
-    return track_of(s, d, "dynamic", K.FRAMING["balanced"])
+    return shown(track_of(s, d, "dynamic", K.FRAMING["balanced"]))
 
 
 @query("a6_fixed_zoom")
 def a6(s: SparkSession, d: str) -> DataFrame:
-    return track_of(s, d, "fixed").groupBy("traveler_id").agg(F.min("span_y").alias("span_y"), F.countDistinct("span_y").alias("spans"))
+    return track_of(s, d, "fixed").groupBy("traveler_id").agg(F.round(F.min("span_y"), 6).alias("span_y"), F.countDistinct("span_y").alias("spans"))
 
 
 @query("j4_camera_at")
 def j4(s: SparkSession, d: str) -> DataFrame:
     t = track_of(s, d, "steady")
     p = t.select("traveler_id").distinct().select("traveler_id", F.explode(F.sequence(F.lit(0), F.lit(100))).alias("n")).withColumn("p", F.col("n") / 100.0)
-    return camera.camera_at(p, t)
+    return camera.camera_at(p, t).select("traveler_id", "n", r("center_x", 6), r("center_y", 6), r("span_y", 6), "zoom")
 
 
 _SAFE = "34.0*2/3 AS l, 152.0*2/3 AS t, 480 - 34.0*2/3 AS r, 480 - 34.0*2/3 AS b"
@@ -581,14 +585,15 @@ def t13(s: SparkSession, d: str) -> DataFrame:
 def t14(s: SparkSession, d: str) -> DataFrame:
     h = hops(s, d)
     c = pacing.pacing_curve(pacing.pacing_knots(h, limits_of(h)))
-    return frames.frame_positions(frames.frame_table(s, 10, 24), h, journey.totals(h), c)
+    f = frames.frame_positions(frames.frame_table(s, 10, 24), h, journey.totals(h), c)
+    return f.select("traveler_id", "frame", r("d"), r("lat", 6), r("lon", 6), r("x", 8), r("y", 8), "index")
 
 
 @query("t7_blended_views")
 def t7(s: SparkSession, d: str) -> DataFrame:
     last = track_of(s, d, "steady").where(f"sample = {K.CAMERA_SAMPLES}")
     f = last.select("traveler_id", "center_x", "center_y", "span_y", F.explode(F.sequence(F.lit(0), F.lit(24))).alias("n")).withColumn("outro", F.col("n") / 24.0)
-    return camera.blend_viewports(f, overview(s, d))
+    return camera.blend_viewports(f, overview(s, d)).select("traveler_id", "n", r("center_x", 6), r("center_y", 6), r("span_y", 6))
 
 
 @query("t15_world_to_screen", f"""WITH {sql.UNWRAPPED}, {_OVERVIEW}, j AS (SELECT u.traveler_id, seq, x, y, o.min_x, o.max_x, o.min_y, o.max_y, x - (o.min_x + o.max_x) / 2 AS d FROM un u JOIN overview o USING (traveler_id)),
@@ -750,3 +755,5 @@ def entry(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES["journey_summary"] = entry
 ORACLES["journey_summary"] = f"WITH {sql.LEGS}, n AS (SELECT traveler_id, count(*) AS n_legs, count(*) FILTER (is_transfer) AS n_transfers FROM legs GROUP BY 1) SELECT traveler_id, n_points, round(total_km, 3) AS total_km, round(threshold_km, 6) AS threshold_km, n_legs, n_transfers FROM totals JOIN limits USING (traveler_id) LEFT JOIN n USING (traveler_id)"
+
+from waystone.plans import camera_queries, more  # noqa: E402, F401  they register theirs

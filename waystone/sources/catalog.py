@@ -1,10 +1,11 @@
-"""Small catalog tables: video records, presets, settings."""
+"""Small catalog tables: video records, presets, settings, export requests."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waystone import constants as K
 from waystone.functions.text import normalise_preset_name
 
 RECORD = "uri string, title string, fileName string, createdAtMillis bigint, durationSeconds int, year int, startYear int, startMonth int, endYear int, endMonth int"
@@ -64,3 +65,88 @@ def settings(stored: DataFrame, allowed: dict[str, tuple[list[str], str]]) -> Da
     s = stored.groupBy("key").agg(F.max("value").alias("value"))
     value: Column = F.when(F.array_contains("allowed", F.col("value")), F.col("value")).otherwise(F.col("fallback"))
     return base.join(s, "key", "left").select("key", value.alias("value"))
+
+
+def add_preset(presets: DataFrame, new: DataFrame, most: int = 50) -> DataFrame:
+    """K7: presets (id, name, …) with new ones whose names are valid and not taken in any case, up to so many in all.
+
+    Of new rows with one name the least id is taken; new rows come in the order of their ids.
+    """
+    n = new.withColumn("name", normalise_preset_name(F.col("name"))).where("name IS NOT NULL").withColumn("__low", F.lower("name"))
+    n = n.withColumn("__k", F.row_number().over(Window.partitionBy("__low").orderBy("id"))).where("__k = 1")
+    n = n.join(presets.select(F.lower("name").alias("__low")), "__low", "left_anti").drop("__low", "__k")
+    room = presets.agg(F.greatest(F.lit(0), most - F.count("*")).alias("__room"))
+    n = n.withColumn("__k", F.row_number().over(Window.orderBy("id"))).where(f"__k <= {most}").join(F.broadcast(room), F.col("__k") <= F.col("__room"))
+    return presets.unionByName(n.select(*presets.columns))
+
+
+def rename_preset(presets: DataFrame, renames: DataFrame) -> DataFrame:
+    """K7: presets with the names of renames (id, name) that are valid and not another preset's in any case."""
+    r = renames.groupBy("id").agg(F.max("name").alias("name")).select("id", normalise_preset_name(F.col("name")).alias("__new")).where("__new IS NOT NULL")
+    taken = presets.select(F.lower("name").alias("__low"), F.col("id").alias("__id"))
+    r = r.join(taken, (F.lower("__new") == F.col("__low")) & (F.col("id") != F.col("__id")), "left_anti")
+    return presets.join(r, "id", "left").withColumn("name", F.coalesce("__new", "name")).select(*presets.columns)
+
+
+def default_preset(presets: DataFrame, stored: DataFrame) -> DataFrame:
+    """The stored default (id) while a preset of that id is left; else no row."""
+    return stored.join(presets.select("id"), "id", "left_semi")
+
+
+def stale_files(files: DataFrame, now_ms: int, age_ms: int = K.STALE_MS) -> DataFrame:
+    """K8: the files (path, modified_ms) of an overview cache that are older than seven days, to be deleted."""
+    return files.where(F.col("modified_ms") < now_ms - age_ms)
+
+
+def current_source(log: DataFrame, key: str = "user_id", order: str = "n") -> DataFrame:
+    """Key, uri, interrupted of a log (key, order, event begin or complete, uri) of imports.
+
+    The last completed import is the source; one that began later and never ended is interrupted and is forgotten.
+    """
+    at = lambda event: F.max(F.when(F.col("event") == event, F.col(order)))
+    uri = F.max_by("uri", F.when(F.col("event") == "complete", F.col(order)))
+    d = log.groupBy(key).agg(at("begin").alias("__b"), at("complete").alias("__c"), uri.alias("__uri"))
+    return d.select(key, F.when(F.col("__c").isNotNull(), F.col("__uri")).alias("uri"), F.coalesce(F.col("__b") > F.coalesce("__c", F.lit(-1)), F.lit(False)).alias("interrupted"))
+
+
+def read_export_requests(stored: DataFrame) -> DataFrame:
+    """Export requests of file versions 1 to 8 as today's settings; others are dropped.
+
+    stored has id, version, start_year, start_month, end_year, end_month, movement, pacing, detection, framing,
+    framing_on, scale and points. Version 1 ends in the year it starts, distance scales come with version 5, camera
+    settings with 4 (pacing alone with 3), detection and framing with 7, where framing had a switch. Names that are
+    unknown fall back to the defaults; at most 2,000,000 points count.
+    """
+    v = F.col("version")
+    known = lambda c, names, fallback, since: F.when((v >= since) & F.col(c).isin(*names), F.col(c)).otherwise(fallback)
+    framing = F.when((v >= 8) | ((v == 7) & F.coalesce("framing_on", F.lit(False))), known("framing", K.FRAMING, "balanced", 7)).otherwise("off")
+    return stored.where(v.between(1, K.REQUEST_VERSION)).select(
+        "id", "start_year", "start_month", F.when(v == 1, F.col("start_year")).otherwise(F.col("end_year")).alias("end_year"), "end_month",
+        known("movement", K.MOVEMENTS, "steady", 4).alias("movement"), known("pacing", K.PACING, "balanced", 3).alias("pacing"), known("detection", K.DETECTION, "balanced", 7).alias("detection"),
+        framing.alias("framing"), F.when(v >= 5, F.col("scale")).otherwise(1.0).alias("scale"), F.greatest(F.lit(0), F.least(F.lit(K.REQUEST_POINTS), F.col("points"))).alias("points"),
+    )
+
+
+def write_export_requests(requests: DataFrame, path: str) -> None:
+    """K3: requests as today's version, in place of what is there; a write that fails leaves the old ones."""
+    requests.withColumn("version", F.lit(K.REQUEST_VERSION)).write.mode("overwrite").parquet(path)
+
+
+#: Keys of settings that are read once more and then removed.
+OBSOLETE = ("zoom_in_travel_slowdown", "zoom_in_movement_reduction", "episode_framing_enabled", "route_context", "local_framing", "zoom_in", "long_hop")
+
+
+def migrate_framing(stored: DataFrame, user: str = "user_id") -> DataFrame:
+    """User, framing of settings (user, key, value): an old switch decides first, then the stored name; without
+    either, off for those with camera settings from before framing, else balanced."""
+    of = lambda k: F.max(F.when(F.col("key") == k, F.col("value")))
+    d = stored.groupBy(user).agg(of("episode_framing_enabled").alias("switch"), of("framing").alias("name"), F.bool_or(F.col("key").isin("movement", "pacing", "quality")).alias("older"))
+    switched = F.when(F.col("switch") != "true", "off").otherwise(F.when(F.col("name") == "close", "close").otherwise("balanced"))
+    plain = F.when(F.col("name").isin(*K.FRAMING), F.col("name")).when(F.col("older"), "off").otherwise("balanced")
+    return d.select(user, F.when(F.col("switch").isNotNull(), switched).otherwise(plain).alias("framing"))
+
+
+def write_settings(stored: DataFrame, new: DataFrame, user: str = "user_id") -> DataFrame:
+    """K9: settings (user, key, value) with new ones in place of old, obsolete keys removed. A reset is no row at all."""
+    old = stored.join(new.select(user, "key"), [user, "key"], "left_anti")
+    return old.unionByName(new).where(~F.col("key").isin(*OBSOLETE))
