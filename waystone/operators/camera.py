@@ -93,9 +93,9 @@ def seen_bounds(m: DataFrame, h: DataFrame, key: str, ids: tuple[str, ...], tie:
 
     A node that reaches over the edge of the world around the marker is replaced by its points.
     """
-    r = lookup.index_ranges(m, h, "tail", "look", ids, key)
+    r = lookup.index_ranges(m, h, "tail", "look", (*ids, "marker_x"), key)
     tree = bounds_tree(h, key, tie)
-    d = window_nodes(r.join(m.select(key, *ids, "marker_x"), [key, *ids])).join(tree, [key, "level", "node"])
+    d = window_nodes(r).join(tree, [key, "level", "node"])
     near = lambda c: unwrap_near(F.col(c), F.col("marker_x"))
     torn = (F.col("level") > 0) & (F.abs((near("x0") - F.col("x0")) - (near("x1") - F.col("x1"))) > 0.5)
     width = F.pow(F.lit(K.NODE_FAN), F.col("level")).cast("long")
@@ -122,11 +122,11 @@ def raw_viewports(windows: DataFrame, h: DataFrame, movement: Movement, aspect:
     ends = pos.groupBy(key, *ids).agg(one("d", "x").alias("marker_x"), one("d", "y").alias("marker_y"), F.array(one("d", "x"), one("tail", "x"), one("look", "x")).alias("xs"), F.array(one("d", "y"), one("tail", "y"), one("look", "y")).alias("ys"))
     m = windows.join(ends, [key, *ids])
     xs = F.transform("xs", lambda x: unwrap_near(x, F.col("marker_x")))
-    seen = m.select(key, *ids, F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min("ys").alias("y0"), F.array_max("ys").alias("y1"))
+    own = ["marker_x", "marker_y", "pad", "arrival", "alignment"]
+    seen = m.select(key, *ids, *own, F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min("ys").alias("y0"), F.array_max("ys").alias("y1"))
     if points:
-        seen = seen.unionByName(seen_bounds(m, h, key, ids, tie))
-    box = seen.groupBy(key, *ids).agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"))
-    d = m.join(box, [key, *ids])
+        seen = seen.unionByName(seen_bounds(m, h, key, ids, tie), allowMissingColumns=True)
+    d = seen.groupBy(key, *ids).agg(*[F.max(c).alias(c) for c in own], F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"))
     cx, cy = (F.greatest(F.lit(K.CONTENT_FLOOR), F.col(f"{a}1") - F.col(f"{a}0")) for a in "xy")
     d = d.withColumn("span_y", clamp(F.greatest(cy * F.col("pad"), cx * F.col("pad") / aspect), movement.min_span, K.SPAN_MAX))
     return d.select(key, *ids, "marker_x", "marker_y", ((F.col("x0") + F.col("x1")) / 2).alias("center_x"), ((F.col("y0") + F.col("y1")) / 2).alias("center_y"), (F.col("span_y") * aspect).alias("span_x"), "span_y", "arrival", "alignment")

@@ -162,7 +162,7 @@ def k7(s: SparkSession, d: str) -> DataFrame:
     return p.join(chosen, "id", "left").select("id", "name", F.coalesce("chosen", F.lit(False)).alias("chosen"))
 
 
-@query("k8_stale_overviews", "SELECT event_id AS path, epoch_ms(ts) AS modified_ms FROM events WHERE ts < TIMESTAMP '2024-01-20 12:00:00' - INTERVAL 7 DAY")
+@query("k8_stale_overviews", "SELECT event_id AS path, epoch_us(ts) // 1000 AS modified_ms FROM events WHERE ts < TIMESTAMP '2024-01-20 12:00:00' - INTERVAL 7 DAY")
 def k8(s: SparkSession, d: str) -> DataFrame:
     files = table(s, d, "events").select(F.col("event_id").alias("path"), F.unix_millis(F.col("ts").cast("timestamp")).alias("modified_ms"))
     return catalog.stale_files(files, 1_705_752_000_000)
