@@ -30,17 +30,17 @@ def test_coordinate_forms(spark, at):
     assert (p.lat, p.lon) == (37.5, 127.0)
 
 
-@pytest.mark.parametrize("at", ["91,127", "not a coordinate", "geo:91,127", None, ",127", 5, []])
+@pytest.mark.parametrize("at", ["-90.5,12", "by the river", "geo:12,181", None, "12,", 7, []])
 def test_bad_coordinates(spark, at):
     assert points(spark, [visit("2024-05-11T00:00:00Z", "2024-05-11T01:00:00Z", at)]) == []
 
 
-def test_coverage_suppresses_standalone_paths(spark):
-    path = [("2024-05-11T13:00:00Z", 20), ("2024-05-11T17:00:00Z", 21), ("2024-05-12T13:00:00Z", 22), ("2024-05-12T17:00:00Z", 23), ("2024-05-12T22:30:00Z", 30)]
-    doc = {"semanticSegments": [
-        {"startTime": f"2024-05-{d}T08:00:00Z", "endTime": f"2024-05-{d}T22:00:00Z", "activity": {"start": {"latLng": f"{d},1"}, "end": {"latLng": f"{d},2"}}} for d in (11, 12)
-    ] + [{"startTime": "2024-05-11T00:00:00Z", "endTime": "2024-05-13T00:00:00Z", "timelinePath": [{"point": f"{lat},9", "time": t} for t, lat in path]}]}
-    assert [p.lat for p in points(spark, doc)] == [11, 11, 12, 12, 30]
+def test_paths_inside_merged_coverage_go(spark):
+    stays = [("06:15", "09:40", "41.1,2.1"), ("09:40", "11:05", "41.2,2.2"), ("18:20", "19:30", "41.3,2.3")]
+    path = {"06:10": 1, "07:02": 2, "09:40": 3, "10:59": 4, "11:30": 5, "18:45": 6, "19:31": 7}
+    doc = [visit(f"2023-10-03T{a}:00Z", f"2023-10-03T{b}:00Z", at) for a, b, at in stays]
+    doc.insert(1, {"startTime": "2023-10-03T00:00:00Z", "endTime": "2023-10-04T00:00:00Z", "timelinePath": [{"point": f"{lat},5", "time": f"2023-10-03T{t}:00Z"} for t, lat in path.items()]})
+    assert [p.lat for p in points(spark, doc)] == [1, 41.1, 41.2, 5, 41.3, 7]
 
 
 def test_path_inside_its_own_segment_stays(spark):

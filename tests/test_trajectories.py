@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from waystone import constants as K
 from waystone.functions import geo
 from waystone.operators import camera, clean, frames, journey, lookup, pacing, tiles
+from waystone.sources import catalog
 from waystone.streaming import sessions
 
 HOUR = 3_600_000
@@ -224,3 +225,30 @@ def test_empty_tables(spark):
     one = numbered(track(spark, (0, 1, 1)))
     assert journey.totals(one).first().available is False and journey.thresholds(one).first().threshold_km == 120
     assert math.isclose(one.first().cum_km, 0)
+
+
+def test_dense_route_costs_few_rows(spark):
+    p = spark.range(20_000).select(F.lit(1).alias("traveler_id"), "id", (F.col("id") * 5000).alias("t_ms"), (F.lit(52.1) + (F.col("id") % 7) * 1e-5).alias("lat"), (F.lit(4.3) + F.col("id") * 2e-6).alias("lon"))
+    h = journey.hops(p.withColumnRenamed("id", "seq").withColumn("i", F.col("seq")))
+    t = journey.totals(h)
+    at = camera.samples(t).withColumn("d", F.col("p") * 30).drop("p")
+    w = at.withColumns({"tail": F.greatest(F.lit(0.0), F.col("d") - 9), "look": F.col("d") + 9})
+    n = {r.level: r["count"] for r in camera.window_nodes(lookup.index_ranges(w, h, "tail", "look", ("sample",))).groupBy("level").count().collect()}
+    assert 0 < n[0] < 481 * 2 * K.NODE_FAN and sum(n.values()) < 100_000
+
+
+def test_windows_over_the_edge_of_the_world(spark):
+    rows = [(1, i, i * 60_000, 10.0 + i % 5, ((i * 37) % 360) - 180.0) for i in range(300)]
+    h = journey.hops(spark.createDataFrame(rows, "traveler_id int, seq long, t_ms long, lat double, lon double")).withColumn("i", F.col("seq"))
+    m = spark.createDataFrame([(1, k, float(k * 9000), float(k * 9000 + 400_000), (k % 10) / 10 + 0.03) for k in range(60)], "traveler_id int, sample int, tail double, look double, marker_x double")
+    got = {r["sample"]: (r.x0, r.x1) for r in camera.seen_bounds(m, h, "traveler_id", ("sample",), "i").groupBy("sample").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).collect()}
+    x = geo.unwrap_near(geo.world_x("lon"), F.col("marker_x"))
+    want = m.join(h, (m["traveler_id"] == h["traveler_id"]) & (h["cum_km"] >= m["tail"]) & (h["cum_km"] <= m["look"])).groupBy("sample").agg(F.min(x).alias("x0"), F.max(x).alias("x1")).collect()
+    assert set(got) == {r["sample"] for r in want} and all(got[r["sample"]] == pytest.approx((r.x0, r.x1), abs=1e-9) for r in want)
+
+
+def test_export_requests_are_replaced(spark, tmp_path):
+    q = spark.createDataFrame([(1, 8, 2020, 1, 2021, 2, "dynamic", "strong", "balanced", "close", True, 0.5, 10)], "id int, version int, start_year int, start_month int, end_year int, end_month int, movement string, pacing string, detection string, framing string, framing_on boolean, scale double, points int")
+    for _ in range(2):
+        catalog.write_export_requests(q.drop("version"), str(tmp_path / "requests"))
+    assert [r.framing for r in catalog.read_export_requests(spark.read.parquet(str(tmp_path / "requests"))).collect()] == ["close"]

@@ -116,27 +116,34 @@ def _kmh(km: float, ms: float) -> float:
     return math.inf if ms <= 0 else km / (ms / 3_600_000)
 
 
+_VALUES = ["lat", "lon", "t_ms", "accuracy_m"]
+
+
+def _taken(held: pd.DataFrame | None, rows: pd.DataFrame, keep: list[int]) -> list[pd.DataFrame]:
+    """Rows of a batch by number; -1 is the row held over from earlier ones."""
+    out = [held] if keep and keep[0] < 0 else []
+    own = [i for i in keep if i >= 0]
+    return out + ([rows.take(own)] if own else [])
+
+
 class _Spikes(Fold):
-    """The last kept row and the row in question; a row is settled by the one after it."""
+    """The last kept row's values and the row in question; a row is settled by the one after it."""
 
     def __init__(self) -> None:
         self.before: tuple | None = None
         self.pending: pd.DataFrame | None = None
 
-    @staticmethod
-    def _of(r: pd.DataFrame) -> tuple:
-        return tuple(r[["lat", "lon", "t_ms", "accuracy_m"]].iloc[0])
-
     def feed(self, rows: pd.DataFrame) -> list[pd.DataFrame]:
-        out = []
-        for i in range(len(rows)):
-            row = rows.iloc[i : i + 1]
-            if self.pending is not None:
-                if self.before is None or not self._spike(self.before, self._of(self.pending), self._of(row)):
-                    out.append(self.pending)
-                    self.before = self._of(self.pending)
-            self.pending = row
-        return [pd.concat(out)] if out else []
+        keep, at = [], -1
+        now = None if self.pending is None else tuple(self.pending[_VALUES].to_numpy(float)[0])
+        for i, after in enumerate(rows[_VALUES].to_numpy(float)):
+            if now is not None and (self.before is None or not self._spike(self.before, now, after)):
+                keep.append(at)
+                self.before = now
+            now, at = tuple(after), i
+        out = _taken(self.pending, rows, keep)
+        self.pending = rows.take([len(rows) - 1]) if len(rows) else self.pending
+        return out
 
     def end(self) -> list[pd.DataFrame]:
         return [] if self.pending is None else [self.pending]
@@ -161,20 +168,19 @@ class _Stationary(Fold):
         self.kept: pd.DataFrame | None = None
 
     def feed(self, rows: pd.DataFrame) -> list[pd.DataFrame]:
-        out, v = [], rows[["lat", "lon", "t_ms", "accuracy_m"]].to_numpy()
-        last = None if self.kept is None else self.kept[["lat", "lon", "t_ms", "accuracy_m"]].to_numpy()[0]
-        at: int | None = None
-        for i, p in enumerate(v):
+        keep, at = [], -1
+        last = None if self.kept is None else self.kept[_VALUES].to_numpy(float)[0]
+        for i, p in enumerate(rows[_VALUES].to_numpy(float)):
             if last is not None and 0 <= p[2] - last[2] <= K.STATIONARY_MS and km_between(*last[:2], *p[:2]) <= max(K.STATIONARY_KM, (last[3] + p[3]) / 1000):
                 if p[3] < last[3]:
                     last, at = p, i
                 continue
             if last is not None:
-                out.append(self.kept if at is None else rows.iloc[at : at + 1])
+                keep.append(at)
             last, at = p, i
-        if at is not None:
-            self.kept = rows.iloc[at : at + 1]
-        return [pd.concat(out)] if out else []
+        out = _taken(self.kept, rows, keep)
+        self.kept = rows.take([at]) if at >= 0 else self.kept
+        return out
 
     def end(self) -> list[pd.DataFrame]:
         return [] if self.kept is None else [self.kept]
