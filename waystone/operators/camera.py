@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -137,86 +137,98 @@ def fixed_span(raw: DataFrame, key: str = "traveler_id") -> DataFrame:
     return raw.groupBy(key).agg(F.expr(f"percentile_disc({K.FIXED_PERCENTILE}) WITHIN GROUP (ORDER BY span_y)").alias("span_y"))
 
 
-def next_zoom(before: int, exact: float) -> int:
+def next_zoom(before: np.ndarray | int, exact: np.ndarray | float) -> np.ndarray:
     """The zoom level once the exact one is far enough over or under the level before."""
-    level = before
-    while level < K.ZOOM_HIGH and exact >= level + 1 + K.ZOOM_HYSTERESIS:
-        level += 1
-    while level > K.ZOOM_LOW and exact < level - K.ZOOM_HYSTERESIS:
-        level -= 1
-    return level
+    up, down = np.minimum(K.ZOOM_HIGH, np.floor(exact - K.ZOOM_HYSTERESIS)), np.maximum(K.ZOOM_LOW, np.floor(exact + K.ZOOM_HYSTERESIS))
+    return np.where(exact >= before + 1 + K.ZOOM_HYSTERESIS, up, np.where(exact < before - K.ZOOM_HYSTERESIS, down, before))
 
 
-def _near(v: float, ref: float) -> float:
+def _near(v: np.ndarray, ref: np.ndarray) -> np.ndarray:
     d = v - ref
-    return v - math.ceil(d - 0.5) if d > 0.5 else v + math.ceil(-d - 0.5) if d < -0.5 else v
+    return np.where(d > 0.5, v - np.ceil(d - 0.5), np.where(d < -0.5, v + np.ceil(-d - 0.5), v))
 
 
-def _inside(y: float, span: float) -> float:
-    return 0.5 if span >= 1 else min(1 - span / 2, max(span / 2, y))
+def _inside(y: np.ndarray, span: np.ndarray) -> np.ndarray:
+    return np.where(span >= 1, 0.5, np.minimum(1 - span / 2, np.maximum(span / 2, y)))
 
 
-def _exact_zoom(width: int, span_x: float) -> float:
-    return math.log2(width / (K.TILE_PX * span_x))
+def _exact_zoom(width: int, span_x: np.ndarray) -> np.ndarray:
+    return np.log2(width / (K.TILE_PX * span_x))
 
 
-def smooth_track(raw: pd.DataFrame, movement: Movement, aspect: float, width: int, fixed: float | None, framing: bool = False) -> pd.DataFrame:
-    """One journey's samples in order, smoothed against the frame before, then centred again.
+def smooth_tracks(v: dict[str, np.ndarray], movement: Movement, aspect: float, width: int, fixed: np.ndarray | None, framing: bool = False) -> np.ndarray:
+    """(journey, sample, center_x center_y span_y zoom): samples smoothed against the frame before, then centred
+    again, all journeys at once. v holds a row for each journey, samples in order.
 
     Spans follow in logarithms, faster out than in; the centre moves only as far as keeps the marker in the dead zone.
     The second pass may draw the span in toward the raw one on local legs and arrivals.
     """
-    r = raw.sort_values("sample")
-    n, out = len(r), np.empty((len(r), 4))
-    mx, my, cx, cy, span, arrival, align = (r[c].to_numpy(float) for c in ("marker_x", "marker_y", "center_x", "center_y", "span_y", "arrival", "alignment"))
-
-    def keep(x: float, y: float, s: float, i: int) -> tuple[float, float]:
-        half_x, half_y, m = s * aspect * K.DEAD_ZONE, s * K.DEAD_ZONE, _near(mx[i], x)
-        x += max(0.0, m - (x + half_x)) + min(0.0, m - (x - half_x))
-        y += max(0.0, my[i] - (y + half_y)) + min(0.0, my[i] - (y - half_y))
+    mx, my, cx, cy, span, arrival, align = (v[c] for c in ("marker_x", "marker_y", "center_x", "center_y", "span_y", "arrival", "alignment"))
+    n, out = span.shape[1], np.empty((*span.shape, 4))
+
+    def keep(x: np.ndarray, y: np.ndarray, s: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray]:
+        half_x, half_y, m = s * aspect * K.DEAD_ZONE, s * K.DEAD_ZONE, _near(mx[:, i], x)
+        x = x + np.maximum(0.0, m - (x + half_x)) + np.minimum(0.0, m - (x - half_x))
+        y = y + np.maximum(0.0, my[:, i] - (y + half_y)) + np.minimum(0.0, my[:, i] - (y - half_y))
         return x, _inside(y, s)
 
+    def first_zoom(s: np.ndarray) -> np.ndarray:
+        return np.clip(np.floor(_exact_zoom(width, s * aspect)), K.ZOOM_LOW, K.ZOOM_HIGH)
+
     for i in range(n):
-        target = fixed if fixed is not None else max(span[i], movement.min_span)
+        target = fixed if fixed is not None else np.maximum(span[:, i], movement.min_span)
         if i == 0:
-            s = target if fixed is not None else span[0]
-            x, y = cx[0], _inside(cy[0], s)
-            zoom = int(min(K.ZOOM_HIGH, max(K.ZOOM_LOW, math.floor(_exact_zoom(width, s * aspect)))))
+            s = target if fixed is not None else span[:, 0]
+            x, y, zoom = cx[:, 0], _inside(cy[:, 0], s), first_zoom(s)
         else:
-            x, y, s, zoom = out[i - 1]
             if fixed is not None:
                 s = target
             else:
-                alpha = movement.zoom_out if target > s else movement.zoom_in + (1 - movement.zoom_in) * arrival[i]
-                s = min(K.SPAN_MAX, max(movement.min_span, math.exp(math.log(s) + (math.log(target) - math.log(s)) * alpha)))
+                alpha = np.where(target > s, movement.zoom_out, movement.zoom_in + (1 - movement.zoom_in) * arrival[:, i])
+                s = np.minimum(K.SPAN_MAX, np.maximum(movement.min_span, np.exp(np.log(s) + (np.log(target) - np.log(s)) * alpha)))
             x, y = keep(x, y, s, i)
-            zoom = next_zoom(int(zoom), _exact_zoom(width, s * aspect))
-        out[i] = x, y, s, zoom
+            zoom = next_zoom(zoom, _exact_zoom(width, s * aspect))
+        out[:, i, 0], out[:, i, 1], out[:, i, 2], out[:, i, 3] = x, y, s, zoom
     if framing:
-        x = y = 0.0
         for i in range(n):
-            s = out[i, 2]
-            if align[i] > 0 and span[i] < s:
-                s = math.exp(math.log(s) + (math.log(span[i]) - math.log(s)) * align[i])
-            x, y = (mx[0], _inside(my[0], s)) if i == 0 else keep(x, y, s, i)
-            zoom = int(min(K.ZOOM_HIGH, max(K.ZOOM_LOW, math.floor(_exact_zoom(width, s * aspect))))) if i == 0 else next_zoom(int(out[i - 1, 3]), _exact_zoom(width, s * aspect))
-            out[i] = x, y, s, zoom
-    return pd.DataFrame({"sample": r["sample"].to_numpy(), "center_x": out[:, 0], "center_y": out[:, 1], "span_y": out[:, 2], "zoom": out[:, 3].astype(np.int32)})
+            s = out[:, i, 2]
+            s = np.where((align[:, i] > 0) & (span[:, i] < s), np.exp(np.log(s) + (np.log(span[:, i]) - np.log(s)) * align[:, i]), s)
+            x, y = (mx[:, 0], _inside(my[:, 0], s)) if i == 0 else keep(x, y, s, i)
+            zoom = first_zoom(s) if i == 0 else next_zoom(zoom, _exact_zoom(width, s * aspect))
+            out[:, i, 0], out[:, i, 1], out[:, i, 2], out[:, i, 3] = x, y, s, zoom
+    return out
 
 
 def camera_track(raw: DataFrame, movement: Movement, aspect: float = K.CAMERA_ASPECT, width: int = 480, framing: float | None = None, key: str = "traveler_id") -> DataFrame:
-    """Key, sample, center_x, center_y, span_y, zoom. A journey has CAMERA_SAMPLES + 1 rows, whatever its
-    points, so each is one small pandas group."""
+    """Key, sample, center_x, center_y, span_y, zoom. Journeys have CAMERA_SAMPLES + 1 rows, whatever their
+    points; a task takes those of a batch through all samples at once. Rows of null key are no journey."""
     frames = framing is not None and movement.leg_aware
     d = raw.join(fixed_span(raw, key).select(F.col(key).alias("__k"), F.col("span_y").alias("fixed")), F.col(key) == F.col("__k")).drop("__k") if movement.fixed else raw.withColumn("fixed", F.lit(None).cast("double"))
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        fixed = g["fixed"].iloc[0]
-        t = smooth_track(g, movement, aspect, width, None if pd.isna(fixed) else float(fixed), frames)
-        t.insert(0, key, g[key].iloc[0])
-        return t
-
-    return d.groupBy(key).applyInPandas(run, f"{key} {dict(raw.dtypes)[key]}, sample int, center_x double, center_y double, span_y double, zoom int")
+    names = ["marker_x", "marker_y", "center_x", "center_y", "span_y", "arrival", "alignment", "fixed"]
+
+    def smooth(t: pd.DataFrame) -> pd.DataFrame:
+        ids = t[key].to_numpy()
+        start = np.append(0, np.flatnonzero(ids[1:] != ids[:-1]) + 1)
+        size, done = np.diff(np.append(start, len(t))), np.empty((len(t), 4))
+        v = {c: t[c].to_numpy(float) for c in names}
+        for n in np.unique(size):
+            at = start[size == n][:, None] + np.arange(n)
+            done[at] = smooth_tracks({c: v[c][at] for c in names}, movement, aspect, width, v["fixed"][at[:, 0]] if movement.fixed else None, frames)
+        return pd.DataFrame({key: ids, "sample": t["sample"].to_numpy(), "center_x": done[:, 0], "center_y": done[:, 1], "span_y": done[:, 2], "zoom": done[:, 3].astype(np.int32)})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for b in batches:
+            t = b if held is None else pd.concat([held, b], ignore_index=True)
+            cut = int(np.argmax((t[key] == t[key].iloc[-1]).to_numpy())) if len(t) else 0  # the last journey may go on
+            held = t.iloc[cut:]
+            if cut:
+                yield smooth(t.iloc[:cut])
+        if held is not None and len(held):
+            yield smooth(held)
+
+    d = d.where(F.col(key).isNotNull()).select(key, "sample", *names).repartition(key).sortWithinPartitions(key, "sample")
+    return d.mapInPandas(run, f"{key} {dict(raw.dtypes)[key]}, sample int, center_x double, center_y double, span_y double, zoom int")
 
 
 def journey_camera(h: DataFrame, legs: DataFrame, totals: DataFrame, curve: DataFrame | None, movement: Movement, framing: float | None = None, aspect: float = K.CAMERA_ASPECT, width: int = 480, key: str = "traveler_id") -> DataFrame:
