@@ -233,15 +233,19 @@ def test_dense_route_costs_few_rows(spark):
     t = journey.totals(h)
     at = camera.samples(t).withColumn("d", F.col("p") * 30).drop("p")
     w = at.withColumns({"tail": F.greatest(F.lit(0.0), F.col("d") - 9), "look": F.col("d") + 9})
-    n = {r.level: r["count"] for r in camera.window_nodes(lookup.index_ranges(w, h, "tail", "look", ("sample",))).groupBy("level").count().collect()}
-    assert 0 < n[0] < 481 * 2 * K.NODE_FAN and sum(n.values()) < 100_000
+    r = w.join(h.select("i", "cum_km"), F.col("cum_km").between(F.col("tail"), F.col("look"))).groupBy("sample").agg(F.min("i").alias("lo"), (F.max("i") + 1).alias("hi"), F.count("*").alias("n"))
+    nodes = camera.window_nodes(r).where("level >= 0").groupBy("sample", "n").agg(F.count("*").alias("rows"), F.sum(F.pow(F.lit(K.NODE_FAN), "level")).alias("held")).collect()
+    assert len(nodes) == 481 and all(x.n == x.held for x in nodes) and sum(x.rows for x in nodes) + camera.bounds_tree(h).count() < 50_000
+    assert max(x.rows for x in nodes) < 2 * K.NODE_FAN * K.NODE_LEVELS
 
 
 def test_windows_over_the_edge_of_the_world(spark):
     rows = [(1, i, i * 60_000, 10.0 + i % 5, ((i * 37) % 360) - 180.0) for i in range(300)]
     h = journey.hops(spark.createDataFrame(rows, "traveler_id int, seq long, t_ms long, lat double, lon double")).withColumn("i", F.col("seq"))
     m = spark.createDataFrame([(1, k, float(k * 9000), float(k * 9000 + 400_000), (k % 10) / 10 + 0.03) for k in range(60)], "traveler_id int, sample int, tail double, look double, marker_x double")
-    got = {r["sample"]: (r.x0, r.x1) for r in camera.seen_bounds(m, h, "traveler_id", ("sample",), "i").groupBy("sample").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).collect()}
+    inside = m.join(h.select("i", "cum_km"), F.col("cum_km").between(F.col("tail"), F.col("look")), "left")
+    ranges = inside.groupBy(*m.columns).agg(F.coalesce(F.min("i"), F.lit(0)).alias("lo"), F.coalesce(F.max("i") + 1, F.lit(0)).alias("hi"))
+    got = {r["sample"]: (r.sx0, r.sx1) for r in camera.seen_bounds(ranges, h, "traveler_id", ("sample",), "i").where("sx0 IS NOT NULL").collect()}
     x = geo.unwrap_near(geo.world_x("lon"), F.col("marker_x"))
     want = m.join(h, (m["traveler_id"] == h["traveler_id"]) & (h["cum_km"] >= m["tail"]) & (h["cum_km"] <= m["look"])).groupBy("sample").agg(F.min(x).alias("x0"), F.max(x).alias("x1")).collect()
     assert set(got) == {r["sample"] for r in want} and all(got[r["sample"]] == pytest.approx((r.x0, r.x1), abs=1e-9) for r in want)

@@ -25,7 +25,7 @@ THRESHOLD_LOW_KM, THRESHOLD_HIGH_KM = 60.0, 120.0
 DENSIFY_KM, DENSIFY_MOST = 75.0, 320
 BLOCK_ROWS = 256
 #: Points of a node of the camera's bounds, nodes of one on the next level, and levels above the points.
-NODE_FAN, NODE_LEVELS = 32, 3
+NODE_FAN, NODE_LEVELS = 4, 8
 
 POLAR_CORE, POLAR_CORRIDOR = 70.0, 50.0
 DRAWN_PX = 1.35

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,44 +69,41 @@ def bounds_tree(h: DataFrame, key: str = "traveler_id", tie: str = "i") -> DataF
 
 
 def window_nodes(ranges: DataFrame) -> DataFrame:
-    """ranges (lo, hi and others) with level and node: the few nodes that hold just the points lo <= index < hi."""
-    d, parts = ranges.withColumns({"__a": F.col("lo"), "__b": F.greatest("lo", "hi")}), []
-
-    def nodes(level: int, start: str, stop: str) -> Column:
-        one = F.transform(F.sequence(F.col(start), F.col(stop) - 1), lambda n: F.struct(F.lit(level).alias("level"), n.alias("node")))
-        return F.when(F.col(stop) > F.col(start), one).otherwise(F.array().cast("array<struct<level:int,node:bigint>>"))
-
-    for k in range(K.NODE_LEVELS):
-        up, down = F.ceil(F.col("__a") / K.NODE_FAN) * K.NODE_FAN, F.floor(F.col("__b") / K.NODE_FAN) * K.NODE_FAN
-        d = d.withColumns({"__u": up, "__d": down})
-        inner = F.col("__u") < F.col("__d")
-        d = d.withColumns({"__l": F.when(inner, F.col("__u")).otherwise(F.col("__b")), "__r": F.when(inner, F.col("__d")).otherwise(F.col("__b"))})
-        d = d.withColumn(f"__p{k}", F.concat(nodes(k, "__a", "__l"), nodes(k, "__r", "__b")))
-        step = lambda c: F.when(F.col("__u") < F.col("__d"), (F.col(c) / K.NODE_FAN).cast("long")).otherwise(F.lit(0).cast("long"))
-        d = d.withColumns({"__a": step("__u"), "__b": step("__d")})
-        parts.append(f"__p{k}")
-    d = d.withColumn("__top", nodes(K.NODE_LEVELS, "__a", "__b"))
-    return d.select(*ranges.columns, F.inline(F.concat(*parts, "__top")))
+    """ranges (lo, hi and others) with level and node: the few nodes that hold just the points lo <= index < hi.
+
+    Each range has a row more, of level and node -1. A level's nodes are what its inner parents don't hold.
+    """
+    top = F.floor(F.log2(F.greatest(F.lit(1), F.col("hi") - F.col("lo"))) / math.log2(K.NODE_FAN)).cast("int") + 1
+    d = ranges.withColumn("level", F.explode(F.sequence(F.lit(-1), F.coalesce(F.least(F.lit(K.NODE_LEVELS), top), F.lit(-1)))))
+    size = F.pow(F.lit(float(K.NODE_FAN)), F.greatest(F.lit(0), F.col("level")))
+    d = d.withColumns({"__a": F.ceil(F.col("lo") / size), "__b": F.floor(F.col("hi") / size)})
+    d = d.withColumns({"__u": F.ceil(F.col("__a") / K.NODE_FAN) * K.NODE_FAN, "__d": F.floor(F.col("__b") / K.NODE_FAN) * K.NODE_FAN})
+    inner, none = (F.col("__u") < F.col("__d")) & (F.col("level") < K.NODE_LEVELS), F.array().cast("array<bigint>")
+    d = d.withColumns({"__l": F.when(inner, F.col("__u")).otherwise(F.col("__b")), "__r": F.when(inner, F.col("__d")).otherwise(F.col("__b"))})
+    some = lambda start, stop: F.when(F.col(start) < F.col(stop), F.sequence(F.col(start), F.col(stop) - 1)).otherwise(none)
+    nodes = F.when(F.col("level") < 0, F.array(F.lit(-1).cast("bigint"))).otherwise(F.concat(some("__a", "__l"), some("__r", "__b")))
+    return d.select(*ranges.columns, "level", F.explode(nodes).alias("node"))
 
 
 def seen_bounds(m: DataFrame, h: DataFrame, key: str, ids: tuple[str, ...], tie: str) -> DataFrame:
-    """Key, ids, x0, x1, y0, y1 (x near marker_x) of the nodes of points between tail and look of m.
+    """M (key, ids, marker_x, lo, hi and others) with sx0, sx1, sy0, sy1: the bounds of the points lo <= index < hi.
 
-    A node that reaches over the edge of the world around the marker is replaced by its points.
+    x is near marker_x. A node of points that reaches over the edge of the world around the marker is replaced by its
+    points. Windows without points have null bounds.
     """
-    r = lookup.index_ranges(m, h, "tail", "look", (*ids, "marker_x"), key)
-    tree = bounds_tree(h, key, tie)
-    d = window_nodes(r).join(tree, [key, "level", "node"])
+    tree, rest = bounds_tree(h, key, tie), [c for c in m.columns if c not in (key, *ids, "marker_x", "lo", "hi")]
+    d = window_nodes(m)
+    d = d.withColumns({c: F.when(F.col("level") < 0, F.col(c)) for c in rest}).join(tree, [key, "level", "node"], "left")
     near = lambda c: unwrap_near(F.col(c), F.col("marker_x"))
     torn = (F.col("level") > 0) & (F.abs((near("x0") - F.col("x0")) - (near("x1") - F.col("x1"))) > 0.5)
     width = F.pow(F.lit(K.NODE_FAN), F.col("level")).cast("long")
     inside = F.when(torn, F.sequence(F.greatest("lo", F.col("node") * width), F.least(F.col("hi"), (F.col("node") + 1) * width) - 1))
-    d = d.withColumn("__i", F.explode_outer(inside)).withColumn("__i", F.coalesce("__i", -1 - F.col("node")))
+    d = d.withColumn("__i", F.explode_outer(inside)).withColumn("__i", F.coalesce("__i", -2 - F.col("node")))
     p = tree.where("level = 0").select(F.col(key).alias("__k"), F.col("node").alias("__n"), *[F.col(c).alias(f"__{c}") for c in ("x0", "x1", "y0", "y1")])
     d = d.join(p, (F.col(key) == F.col("__k")) & (F.col("__i") == F.col("__n")), "left")
-    for c in ("x0", "x1", "y0", "y1"):
-        d = d.withColumn(c, F.coalesce(f"__{c}", c))
-    return d.select(key, *ids, near("x0").alias("x0"), near("x1").alias("x1"), "y0", "y1")
+    d = d.withColumns({c: F.coalesce(f"__{c}", c) for c in ("x0", "x1", "y0", "y1")})
+    seen = [F.min(near("x0")).alias("sx0"), F.max(near("x1")).alias("sx1"), F.min("y0").alias("sy0"), F.max("y1").alias("sy1")]
+    return d.groupBy(key, *ids).agg(F.max("marker_x").alias("marker_x"), *[F.max(c).alias(c) for c in rest], *seen)
 
 
 def raw_viewports(windows: DataFrame, h: DataFrame, movement: Movement, aspect: float = K.CAMERA_ASPECT, key: str = "traveler_id", ids: tuple[str, ...] = ("sample",), tie: str = "i", points: bool = True) -> DataFrame:
@@ -113,23 +111,29 @@ def raw_viewports(windows: DataFrame, h: DataFrame, movement: Movement, aspect:
 
     The box holds the marker, both ends of the window and every point of the journey inside it, all unwrapped near the
     marker; it is padded and kept between the movement's and the largest span. tie is the points' index, from 0 on.
-    Points come as bounds of whole runs of them (see bounds_tree), so a window costs some hundred rows at most, however
-    many points it covers.
+    One as-of pass places a window's marker and ends and tells which points lie between them. Points come as bounds of
+    whole runs of them (see bounds_tree), so a window costs some dozen rows, however many points it covers.
     """
-    probes = windows.select("*", F.explode(F.array(F.struct(F.lit("d").alias("what"), F.col("d").alias("at")), F.struct(F.lit("tail").alias("what"), F.col("tail").alias("at")), F.struct(F.lit("look").alias("what"), F.col("look").alias("at")))).alias("w")).select(key, *ids, "w.what", "w.at")
-    pos = lookup.positions_at(probes, h, "at", key, tie).select(key, *ids, "what", world_x("lon").alias("x"), world_y("lat").alias("y"))
+    own = ["pad", "arrival", "alignment"]
+    at = lambda what: F.struct(F.lit(what).alias("what"), F.col(what).alias("at"))
+    probes = windows.select(key, *ids, *own, F.explode(F.array(at("d"), at("tail"), at("look"))).alias("w")).select(key, *ids, *own, "w.what", "w.at")
+    pos = lookup.positions_at(probes, lookup.ranked(h, key), "at", key, tie, ("below", "upto", "cum_km"))
+    lo = F.when(F.col("at") > 0, F.col("below")).otherwise(0)
+    hi = F.coalesce(F.when(F.col("cum_km") == F.col("at"), F.col("upto")).otherwise(F.col("below")), F.lit(1))
+    pos = pos.select(key, *ids, "what", *own, world_x("lon").alias("x"), world_y("lat").alias("y"), F.coalesce(lo, F.lit(0)).cast("long").alias("lo"), hi.cast("long").alias("hi"))
     one = lambda what, c: F.max(F.when(F.col("what") == what, F.col(c)))
-    ends = pos.groupBy(key, *ids).agg(one("d", "x").alias("marker_x"), one("d", "y").alias("marker_y"), F.array(one("d", "x"), one("tail", "x"), one("look", "x")).alias("xs"), F.array(one("d", "y"), one("tail", "y"), one("look", "y")).alias("ys"))
-    m = windows.join(ends, [key, *ids])
-    xs = F.transform("xs", lambda x: unwrap_near(x, F.col("marker_x")))
-    own = ["marker_x", "marker_y", "pad", "arrival", "alignment"]
-    seen = m.select(key, *ids, *own, F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min("ys").alias("y0"), F.array_max("ys").alias("y1"))
+    ends = [one(what, c).alias(f"{what}_{c}") for what in ("d", "tail", "look") for c in "xy"]
+    m = pos.groupBy(key, *ids).agg(*[F.max(c).alias(c) for c in own], *ends, one("tail", "lo").alias("lo"), one("look", "hi").alias("hi"))
+    xs = [F.col("d_x"), unwrap_near(F.col("tail_x"), F.col("d_x")), unwrap_near(F.col("look_x"), F.col("d_x"))]
+    ys = [F.col(f"{what}_y") for what in ("d", "tail", "look")]
+    boxes = {"x0": F.least(*xs), "x1": F.greatest(*xs), "y0": F.least(*ys), "y1": F.greatest(*ys)}
+    d = m.select(key, *ids, F.col("d_x").alias("marker_x"), F.col("d_y").alias("marker_y"), *own, "lo", "hi", *[v.alias(f"b{c}") for c, v in boxes.items()])
     if points:
-        seen = seen.unionByName(seen_bounds(m, h, key, ids, tie), allowMissingColumns=True)
-    d = seen.groupBy(key, *ids).agg(*[F.max(c).alias(c) for c in own], F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"))
-    cx, cy = (F.greatest(F.lit(K.CONTENT_FLOOR), F.col(f"{a}1") - F.col(f"{a}0")) for a in "xy")
+        d = seen_bounds(d, h, key, ids, tie)
+        d = d.withColumns({f"b{c}": (F.least if c[1] == "0" else F.greatest)(f"b{c}", f"s{c}") for c in boxes})
+    cx, cy = (F.greatest(F.lit(K.CONTENT_FLOOR), F.col(f"b{a}1") - F.col(f"b{a}0")) for a in "xy")
     d = d.withColumn("span_y", clamp(F.greatest(cy * F.col("pad"), cx * F.col("pad") / aspect), movement.min_span, K.SPAN_MAX))
-    return d.select(key, *ids, "marker_x", "marker_y", ((F.col("x0") + F.col("x1")) / 2).alias("center_x"), ((F.col("y0") + F.col("y1")) / 2).alias("center_y"), (F.col("span_y") * aspect).alias("span_x"), "span_y", "arrival", "alignment")
+    return d.select(key, *ids, "marker_x", "marker_y", ((F.col("bx0") + F.col("bx1")) / 2).alias("center_x"), ((F.col("by0") + F.col("by1")) / 2).alias("center_y"), (F.col("span_y") * aspect).alias("span_x"), "span_y", "arrival", "alignment")
 
 
 def fixed_span(raw: DataFrame, key: str = "traveler_id") -> DataFrame:

@@ -23,22 +23,23 @@ def as_of(probes: DataFrame, knots: DataFrame, key: str, probe_at: str, knot_at:
     return d.where("__probe = 1").select(*cols, "knot")
 
 
-def positions_at(probes: DataFrame, h: DataFrame, at: str = "d", key: str = "traveler_id", tie: str = "i") -> DataFrame:
+def positions_at(probes: DataFrame, h: DataFrame, at: str = "d", key: str = "traveler_id", tie: str = "i", also: tuple[str, ...] = ()) -> DataFrame:
     """Probes with d clamped to the journey and lat, lon, at_ms, index, fraction there, along great circles.
 
     h are hop rows (see journey.hops) with tie, their index in the journey. A probe falls on the first point at or
-    beyond it (the second point at least); hops without length count as their start. Times are whole milliseconds.
+    beyond it (the second point at least); hops without length count as their start. Times are whole milliseconds. also: further columns of that
+    point, null for a journey of one point.
     """
     total = h.groupBy(key).agg(F.max("cum_km").alias("total_km"), F.max_by(F.struct("lat", "lon", "t_ms"), tie).alias("only"))
     p = probes.join(total, key).withColumn(at, F.greatest(F.lit(0.0), F.least(F.col("total_km"), F.col(at))))
     moving = h.where("lat0 IS NOT NULL")
-    d = as_of(p, moving, key, at, "cum_km", tie, ["lat0", "lon0", "t0_ms", "lat", "lon", "t_ms", "cum0_km", "hop_km", tie], later=True)
+    d = as_of(p, moving, key, at, "cum_km", tie, ["lat0", "lon0", "t0_ms", "lat", "lon", "t_ms", "cum0_km", "hop_km", tie, *[c for c in also if c != tie]], later=True)
     f = F.when(F.col("knot.hop_km") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(at) - F.col("knot.cum0_km")) / F.col("knot.hop_km")))).otherwise(0.0)
     d = d.withColumn("fraction", F.coalesce(f, F.lit(0.0)))
     pos = great_circle(F.col("knot.lat0"), F.col("knot.lon0"), F.col("knot.lat"), F.col("knot.lon"), F.col("fraction"))
     ms = F.col("knot.t0_ms") + ((F.col("knot.t_ms") - F.col("knot.t0_ms")) * F.col("fraction")).cast("long")
     d = d.withColumn("__p", pos)
-    return d.select(*probes.columns, F.coalesce("__p.lat", "only.lat").alias("lat"), F.coalesce("__p.lon", "only.lon").alias("lon"), F.coalesce(ms, F.col("only.t_ms")).alias("at_ms"), F.coalesce(F.col(f"knot.{tie}"), F.lit(0)).cast("long").alias("index"), "fraction")
+    return d.select(*probes.columns, F.coalesce("__p.lat", "only.lat").alias("lat"), F.coalesce("__p.lon", "only.lon").alias("lon"), F.coalesce(ms, F.col("only.t_ms")).alias("at_ms"), F.coalesce(F.col(f"knot.{tie}"), F.lit(0)).cast("long").alias("index"), "fraction", *[f"knot.{c}" for c in also])
 
 
 def legs_at(probes: DataFrame, legs: DataFrame, at: str = "d", key: str = "traveler_id") -> DataFrame:
@@ -56,17 +57,10 @@ def point_index_at(probes: DataFrame, h: DataFrame, at: str = "d", key: str = "t
     return d.select(*probes.columns, F.col(f"knot.{tie}").cast("long").alias("index"))
 
 
-def index_ranges(windows: DataFrame, h: DataFrame, low: str, high: str, ids: tuple[str, ...], key: str = "traveler_id") -> DataFrame:
-    """key, ids, lo, hi: the points lo <= index < hi of the journey lie between low and high, both included.
-
-    Both ends meet the points in one union, sorted once per key; a running count is the index.
-    """
-    end = lambda c, side: F.struct(F.col(c).cast("double").alias("at"), F.lit(side).alias("side"))
-    p = windows.select(key, *ids, F.explode(F.array(end(low, 0), end(high, 2))).alias("e")).select(key, *ids, "e.at", "e.side")
-    d = p.unionByName(h.select(key, F.col("cum_km").cast("double").alias("at"), F.lit(1).alias("side")), allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("n", F.count(F.when(F.col("side") == 1, 1)).over(w)).where("side <> 1")
-    return d.groupBy(key, *ids).agg(F.max(F.when(F.col("side") == 0, F.col("n"))).alias("lo"), F.max(F.when(F.col("side") == 2, F.col("n"))).alias("hi"))
+def ranked(h: DataFrame, key: str = "traveler_id") -> DataFrame:
+    """h with below and upto, how many points of the journey lie before a point's place and how many not behind it."""
+    w = Window.partitionBy(key).orderBy("cum_km")
+    return h.withColumns({"below": (F.rank().over(w) - 1).cast("long"), "upto": F.count("*").over(w)})
 
 
 def progress(n: str | Column = "n", i: str | Column = "frame") -> Column:
