@@ -17,18 +17,25 @@ def _at(name: str, k: int, w) -> Column:
     return F.lag(name, -k).over(w) if k < 0 else F.lead(name, k).over(w) if k else F.col(name)
 
 
-def _resolve(candidates: DataFrame, key: str) -> DataFrame:
-    """key, i of removed rows: overlapping candidates (s, e) are taken from left to right, each keeping the row after it.
+class _Taken(Fold):
+    """Candidates (s, e) from left to right; free is where the next may start, each keeping the row after it."""
 
-    Candidates that touch form an island, and islands don't concern one another; the fold is over one island.
-    """
-    w = Window.partitionBy(key).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    c = candidates.withColumn("new", F.when(F.max("e").over(w) + 1 >= F.col("s"), 0).otherwise(1))
-    c = c.withColumn("island", F.sum("new").over(Window.partitionBy(key).orderBy("s")))
-    c = c.groupBy(key, "island").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("c"))
-    start = F.struct(F.lit(-1).cast("long").alias("next"), F.array().cast("array<bigint>").alias("gone"))
-    step = lambda acc, x: F.when(x["s"] >= acc["next"], F.struct((x["e"] + 2).alias("next"), F.concat(acc["gone"], F.sequence(x["s"], x["e"])).alias("gone"))).otherwise(acc)
-    return c.select(key, F.explode(F.aggregate("c", start, step)["gone"]).alias("i"))
+    def __init__(self) -> None:
+        self.free = -1
+
+    def feed(self, rows: pd.DataFrame) -> list[pd.DataFrame]:
+        keep = []
+        for i, (s, e) in enumerate(zip(rows["s"].to_numpy(), rows["e"].to_numpy(), strict=True)):
+            if s >= self.free:
+                keep.append(i)
+                self.free = e + 2
+        return [rows.take(keep)]
+
+
+def _resolve(candidates: DataFrame, key: str) -> DataFrame:
+    """key, i of removed rows: of candidates (s, e), those that _Taken takes, as a fold that holds one number a key."""
+    c = candidates.select(key, "s", "e")
+    return fold_sorted(c, key, ["s"], _Taken, c.schema).select(key, F.explode(F.sequence("s", "e")).alias("i"))
 
 
 def _numbered(points: DataFrame, key: str, order: list[str]) -> DataFrame:
