@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -130,6 +131,31 @@ def text_chunks(texts: pa.Array | list[str | None], limit: int = CHUNK_BYTES) ->
         i = j
 
 
+def byte_classes(kept: np.ndarray) -> np.ndarray:
+    """A table that maps bytes of words to themselves, A-Z lower-cased, and all others to the space."""
+    t = np.arange(256, dtype=np.uint8)
+    t[65:91] += 32
+    return np.where(kept, t, np.uint8(32))
+
+
+#: The bytes of the words of the alphanumeric tokenisation: digits, letters and all beyond ASCII; and of what is no white space.
+ALNUM = byte_classes(np.array([48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 for c in range(256)]))
+NO_SPACE = byte_classes(np.array([not (c == 32 or 9 <= c <= 13) for c in range(256)]))
+
+
+def numbered_words(texts: pa.Array, classes: np.ndarray, limit: int) -> Iterator[tuple[int, int, pa.Array, np.ndarray, np.ndarray]]:
+    """Runs of texts as (first, last + 1, distinct words, number of each word, offsets of the texts' words)."""
+    for lo, hi, buf, off in text_chunks(texts, limit):
+        a = pa.StringArray.from_buffers(hi - lo, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(classes[buf]))
+        split = pc.ascii_split_whitespace(a)
+        parts = split.flatten()
+        some = pc.not_equal(parts, "")
+        before = np.append(0, np.cumsum(some.to_numpy(zero_copy_only=False)))
+        ends = before[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        d = parts.filter(some).dictionary_encode()
+        yield lo, hi, d.dictionary, d.indices.to_numpy(), ends
+
+
 #: Fixed random values of the hashes, from one seed: the same in every process.
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)

@@ -84,7 +84,15 @@ link AS (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.label = b.la
 n AS (SELECT x, count(*) AS n FROM both_ways GROUP BY x)
 SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(root, vec_id) AS component_id, coalesce(root, vec_id) = vec_id AS kept FROM e LEFT JOIN n ON x = vec_id LEFT JOIN root ON a = vec_id"""
 
+OP13 = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+n AS (SELECT *, len(u) AS n, ('0x' || substr(h, 1, 8))::BIGINT % (len(u) + 1) AS a, ('0x' || substr(h, 9, 8))::BIGINT % (len(u) + 1) AS b FROM d),
+c AS (SELECT *, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain' WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 50 THEN 'spm' ELSE 'psm' END AS form,
+  coalesce(array_to_string(u[1 : least(a, b)], ''), '') AS p, coalesce(array_to_string(u[least(a, b) + 1 : greatest(a, b)], ''), '') AS m, coalesce(array_to_string(u[greatest(a, b) + 1 :], ''), '') AS s FROM n)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM c"""
+
 ORACLES = {
     "op1_license_scans": OP1, "op2_benchmark_decontamination": OP2, "op4_mix_sources": OP4, "secret_base": SECRET_BASE,
     "op6_chat_formatting": OP6, "op7_ngram_jaccard_join": OP7, "op9_embedding_near_dedup": OP9,
+    "op13_fill_in_middle": OP13,
 }

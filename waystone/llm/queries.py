@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import op6_chat_formatting
 from .decontaminate import op2_benchmark_decontamination
 from .embeddings import op9_embedding_near_dedup
+from .fim import op13_fill_in_middle
 from .html import op8_html_extraction
 from .langid import op10_language_id
 from .licenses import op1_license_scans
@@ -16,6 +17,7 @@ from .mixing import op4_mix_sources
 from .ngram_join import op7_ngram_jaccard_join
 from .oracles import ORACLES
 from .quality import op3_quality_classifier
+from .resample import op11_importance_resampling
 from .secrets import op5_secret_scans
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +41,8 @@ def queries() -> dict[str, Query]:
         "op9_embedding_near_dedup": lambda s, d: op9_embedding_near_dedup(t(s, d, "embeddings")),
         "secret_base": lambda s, d: op5_secret_scans(t(s, d, "documents")).drop("spans"),
         "op10_language_id": lambda s, d: op10_language_id(t(s, d, "documents")),
+        "op11_importance_resampling": lambda s, d: op11_importance_resampling(t(s, d, "documents"), t(s, d, "benchmark")),
+        "op13_fill_in_middle": lambda s, d: op13_fill_in_middle(t(s, d, "documents")),
     }
 
 
