@@ -143,16 +143,21 @@ ALNUM = byte_classes(np.array([48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122
 NO_SPACE = byte_classes(np.array([not (c == 32 or 9 <= c <= 13) for c in range(256)]))
 
 
-def numbered_words(texts: pa.Array, classes: np.ndarray, limit: int) -> Iterator[tuple[int, int, pa.Array, np.ndarray, np.ndarray]]:
-    """Runs of texts as (first, last + 1, distinct words, number of each word, offsets of the texts' words)."""
+def split_words(texts: pa.Array, classes: np.ndarray, limit: int) -> Iterator[tuple[int, int, pa.Array, np.ndarray]]:
+    """Runs of texts as (first, last + 1, words end to end, offsets of the texts' words)."""
     for lo, hi, buf, off in text_chunks(texts, limit):
         a = pa.StringArray.from_buffers(hi - lo, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(classes[buf]))
         split = pc.ascii_split_whitespace(a)
         parts = split.flatten()
         some = pc.not_equal(parts, "")
         before = np.append(0, np.cumsum(some.to_numpy(zero_copy_only=False)))
-        ends = before[split.offsets.to_numpy() - split.offsets[0].as_py()]
-        d = parts.filter(some).dictionary_encode()
+        yield lo, hi, parts.filter(some), before[split.offsets.to_numpy() - split.offsets[0].as_py()]
+
+
+def numbered_words(texts: pa.Array, classes: np.ndarray, limit: int) -> Iterator[tuple[int, int, pa.Array, np.ndarray, np.ndarray]]:
+    """Runs of texts as (first, last + 1, distinct words, number of each word, offsets of the texts' words)."""
+    for lo, hi, words, ends in split_words(texts, classes, limit):
+        d = words.dictionary_encode()
         yield lo, hi, d.dictionary, d.indices.to_numpy(), ends
 
 

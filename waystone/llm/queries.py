@@ -13,6 +13,7 @@ from .fim import op13_fill_in_middle
 from .html import op8_html_extraction
 from .langid import op10_language_id
 from .licenses import op1_license_scans
+from .lm import op12_lm_scoring
 from .mixing import op4_mix_sources
 from .ngram_join import op7_ngram_jaccard_join
 from .oracles import ORACLES
@@ -42,6 +43,7 @@ def queries() -> dict[str, Query]:
         "secret_base": lambda s, d: op5_secret_scans(t(s, d, "documents")).drop("spans"),
         "op10_language_id": lambda s, d: op10_language_id(t(s, d, "documents")),
         "op11_importance_resampling": lambda s, d: op11_importance_resampling(t(s, d, "documents"), t(s, d, "benchmark")),
+        "op12_lm_scoring": lambda s, d: op12_lm_scoring(t(s, d, "documents")),
         "op13_fill_in_middle": lambda s, d: op13_fill_in_middle(t(s, d, "documents")),
     }
 

@@ -74,13 +74,13 @@ def suffix_array(ids: np.ndarray, text: np.ndarray, depth: int) -> tuple[np.ndar
     return order, shared
 
 
-def feature_runs(texts: pa.Array, grams: int = GRAM, buckets: int = BUCKETS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]]:
+def feature_runs(texts: pa.Array, grams: int = GRAM, buckets: int = BUCKETS, run_bytes: int = RUN_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]]:
     """Runs of texts as (first, last + 1, words of each text, text of each word, features by length).
 
     Features of a length are (bucket of each distinct one, its run in the suffix array's order as a number a place,
     the places), so each distinct n-gram of a run of texts is hashed once and its bucket scattered to its places.
     """
-    for lo, hi, words, ids, ends in numbered_words(texts, ALNUM, RUN_BYTES):
+    for lo, hi, words, ids, ends in numbered_words(texts, ALNUM, run_bytes):
         raw = words.cast(pa.binary()).to_pylist()
         alone = np.fromiter((zlib.crc32(w) for w in raw), np.uint32, len(raw))
         space = zlib.crc32(b" ")
@@ -108,7 +108,7 @@ def bucket_counts(texts: DataFrame, grams: int = GRAM, buckets: int = BUCKETS) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
         for b in batches:
-            for *_, runs in feature_runs(b.column("text"), grams, buckets):
+            for *_, runs in feature_runs(b.column("text"), grams, buckets, RUN_BYTES):
                 for bucket, of, _ in runs:
                     total += np.bincount(bucket, np.bincount(of, minlength=len(bucket)), buckets).astype(np.int64)
         some = np.flatnonzero(total)
@@ -139,7 +139,7 @@ def importance_weights(docs: DataFrame, gains: np.ndarray, grams: int = GRAM) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, words, total = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
-            for lo, hi, count, text, runs in feature_runs(b.column(name), grams, len(gains)):
+            for lo, hi, count, text, runs in feature_runs(b.column(name), grams, len(gains), RUN_BYTES):
                 words[lo:hi] = count
                 for bucket, of, at in runs:
                     n[lo:hi] += np.bincount(text[at], minlength=hi - lo)
