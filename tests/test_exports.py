@@ -172,3 +172,13 @@ def test_presets_and_settings(spark):
     text = json.dumps([{"id": "1", "name": " My  view "}, {"id": "2", "name": "my view"}, {"name": "no id"}, {"id": "3", "name": "x" * 41}, 7, {"id": "4", "name": "B", "movement": "steady"}])
     d = spark.createDataFrame([(text,), ("broken",), (None,)], "text string")
     assert [(r.id, r.name) for r in catalog.read_presets(d).collect()] == [("1", "My view"), ("4", "B")]
+
+
+def test_plans_hold_few_parsers(spark):
+    """However often points are used, neither the parse nor what comes of it is copied into filters."""
+    e = spark.createDataFrame([("s", 0, "{}")], "source string, idx long, text string")
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    elements = plan(reconcile.reconcile(exports.flatten_segments(exports.parse_elements(e))))
+    documents = plan(reconcile.reconcile(exports.flatten_segments(exports.parse_documents(e.select("source", "text")))))
+    assert 0 < elements.count("parseJson") <= 4 and len(elements) < 100_000
+    assert 0 < documents.count("parseJson") <= 16 and len(documents) < 200_000

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waystone import constants as K
@@ -22,6 +22,12 @@ def let(x: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(x), use), F.lit(0))
 
 
+def held(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that stand behind a generator: each is written once in the plan, and no filter that Catalyst
+    infers or pushes down takes a copy of it along, however often it is used afterwards."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def clamp(x: Num, low: Num, high: Num) -> Column:
     """x kept between low and high; null stays null, which greatest and least alone would skip."""
     return F.when(_c(x).isNotNull(), F.greatest(_c(low), F.least(_c(high), _c(x))))

@@ -15,7 +15,7 @@ from waystone import constants as K
 from waystone.functions import coords, geo, text
 from waystone.operators import camera, clean, frames, journey, lookup, pacing, progress, reconcile, tiles
 from waystone.plans import sql
-from waystone.plans.adapters import export_segments, points, raw_points, table
+from waystone.plans.adapters import export_documents, export_segments, points, raw_points, table
 from waystone.sources import catalog, exports
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -159,15 +159,22 @@ def s4(s: SparkSession, d: str) -> DataFrame:
     return exports.raw_signals(exports.parse_elements(signals)).select("source", F.unix_millis("ts").alias("t_ms"), "lat", "lon", "accuracy_m")
 
 
-DOCUMENTS = ['{"timelineObjects":[]}', '{"rawSignals":[]}', '{"semanticSegments":[]}', "", "  ", '{"semanticSegments":[', "[]", '"text"', '{"locations":[]}', None]
+_SCANNED = f"""{sql.PTS}, visits AS (SELECT * FROM pts WHERE seq % 3 <> 0), paths AS (SELECT traveler_id, seq, t_ms + 120000 AS t_ms, lat, lon FROM pts WHERE seq % 3 = 0),
+kept AS (SELECT * FROM paths p WHERE NOT EXISTS (SELECT 1 FROM visits v WHERE v.traveler_id = p.traveler_id AND p.t_ms BETWEEN v.t_ms AND v.t_ms + 300000)),
+u AS (SELECT traveler_id, t_ms, lat, lon FROM visits UNION ALL SELECT traveler_id, t_ms, lat, lon FROM kept)"""
+
+
+@query("s3_scan_documents", f"WITH {_SCANNED} SELECT DISTINCT CAST(traveler_id AS VARCHAR) AS source, t_ms, lat, lon FROM u WHERE traveler_id % 10 > 5")
+def s3(s: SparkSession, d: str) -> DataFrame:
+    """Every user's export as one document, the root told apart, parsed and reconciled; four of ten hold points."""
+    seg = exports.flatten_segments(exports.parse_documents(export_documents(s, d)))
+    return reconcile.reconcile(seg).select("source", F.unix_millis("ts").alias("t_ms"), "lat", "lon")
 
 
-@query("s5_classify_export", f"""SELECT CAST(i AS VARCHAR) AS source, CASE WHEN coalesce(trim(s), '') = '' THEN 'EMPTY' WHEN NOT json_valid(s) THEN 'MALFORMED' WHEN json_exists(j, '$.rawSignals') THEN 'RAW_ONLY'
- WHEN json_exists(j, '$.timelineObjects') OR json_exists(j, '$.locations') THEN 'LEGACY' WHEN json_type(j) = 'ARRAY' OR json_exists(j, '$.semanticSegments') THEN 'NO_USABLE' ELSE 'UNSUPPORTED' END AS reason
- FROM (SELECT *, CASE WHEN json_valid(coalesce(s, 'x')) THEN s::JSON END AS j FROM {values(DOCUMENTS)})""")
+@query("s5_classify_export", f"""WITH {sql.PTS} SELECT CAST(traveler_id AS VARCHAR) AS source, ['EMPTY', 'MALFORMED', 'LEGACY', 'RAW_ONLY', 'UNSUPPORTED', 'NO_USABLE', 'OK', 'OK', 'OK', 'OK'][(traveler_id % 10 + 1)::INT] AS reason,
+ CASE WHEN traveler_id % 10 > 5 THEN count(*) ELSE 0 END AS n_points FROM pts GROUP BY traveler_id""")
 def s5(s: SparkSession, d: str) -> DataFrame:
-    v = literals(s, DOCUMENTS).select(F.col("i").cast("string").alias("source"), F.col("s").alias("text"))
-    return exports.classify_exports(exports.parse_documents(v)).select("source", "reason")
+    return exports.classify_exports(exports.parse_documents(export_documents(s, d))).select("source", "reason", "n_points")
 
 
 RECORDS = ['[{"uri":"a","title":"","fileName":"trip.one.mp4","createdAtMillis":5,"year":2023},{"title":"lost"},{"uri":"b","title":"B","createdAtMillis":9,"startYear":2024,"startMonth":2,"durationSeconds":-4}]', "broken", None]

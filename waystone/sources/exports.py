@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waystone.functions.coords import offset_instant, parse_coordinate, parse_instant, parse_number, parse_offset_minutes, tz_missing
-from waystone.functions.geo import in_domain, let
+from waystone.functions.geo import held, in_domain, let
 
 DOC = "source string, text string"
 
@@ -35,7 +35,7 @@ def read_elements(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def parse_elements(elements: DataFrame) -> DataFrame:
     """Elements (source, idx, text: a segment or a raw signal) with element (VARIANT, null if malformed)."""
-    return elements.withColumn("element", F.try_parse_json("text"))
+    return held(elements, element=F.try_parse_json("text"))
 
 
 def parse_documents(docs: DataFrame, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
@@ -74,7 +74,7 @@ def _elements(parsed: DataFrame, array: str, idx: str, name: str) -> DataFrame:
     if "element" in parsed.columns:
         return parsed.select("source", F.col("idx").alias(idx), F.col("element").alias(name))
     e = parsed.select("source", F.posexplode(array).alias(idx, "e"))
-    return e.select("source", idx, F.coalesce("e.v", F.try_parse_json("e.t")).alias(name))
+    return held(e, **{name: F.coalesce("e.v", F.try_parse_json("e.t"))}).select("source", idx, name)
 
 
 def _text(v: Column | str, path: str) -> Column:
@@ -95,8 +95,8 @@ def flatten_segments(parsed: DataFrame) -> DataFrame:
     """
     s = _elements(parsed, "segments", "seg_idx", "s")
     s = s.select("source", "seg_idx", "s", _text("s", "$.startTime").alias("t0"), _text("s", "$.endTime").alias("t1"), F.try_variant_get("s", "$.timelinePath", "array<variant>").alias("path"))
-    s = s.withColumn("st", parse_instant(F.col("t0"))).withColumn("en", parse_instant(F.col("t1")))
-    s = s.withColumn("zoned", F.coalesce(~tz_missing(F.col("t0")) & ~tz_missing(F.col("t1")), F.lit(False)))
+    zoned = F.coalesce(~tz_missing(F.col("t0")) & ~tz_missing(F.col("t1")), F.lit(False))
+    s = held(s, st=parse_instant(F.col("t0")), en=parse_instant(F.col("t1")), zoned=zoned)
 
     def point(order: Column, kind: str, ts: Column, raw: Column, at: Column) -> Column:
         def shape(v: Column) -> Column:
@@ -124,7 +124,7 @@ def flatten_segments(parsed: DataFrame) -> DataFrame:
             point(last + 2, "end", F.col("en"), F.col("t1"), _coordinate("s", "$.activity.end")),
         ),
     )
-    s = s.withColumn("points", F.filter(points, lambda p: p["ts"].isNotNull() & p["lat"].isNotNull() & in_domain(p["lat"], p["lon"])))
+    s = held(s, points=F.filter(points, lambda p: p["ts"].isNotNull() & p["lat"].isNotNull() & in_domain(p["lat"], p["lon"])))
     semantic = F.exists("points", lambda p: p["kind"] != "path")
     return s.select("source", "seg_idx", "st", "en", "zoned", semantic.alias("semantic"), (F.col("path").isNotNull() & ~semantic).alias("standalone"), "points")
 
@@ -143,8 +143,9 @@ def raw_signals(parsed: DataFrame) -> DataFrame:
     """Source, ord, ts, lat, lon, accuracy_m of raw position signals; other kinds and bad values are left out."""
     r = _elements(parsed, "signals", "ord", "r")
     at = parse_coordinate(F.coalesce(_text("r", "$.position.LatLng"), _text("r", "$.position.latLng")))
-    r = r.select("source", "ord", parse_instant(_text("r", "$.position.timestamp"), strict=True).alias("ts"), at["lat"].alias("lat"), at["lon"].alias("lon"), parse_number(_text("r", "$.position.accuracyMeters")).alias("accuracy_m"))
-    return r.where("ts IS NOT NULL AND lat IS NOT NULL AND accuracy_m >= 0")
+    r = held(r, ts=parse_instant(_text("r", "$.position.timestamp"), strict=True), at=at, accuracy_m=parse_number(_text("r", "$.position.accuracyMeters")))
+    r = r.where("ts IS NOT NULL AND at IS NOT NULL AND accuracy_m >= 0")
+    return r.select("source", "ord", "ts", "at.lat", "at.lon", "accuracy_m")
 
 
 def classify_exports(parsed: DataFrame) -> DataFrame:
