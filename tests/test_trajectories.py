@@ -255,4 +255,4 @@ def test_export_requests_are_replaced(spark, tmp_path):
     q = spark.createDataFrame([(1, 8, 2020, 1, 2021, 2, "dynamic", "strong", "balanced", "close", True, 0.5, 10)], "id int, version int, start_year int, start_month int, end_year int, end_month int, movement string, pacing string, detection string, framing string, framing_on boolean, scale double, points int")
     for _ in range(2):
         catalog.write_export_requests(q.drop("version"), str(tmp_path / "requests"))
-    assert [r.framing for r in catalog.read_export_requests(spark.read.parquet(str(tmp_path / "requests"))).collect()] == ["close"]
+    assert [r.framing for r in catalog.stored_export_requests(spark, str(tmp_path / "requests")).collect()] == ["close"]

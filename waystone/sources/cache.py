@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from waystone.functions.geo import in_domain
 from waystone.functions.text import uri_key
+from waystone.sources import commit
 
-VERSION = 1
+#: Versions of an entry's columns and of the parser that made them; entries of others are made anew.
+FORMAT, PARSER = 2, 1
 
 
 def fingerprint(spark: SparkSession, path: str) -> str:
@@ -20,24 +21,21 @@ def fingerprint(spark: SparkSession, path: str) -> str:
     return f.agg(F.bit_xor(F.xxhash64("f")).alias("a"), F.sum(F.xxhash64(F.lit(1), "f").cast("decimal(38,0)")).alias("b")).select(uri_key(F.concat_ws("|", F.lit(path), "a", "b")).alias("k")).first()["k"]
 
 
-def _place(root: str, key: str) -> str:
-    return f"{root}/v{VERSION}/{key}"
+def write_cache(points: DataFrame, root: str, key: str, parser: int = PARSER) -> None:
+    """K2: in place of an older entry, which stays readable until the new one is whole and if the write fails."""
+    commit.publish(points, f"{root}/{key}", FORMAT, parser)
 
 
-def write_cache(points: DataFrame, root: str, key: str) -> None:
-    """K2: in place of an older entry; Spark commits the files together."""
-    points.write.mode("overwrite").parquet(_place(root, key))
-
-
-def read_cache(spark: SparkSession, root: str, key: str, columns: list[str]) -> DataFrame | None:
-    """The entry, or None where there is none, it can't be read, lacks columns or holds points outside the domain."""
-    try:
-        d = spark.read.parquet(_place(root, key))
-        if not set(columns) <= set(d.columns) or d.where(~in_domain("lat", "lon") | F.col("lat").isNull() | F.col("lon").isNull()).limit(1).count():
-            return None
-        return d.select(*columns)
-    except AnalysisException:
+def read_cache(spark: SparkSession, root: str, key: str, columns: list[str], parser: int = PARSER) -> DataFrame | None:
+    """The entry, or None where there is none, another version made it, its rows aren't those that were written,
+    or it lacks columns or holds points outside the domain; what is broken is removed."""
+    d = commit.current(spark, f"{root}/{key}", FORMAT, parser)
+    if d is None:
+        return None
+    if not set(columns) <= set(d.columns) or d.where(~in_domain("lat", "lon") | F.col("lat").isNull() | F.col("lon").isNull()).limit(1).count():
+        commit.forget(spark, f"{root}/{key}")
         return None
+    return d.select(*columns)
 
 
 def load(spark: SparkSession, path: str, root: str, parse: Callable[[], DataFrame], columns: list[str], use_cache: bool = True) -> DataFrame:

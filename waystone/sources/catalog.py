@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from waystone import constants as K
 from waystone.functions.text import normalise_preset_name
+from waystone.sources import commit
 
 RECORD = "uri string, title string, fileName string, createdAtMillis bigint, durationSeconds int, year int, startYear int, startMonth int, endYear int, endMonth int"
 PRESET = "id string, name string, movement string, aspect string, detection string, framing string, pacing string"
@@ -129,7 +130,13 @@ def read_export_requests(stored: DataFrame) -> DataFrame:
 
 def write_export_requests(requests: DataFrame, path: str) -> None:
     """K3: requests as today's version, in place of what is there; a write that fails leaves the old ones."""
-    requests.withColumn("version", F.lit(K.REQUEST_VERSION)).write.mode("overwrite").parquet(path)
+    commit.publish(requests.withColumn("version", F.lit(K.REQUEST_VERSION)), path)
+
+
+def stored_export_requests(spark: SparkSession, path: str) -> DataFrame | None:
+    """The requests that were written last, as read_export_requests gives them; None where there are none."""
+    d = commit.current(spark, path)
+    return None if d is None else read_export_requests(d)
 
 
 #: Keys of settings that are read once more and then removed.
