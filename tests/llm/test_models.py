@@ -9,9 +9,11 @@ from collections import Counter
 import numpy as np
 import pytest
 from brute import kneser_ney, letters
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from waystone.llm import html
+from waystone.llm import html, quality
 from waystone.llm.langid import build_models, gram_counts, op10_language_id, score_languages, train_languages
 from waystone.llm.quality import document_statistics, fit_forest, keep_quality, op3_quality_classifier, train_quality
 from waystone.llm.secrets import RULES, find_secrets, grams_of, op5_secret_scans, redact_secrets, trigram_query
@@ -266,3 +268,37 @@ def test_op10_sample_is_bounded(spark):
     clash = long.select("doc_id", "text", F.lit(1).alias("rejected"), F.lit("x").alias("lang_pred"))
     out = score_languages(clash, m)
     assert out.columns == ["doc_id", "text", "lang_pred", "score", "cross_entropy", "rejected"] and out.where("lang_pred = 'en'").count() == 500
+
+
+def test_quality_fits_one_text_of_an_id(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit_forest", lambda x, y: seen.append(len(x)) or quality.Forest(0.0, np.zeros((0, 15), int), np.zeros((0, 15)), np.zeros((0, 16))))
+    docs = spark.range(3000).selectExpr("id % 3 AS doc_id", "if(id % 7 = 0, null, repeat('word ', int(id % 50))) AS text", "9 AS quality")
+    labels = spark.createDataFrame([(i, 1) for i in (0, 1, 2, 1)] + [(5, 0)], "doc_id long, quality int")
+    quality.train_quality(docs, labels)
+    fits = [i for i in range(3) if zlib.crc32(str(i).encode()) % 5]
+    assert seen == [len(fits)]
+    assert quality.op3_quality_classifier(docs, labels).count() == 3000
+
+
+def test_signed_tokens_take_time_in_proportion(spark):
+    rule = next(r for r in RULES if r.kind == "signed")
+    token = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTYifQ.c2lnbmF0dXJlLW9mLWl0"
+    text = "eyJ" * 300_000 + " .eyJ x_" + token + "," + token
+    (row,) = find_secrets(spark.createDataFrame([(text,)], "text string"), (rule,)).collect()
+    assert [text[s.start : s.end] for s in row.secrets] == [token, token]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["eyJ", "abcdefgh", "ab", ".", ".eyJ", " ", "-", "eyJabcdefgh", "eyJabcdefgh.eyJabcdefgh."]), max_size=9).map("".join))
+def test_signed_tokens_are_those_of_the_plain_expression(text):
+    rule, part = next(r for r in RULES if r.kind == "signed"), "[A-Za-z0-9_-]{8,}"
+    assert [m.span(1) for m in re.finditer(rule.pattern, text)] == [m.span() for m in re.finditer(rf"eyJ{part}\.eyJ{part}\.{part}", text)]
+
+
+@pytest.mark.parametrize("pattern,text", [("a{2}bcd?e", "xaabce"), ("(?:ab|cd)+xyz", "abcdxyz"), ("[^a]bcd", "zbcd"), (r"\x41bc\.de", "Abc.de"), ("(?P<n>abc)def", "abcdef"), ("(?<!x)abc(?=d)", "abcd"), ("a(?>bc|bcd)ef", "abcef"), (r"\wabc\b", "zabc"), ("[]abc]xyz", "]xyz")])
+def test_queries_hold_for_what_matches(pattern, text):
+    def holds(q):
+        return q[0] == "all" or (q[1] in text.lower().encode() if q[0] == "gram" else (all if q[0] == "and" else any)(map(holds, q[1])))
+
+    assert re.search(pattern, text) and holds(trigram_query(pattern))

@@ -74,6 +74,23 @@ def test_op2_edges(spark):
     assert kept.columns == docs.columns and kept.count() == len(ODD) - 1
 
 
+def test_op2_takes_time_in_proportion_to_a_text(spark):
+    import random
+    import time
+
+    r = random.Random(5)
+    item = " ".join(str(r.randrange(10**6)) for _ in range(30))
+    items, took = spark.createDataFrame([(1, item), (2, "three words only")], "item_id long, text string"), []
+    for n in (10, 150_000, 600_000):
+        text = " ".join([str(r.randrange(10**6)) for _ in range(n)] + [item, "three words only"])
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.time()
+        (row,) = op2_benchmark_decontamination(docs, items).collect()
+        took.append(time.time() - began)
+        assert (row.n_words, row.n_hit, row.n_items) == (n + 33, 33, 2)
+    assert took[2] < 8 * took[1] + 10  # sixteen times as long, were it to grow with the square
+
+
 @pytest.mark.parametrize("which", ["odd", "table"])
 def test_op4_targets_and_taken(spark, sf_dir, which):
     docs = odd(spark) if which == "odd" else read(spark, sf_dir, "documents")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waystone.functions.geo import held
+
 from .common import free_names, materialize, small_enough, words
 
 #: Shared spans of WINDOW words are found without exception: GRAM + SPAN - 1.
@@ -21,14 +23,17 @@ def _shift(a: Column, n: int) -> Column:
 
 
 def _minima(d: DataFrame) -> DataFrame:
-    """Adds grams (hash of the GRAM words at each place, its low 3 bits the place mod 8) and mins (least of SPAN)."""
+    """Adds grams (hash of the GRAM words at each place, its low 3 bits the place mod 8) and mins (least of SPAN).
+
+    g stands behind a generator: named inside a lambda, it would be worked out again for every place.
+    """
     two = lambda a, b: F.xxhash64(a, b)
     least = lambda a, b: F.least(a, b)
     d = d.withColumn("h1", F.transform("w", lambda x: F.xxhash64(x)))
     d = d.withColumn("h2", F.zip_with("h1", _shift(F.col("h1"), 1), two))
     d = d.withColumn("h4", F.zip_with("h2", _shift(F.col("h2"), 2), two))
     d = d.withColumn("h5", F.slice(F.zip_with("h4", _shift(F.col("h1"), 4), two), 1, F.greatest(F.size("w") - (GRAM - 1), F.lit(0))))
-    d = d.withColumn("g", F.transform("h5", lambda x, i: x.bitwiseAND(-8) + F.pmod(i, F.lit(8))))
+    d = held(d, g=F.transform("h5", lambda x, i: x.bitwiseAND(-8) + F.pmod(i, F.lit(8))))
     d = d.withColumn("m2", F.zip_with("g", _shift(F.col("g"), 1), least))
     d = d.withColumn("m4", F.zip_with("m2", _shift(F.col("m2"), 2), least))
     return d.withColumn("mins", F.slice(F.zip_with("m4", _shift(F.col("m2"), 4), least), 1, F.greatest(F.size("w") - (WINDOW - 1), F.lit(0))))
@@ -52,8 +57,9 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
 
 def _whole_probes(n: int) -> Column:
     """Probes of every run of n words, for items of n words."""
+    run = lambda p: F.array(*[F.get("w", p + k) for k in range(n)])  # noqa: E731  item by item: a slice in a lambda would read the whole array
     places = F.when(F.size("w") >= n, F.sequence(F.lit(0), F.size("w") - n)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda p: F.struct(F.xxhash64(F.array_join(F.slice("w", p + 1, n), " ")).alias("fp"), p.alias("pos"), F.lit(n).alias("n")))
+    return F.transform(places, lambda p: F.struct(F.xxhash64(F.array_join(run(p), " ")).alias("fp"), p.alias("pos"), F.lit(n).alias("n"), run(p).alias("near")))
 
 
 def contaminated_places(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -64,22 +70,21 @@ def contaminated_places(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     tests = benchmark_windows(benchmark)
     lengths = [r[0] for r in tests.where(F.col("len") < WINDOW).select("len").distinct().collect()]  # nine at most
-    d = docs.select("doc_id", words(F.col("text")).alias("w")).withColumn("row", F.monotonically_increasing_id())
-    d = _minima(d).withColumn("keep", F.array_distinct(F.transform("mins", lambda m, j: j + F.pmod(m.bitwiseAND(7).cast("int") - j, F.lit(8)))))
-    probes = F.transform("keep", lambda p: F.struct(F.get("g", p).bitwiseAND(-8).alias("fp"), p.alias("pos"), F.lit(WINDOW).alias("n")))
+    d = held(docs.select("doc_id", "text"), row=F.monotonically_increasing_id(), w=words(F.col("text"))).select("row", "doc_id", "w")
+    d = _minima(d).select("row", "doc_id", "w", "g", "mins")
+    d = held(d, n_words=F.size("w"), keep=F.array_distinct(F.transform("mins", lambda m, j: j + F.pmod(m.bitwiseAND(7).cast("int") - j, F.lit(8)))))
+    near = lambda p: F.array(*[F.get("w", p + k) for k in range(1 - SPAN, WINDOW)])
+    probes = F.transform("keep", lambda p: F.struct(F.get("g", p).bitwiseAND(-8).alias("fp"), p.alias("pos"), F.lit(WINDOW).alias("n"), near(p).alias("near")))
     for n in sorted(lengths):
         probes = F.concat(probes, _whole_probes(n))
+    d = d.select("row", "doc_id", "n_words", F.posexplode_outer(probes).alias("i", "probe"))  # no array of the text goes beside its probes
+    d = d.select("row", "doc_id", "n_words", "i", F.col("probe.fp").alias("p_fp"), F.col("probe.pos").alias("pos"), F.col("probe.n").alias("n"), F.col("probe.near").alias("near"))
     wide = not small_enough(tests, BROADCAST_WINDOWS)
-    d = d.select("row", "doc_id", "w", F.size("w").alias("n_words"), F.posexplode_outer(probes).alias("i", "probe"))
-    d = d.select("row", "doc_id", "w", "n_words", "i", F.col("probe.fp").alias("p_fp"), F.col("probe.pos").alias("pos"), F.col("probe.n").alias("n"))
     itself = F.coalesce("i", F.lit(0)) == 0
-    base = F.lit(0)
-    if wide:  # the windows are too many to broadcast: the words around each gram go through the shuffle
-        base = F.greatest(F.col("pos") - (SPAN - 1), F.lit(0))
-        d = d.withColumn("w", F.slice("w", base + 1, F.lit(WINDOW + SPAN - 1)))
+    base = F.when(F.col("n") == WINDOW, F.col("pos") - (SPAN - 1)).otherwise(F.col("pos"))
     start = F.col("pos") - F.col("off")
     same = (F.col("p_fp") == F.col("fp")) & (F.col("n") == F.col("len")) & (start >= 0) & (start + F.col("len") <= F.col("n_words"))
-    same = same & (F.array_join(F.slice("w", F.greatest(start - base, F.lit(0)) + 1, F.col("len")), " ") == F.col("text"))
+    same = same & (F.array_join(F.slice("near", F.greatest(start - base, F.lit(0)) + 1, F.col("len")), " ") == F.col("text"))
     out = ["row", "doc_id", "n_words", F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), start.alias("start"), "len"]
     if wide:
         hits = d.join(tests, same).select(*out)

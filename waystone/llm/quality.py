@@ -161,14 +161,16 @@ def fold(doc_id: Column, folds: int) -> Column:
 def train_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, sample_rows: int = SAMPLE_ROWS) -> Forest:
     """A classifier of labels (doc_id, quality 0/1) from the texts of docs, learnt outside fold 0.
 
-    It sees at most sample_rows labelled ids, those of least hash, so what is broadcast and gathered is bounded.
+    It sees at most sample_rows labelled ids, those of least hash, and one text of each, of several the least, so what
+    is broadcast, gathered and fitted on is bounded, whatever repeats.
     Other values of quality, and nulls, are no labels; of differing labels for an id the larger counts. Without
     labels the classifier has no trees and scores 0.5.
     """
     y = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("quality IN (0, 1) AND doc_id IS NOT NULL")
     y = y.where(fold(F.col("doc_id"), folds) != 0).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     y = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    seen = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(y), "doc_id").select("doc_id", "quality", "text")
+    seen = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(y), "doc_id")
+    seen = seen.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
 
     def statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

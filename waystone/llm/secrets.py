@@ -11,21 +11,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from re import _constants as C
-from re import _parser
 
 from .common import free_names, text_chunks, with_fields
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A kind of secret; group's length must be at least least, else the match is dropped."""
+    """A kind of secret; group's length must be at least least, else the match is dropped. What found says is the secret."""
 
     kind: str
     pattern: str
     least: int = 0
     group: int = 0
     fold: bool = False
+    found: int = 0
 
 
 #: A PEM key: from its BEGIN line to the END line, if no other BEGIN or END line comes first; else to the end of the base64
@@ -49,7 +48,8 @@ RULES = (
     Rule("chat_hook", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("cloud_key", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("payment", r"[sr]k_(?:live|test)_[A-Za-z0-9]{16,}"),
-    Rule("signed", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    # one try a run of its characters, from the first eyJ on: none later in the run could do better
+    Rule("signed", r"(?<![A-Za-z0-9_-])(?>[A-Za-z0-9_-]*?(?=eyJ))(eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)", found=1),
     Rule("bearer", r"bearer\x20+[A-Za-z0-9+/_.=-]{20,}", fold=True),
     Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\s:/@]*+:[^\s:/@]{3,}+@[A-Za-z0-9]"),
 )
@@ -72,54 +72,119 @@ def _of_strings(strings: set[bytes]) -> tuple:
     return _both("or", [_both("and", [("gram", s[i : i + 3]) for i in range(len(s) - 2)]) for s in sorted(strings)])
 
 
-def _class(items: list) -> set[bytes] | None:
-    """The lower-cased members of a small character class of ASCII."""
-    out: set[bytes] = set()
-    for op, v in items:
-        if op is C.LITERAL and v < 128:
-            out.add(bytes([v]).lower())
-        elif op is C.RANGE and v[1] < 128:
-            out |= {bytes([c]).lower() for c in range(v[0], v[1] + 1)}
-        else:
-            return None
-    return out if len(out) <= EXACT else None
-
-
-def _walk(nodes) -> tuple[set[bytes] | None, tuple]:
-    """(the strings that the sequence matches, if they are few; what any match must contain)."""
-    run, must, whole = {b""}, [], True
-    for op, v in nodes:
-        exact, query = None, ALL
-        if op is C.LITERAL and v < 128:
-            exact = {bytes([v]).lower()}
-        elif op is C.IN:
-            exact = _class(v)
-        elif op is C.SUBPATTERN:
-            exact, query = _walk(v[3])
-        elif op is C.BRANCH:
-            parts = [_walk(p) for p in v[1]]
-            exact = set().union(*[p[0] for p in parts]) if all(p[0] is not None for p in parts) else None
-            query = _both("or", [p[1] for p in parts])
-        elif op in (C.MAX_REPEAT, C.MIN_REPEAT):
-            low, high, inner = v
-            some, query = _walk(inner)
-            if low == 0:
-                query = ALL
-            if some is not None and high == 1:
-                exact = some | ({b""} if low == 0 else set())
-        elif op is C.AT:
-            exact = {b""}
-        if exact is not None and len(run) * len(exact) <= EXACT:
-            run = {a + b for a, b in product(run, exact)}
+class _Expression:
+    """What a regular expression's parts must match, read from left to right.
+
+    It knows characters, escapes, classes, groups of every sort, branches and repeats; what it doesn't know (classes
+    of many, negated or named characters, look-arounds, references) says nothing, which is always right.
+    """
+
+    def __init__(self, pattern: str):
+        self.text, self.at = pattern, 0
+
+    def ahead(self, *options: str) -> str:
+        """The option that comes next, which is then read; else the empty string."""
+        found = next((o for o in options if self.text.startswith(o, self.at)), "")
+        self.at += len(found)
+        return found
+
+    def branches(self) -> tuple[set[bytes] | None, tuple]:
+        """(the strings that the branches match, if they are few; what any match must contain)."""
+        parts = [self.sequence()]
+        while self.ahead("|"):
+            parts.append(self.sequence())
+        if len(parts) == 1:
+            return parts[0]
+        exact = set().union(*[p[0] for p in parts]) if all(p[0] is not None for p in parts) else None
+        return exact, _both("or", [p[1] for p in parts])
+
+    def sequence(self) -> tuple[set[bytes] | None, tuple]:
+        run, must, whole = {b""}, [], True
+        while self.at < len(self.text) and self.text[self.at] not in "|)":
+            exact, query = self.repeated()
+            if exact is not None and len(run) * len(exact) <= EXACT:
+                run = {a + b for a, b in product(run, exact)}
+            else:
+                must += [query, _of_strings(run)]
+                run, whole = exact or {b""}, False
+        return (run if whole else None), _both("and", [*must, _of_strings(run)])
+
+    def repeated(self) -> tuple[set[bytes] | None, tuple]:
+        exact, query = self.atom()
+        low, high = 1, 1
+        if sign := self.ahead("*", "+", "?"):
+            low, high = {"*": (0, None), "+": (1, None), "?": (0, 1)}[sign]
+        elif m := re.compile(r"\{(\d*)(,?)(\d*)\}").match(self.text, self.at):
+            self.at = m.end()
+            low = int(m[1] or 0)
+            high = low if not m[2] else int(m[3]) if m[3] else None
         else:
-            must += [query, _of_strings(run)]
-            run, whole = exact or {b""}, False
-    return (run if whole else None), _both("and", [*must, _of_strings(run)])
+            return exact, query
+        self.ahead("+", "?")
+        if high == 1:
+            return (exact | {b""} if exact is not None and low == 0 else exact), (query if low else ALL)
+        return None, (query if low else ALL)
+
+    def atom(self) -> tuple[set[bytes] | None, tuple]:
+        if self.ahead("("):
+            kind = self.ahead("?:", "?>", "?=", "?!", "?<=", "?<!") or self.ahead("?P<", "?")
+            if kind in ("?P<", "?"):
+                if kind == "?":
+                    raise ValueError(f"group at {self.at} of {self.text!r}")
+                self.at = self.text.index(">", self.at) + 1
+            exact, query = self.branches()
+            if not self.ahead(")"):
+                raise ValueError(f"no end of a group in {self.text!r}")
+            if kind in ("?=", "?!", "?<=", "?<!"):
+                return {b""}, ALL
+            return exact, query
+        if self.ahead("["):
+            return self.members(), ALL
+        if self.ahead("^", "$"):
+            return {b""}, ALL
+        if self.ahead("."):
+            return None, ALL
+        c = self.character()
+        return ({b""} if c == "" else None if c is None or ord(c) > 127 else {c.lower().encode()}), ALL
+
+    def character(self) -> str | None:
+        """The next character; none ("") for a place, None for one of several."""
+        c = self.text[self.at]
+        self.at += 1
+        if c != "\\":
+            return c
+        c = self.text[self.at]
+        self.at += 1
+        if c == "x":
+            self.at += 2
+            return chr(int(self.text[self.at - 2 : self.at], 16))
+        if c in "AbBZ":
+            return ""
+        if c in "nrtfva0":
+            return {"n": "\n", "r": "\r", "t": "\t", "f": "\f", "v": "\v", "a": "\a", "0": "\0"}[c]
+        return None if c.isalnum() else c
+
+    def members(self) -> set[bytes] | None:
+        """The lower-cased members of a class of few ASCII characters; its bracket has been read."""
+        known, out = not self.ahead("^"), set()
+        first = True
+        while first or self.text[self.at] != "]":
+            first = False
+            low = high = self.character()
+            if self.text[self.at] == "-" and self.text[self.at + 1] != "]":
+                self.at += 1
+                high = self.character()
+            if low and high and ord(high) < 128:
+                out |= {bytes([c]).lower() for c in range(ord(low), ord(high) + 1)}
+            else:
+                known = False
+        self.at += 1
+        return out if known and len(out) <= EXACT else None
 
 
 def trigram_query(pattern: str) -> tuple:
     """What trigrams of lower-cased bytes a text must hold for pattern to match: a Boolean query, or ALL."""
-    return _walk(_parser.parse(pattern))[1]
+    return _Expression(pattern).branches()[1]
 
 
 def grams_of(query: tuple) -> set[bytes]:
@@ -163,7 +228,7 @@ class Index:
 
 
 def _matches(rule: Rule, text: str, find: re.Pattern) -> list[tuple[int, int]]:
-    return [m.span() for m in find.finditer(text) if m.end(rule.group) - m.start(rule.group) >= rule.least]
+    return [m.span(rule.found) for m in find.finditer(text) if m.end(rule.group) - m.start(rule.group) >= rule.least]
 
 
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, column: str = "secrets") -> DataFrame:
