@@ -5,6 +5,7 @@ from __future__ import annotations
 import html as _html
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -15,11 +16,13 @@ from pyspark.sql import DataFrame
 
 from .common import with_fields
 
+#: Nodes of pages that are judged at once, if no single page has more.
+RUN_NODES = 20_000
 #: Attributes up to a tag's end: a quote right after = runs to its fellow, whatever stands inside; elsewhere quotes say nothing.
 _ATTR = r"""[^>=]*+(?:=\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])[^\s>]*+)[^>=]*+)*+"""
 _TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([A-Za-z][^\s/>]*)({_ATTR}|[^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 _NAMED = re.compile(r"""(?:^|[\s"'])(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-_ANY_TAG = re.compile(r"<[^>]*>")
+_NO_TEXT = re.compile(r"(?:\s|<[^>]*>)*+")
 
 #: Elements by how the parser treats them.
 VOID = frozenset("area base basefont bgsound br col embed frame hr img input keygen link meta param source track wbr".split())
@@ -34,18 +37,25 @@ CLOSES_ITSELF = {"li": "ul ol menu", "dt": "dl", "dd": "dl", "tr": "table thead
 SAME_GROUP = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "thead": ("thead", "tbody", "tfoot"), "tbody": ("thead", "tbody", "tfoot"), "tfoot": ("thead", "tbody", "tfoot")}
 PARTS = frozenset("li dt dd tr td th thead tbody tfoot figcaption option".split())
 
+_ENDS = re.compile(rf"</({'|'.join(sorted(RAW | EMBEDS))})(?=[\s/>])", re.I)
+
 #: Element names and parts of class, id and role that are features of a node.
 TAGS = "text html body main article section div p h1 h2 h3 h4 h5 h6 header footer nav aside form ul ol li dl table tr td figure figcaption blockquote pre button fieldset dialog address details center menu noscript object template select video xmp".split()
-WORDS = (
+FRAME_WORDS = (
     "nav menu header footer side sidebar ad ads advert sponsor promo banner cookie consent notice privacy popup modal overlay newsletter subscribe "
     "signup share social comment reply discuss respond related recommend more breadcrumb pag login search form widget copyright legal tag toolbar "
-    "alert hidden skip toc rating user avatar article content post entry main body story text page wrapper container title headline lead summary"
+    "alert hidden skip toc rating user avatar"
 ).split()
+WORDS = FRAME_WORDS + "article content post entry main body story text page wrapper container title headline lead summary".split()
+#: Parts of names that tell of a page's state (has-sidebar, no-comments), not of what the element holds.
+STATES = frozenset("has have no not non with without is are allow allows enable enabled disable disabled hide hides show shows on off open closed".split())
+#: An element with more than this share of a page's text wraps the page; what its names say of parts around the text is not said of it.
+WRAPS = 0.97
 SIGNS = ("©", "|", "»", "→", "•", "·")
 NAMES = len(TAGS) + len(WORDS)
-KINDS = 9  #: features of a text's shape
+KINDS = 9  #: features of a text's shape, lengths in UTF-8 bytes, so that scripts without spaces count alike
 SHAPES = 8  #: features of what a node holds: its length and share of links
-FEATURES = 2 * NAMES + len(SIGNS) + KINDS + 4 * SHAPES + 1
+FEATURES = 2 * NAMES + len(SIGNS) + KINDS + 4 * SHAPES + 3  #: the last: the node wraps the page, the page is bare, always
 
 
 @dataclass
@@ -71,6 +81,8 @@ def parse_page(source: str | None) -> Page:
     page = Page([-1], ["html"], [""], [None], [0])
     stack: list[tuple[str, int]] = [("html", 0)]
     run: list[str] = []
+    ends: dict[str, list[int]] = {}
+    empty = (0, -1)  # from the first of these places to the second there are tags and white space alone
     links = [0, 0]  # open anchors, characters in them
 
     def add(tag: str, name: str, text: str | None = None, linked: int = 0) -> None:
@@ -103,6 +115,8 @@ def parse_page(source: str | None) -> Page:
                 links[1] += len(t)
 
     source = source or ""
+    for m in _ENDS.finditer(source):  # all in one pass, whatever stays open
+        ends.setdefault(m[1].lower(), []).append(m.start())
     at = 0
     while m := _TOKEN.search(source, at):
         say(source[at : m.start()])
@@ -117,9 +131,13 @@ def parse_page(source: str | None) -> Page:
             elif name == "br":
                 run.append("\n")
             continue
-        end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(source, at) if name in RAW or name in EMBEDS else None
+        end = -1
+        if name in RAW or name in EMBEDS:
+            places = ends.get(name, [])
+            k = bisect_left(places, at)
+            end = places[k] if k < len(places) else -1
         if name in RAW:
-            stop = end.start() if end else len(source)
+            stop = end if end >= 0 else len(source)
             if name == "xmp":
                 flush()
                 add("xmp", "")
@@ -129,9 +147,12 @@ def parse_page(source: str | None) -> Page:
                 stack.pop()
             at = stop
             continue
-        if end and not _ANY_TAG.sub("", source[at : end.start()]).strip():
-            at = end.start()
-            continue
+        if end >= 0:
+            if not empty[0] <= at <= empty[1]:
+                empty = (at, _NO_TEXT.match(source, at).end())
+            if empty[1] >= end:
+                at = end
+                continue
         if name in VOID:
             if name == "br":
                 run.append("\n")
@@ -178,9 +199,14 @@ _LONG_WORDS = [w for w in WORDS if len(w) > 3]
 
 
 def _words_of(name: str) -> set[int]:
-    parts = [x for x in _SPLIT.split(name) if x]
-    out = {_WORD_NO[x] for x in parts if x in _WORD_NO} | {_WORD_NO[x[:-1]] for x in parts if x[-1] == "s" and x[:-1] in _WORD_NO}
-    return out | {_WORD_NO[w] for w in _LONG_WORDS if any(w in x for x in parts)}
+    """Numbers of the words that a node's class, id and role hold: as a part between hyphens, or at either end of one."""
+    out: set[int] = set()
+    for token in name.split():
+        parts = [x for x in _SPLIT.split(token) if x]
+        if STATES.isdisjoint(parts):
+            out |= {_WORD_NO[x] for x in parts if x in _WORD_NO} | {_WORD_NO[x[:-1]] for x in parts if x[-1] == "s" and x[:-1] in _WORD_NO}
+            out |= {_WORD_NO[w] for w in _LONG_WORDS if any(x.startswith(w) or x.endswith(w) for x in parts)}
+    return out
 
 
 class _Trees:
@@ -201,45 +227,113 @@ class _Trees:
         self.levels = levels
 
 
-def node_features(pages: list[Page], trees: _Trees | None = None) -> np.ndarray:
-    """A row of FEATURES for each node of the pages: element and words of its names, those of all that it stands in,
-    a text's shape, and how long and how linked the node is, and each of the three next around it."""
-    trees = trees or _Trees(pages)
+_FRAME_BITS = sum(1 << (len(TAGS) + _WORD_NO[w]) for w in FRAME_WORDS)
+_NAME_BITS = ((1 << len(WORDS)) - 1) << len(TAGS)
+#: What no page without parts around its text has.
+_PART_BITS = _FRAME_BITS | sum(1 << _TAG_NO[t] for t in "header footer nav aside form button fieldset dialog address menu".split())
+
+
+@dataclass
+class _Marks:
+    """Features of the nodes of pages, packed: names as bits, own and of all that a node stands in, shapes as codes."""
+
+    own: list[int]
+    around: list[int]
+    code: np.ndarray
+    texts: np.ndarray
+    said: np.ndarray
+    whole: np.ndarray
+
+
+def _marks(pages: list[Page], trees: _Trees) -> _Marks:
     parent = trees.parent
-    x = np.zeros((len(parent), FEATURES), np.float32)
-    length, linked = np.zeros(len(parent)), np.zeros(len(parent))
-    seen: dict[str, list[int]] = {}
-    i, t0 = 0, 2 * NAMES
+    n = len(parent)
+    own, names = [], {}
+    length, linked, page_of = np.zeros(n), np.zeros(n), np.repeat(np.arange(len(pages)), [len(p.tag) for p in pages])
+    texts, said, i = [], [], 0
     for p in pages:
         for tag, name, text, own_linked in zip(p.tag, p.name, p.text, p.linked, strict=True):
-            x[i, _TAG_NO.get(tag, _TAG_NO["div"])] = 1
-            if name:
-                if name not in seen:
-                    seen[name] = [len(TAGS) + k for k in _words_of(name)]
-                x[i, seen[name]] = 1
+            bits = 1 << _TAG_NO.get(tag, _TAG_NO["div"])
+            if name and tag not in ("html", "body"):  # their names tell of the page
+                if name not in names:
+                    names[name] = sum(1 << (len(TAGS) + k) for k in _words_of(name))
+                bits |= names[name]
+            own.append(bits)
             if text is not None:
-                n = len(text)
-                length[i], linked[i] = n, own_linked
-                for k, s in enumerate(SIGNS):
-                    x[i, t0 + k] = s in text
-                f, share = t0 + len(SIGNS), own_linked / n
-                x[i, f : f + KINDS] = (n < 12, 12 <= n < 25, 25 <= n < 80, 80 <= n < 250, n >= 250, share > 0.9, 0.3 < share <= 0.9, text[-1] in ".!?:;\"'”»", min(3, text.count(",") * 100 / n))
+                wide = len(text.encode("utf-8", "surrogatepass"))
+                share = own_linked / len(text)
+                length[i], linked[i] = wide, wide * share
+                texts.append(i)
+                commas = sum(map(text.count, ",、，،"))
+                said.append([*(s in text for s in SIGNS), wide < 12, 12 <= wide < 25, 25 <= wide < 80, 80 <= wide < 250, wide >= 250, share > 0.9, 0.3 < share <= 0.9, text[-1] in ".!?:;\"'”»。！？：」؟", min(3, commas * 100 / wide)])
             i += 1
     for nodes in reversed(trees.levels[1:]):
         np.add.at(length, parent[nodes], length[nodes])
         np.add.at(linked, parent[nodes], linked[nodes])
+    whole = length[np.flatnonzero(parent < 0)][page_of] if n else length
+    wraps = (length >= WRAPS * whole) & (whole > 0)
+    for i in np.flatnonzero(wraps):
+        own[i] &= ~_FRAME_BITS if own[i] & _NAME_BITS else -1
+    around = [0] * n
+    for i, up in enumerate(parent.tolist()):  # parents come before their children
+        if up >= 0:
+            around[i] = around[up] | own[up]
+    parts = np.bincount(page_of, np.fromiter((bits & _PART_BITS != 0 for bits in own), bool, n), len(pages)) > 0
     share = linked / np.maximum(length, 1)
-    shape = np.stack([share > 0.9, (share > 0.5) & (share <= 0.9), (share > 0.2) & (share <= 0.5), share <= 0.05, length < 60, (length >= 60) & (length < 300), (length >= 300) & (length < 1500), length >= 1500], axis=1)
+    bare = ~parts & (share[np.flatnonzero(parent < 0)] <= 0.05) if n else parts
+    code = np.digitize(share, [0.05, 0.2, 0.5, 0.9], right=True) * 4 + np.digitize(length, [60, 300, 1500])
+    return _Marks(own, around, code.astype(np.uint8), np.array(texts, np.int64), np.array(said, np.float32).reshape(-1, len(SIGNS) + KINDS), np.stack([wraps, bare[page_of]], axis=1).astype(np.float32))
+
+
+def _shape(code: np.ndarray) -> np.ndarray:
+    """SHAPES features of each code: share of links above 0.9, 0.5, 0.2, at most 0.05; length below 60, 300, 1500 and above."""
+    share, size = code // 4, code % 4
+    return np.stack([share == 4, share == 3, share == 2, share == 0, *(size == k for k in range(4))], axis=-1).astype(np.float32)
+
+
+def _ancestors(parent: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(steps up, nodes, the node so many steps above each) for 0 to 3 steps."""
+    nodes, up = np.arange(len(parent)), np.arange(len(parent))
+    for k in range(4):
+        yield k, nodes, up
+        some = parent[up] >= 0
+        nodes, up = nodes[some], parent[up[some]]
+
+
+def node_features(pages: list[Page], trees: _Trees | None = None) -> np.ndarray:
+    """A row of FEATURES for each node of the pages: element and words of its names, those of all that it stands in,
+    a text's shape, and how long and how linked the node is, and each of the three next around it. For training."""
+    trees = trees or _Trees(pages)
+    m, x = _marks(pages, trees), np.zeros((len(trees.parent), FEATURES), np.float32)
+    for at, masks in ((0, m.own), (NAMES, m.around)):
+        for i, bits in enumerate(masks):
+            x[i, [at + k for k in range(NAMES) if bits >> k & 1]] = 1
+    t0 = 2 * NAMES
     f = t0 + len(SIGNS) + KINDS
-    x[:, f : f + SHAPES] = shape
-    for nodes in trees.levels[1:]:
-        up = parent[nodes]
-        x[nodes, NAMES : 2 * NAMES] = np.maximum(x[up, NAMES : 2 * NAMES], x[up, :NAMES])
-        x[nodes, f + SHAPES : f + 4 * SHAPES] = x[up, f : f + 3 * SHAPES]
+    x[m.texts, t0:f] = m.said
+    for k, nodes, up in _ancestors(trees.parent):
+        x[nodes, f + k * SHAPES : f + (k + 1) * SHAPES] = _shape(m.code[up])
+    x[:, -3:-1] = m.whole
     x[:, -1] = 1
     return x
 
 
+def node_scores(pages: list[Page], trees: _Trees, weight: np.ndarray) -> np.ndarray:
+    """node_features @ weight without the rows: names are summed once for each set of them, shapes looked up by code."""
+    m, t0 = _marks(pages, trees), 2 * NAMES
+    f = t0 + len(SIGNS) + KINDS
+    out = m.whole @ weight[-3:-1] + float(weight[-1])
+    for at, masks in ((0, m.own), (NAMES, m.around)):
+        sums: dict[int, float] = {}
+        for bits in set(masks):
+            sums[bits] = sum(float(weight[at + k]) for k in range(bits.bit_length()) if bits >> k & 1)
+        out += np.fromiter(map(sums.__getitem__, masks), float, len(masks))
+    np.add.at(out, m.texts, m.said @ weight[t0:f])
+    for k, nodes, up in _ancestors(trees.parent):
+        out[nodes] += (_shape(np.arange(20)) @ weight[f + k * SHAPES : f + (k + 1) * SHAPES])[m.code[up]]
+    return out
+
+
 def _kinds(page: Page) -> np.ndarray:
     return np.array([1 if t is not None else 2 if tag in PARTS else 0 for t, tag in zip(page.text, page.tag, strict=True)], np.int64)
 
@@ -261,7 +355,7 @@ class TreeModel:
         trees = _Trees(pages)
         parent, levels = trees.parent, trees.levels
         kind = np.concatenate([_kinds(p) for p in pages])
-        score = np.clip(node_features(pages, trees) @ self.weight, -30, 30)
+        score = np.clip(node_scores(pages, trees, self.weight), -30, 30)
         own = np.stack([-np.logaddexp(0, score), -np.logaddexp(0, -score)], axis=1)
         up, sent = own.copy(), np.zeros_like(own)
         for nodes in reversed(levels[1:]):
@@ -282,7 +376,7 @@ class TreeModel:
 
 
 class _Layouts:
-    """Pages made up in six layouts that share no structure; \x01 marks what is content."""
+    """Pages made up in seven layouts that share no structure; \x01 marks what is content."""
 
     def __init__(self, r: random.Random):
         self.r = r
@@ -325,7 +419,7 @@ class _Layouts:
         return r.choice([
             lambda: f"<p>{t()}</p>", lambda: f"<p>{t()}</p>", lambda: f"<p>{t()}</p>", lambda: f"<p>{t()}</p>", lambda: f"<p>{t()}<p>{t()}", lambda: f"<p><strong>{t()}</strong></p>",
             lambda: f"<p><em>{t()}<br>{t()}</em><p>{t()}</p>", lambda: f"<h{(k := r.randint(2, 4))}>{self.mark(1, 9)}</h{k}>", lambda: f"<p>{t()} <a href='z'>{self.mark(1, 5)}</a> {t()}</p>",
-            lambda: f"<p><a href='z'>{t()}</a></p>", lambda: f"<ul>{self.many(2, 6, lambda: f'<li>{t()}</li>')}</ul>", lambda: f"<ol>{self.many(2, 6, lambda: f'<li>{self.mark(2, 25)}')}</ol>",
+            lambda: f"<p><a href='z'>{t()}</a></p>", lambda: f"<a href='z'>{r.choice([f'<div>{t()}</div>', f'<p>{t()}</p>'])}</a>", lambda: f"<div><span>{t()}</span></div>", lambda: f"<ul>{self.many(2, 6, lambda: f'<li>{t()}</li>')}</ul>", lambda: f"<ol>{self.many(2, 6, lambda: f'<li>{self.mark(2, 25)}')}</ol>",
             lambda: f"<ul>{self.many(2, 5, lambda: f'<li><a href=y>{self.mark(1, 6)}</a>')}</ul>", lambda: f"<p>{self.mark(2, 9)}</p><ul>{self.many(2, 5, lambda: f'<li><a href=y>{self.mark(1, 6)}</a></li>')}</ul>",
             lambda: f"<blockquote>{r.choice([t(), f'<p>{t()}</p>'])}</blockquote>", lambda: f"<div>{t()}</div>", lambda: f"<pre>{t()}</pre>", lambda: f"<xmp>{t()}</xmp>",
             lambda: f"<table>{self.many(1, 4, lambda: f'<tr><td>{self.mark(1, 6)}</td><td>{self.mark(1, 12)}</td></tr>')}</table>", lambda: f"<figure><img src=i><figcaption>{self.mark(2, 20)}</figcaption></figure>",
@@ -410,11 +504,30 @@ class _Layouts:
         core = pick([core, f"<div>{core}</div>", f"<object>{core}</object>", f"<center>{core}</center>"])
         return pick(["", f"<ul>{self.many(3, 6, lambda: f'<li>{self.link(1, 2)}')}</ul>", n("div", self.links(), "nav", "menu")]) + pick(["", self.notice()]) + core + pick(["", self.comments()]) + pick(["", f"<hr><address>{p(2, 12)}</address>", f"<footer>{self.end()}</footer>", n("p", f"&copy; {p(1, 9)}", "copyright", "footer", bare=0.3)])
 
+    def bare(self) -> str:
+        """An article with little or nothing around it, short ones above all."""
+        p, pick, n = self.prose, self.r.choice, self.named
+        size = pick([(1, 3), (2, 9), (6, 30), (6, 30), (20, 90)])
+        block = pick(["<p>{}</p>", "<p>{}</p>", "<div>{}</div>", "<div><span>{}</span></div>", "<p>{}", "{}<br><br>", "<blockquote>{}</blockquote>"])
+        inner = pick(["", "", f"<h1>{self.mark(1, 8)}</h1>"]) + self.many(1, 6, lambda: block.format(self.mark(*size)))
+        for _ in range(self.r.randint(0, 3)):
+            inner = f"<{(t := pick(['div', 'div', 'section', 'article', 'main']))}>{inner}</{t}>"
+        return pick(["", "", "", f"<nav>{self.links()}</nav>"]) + inner + pick(["", "", "", f"<footer>{self.end()}</footer>", self.notice()])
+
+    def page(self, layout: str) -> str:
+        """A whole page; names on body and on what wraps it tell of the page's state, not of its text."""
+        r, body = self.r, getattr(self, layout)()
+        states = ["has-sidebar", "right-sidebar", "no-comments", "header-sticky", "footer-dark", "nav-open", "single-post", "page-template", "with-banner", "cookie-accepted", "social-enabled", "search-results-off", "home"]
+        for _ in range(r.choice([0, 0, 0, 1, 2])):
+            body = f'<div class="{" ".join(r.sample(states, r.randint(1, 2)))}">{body}</div>'
+        own = f' class="{" ".join(r.sample(states, r.randint(1, 4)))}"' if r.random() < 0.5 else ""
+        return f"<html><head><title>{self.prose(1, 6)}</title></head><body{own}>{body}</body></html>"
+
 
-LAYOUTS = ("semantic", "blog", "news", "tables", "docs", "plain")
+LAYOUTS = ("semantic", "blog", "news", "tables", "docs", "plain", "bare")
 
 
-def labelled_pages(count: int = 720, seed: int = 8, layouts: tuple[str, ...] = LAYOUTS) -> list[tuple[Page, list[int]]]:
+def labelled_pages(count: int = 980, seed: int = 8, layouts: tuple[str, ...] = LAYOUTS) -> list[tuple[Page, list[int]]]:
     """Pages made up in these layouts in turn, each node labelled: 1 content, 0 not. The same ones for each seed.
 
     Labels come from how a page is put together: what stands between private marks in its blocks' text is content,
@@ -422,7 +535,7 @@ def labelled_pages(count: int = 720, seed: int = 8, layouts: tuple[str, ...] = L
     """
     make, out = _Layouts(random.Random(seed)), []
     for k in range(count):
-        page = parse_page(f"<html><head><title>{make.prose(1, 6)}</title></head><body>{getattr(make, layouts[k % len(layouts)])()}</body></html>")
+        page = parse_page(make.page(layouts[k % len(layouts)]))
         gain = [0] * len(page.tag)
         for i in range(len(gain) - 1, -1, -1):
             if page.text[i] is not None:
@@ -479,8 +592,12 @@ def extract_text(pages: DataFrame, model: TreeModel | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[str] = []
-            for i in range(0, b.num_rows, 256):
-                out += shared.value.extract([parse_page(x) for x in b.column("html").slice(i, 256).to_pylist()])
+            few: list[Page] = []
+            for i in range(b.num_rows):  # runs of pages by nodes, so that pages of any size pass
+                few.append(parse_page(b.column("html")[i].as_py()))
+                if i + 1 == b.num_rows or sum(len(p.tag) for p in few) >= RUN_NODES:
+                    out += shared.value.extract(few)
+                    few = []
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], [*keep, "text", "n_chars"])
 
     return d.mapInArrow(run, with_fields(d.schema, text="string", n_chars="bigint"))
