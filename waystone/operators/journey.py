@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from waystone import constants as K
 from waystone.functions.geo import great_circle, haversine_km, unwrap_near, world_x, world_y, wrap_near
+from waystone.operators.scan import scan, time_slice
 
 KEY, ORDER = "traveler_id", ("t_ms", "seq")
 
@@ -51,28 +52,16 @@ def filter_dates(points: DataFrame, start: str, end: str, **at: str) -> DataFram
 def hops(points: DataFrame, key: str = KEY, order: tuple[str, ...] = ORDER, slice_ms: int | None = None) -> DataFrame:
     """Points with lat0, lon0, t0_ms (the point before; null for a key's first), hop_km, cum0_km and cum_km.
 
-    With slice_ms, a key's points are dealt out by slices of time as well, and each slice gets its neighbour and its
-    distance so far from one row per slice, so that no task holds a key: for a key with very many points.
+    With slice_ms, here as below, a key's points are dealt out by slices of time as well, so that no task holds a key
+    with very many points: see scan.
     """
-    if slice_ms is None:
-        w = ordered(key, order)
-        d = points.withColumns({"lat0": F.lag("lat").over(w), "lon0": F.lag("lon").over(w), "t0_ms": F.lag("t_ms").over(w)})
-        d = d.withColumn("hop_km", F.coalesce(haversine_km("lat0", "lon0", "lat", "lon"), F.lit(0.0)))
-        d = d.withColumn("cum_km", F.sum("hop_km").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        return d.withColumn("cum0_km", F.coalesce(F.lag("cum_km").over(w), F.lit(0.0)))
-    p = points.withColumn("slice", F.floor(F.col("t_ms") / slice_ms))
-    ends = p.groupBy(key, "slice").agg(F.max_by(F.struct("lat", "lon", "t_ms"), F.struct(*order)).alias("end"))
-    across = Window.partitionBy(key).orderBy("slice")
-    ends = ends.select(key, "slice", F.lag("end").over(across).alias("carry"))
-    w = Window.partitionBy(key, "slice").orderBy(*order)
-    d = p.join(ends, [key, "slice"])
-    for n in ("lat", "lon", "t_ms"):
-        d = d.withColumn({"lat": "lat0", "lon": "lon0", "t_ms": "t0_ms"}[n], F.coalesce(F.lag(n).over(w), F.col("carry")[n]))
-    d = d.withColumn("hop_km", F.coalesce(haversine_km("lat0", "lon0", "lat", "lon"), F.lit(0.0))).drop("carry")
-    sums = d.groupBy(key, "slice").agg(F.sum("hop_km").alias("km"))
-    sums = sums.select(key, "slice", F.coalesce(F.sum("km").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("base"))
-    d = d.join(sums, [key, "slice"]).withColumn("cum_km", F.col("base") + F.sum("hop_km").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return d.withColumn("cum0_km", F.greatest(F.lit(0.0), F.col("cum_km") - F.col("hop_km"))).drop("slice", "base")
+    at = time_slice(slice_ms)
+    d = scan(points, key, list(order), at, lags={"lat0": F.col("lat"), "lon0": F.col("lon"), "t0_ms": F.col("t_ms")})
+    d = d.withColumn("hop_km", F.coalesce(haversine_km("lat0", "lon0", "lat", "lon"), F.lit(0.0)))
+    d = scan(d, key, list(order), at, sums={"cum_km": F.col("hop_km")})
+    if at is None:
+        return d.withColumn("cum0_km", F.coalesce(F.lag("cum_km").over(ordered(key, order)), F.lit(0.0)))
+    return d.withColumn("cum0_km", F.greatest(F.lit(0.0), F.col("cum_km") - F.col("hop_km")))
 
 
 def totals(h: DataFrame, key: str = KEY) -> DataFrame:
@@ -89,12 +78,12 @@ def thresholds(h: DataFrame, key: str = KEY) -> DataFrame:
     return h.select(key).distinct().join(mad, key, "left").withColumn("threshold_km", F.when(F.col("median_hop").isNull(), K.THRESHOLD_HIGH_KM).otherwise(t))
 
 
-def legs(h: DataFrame, limits: DataFrame, multiplier: float = 1.0, key: str = KEY, order: tuple[str, ...] = ORDER) -> DataFrame:
+def legs(h: DataFrame, limits: DataFrame, multiplier: float = 1.0, key: str = KEY, order: tuple[str, ...] = ORDER, slice_ms: int | None = None) -> DataFrame:
     """Key, leg_no, start_km, end_km, is_transfer: hops of the threshold or more are legs of their own, what lies
     between is local; local legs without length are left out, and so are journeys without any."""
     d = h.where("lat0 IS NOT NULL").join(limits.select(key, "threshold_km"), key)
     d = d.withColumn("far", F.col("hop_km") >= F.greatest(F.lit(1.0), F.col("threshold_km") * multiplier))
-    d = d.withColumn("island", F.sum(F.col("far").cast("int")).over(ordered(key, order).rowsBetween(Window.unboundedPreceding, 0)))
+    d = scan(d, key, list(order), time_slice(slice_ms), sums={"island": F.col("far").cast("int")})
     far = d.where("far").select(key, F.col("cum0_km").alias("start_km"), F.col("cum_km").alias("end_km"), F.lit(True).alias("is_transfer"))
     near = d.where(~F.col("far")).groupBy(key, "island").agg(F.min("cum0_km").alias("start_km"), F.max("cum_km").alias("end_km"))
     near = near.where("end_km > start_km").select(key, "start_km", "end_km", F.lit(False).alias("is_transfer"))
@@ -112,13 +101,14 @@ def densify(h: DataFrame) -> DataFrame:
     return d.withColumn("lat", F.col("__p.lat")).withColumn("lon", F.col("__p.lon")).drop("__p")
 
 
-def unwrapped(points: DataFrame, key: str = KEY, order: tuple[str, ...] = ORDER) -> DataFrame:
+def unwrapped(points: DataFrame, key: str = KEY, order: tuple[str, ...] = ORDER, slice_ms: int | None = None) -> DataFrame:
     """Points with x (unwrapped over the date line) and y of the unit world, as a running sum of corrections."""
-    w = ordered(key, order)
+    at = time_slice(slice_ms)
     d = points.withColumn("__x", world_x("lon")).withColumn("y", world_y("lat"))
-    step = F.col("__x") - F.lag("__x").over(w)
-    d = d.withColumn("__c", F.when(step > 0.5, -1).when(step < -0.5, 1).otherwise(0))
-    return d.withColumn("x", F.col("__x") + F.sum("__c").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__x", "__c")
+    d = scan(d, key, list(order), at, lags={"__x0": F.col("__x")})
+    step = F.col("__x") - F.col("__x0")
+    turn = F.when(step > 0.5, -1).when(step < -0.5, 1).otherwise(0)
+    return scan(d, key, list(order), at, sums={"__turns": turn}).withColumn("x", F.col("__x") + F.col("__turns")).drop("__x", "__x0", "__turns")
 
 
 def polar_unwrapped(points: DataFrame, key: str = KEY, order: tuple[str, ...] = ORDER) -> DataFrame:

@@ -6,34 +6,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waystone.functions.geo import great_circle
+from waystone.operators.scan import place_slice, scan
 
 
-def as_of(probes: DataFrame, knots: DataFrame, key: str, probe_at: str, knot_at: str, tie: str, payload: list[str], later: bool) -> DataFrame:
+def as_of(probes: DataFrame, knots: DataFrame, key: str, probe_at: str, knot_at: str, tie: str, payload: list[str], later: bool, width: float | None = None) -> DataFrame:
     """probes with, as struct knot, the payload of the first knot at or after probe_at (later) or the last at or before.
 
-    Both sides meet in one union, sorted once per key; a running last() carries the knot to its probes. Of knots at the
-    same place the one of least tie is found when looking later, of greatest when looking back. No range join.
+    tie is a number. Both sides meet in one union, sorted once per key; a running last() carries the knot to its probes. Of knots at the
+    same place the one of least tie is found when looking later, of greatest when looking back. No range join. With
+    width, knots and probes of a key are cut alike into slices of places, and one knot a slice is carried on to the
+    next: for keys with very many knots or probes.
     """
     cols = probes.columns
     k = knots.select(key, F.col(knot_at).cast("double").alias("__at"), F.col(tie).alias("__tie"), F.struct(*payload).alias("knot"), F.lit(0).alias("__probe"))
     p = probes.withColumn("__at", F.col(probe_at).cast("double")).withColumn("__probe", F.lit(1))
-    order = [F.desc("__at"), "__probe", F.desc("__tie")] if later else ["__at", "__probe", "__tie"]
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    d = p.unionByName(k, allowMissingColumns=True).withColumn("knot", F.last("knot", ignorenulls=True).over(w))
+    order = [-F.col("__at"), "__probe", -F.col("__tie")] if later else ["__at", "__probe", "__tie"]
+    d = p.unionByName(k, allowMissingColumns=True).withColumn("__knot", F.col("knot")).drop("knot")
+    d = scan(d, key, order, place_slice(width, "__at", later), lasts={"knot": F.col("__knot")})
     return d.where("__probe = 1").select(*cols, "knot")
 
 
-def positions_at(probes: DataFrame, h: DataFrame, at: str = "d", key: str = "traveler_id", tie: str = "i", also: tuple[str, ...] = ()) -> DataFrame:
+def positions_at(probes: DataFrame, h: DataFrame, at: str = "d", key: str = "traveler_id", tie: str = "i", also: tuple[str, ...] = (), width: float | None = None) -> DataFrame:
     """Probes with d clamped to the journey and lat, lon, at_ms, index, fraction there, along great circles.
 
     h are hop rows (see journey.hops) with tie, their index in the journey. A probe falls on the first point at or
     beyond it (the second point at least); hops without length count as their start. Times are whole milliseconds. also: further columns of that
-    point, null for a journey of one point.
+    point, null for a journey of one point. width: see as_of, here as below.
     """
     total = h.groupBy(key).agg(F.max("cum_km").alias("total_km"), F.max_by(F.struct("lat", "lon", "t_ms"), tie).alias("only"))
     p = probes.join(total, key).withColumn(at, F.greatest(F.lit(0.0), F.least(F.col("total_km"), F.col(at))))
     moving = h.where("lat0 IS NOT NULL")
-    d = as_of(p, moving, key, at, "cum_km", tie, ["lat0", "lon0", "t0_ms", "lat", "lon", "t_ms", "cum0_km", "hop_km", tie, *[c for c in also if c != tie]], later=True)
+    d = as_of(p, moving, key, at, "cum_km", tie, ["lat0", "lon0", "t0_ms", "lat", "lon", "t_ms", "cum0_km", "hop_km", tie, *[c for c in also if c != tie]], later=True, width=width)
     f = F.when(F.col("knot.hop_km") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(at) - F.col("knot.cum0_km")) / F.col("knot.hop_km")))).otherwise(0.0)
     d = d.withColumn("fraction", F.coalesce(f, F.lit(0.0)))
     pos = great_circle(F.col("knot.lat0"), F.col("knot.lon0"), F.col("knot.lat"), F.col("knot.lon"), F.col("fraction"))
@@ -42,18 +45,18 @@ def positions_at(probes: DataFrame, h: DataFrame, at: str = "d", key: str = "tra
     return d.select(*probes.columns, F.coalesce("__p.lat", "only.lat").alias("lat"), F.coalesce("__p.lon", "only.lon").alias("lon"), F.coalesce(ms, F.col("only.t_ms")).alias("at_ms"), F.coalesce(F.col(f"knot.{tie}"), F.lit(0)).cast("long").alias("index"), "fraction", *[f"knot.{c}" for c in also])
 
 
-def legs_at(probes: DataFrame, legs: DataFrame, at: str = "d", key: str = "traveler_id") -> DataFrame:
+def legs_at(probes: DataFrame, legs: DataFrame, at: str = "d", key: str = "traveler_id", width: float | None = None) -> DataFrame:
     """Probes with leg_no, start_km, end_km, is_transfer of the last leg that starts at or before d; before the
     first leg that one; null without legs."""
     first = legs.where("leg_no = 1").select(F.col(key).alias("__k"), F.struct("leg_no", "start_km", "end_km", "is_transfer").alias("__first"))
-    d = as_of(probes, legs, key, at, "start_km", "leg_no", ["leg_no", "start_km", "end_km", "is_transfer"], later=False)
+    d = as_of(probes, legs, key, at, "start_km", "leg_no", ["leg_no", "start_km", "end_km", "is_transfer"], later=False, width=width)
     d = d.join(first, F.col(key) == F.col("__k"), "left").withColumn("knot", F.coalesce("knot", "__first"))
     return d.select(*probes.columns, "knot.leg_no", "knot.start_km", "knot.end_km", "knot.is_transfer")
 
 
-def point_index_at(probes: DataFrame, h: DataFrame, at: str = "d", key: str = "traveler_id", tie: str = "i") -> DataFrame:
+def point_index_at(probes: DataFrame, h: DataFrame, at: str = "d", key: str = "traveler_id", tie: str = "i", width: float | None = None) -> DataFrame:
     """Probes with index, the last point reached by d."""
-    d = as_of(probes, h, key, at, "cum_km", tie, [tie], later=False)
+    d = as_of(probes, h, key, at, "cum_km", tie, [tie], later=False, width=width)
     return d.select(*probes.columns, F.col(f"knot.{tie}").cast("long").alias("index"))
 
 
