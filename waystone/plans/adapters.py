@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,3 +58,16 @@ def export_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = text.when(k == 3, lit('{"rawSignals":[{"wifi":{}}]}')).when(k == 4, lit('"text"')).when(k == 5, lit('{"semanticSegments":[{"visit":{}}]}'))
     text = text.when(k % 2 == 0, F.concat(lit("["), "all", lit("]"))).otherwise(F.concat(lit('{"userLocationProfile":{"a":[1]},"semanticSegments":['), "all", lit("]}")))
     return d.select("source", text.alias("text"))
+
+
+def export_files(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of export_documents as files, one a user, in the folder that driver and executors share."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        shared = f"file://{tempfile.mkdtemp(prefix='waystone-')}"
+        spark.conf.set("spark.checkpoint.dir", shared)
+    path = f"{shared.rstrip('/')}/exports-{uuid.uuid4().hex}"
+    export_documents(spark, sf_dir).write.partitionBy("source").text(path)
+    return path

@@ -1,6 +1,7 @@
 """The registered queries of the trajectory operators over the driver's tables, with SQL that says the same.
 
-Names are SURVEY ids with a word or two. Every query runs over its whole tables.
+Names are SURVEY ids with a word or two. Queries run over whole tables, but for those of literal edge cases and constants
+that README names.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ from waystone import constants as K
 from waystone.functions import coords, geo, text
 from waystone.operators import camera, clean, frames, journey, lookup, pacing, progress, reconcile, tiles
 from waystone.plans import sql
-from waystone.plans.adapters import export_documents, export_segments, points, raw_points, table
-from waystone.sources import catalog, exports
+from waystone.plans.adapters import export_documents, export_files, export_segments, points, raw_points, table
+from waystone.sources import blocks, catalog, exports
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -171,6 +172,13 @@ def s3(s: SparkSession, d: str) -> DataFrame:
     return reconcile.reconcile(seg).select("source", F.unix_millis("ts").alias("t_ms"), "lat", "lon")
 
 
+@query("s2_scan_nested_files", f"WITH {_SCANNED} SELECT DISTINCT CAST(traveler_id AS VARCHAR) AS source, t_ms, lat, lon FROM u WHERE traveler_id % 10 > 5 OR traveler_id % 10 = 1")
+def s2(s: SparkSession, d: str) -> DataFrame:
+    """Every user's export written as a nested file and read by blocks; of a cut file what stands before the break."""
+    e = blocks.read_export_blocks(s, export_files(s, d)).where("kind = 'segment'").withColumn("source", F.regexp_extract("source", "source=([^/]+)/", 1))
+    return reconcile.reconcile(exports.flatten_segments(exports.parse_elements(e))).select("source", F.unix_millis("ts").alias("t_ms"), "lat", "lon")
+
+
 @query("s5_classify_export", f"""WITH {sql.PTS} SELECT CAST(traveler_id AS VARCHAR) AS source, ['EMPTY', 'MALFORMED', 'LEGACY', 'RAW_ONLY', 'UNSUPPORTED', 'NO_USABLE', 'OK', 'OK', 'OK', 'OK'][(traveler_id % 10 + 1)::INT] AS reason,
  CASE WHEN traveler_id % 10 > 5 THEN count(*) ELSE 0 END AS n_points FROM pts GROUP BY traveler_id""")
 def s5(s: SparkSession, d: str) -> DataFrame:
