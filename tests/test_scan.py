@@ -82,3 +82,28 @@ def test_a_hot_traveller_is_many_tasks(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert points == n and most <= 8 * n // slices and km > 1000
+
+
+def test_folds_parted_at_gaps_keep_the_same_rows(spark):
+    """Single travellers with stays, spikes and gaps around the rules' reach, against the folds that don't part them."""
+    from waystone.operators import clean
+
+    r, rows = random.Random(8), []
+    for key in (1, 2):
+        t, lat = 0, 10.0
+        for i in range(1500):
+            t += r.choice([0, 1, 1000, 60_000, 599_999, 600_000, 600_001, 1_199_999, 1_200_000, 1_200_001, HOUR])
+            lat += r.choice([0, 0, 0.0001, 0.02])
+            rows.append((key, i, t, lat + (1.0 if r.random() < 0.1 else 0), 5.0, r.choice([3.0, 10.0, 80.0, 900.0])))
+    raw = spark.createDataFrame(rows, "traveler_id long, seq long, t_ms long, lat double, lon double, accuracy_m double")
+    for f in (clean.spike_fold, clean.stationary_collapse):
+        want = sorted(map(tuple, f(raw).collect()))
+        for slice_ms in (5 * HOUR, 10**12):
+            assert sorted(map(tuple, f(raw, slice_ms=slice_ms).collect())) == want
+        assert 0 < len(want) < 3000
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would end in one task all the same
+    try:
+        parts = clean.stationary_collapse(raw.where("traveler_id = 1"), slice_ms=5 * HOUR)
+        assert parts.select(F.spark_partition_id()).distinct().count() > 1  # one traveller, many tasks
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

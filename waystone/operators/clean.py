@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from waystone import constants as K
 from waystone.functions.geo import haversine_km, speed_kmh
 from waystone.operators.folds import Fold, fold_sorted
+from waystone.operators.scan import scan, time_slice
 
 
 def _at(name: str, k: int, w) -> Column:
@@ -163,9 +164,23 @@ class _Spikes(Fold):
         return into >= far and back >= far and _kmh(into, c[2] - b[2]) > K.SPIKE_KMH and _kmh(back, a[2] - c[2]) > K.SPIKE_KMH
 
 
-def spike_fold(raw: DataFrame, key: str = "traveler_id", order: tuple[str, ...] = ("t_ms", "seq")) -> DataFrame:
-    """W10 for any accuracies, as a fold against the last kept row."""
-    return fold_sorted(raw, key, list(order), _Spikes, raw.schema)
+def _runs(raw: DataFrame, key: str, order: tuple[str, ...], gap_ms: int, slice_ms: int) -> DataFrame:
+    """raw with __run, the time at which a run of rows without a gap of over gap_ms begins; see scan for the slices."""
+    at = time_slice(slice_ms)
+    d = scan(raw, key, list(order), at, lags={"__t0": F.col("t_ms")})
+    fresh = F.col("__t0").isNull() | (F.col("t_ms") - F.col("__t0") > gap_ms)
+    return scan(d, key, list(order), at, lasts={"__run": F.when(fresh, F.col("t_ms"))}).drop("__t0")
+
+
+def spike_fold(raw: DataFrame, key: str = "traveler_id", order: tuple[str, ...] = ("t_ms", "seq"), slice_ms: int | None = None) -> DataFrame:
+    """W10 for any accuracies, as a fold against the last kept row.
+
+    With slice_ms, here as below, a traveller is parted where a gap longer than the rule's reach forgets all that came
+    before, so that one with very many signals is folded by many tasks; only a run without such a gap stays in one.
+    """
+    if slice_ms is None:
+        return fold_sorted(raw, key, list(order), _Spikes, raw.schema)
+    return fold_sorted(_runs(raw, key, order, K.SPIKE_MS, slice_ms), key, list(order), _Spikes, raw.schema, "__run")
 
 
 class _Stationary(Fold):
@@ -193,9 +208,11 @@ class _Stationary(Fold):
         return [] if self.kept is None else [self.kept]
 
 
-def stationary_collapse(raw: DataFrame, key: str = "traveler_id", order: tuple[str, ...] = ("t_ms", "seq")) -> DataFrame:
+def stationary_collapse(raw: DataFrame, key: str = "traveler_id", order: tuple[str, ...] = ("t_ms", "seq"), slice_ms: int | None = None) -> DataFrame:
     """Signals within ten minutes and reach of the last kept one become one, the strictly more accurate."""
-    return fold_sorted(raw, key, list(order), _Stationary, raw.schema)
+    if slice_ms is None:
+        return fold_sorted(raw, key, list(order), _Stationary, raw.schema)
+    return fold_sorted(_runs(raw, key, order, K.STATIONARY_MS, slice_ms), key, list(order), _Stationary, raw.schema, "__run")
 
 
 def discontinuities(points: DataFrame, key: str = "traveler_id", order: tuple[str, ...] = ("t_ms", "seq")) -> DataFrame:

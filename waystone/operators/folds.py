@@ -18,17 +18,19 @@ class Fold:
         return []
 
 
-def fold_sorted(df: DataFrame, key: str, order: list[str], make: Callable[[], Fold], schema: str) -> DataFrame:
+def fold_sorted(df: DataFrame, key: str, order: list[str], make: Callable[[], Fold], schema: str, part: str | None = None) -> DataFrame:
     """Runs a Fold over each key's rows in order, batch by batch: one shuffle and a spillable sort, and no task ever
-    holds a key's rows, however many there are."""
-    columns = df.columns
+    holds a key's rows, however many there are. With part, a column that isn't passed on, each part of a key is folded
+    on its own, and so a hot key by many tasks: for folds that forget everything where a part begins."""
+    columns = [c for c in df.columns if c != part]
+    groups = [key, *([part] if part else [])]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fold, current = None, None
         for b in batches:
-            change = b[key].ne(b[key].shift()).cumsum()
+            change = (b[groups] != b[groups].shift()).any(axis=1).cumsum()
             for _, rows in b.groupby(change, sort=False):
-                k = rows[key].iloc[0]
+                k = tuple(rows[groups].iloc[0])
                 if fold is None or k != current:
                     if fold is not None:
                         yield from fold.end()
@@ -37,4 +39,4 @@ def fold_sorted(df: DataFrame, key: str, order: list[str], make: Callable[[], Fo
         if fold is not None:
             yield from fold.end()
 
-    return df.where(f"{key} IS NOT NULL").repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+    return df.where(f"{key} IS NOT NULL").repartition(*groups).sortWithinPartitions(*groups, *order).mapInPandas(run, schema)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from waystone import constants as K
 from waystone.functions.geo import great_circle, haversine_km, unwrap_near, world_x, world_y, wrap_near
+from waystone.operators.median import exact_medians
 from waystone.operators.scan import scan, time_slice
 
 KEY, ORDER = "traveler_id", ("t_ms", "seq")
@@ -69,11 +70,19 @@ def totals(h: DataFrame, key: str = KEY) -> DataFrame:
     return h.groupBy(key).agg(F.count("*").alias("n_points"), F.max("cum_km").alias("total_km")).withColumn("available", (F.col("n_points") >= 2) & (F.col("total_km") > 0))
 
 
-def thresholds(h: DataFrame, key: str = KEY) -> DataFrame:
-    """A3–A5: key, median_hop, mad_hop, threshold_km of hops between 0 and 120 km; keys without any get 120."""
+def thresholds(h: DataFrame, key: str = KEY, hot: bool = False) -> DataFrame:
+    """A3–A5: key, median_hop, mad_hop, threshold_km of hops between 0 and 120 km; keys without any get 120.
+
+    hot takes the medians by counting in ranges (see exact_medians), for keys whose hops are too many for one task.
+    """
     c = h.where((F.col("hop_km") > 0) & (F.col("hop_km") < K.LOCAL_HOP_KM)).select(key, "hop_km")
-    med = c.groupBy(key).agg(F.median("hop_km").alias("median_hop"))
-    mad = c.join(med, key).groupBy(key).agg(F.first("median_hop").alias("median_hop"), F.median(F.abs(F.col("hop_km") - F.col("median_hop"))).alias("mad_hop"))
+    if hot:
+        med = exact_medians(c, key, "hop_km", "median_hop")
+        off = c.join(med, key).select(key, F.abs(F.col("hop_km") - F.col("median_hop")).alias("off"))
+        mad = med.join(exact_medians(off, key, "off", "mad_hop"), key)
+    else:
+        med = c.groupBy(key).agg(F.median("hop_km").alias("median_hop"))
+        mad = c.join(med, key).groupBy(key).agg(F.first("median_hop").alias("median_hop"), F.median(F.abs(F.col("hop_km") - F.col("median_hop"))).alias("mad_hop"))
     t = F.least(F.lit(K.THRESHOLD_HIGH_KM), F.greatest(F.lit(K.THRESHOLD_LOW_KM), F.col("median_hop") * 3, F.col("median_hop") + F.col("mad_hop") * 6))
     return h.select(key).distinct().join(mad, key, "left").withColumn("threshold_km", F.when(F.col("median_hop").isNull(), K.THRESHOLD_HIGH_KM).otherwise(t))
 
