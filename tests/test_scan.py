@@ -107,3 +107,30 @@ def test_folds_parted_at_gaps_keep_the_same_rows(spark):
         assert parts.select(F.spark_partition_id()).distinct().count() > 1  # one traveller, many tasks
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_virtual_samples_are_those_of_the_densified_journey(track, tmp_path):
+    from pyspark.sql import Window
+
+    h = journey.hops(track.where("traveler_id IS NOT NULL"))
+    w = Window.partitionBy("traveler_id").orderBy("t_ms", "seq", "k")
+    want = {(r.traveler_id, r.n): (r.lat, r.lon, r.at_km) for r in journey.densify(h).withColumn("n", F.row_number().over(w)).collect()}
+    asked = track.sparkSession.createDataFrame([(*k, "x") for k in want if k[1] % 7 == 1] + [(1, 0, "x"), (1, 10**9, "x"), (1, None, "x"), (9, 1, "x")], "traveler_id long, n long, lat0 string")
+    for slices in ({}, {"slice_ms": 30 * HOUR, "width": 100.0}):
+        rows = lookup.samples_at(asked, h, **slices).collect()
+        assert len(rows) == asked.count()
+        for r in rows:
+            assert (r.lat, r.lon, r.at_km) == pytest.approx(want.get((r.traveler_id, r.n), (None, None, None)), abs=1e-9)
+
+
+def test_trail_points_are_those_between_the_ends(track):
+    from waystone.operators import frames
+
+    h = scan(journey.hops(track.where("traveler_id IS NOT NULL")), "traveler_id", ["t_ms", "seq"], None, sums={"i": F.lit(1).cast("long")}).withColumn("i", F.col("i") - 1)
+    t = journey.totals(h)
+    at = t.select("traveler_id", F.explode(F.sequence(F.lit(0), F.lit(20))).alias("frame"), "total_km").select("traveler_id", "frame", (F.col("total_km") * F.col("frame") / 20).alias("d"))
+    bands = frames.trail_bands(at, t, 10)
+    got = sorted((r.traveler_id, r.frame, r.band, r.i) for r in frames.trail_points(bands, h, width=500.0).collect())
+    points, mm = h.select("traveler_id", "i", "cum_km").collect(), lambda x: round(x, 6)
+    want = sorted((b.traveler_id, b.frame, b.band, p.i) for b in bands.collect() for p in points if p.traveler_id == b.traveler_id and mm(b.from_km) <= mm(p.cum_km) and (mm(p.cum_km) < mm(b.to_km) or (b.band == 1 and mm(p.cum_km) == mm(b.to_km))))
+    assert got == want and want

@@ -50,6 +50,26 @@ def trail_bands(positions: DataFrame, totals: DataFrame, duration_s: float, key:
     return d.select(*positions.columns, F.explode(bands).alias("b")).select(*positions.columns, "b.band", "b.from_km", "b.to_km")
 
 
+def trail_points(bands: DataFrame, h: DataFrame, key: str = "traveler_id", tie: str = "i", width: float | None = None) -> DataFrame:
+    """A row for each point that a band of trail_bands holds: its columns and the point's number i, from 0.
+
+    A band has the points from from_km up to, but without, to_km; the first one, at whose end the marker stands, that
+    place too; places count in whole millimetres, lest the last digit of a sum decide. Both ends are found by as-of joins
+    on how many points lie before a place, so points are never compared with bands; rows are as many as the points drawn.
+    """
+    mm = lambda c: F.round(c, 6)
+    r = lookup.ranked(h.withColumn("cum_km", mm("cum_km")), key).select(key, "cum_km", tie, "below", "upto")
+    n = r.groupBy(F.col(key).alias("__k")).agg(F.count("*").alias("__n"))
+    at = lambda d, place, name, later: lookup.as_of(d, r, key, place, "cum_km", tie, ["below", "upto"], later, width).withColumn(name, F.col("knot.below" if later else "knot.upto")).drop("knot")
+    d = bands.withColumn("__from", mm("from_km")).withColumn("__to", mm("to_km"))
+    d = at(at(d, "__from", "__lo", True), "__to", "__hi", True)
+    d = at(d, "__to", "__in", False).join(n, F.col(key) == F.col("__k"))
+    low = F.coalesce("__lo", "__n")
+    high = F.when(F.col("band") == 1, F.coalesce("__in", F.lit(0))).otherwise(F.coalesce("__hi", "__n"))
+    some = F.when(high > low, F.sequence(low, high - 1))
+    return d.select(*bands.columns, F.explode(some).alias(tie))
+
+
 def world_to_screen(x: Column, y: Column, min_x: Column, max_x: Column, min_y: Column, max_y: Column, width: int, height: int) -> Column:
     """struct(sx, sy): pixels of a world point on the copy of the world nearest to the view's middle."""
     near = unwrap_near(x, (min_x + max_x) / 2)

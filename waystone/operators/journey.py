@@ -100,10 +100,15 @@ def legs(h: DataFrame, limits: DataFrame, multiplier: float = 1.0, key: str = KE
     return out.withColumn("leg_no", F.row_number().over(Window.partitionBy(key).orderBy("start_km", "end_km"))).select(key, "leg_no", "start_km", "end_km", "is_transfer")
 
 
+def sample_steps() -> Column:
+    """How many samples a hop row has."""
+    steps = F.greatest(F.lit(1), F.least(F.lit(int(K.DENSIFY_MOST)), F.ceil(F.col("hop_km") / K.DENSIFY_KM).cast("int")))
+    return F.when(F.col("lat0").isNull(), 1).otherwise(steps)
+
+
 def densify(h: DataFrame) -> DataFrame:
     """Hop rows as samples at most 75 km apart (320 a hop at most): k, steps, at_km, lat, lon; a first point once."""
-    steps = F.greatest(F.lit(1), F.least(F.lit(int(K.DENSIFY_MOST)), F.ceil(F.col("hop_km") / K.DENSIFY_KM).cast("int")))
-    d = h.withColumn("steps", F.when(F.col("lat0").isNull(), 1).otherwise(steps)).withColumn("k", F.explode(F.sequence(F.lit(1), F.col("steps"))))
+    d = h.withColumn("steps", sample_steps()).withColumn("k", F.explode(F.sequence(F.lit(1), F.col("steps"))))
     f = F.col("k") / F.col("steps")
     at = great_circle(F.coalesce("lat0", "lat"), F.coalesce("lon0", "lon"), F.col("lat"), F.col("lon"), f)
     d = d.withColumn("__p", at).withColumn("at_km", F.col("cum0_km") + F.col("hop_km") * f)

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waystone.functions.geo import great_circle
-from waystone.operators.scan import place_slice, scan
+from waystone.operators.journey import sample_steps
+from waystone.operators.scan import place_slice, scan, time_slice
 
 
 def as_of(probes: DataFrame, knots: DataFrame, key: str, probe_at: str, knot_at: str, tie: str, payload: list[str], later: bool, width: float | None = None) -> DataFrame:
@@ -60,6 +61,23 @@ def point_index_at(probes: DataFrame, h: DataFrame, at: str = "d", key: str = "t
     return d.select(*probes.columns, F.col(f"knot.{tie}").cast("long").alias("index"))
 
 
+def samples_at(probes: DataFrame, h: DataFrame, number: str = "n", key: str = "traveler_id", order: tuple[str, ...] = ("t_ms", "seq"), slice_ms: int | None = None, width: float | None = None) -> DataFrame:
+    """Probes with lat, lon and at_km of the sample of that number (from 1) of the densified journey.
+
+    densify's samples before a hop are a running sum of steps, so a sample is found by an as-of on that sum and none is
+    made but those asked for. Numbers that the journey doesn't have give nulls. slice_ms and width: see scan and as_of.
+    """
+    s = scan(h.withColumn("steps", sample_steps()), key, list(order), time_slice(slice_ms), sums={"upto": F.col("steps").cast("long")})
+    s = s.select(key, "upto", "steps", "lat0", "lon0", "lat", "lon", "cum0_km", "hop_km")
+    payload = ["upto", "steps", "lat0", "lon0", "lat", "lon", "cum0_km", "hop_km"]
+    d = as_of(probes.where(F.col(number) >= 1), s, key, number, "upto", "upto", payload, later=True, width=width)
+    f = (F.col(number) - (F.col("knot.upto") - F.col("knot.steps"))) / F.col("knot.steps")
+    at = great_circle(F.coalesce("knot.lat0", "knot.lat"), F.coalesce("knot.lon0", "knot.lon"), F.col("knot.lat"), F.col("knot.lon"), f)
+    d = d.withColumn("__p", at).select(*probes.columns, "__p.lat", "__p.lon", (F.col("knot.cum0_km") + F.col("knot.hop_km") * f).alias("at_km"))
+    rest = probes.where(F.coalesce(F.col(number) < 1, F.lit(True)))
+    return d.unionByName(rest.select(*probes.columns, *[F.lit(None).cast("double").alias(c) for c in ("lat", "lon", "at_km")]))
+
+
 def ranked(h: DataFrame, key: str = "traveler_id") -> DataFrame:
     """h with below and upto, how many points of the journey lie before a point's place and how many not behind it."""
     w = Window.partitionBy(key).orderBy("cum_km")

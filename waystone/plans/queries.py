@@ -331,6 +331,18 @@ def w3(s: SparkSession, d: str) -> DataFrame:
     return journey.densify(hops(s, d)).select("traveler_id", "seq", "k", r("lat", 6), r("lon", 6), r("at_km"))
 
 
+@query("w3_virtual_samples", f"""WITH {sql.HOPS}, st AS (SELECT *, CASE WHEN lat0 IS NULL THEN 1 ELSE greatest(1, least(320, ceil(hop_km / 75.0)::INT)) END AS steps FROM hops),
+ex AS (SELECT *, unnest(generate_series(1, steps)) AS k FROM st), fx AS (SELECT *, k::DOUBLE / steps AS f, row_number() OVER (PARTITION BY traveler_id ORDER BY t_ms, seq, k) AS n, count(*) OVER (PARTITION BY traveler_id) AS n_all FROM ex),
+asked AS (SELECT DISTINCT traveler_id, 1 + (n_all - 1) * j // 49 AS n FROM (SELECT DISTINCT traveler_id, n_all FROM fx), generate_series(0, 49) g(j))
+SELECT traveler_id, n, round({_DENSE[0]}, 6) AS lat, round({_DENSE[1]}, 6) AS lon, round(cum0_km + hop_km * f, 3) AS at_km FROM fx JOIN asked USING (traveler_id, n)""")
+def w3_virtual(s: SparkSession, d: str) -> DataFrame:
+    """Fifty samples of every densified journey, found without making the others."""
+    h = hops(s, d)
+    n = h.groupBy("traveler_id").agg(F.sum(journey.sample_steps()).alias("all"))
+    asked = n.select("traveler_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(49)), lambda j: 1 + F.floor((F.col("all") - 1) * j / 49))).alias("n")).distinct()
+    return lookup.samples_at(asked, h).select("traveler_id", "n", r("lat", 6), r("lon", 6), r("at_km"))
+
+
 @query("w4_unwrap_dateline", f"WITH {sql.UNWRAPPED} SELECT traveler_id, seq, round(x, 9) AS x, round(y, 9) AS y FROM un")
 def w4(s: SparkSession, d: str) -> DataFrame:
     """W4, X4."""
@@ -627,6 +639,16 @@ def w23(s: SparkSession, d: str) -> DataFrame:
     return frames.trail_bands(probes(h), journey.totals(h), 10).select("traveler_id", "frame", "band", r("from_km"), r("to_km"))
 
 
+@query("w23_trail_points", f"""WITH {sql.TOTALS}, {_PROBE}, b AS (SELECT p.*, least(total_km, greatest(80.0, least(2000.0, total_km * 2.5 / 10))) AS tr FROM probes p JOIN totals USING (traveler_id)),
+w AS (SELECT traveler_id, frame, band, greatest(0.0, d - tr * hi) AS from_km, greatest(0.0, d - tr * lo) AS to_km FROM b, (VALUES (1, 0.0, 0.45), (2, 0.45, 0.75), (3, 0.75, 1.0)) v(band, lo, hi))
+SELECT w.traveler_id, frame, CAST(band AS INT) AS band, seq FROM w JOIN hops h ON h.traveler_id = w.traveler_id AND round(cum_km, 6) >= round(from_km, 6) AND (round(cum_km, 6) < round(to_km, 6) OR (band = 1 AND round(cum_km, 6) = round(to_km, 6)))""")
+def w23_points(s: SparkSession, d: str) -> DataFrame:
+    """The points of every band of the trail on every frame."""
+    h = hops(s, d)
+    p = frames.trail_points(frames.trail_bands(probes(h), journey.totals(h), 10), h)
+    return p.join(h.select("traveler_id", "i", "seq"), ["traveler_id", "i"]).select("traveler_id", "frame", "band", "seq")
+
+
 @query("t18_video_format", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{q}', {w}, {h}, {f}, {b}, {min(w, h)} / 720.0)" for a, q, w, h, f, b in K.FORMATS) + ") v(aspect, resolution, width, height, fps, bit_rate, overlay_scale)")
 def t18(s: SparkSession, d: str) -> DataFrame:
     """T16, T18."""

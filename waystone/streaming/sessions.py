@@ -28,7 +28,7 @@ def stream_sessions(points: DataFrame, key: str = "traveler_id", ts: str = "ts",
     return d.agg(F.min(ts).alias("st"), F.max(ts).alias("en"), F.count("*").alias("n")).select(key, "st", "en", "n")
 
 
-def stream_months(points: DataFrame, key: str = "traveler_id", ts: str = "ts", late: str = "1 hour") -> DataFrame:
+def stream_days(points: DataFrame, key: str = "traveler_id", ts: str = "ts", late: str = "1 hour") -> DataFrame:
     """Points per traveller and day as they come."""
     return points.withWatermark(ts, late).groupBy(key, F.window(ts, "1 day").alias("w")).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("day"), "n")
 
