@@ -8,7 +8,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -145,6 +144,8 @@ NO_SPACE = byte_classes(np.array([not (c == 32 or 9 <= c <= 13) for c in range(2
 
 def split_words(texts: pa.Array, classes: np.ndarray, limit: int) -> Iterator[tuple[int, int, pa.Array, np.ndarray]]:
     """Runs of texts as (first, last + 1, words end to end, offsets of the texts' words)."""
+    import pyarrow.compute as pc  # large, and most operators do without it
+
     for lo, hi, buf, off in text_chunks(texts, limit):
         a = pa.StringArray.from_buffers(hi - lo, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(classes[buf]))
         split = pc.ascii_split_whitespace(a)

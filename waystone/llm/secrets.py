@@ -250,14 +250,14 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, column: str =
         index = Index(asked)
         finds = [re.compile(r.pattern, re.ASCII | (re.IGNORECASE if r.fold else 0)) for r in rules]
         for b in batches:
-            texts = b.column("text").to_pylist()
-            found: list[list] = [[] for _ in texts]
-            for lo, _, buf, off in text_chunks(texts):
+            found: list[list] = [[] for _ in range(b.num_rows)]
+            for lo, hi, buf, off in text_chunks(b.column("text")):
                 index.build(buf, off)
+                texts = b.column("text").slice(lo, hi - lo).to_pylist()  # a run's at a time
                 for i, (rule, query) in enumerate(zip(rules, queries, strict=True)):
-                    for k in index.find(query) + lo:
+                    for k in index.find(query):
                         if texts[k]:
-                            found[k] += [(s, i, e) for s, e in _matches(rule, texts[k], finds[i])]
+                            found[lo + k] += [(s, i, e) for s, e in _matches(rule, texts[k], finds[i])]
             rows = [[{"kind": rules[i].kind, "start": s, "end": e} for s, i, e in sorted(x)] for x in found]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, kind)], [*keep, column])
 
