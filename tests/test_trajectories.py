@@ -212,7 +212,7 @@ def test_streams(spark, tmp_path):
     raw_src = str(tmp_path / "raw")
     raw(spark, (0, 37, 5), (1, 38, 5), (2, 37.0001, 5), (60, 37.1, 5)).write.parquet(raw_src)
     s = spark.readStream.schema(raw(spark, (0, 1, 1)).schema).parquet(raw_src)
-    q = sessions.stream_spike_filter(s).writeStream.format("memory").queryName("calm").outputMode("append").trigger(availableNow=True).start()
+    q = sessions.stream_spike_filter(s, late="0 seconds").writeStream.format("memory").queryName("calm").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(60)
     q.stop()
     assert sorted(r.seq for r in spark.sql("SELECT * FROM calm").collect()) == [0, 2]

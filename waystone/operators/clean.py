@@ -137,8 +137,11 @@ def _taken(held: pd.DataFrame | None, rows: pd.DataFrame, keep: list[int]) -> li
 class _Spikes(Fold):
     """The last kept row's values and the row in question; a row is settled by the one after it."""
 
+    reach = K.SPIKE_MS
+
     def __init__(self) -> None:
         self.before: tuple | None = None
+        self.last: pd.DataFrame | None = None
         self.pending: pd.DataFrame | None = None
 
     def feed(self, rows: pd.DataFrame) -> list[pd.DataFrame]:
@@ -150,12 +153,16 @@ class _Spikes(Fold):
                 self.before = now
             now, at = tuple(after), i
         out = _taken(self.pending, rows, keep)
+        self.last = out[-1].tail(1) if out else self.last
         self.pending = rows.take([len(rows) - 1]) if len(rows) else self.pending
         return out
 
     def end(self) -> list[pd.DataFrame]:
         return [] if self.pending is None else [self.pending]
 
+    def rows(self) -> list[pd.DataFrame]:
+        return [x for x in (self.last, self.pending) if x is not None]
+
     @staticmethod
     def _spike(b: tuple, c: tuple, a: tuple) -> bool:
         if not 0 <= a[2] - b[2] <= K.SPIKE_MS or km_between(*b[:2], *a[:2]) > max(K.SPIKE_REJOIN_KM, 2 * (b[3] + a[3]) / 1000):
@@ -186,6 +193,8 @@ def spike_fold(raw: DataFrame, key: str = "traveler_id", order: tuple[str, ...]
 class _Stationary(Fold):
     """The last kept row, which waits until a row is kept that doesn't merge with it."""
 
+    reach = K.STATIONARY_MS
+
     def __init__(self) -> None:
         self.kept: pd.DataFrame | None = None
 
@@ -207,6 +216,57 @@ class _Stationary(Fold):
     def end(self) -> list[pd.DataFrame]:
         return [] if self.kept is None else [self.kept]
 
+    def rows(self) -> list[pd.DataFrame]:
+        return self.end()
+
+
+class _Excursions(Fold):
+    """W9 for streams: the last kept row and the up to four after it; a run is settled once the fourth is known."""
+
+    reach = K.EXCURSION_MS
+
+    def __init__(self) -> None:
+        self.held: pd.DataFrame | None = None
+
+    def feed(self, rows: pd.DataFrame) -> list[pd.DataFrame]:
+        if not len(rows):
+            return []
+        keep = [0] if self.held is None else []
+        d = rows if self.held is None else pd.concat([self.held, rows])
+        at = self._walk(d, keep, K.LONGEST_RUN + 1)
+        self.held = d.iloc[at:]
+        return [d.take(keep)] if keep else []
+
+    def end(self) -> list[pd.DataFrame]:
+        keep: list[int] = []
+        if self.held is not None:
+            self._walk(self.held, keep, 1)
+        return [self.held.take(keep)] if keep else []
+
+    def rows(self) -> list[pd.DataFrame]:
+        return [] if self.held is None else [self.held]
+
+    @classmethod
+    def _walk(cls, d: pd.DataFrame, keep: list[int], ahead: int) -> int:
+        """Adds the kept rows to keep, as long as so many rows stand after the last kept one; returns that one."""
+        v, at = d[["lat", "lon", "t_ms"]].to_numpy(float), 0
+        while at + ahead < len(v):
+            run = next((n for n in range(K.LONGEST_RUN, 0, -1) if at + n + 1 < len(v) and cls._away(v[at : at + n + 2])), 0)
+            at += run + 1
+            keep.append(at)
+        return at
+
+    @staticmethod
+    def _away(v) -> bool:
+        """Whether all rows but the first and the last of v are one excursion."""
+        km = lambda a, b: km_between(*v[a][:2], *v[b][:2])
+        n, after = len(v) - 2, len(v) - 1
+        if not 0 <= v[after][2] - v[0][2] <= K.EXCURSION_MS or not km(0, after) <= K.REJOIN_KM:
+            return False
+        fast = all(_kmh(km(a, b), v[b][2] - v[a][2]) > K.EXCURSION_KMH for a, b in ((0, 1), (n, after)))
+        far = all(km(0, i) >= K.EXCURSION_KM and km(i, after) >= K.EXCURSION_KM for i in range(1, after))
+        return fast and far and all(km(1, i) <= K.REJOIN_KM for i in range(2, after))
+
 
 def stationary_collapse(raw: DataFrame, key: str = "traveler_id", order: tuple[str, ...] = ("t_ms", "seq"), slice_ms: int | None = None) -> DataFrame:
     """Signals within ten minutes and reach of the last kept one become one, the strictly more accurate."""

@@ -9,7 +9,13 @@ from pyspark.sql import DataFrame
 
 
 class Fold:
-    """Per-key state: feed() takes the key's next rows and returns rows that are settled, end() the rest."""
+    """Per-key state: feed() takes the key's next rows and returns rows that are settled, end() the rest.
+
+    For streams, rows() gives the few rows that bring a new fold to the same state when they are fed to it (what it returns
+    then was given out before), and reach is the time in ms after the last of them beyond which none can matter.
+    """
+
+    reach = 0
 
     def feed(self, rows: pd.DataFrame) -> list[pd.DataFrame]:
         raise NotImplementedError
@@ -17,6 +23,9 @@ class Fold:
     def end(self) -> list[pd.DataFrame]:
         return []
 
+    def rows(self) -> list[pd.DataFrame]:
+        raise NotImplementedError
+
 
 def fold_sorted(df: DataFrame, key: str, order: list[str], make: Callable[[], Fold], schema: str, part: str | None = None) -> DataFrame:
     """Runs a Fold over each key's rows in order, batch by batch: one shuffle and a spillable sort, and no task ever

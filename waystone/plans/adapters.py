@@ -60,14 +60,19 @@ def export_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("source", text.alias("text"))
 
 
-def export_files(spark: SparkSession, sf_dir: str) -> str:
-    """The folder of export_documents as files, one a user, in the folder that driver and executors share."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, which only a local master may leave unset."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         shared = f"file://{tempfile.mkdtemp(prefix='waystone-')}"
         spark.conf.set("spark.checkpoint.dir", shared)
-    path = f"{shared.rstrip('/')}/exports-{uuid.uuid4().hex}"
+    return shared.rstrip("/")
+
+
+def export_files(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of export_documents as files, one a user, in the folder that driver and executors share."""
+    path = f"{shared_folder(spark)}/exports-{uuid.uuid4().hex}"
     export_documents(spark, sf_dir).write.partitionBy("source").text(path)
     return path

@@ -793,4 +793,4 @@ def entry(s: SparkSession, d: str) -> DataFrame:
 QUERIES["journey_summary"] = entry
 ORACLES["journey_summary"] = f"WITH {sql.LEGS}, n AS (SELECT traveler_id, count(*) AS n_legs, count(*) FILTER (is_transfer) AS n_transfers FROM legs GROUP BY 1) SELECT traveler_id, n_points, round(total_km, 3) AS total_km, round(threshold_km, 6) AS threshold_km, n_legs, n_transfers FROM totals JOIN limits USING (traveler_id) LEFT JOIN n USING (traveler_id)"
 
-from waystone.plans import camera_queries, more  # noqa: E402, F401  they register theirs
+from waystone.plans import camera_queries, more, streams  # noqa: E402, F401  they register theirs

@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import io
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from waystone.operators.clean import _Spikes
+from waystone import constants as K
+from waystone.operators.clean import _Excursions, _Spikes, _Stationary, filter_accuracy
 from waystone.sources.exports import flatten_segments, parse_documents, segment_points
+from waystone.streaming.ordered import stream_fold
 
 
 def stream_exports(spark: SparkSession, path: str) -> DataFrame:
@@ -33,31 +29,21 @@ def stream_days(points: DataFrame, key: str = "traveler_id", ts: str = "ts", lat
     return points.withWatermark(ts, late).groupBy(key, F.window(ts, "1 day").alias("w")).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("day"), "n")
 
 
-def stream_spike_filter(raw: DataFrame, key: str = "traveler_id") -> DataFrame:
-    """Z3: raw signals without spikes, settled one signal behind the stream; what is pending when a traveller's timer
-    runs out counts as kept. The state is the last kept signal and the pending one.
-
-    Within a micro-batch signals are sorted by time; those older than the pending signal are late and dropped.
-    """
-    schema = raw.schema
-    state = T.StructType([T.StructField("before", T.ArrayType(T.DoubleType())), T.StructField("pending", T.StringType())])
-    names = schema.names
-
-    def run(k: tuple, batches: Iterator[pd.DataFrame], s: GroupState) -> Iterator[pd.DataFrame]:
-        f = _Spikes()
-        if s.exists:
-            before, pending = s.get
-            f.before = tuple(before) if before else None
-            f.pending = pd.read_json(io.StringIO(pending), orient="records", lines=True)[names] if pending else None
-        if s.hasTimedOut:
-            s.remove()
-            yield from f.end()
-            return
-        rows = pd.concat(list(batches)).sort_values(["t_ms", "seq"])
-        if f.pending is not None:
-            rows = rows[rows["t_ms"] >= int(f.pending["t_ms"].iloc[0])]
-        yield from f.feed(rows)
-        s.update(([float(x) for x in f.before] if f.before else None, f.pending.to_json(orient="records", lines=True) if f.pending is not None else None))
-        s.setTimeoutDuration(60_000)
-
-    return raw.groupBy(key).applyInPandasWithState(run, schema, state, "append", GroupStateTimeout.ProcessingTimeTimeout)
+def stream_spike_filter(raw: DataFrame, key: str = "traveler_id", order: tuple[str, ...] = ("t_ms", "seq"), late: str = "1 hour") -> DataFrame:
+    """W10 over a stream in any order; see stream_fold for lateness and state, here as below."""
+    return stream_fold(raw, [_Spikes], key, list(order), late)
+
+
+def stream_outlier_filter(points: DataFrame, mode: str = "conservative", key: str = "traveler_id", order: tuple[str, ...] = ("t_ms", "seq"), late: str = "1 hour") -> DataFrame:
+    """W9 over a stream in any order; mode off changes nothing."""
+    return points if mode == "off" else stream_fold(points, [_Excursions], key, list(order), late)
+
+
+def stream_stationary_collapse(raw: DataFrame, key: str = "traveler_id", order: tuple[str, ...] = ("t_ms", "seq"), late: str = "1 hour") -> DataFrame:
+    """W11 over a stream in any order."""
+    return stream_fold(raw, [_Stationary], key, list(order), late)
+
+
+def stream_clean_raw(raw: DataFrame, most: float | None = K.ACCURACY_M, key: str = "traveler_id", order: tuple[str, ...] = ("t_ms", "seq"), late: str = "1 hour") -> DataFrame:
+    """clean_raw over a stream in any order: the accuracy limit, then spikes and stationary noise in one state."""
+    return stream_fold(filter_accuracy(raw, most), [_Spikes, _Stationary], key, list(order), late)
