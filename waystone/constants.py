@@ -30,6 +30,8 @@ NODE_FAN, NODE_LEVELS = 4, 8
 POLAR_CORE, POLAR_CORRIDOR = 70.0, 50.0
 DRAWN_PX = 1.35
 OVERVIEW_EDGE, PREVIEW_EDGE = 1080, 240
+#: The overlay's card on a grid of 720 by 720: its top, its bottom and the room left at its sides.
+OVERLAY_EDGE, CARD_TOP, CARD_BOTTOM, CARD_INSET = 720, 28, 132, 34
 STALE_MS = 7 * 24 * 3_600_000
 REQUEST_VERSION, REQUEST_POINTS = 8, 2_000_000
 

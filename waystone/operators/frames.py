@@ -79,7 +79,23 @@ def world_to_screen(x: Column, y: Column, min_x: Column, max_x: Column, min_y: C
 def video_formats(spark: SparkSession) -> DataFrame:
     """Aspect, resolution, width, height, fps, bit_rate, with T16's overlay scale."""
     d = spark.createDataFrame(list(K.FORMATS), "aspect string, resolution string, width int, height int, fps int, bit_rate int")
-    return d.withColumn("overlay_scale", F.least("width", "height") / 720.0)
+    return d.withColumn("overlay_scale", overlay_scale(F.col("width"), F.col("height")))
+
+
+def overlay_scale(width: Column, height: Column) -> Column:
+    """Pixels of one unit of the overlay's grid."""
+    return F.least(width, height) / float(K.OVERLAY_EDGE)
+
+
+def overlay_card(width: Column, height: Column) -> Column:
+    """struct(left, top, right, bottom, width, center_x): where the overlay's card stands on a picture, in pixels.
+
+    It is centred and as wide as the grid's edge allows, also on a picture wider than it is high.
+    """
+    unit = overlay_scale(width, height)
+    half = (F.least(width, unit * K.OVERLAY_EDGE) - unit * 2 * K.CARD_INSET) / 2
+    mid = width / 2
+    return F.struct((mid - half).alias("left"), (unit * K.CARD_TOP).alias("top"), (mid + half).alias("right"), (unit * K.CARD_BOTTOM).alias("bottom"), (half * 2).alias("width"), mid.alias("center_x"))
 
 
 def export_fraction(phase: Column, done: Column) -> Column:

@@ -1,7 +1,7 @@
 """The registered queries of the trajectory operators over the driver's tables, with SQL that says the same.
 
-Names are SURVEY ids with a word or two. Queries run over whole tables, but for those of literal edge cases and constants
-that README names.
+Names are SURVEY ids with a word or two. Every query runs over its whole tables; those of text forms write each event in one
+of many ways, bad ones among them.
 """
 
 from __future__ import annotations
@@ -47,19 +47,23 @@ def limits_of(h: DataFrame) -> DataFrame:
     return journey.thresholds(h)
 
 
-def values(rows: list[str | None]) -> str:
-    """SQL: a table v(i, s) of literals."""
-    quoted = ["NULL" if x is None else "'" + x.replace("'", "''") + "'" for x in rows]
-    return "(VALUES " + ", ".join(f"({i}, {q}::VARCHAR)" for i, q in enumerate(quoted)) + ") v(i, s)"
+def values(forms: list[str | None]) -> str:
+    """SQL: a table v(i, k, s): every event's number, which of the forms it takes, and that form with its own two digits for ~."""
+    quoted = ", ".join("NULL" if x is None else "'" + x.replace("'", "''") + "'" for x in forms)
+    n = len(forms)
+    return f"(SELECT event_id AS i, event_id % {n} AS k, replace([{quoted}][(event_id % {n} + 1)::INT], '~', lpad((event_id // {n} % 60)::VARCHAR, 2, '0')) AS s FROM events) v"
 
 
-def literals(s: SparkSession, rows: list[str | None]) -> DataFrame:
-    return s.createDataFrame(list(enumerate(rows)), "i int, s string")
+def written(s: SparkSession, d: str, forms: list[str | None]) -> DataFrame:
+    """i, k, s as in values: a text for every event, in one of many ways of writing it."""
+    i, n = F.col("event_id"), len(forms)
+    form = F.element_at(F.array(*map(F.lit, forms)), (i % n + 1).cast("int"))
+    return table(s, d, "events").select(i.alias("i"), (i % n).alias("k"), F.replace(form, F.lit("~"), F.lpad((F.floor(i / n) % 60).cast("string"), 2, "0")).alias("s"))
 
 
 # --- leaves of exports ---------------------------------------------------------------------------------------------
 
-COORDINATES = ["37.5°, 127.0°", "geo:37.5,127?z=12", "375000000,1270000000", "91,127", "not a coordinate", "geo:91,127", None, ",127", " -33.9 , 151.2 ", "1,2,3", "1e1,2E1", "nan,1", ""]
+COORDINATES = ["37.~°, 127.~°", "geo:~.5,1~?z=12", "3750~0000,12700~0000", "~1,127", "not a coordinate ~", "geo:91,1~", None, ",127", " -33.~ , 151.2 ", "1,2,~", "~e1,2E1", "nan,1", ""]
 _CLEAN = "replace(replace(split_part(regexp_replace(trim(s), '^geo:', ''), '?', 1), '°', ''), ' ', '')"
 _NUM = lambda k: f"CASE WHEN regexp_full_match(split_part(c, ',', {k}), '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?') THEN CAST(split_part(c, ',', {k}) AS DOUBLE) END"
 
@@ -68,11 +72,11 @@ _NUM = lambda k: f"CASE WHEN regexp_full_match(split_part(c, ',', {k}), '[+-]?([
 e AS (SELECT i, CASE WHEN abs(la) > 1e6 OR abs(lo) > 1e6 THEN la/1e7 ELSE la END AS la, CASE WHEN abs(la) > 1e6 OR abs(lo) > 1e6 THEN lo/1e7 ELSE lo END AS lo FROM b)
 SELECT i, CASE WHEN ok THEN la END AS lat, CASE WHEN ok THEN lo END AS lon FROM (SELECT *, abs(la) <= 85.05112878 AND abs(lo) <= 180 AS ok FROM e)""")
 def p1(s: SparkSession, d: str) -> DataFrame:
-    v = literals(s, COORDINATES).withColumn("p", coords.parse_coordinate(F.col("s")))
+    v = written(s, d, COORDINATES).withColumn("p", coords.parse_coordinate(F.col("s")))
     return v.select("i", "p.lat", "p.lon")
 
 
-INSTANTS = ["2024-05-11T08:00:00Z", "2024-05-11T08:00:00.123456Z", "2024-05-11T08:00:00+09:00", "2024-05-11T08:00:00-0330", "2024-05-11T08:00:00", "2024-05-11", "2026", "noon", None, "2024-13-01T00:00:00Z", "2024-05-11T08:00Z"]
+INSTANTS = ["2024-05-11T08:~:00Z", "2024-05-11T08:00:~.123456Z", "2024-05-11T08:~:00+09:00", "2024-05-11T08:00:~-0330", "2024-05-11T08:00:~", "2024-05-~", "20~", "noon", None, "2024-13-01T00:00:00Z", "2024-05-11T08:00Z"]
 
 
 @query("p3_parse_instant", f"""SELECT i, epoch_ms(try_cast(CASE WHEN regexp_matches(s, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T[0-9]{{2}}:[0-9]{{2}}') THEN
@@ -80,15 +84,15 @@ INSTANTS = ["2024-05-11T08:00:00Z", "2024-05-11T08:00:00.123456Z", "2024-05-11T0
  NOT regexp_matches(s, '(Z|[+-][0-9]{{2}}:?[0-9]{{2}})$') AS tz_missing FROM {values(INSTANTS)}""")
 def p3(s: SparkSession, d: str) -> DataFrame:
     """P3, P4."""
-    return literals(s, INSTANTS).select("i", F.unix_millis(coords.parse_instant(F.col("s"))).alias("ms"), coords.tz_missing(F.col("s")).alias("tz_missing"))
+    return written(s, d, INSTANTS).select("i", F.unix_millis(coords.parse_instant(F.col("s"))).alias("ms"), coords.tz_missing(F.col("s")).alias("tz_missing"))
 
 
-OFFSETS = ["15", "60", "-1", "unknown", "15.0", "15.5", "", None, "99999999999999999999", "0"]
+OFFSETS = ["~", "60", "-~", "unknown", "1~.0", "~.5", "", None, "99999999999999999999", "0"]
 
 
 @query("p5_parse_offset_minutes", f"SELECT i, try_cast(CASE WHEN regexp_full_match(s, '[0-9]+([.]0+)?') THEN split_part(s, '.', 1) END AS BIGINT) AS minutes FROM {values(OFFSETS)}")
 def p5(s: SparkSession, d: str) -> DataFrame:
-    return literals(s, OFFSETS).select("i", coords.parse_offset_minutes(F.col("s")).alias("minutes"))
+    return written(s, d, OFFSETS).select("i", coords.parse_offset_minutes(F.col("s")).alias("minutes"))
 
 
 @query("p6_offset_instant", """SELECT event_id, CASE WHEN t + 60000 * m <= t + 3600000 + 60000 THEN t + 60000 * m END AS at_ms
@@ -185,13 +189,16 @@ def s5(s: SparkSession, d: str) -> DataFrame:
     return exports.classify_exports(exports.parse_documents(export_documents(s, d))).select("source", "reason", "n_points")
 
 
-RECORDS = ['[{"uri":"a","title":"","fileName":"trip.one.mp4","createdAtMillis":5,"year":2023},{"title":"lost"},{"uri":"b","title":"B","createdAtMillis":9,"startYear":2024,"startMonth":2,"durationSeconds":-4}]', "broken", None]
+_RECORDS = ['[{"uri":"a~","title":"","fileName":"trip.~.mp4","createdAtMillis":5~,"year":20~},{"title":"lost"},{"uri":"b~","title":"B ~","createdAtMillis":9,"startYear":2024,"startMonth":2,"durationSeconds":-~}]', "broken", None]
 
 
-@query("s12_catalog_scan", """SELECT * FROM (VALUES ('a', 'trip.one', 5::BIGINT, 0, 2023, 2023), ('b', 'B', 9::BIGINT, 0, 2024, 2024)) v(uri, title, created_ms, duration_s, start_year, end_year)""")
+@query("s12_catalog_scan", f"""WITH r AS (SELECT lpad((i // 3 % 60)::VARCHAR, 2, '0') AS n FROM {values(_RECORDS)} WHERE k = 0)
+SELECT 'a' || n AS uri, 'trip.' || n AS title, ('5' || n)::BIGINT AS created_ms, 0 AS duration_s, 2000 + n::INT AS start_year, 2000 + n::INT AS end_year FROM r
+UNION ALL SELECT 'b' || n, 'B ' || n, 9::BIGINT, 0, 2024, 2024 FROM r""")
 def s12(s: SparkSession, d: str) -> DataFrame:
-    """S12, O6."""
-    v = literals(s, RECORDS).select(F.col("s").alias("text"))
+    """The lists of records of many devices, some broken."""
+    # JSON has no numbers with leading zeros
+    v = written(s, d, _RECORDS).select(F.regexp_replace("s", "-0([0-9])", "-$1").alias("text"))
     return catalog.newest_first(catalog.read_records(v)).select("uri", "title", "created_ms", "duration_s", "start_year", "end_year")
 
 
@@ -603,9 +610,12 @@ def t2(s: SparkSession, d: str) -> DataFrame:
     return tiles.map_plan(v, 900, "traveler_id", "seq")
 
 
-@query("t13_frame_table", """SELECT CAST(f AS INT) AS frame, CASE WHEN f < 240 THEN f / 239.0 ELSE 1.0 END AS journey_progress, CASE WHEN f < 240 THEN 0.0 ELSE least(1.0, (f - 240 + 1) / 24.0) END AS outro_progress FROM generate_series(0, 275) g(f)""")
+@query("t13_frame_table", """SELECT event_id, CAST(f AS INT) AS frame, CASE WHEN f < 240 THEN f / 239.0 ELSE 1.0 END AS journey_progress, CASE WHEN f < 240 THEN 0.0 ELSE least(1.0, (f - 240 + 1) / 24.0) END AS outro_progress
+FROM (SELECT event_id, event_id % 300 AS f FROM events) WHERE f < 276""")
 def t13(s: SparkSession, d: str) -> DataFrame:
-    return frames.frame_table(s, 10, 24)
+    """Every event as a frame that is asked for; those after the last one aren't there."""
+    asked = table(s, d, "events").select("event_id", (F.col("event_id") % 300).cast("int").alias("frame"))
+    return asked.join(frames.frame_table(s, 10, 24), "frame").select("event_id", "frame", "journey_progress", "outro_progress")
 
 
 @query("t14_frame_positions")
@@ -649,10 +659,22 @@ def w23_points(s: SparkSession, d: str) -> DataFrame:
     return p.join(h.select("traveler_id", "i", "seq"), ["traveler_id", "i"]).select("traveler_id", "frame", "band", "seq")
 
 
-@query("t18_video_format", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{q}', {w}, {h}, {f}, {b}, {min(w, h)} / 720.0)" for a, q, w, h, f, b in K.FORMATS) + ") v(aspect, resolution, width, height, fps, bit_rate, overlay_scale)")
+@query("t18_video_format", "SELECT s_suppkey, v.* FROM (SELECT s_suppkey, ['square', 'portrait', 'landscape'][(s_suppkey % 3 + 1)::INT] AS aspect, ['480', '720', '1080', '2160'][(s_suppkey // 3 % 4 + 1)::INT] AS resolution FROM supplier) JOIN (VALUES " + ", ".join(f"('{a}', '{q}', {w}, {h}, {f}, {b}, {min(w, h)} / 720.0)" for a, q, w, h, f, b in K.FORMATS) + ") v(aspect, resolution, width, height, fps, bit_rate, overlay_scale) USING (aspect, resolution)")
 def t18(s: SparkSession, d: str) -> DataFrame:
-    """T16, T18."""
-    return frames.video_formats(s)
+    """The format that every supplier asks for; there is none of 2160 lines."""
+    n = F.col("s_suppkey")
+    one = lambda names, k: F.element_at(F.array(*map(F.lit, names)), (k % len(names) + 1).cast("int"))
+    asked = table(s, d, "supplier").select("s_suppkey", one(["square", "portrait", "landscape"], n).alias("aspect"), one(["480", "720", "1080", "2160"], F.floor(n / 3)).alias("resolution"))
+    return asked.join(frames.video_formats(s), ["aspect", "resolution"]).select("s_suppkey", "aspect", "resolution", "width", "height", "fps", "bit_rate", "overlay_scale")
+
+
+@query("t16_overlay_card", """SELECT event_id, round((w - least(w - 68 * u, 652 * u)) / 2, 6) AS card_left, round(28 * u, 6) AS card_top, round((w + least(w - 68 * u, 652 * u)) / 2, 6) AS card_right, round(132 * u, 6) AS card_bottom
+FROM (SELECT *, least(w, h) / 720.0::DOUBLE AS u FROM (SELECT event_id, 240 + event_id % 1681 AS w, 240 + event_id % 1009 AS h FROM events))""")
+def t16(s: SparkSession, d: str) -> DataFrame:
+    """T16 on a picture of any size for every event."""
+    e = table(s, d, "events").select("event_id", (F.col("event_id") % 1681 + 240).alias("w"), (F.col("event_id") % 1009 + 240).alias("h"))
+    c = e.withColumn("card", frames.overlay_card(F.col("w"), F.col("h")))
+    return c.select("event_id", *[F.round(f"card.{k}", 6).alias(f"card_{k}") for k in ("left", "top", "right", "bottom")])
 
 
 @query("t19_progress_weights", "SELECT event_id, round(CASE event_id % 3 WHEN 0 THEN f * 0.1 WHEN 1 THEN f * 0.8 + 0.1 ELSE f * 0.1 + 0.9 END, 6) AS fraction FROM (SELECT event_id, (event_id % 101) / 100.0 AS f FROM events)")
@@ -692,64 +714,70 @@ def x8(s: SparkSession, d: str) -> DataFrame:
     return t.select("traveler_id", unit.alias("unit"), text.format_distance(F.col("total_km"), unit).alias("label"))
 
 
-TITLES = ["Trip {YEAR} by {name}", "{Name}", "  ", None, "no holes"]
+TITLES = ["Trip {YEAR} by {name} ~", "{Name}", "  ", None, "no holes ~"]
 
 
 @query("x12_title_template", f"SELECT i, coalesce(nullif(trim(regexp_replace(regexp_replace(s, '\\{{year\\}}', '2024', 'gi'), '\\{{name\\}}', 'Ana', 'gi')), ''), 'My trip') AS title, CASE WHEN i % 2 = 0 THEN '2024' ELSE '2024–2025' END AS label FROM {values(TITLES)}")
 def x12(s: SparkSession, d: str) -> DataFrame:
     """X11, X12."""
-    return literals(s, TITLES).select("i", text.title_from_template(F.col("s"), F.lit(2024), F.lit("Ana"), F.lit("My trip")).alias("title"), text.period_label(F.lit(2024), F.lit(2024) + F.col("i") % 2).alias("label"))
+    return written(s, d, TITLES).select("i", text.title_from_template(F.col("s"), F.lit(2024), F.lit("Ana"), F.lit("My trip")).alias("title"), text.period_label(F.lit(2024), F.lit(2024) + F.col("i") % 2).alias("label"))
 
 
-DURATIONS = ["90", "9", "300", "301", "12s", "", None, " 45 "]
+DURATIONS = ["~", "9", "300", "3~", "~s", "", None, " 1~ "]
 
 
 @query("x14_parse_duration", f"SELECT i, CASE WHEN try_cast(CASE WHEN regexp_full_match(trim(s), '[0-9]{{1,6}}') THEN trim(s) END AS INT) BETWEEN 10 AND 300 THEN trim(s)::INT END AS seconds FROM {values(DURATIONS)}")
 def x14(s: SparkSession, d: str) -> DataFrame:
-    return literals(s, DURATIONS).select("i", text.parse_duration(F.col("s")).alias("seconds"))
+    return written(s, d, DURATIONS).select("i", text.parse_duration(F.col("s")).alias("seconds"))
+
+
+def _turns() -> dict[str, int]:
+    """How many events take a value of a preset's field in a row, so that all combinations come in turn."""
+    steps = itertools.accumulate((len(v) for v in text.PRESET_FIELDS.values()), lambda a, b: a * b, initial=1)
+    return dict(zip(text.PRESET_FIELDS, steps))  # noqa: B905
 
 
-def presets(s: SparkSession) -> DataFrame:
-    f = text.PRESET_FIELDS
-    one = [F.struct(*[F.lit(v).alias(n) for n, v in zip(f, c, strict=True)]) for c in itertools.product(*f.values())]
-    return s.range(1).select(F.explode(F.array(*one)).alias("p")).select("p.*")
+_TURN = {n: f"(event_id // {k} % {len(text.PRESET_FIELDS[n])})" for n, k in _turns().items()}
+_PICKED = ", ".join(f"{list(text.PRESET_FIELDS[n])}[({k} + 1)::INT] AS {n}, {k} AS i_{n}" for n, k in _TURN.items())
 
 
-@query("x15_preset_codec", "WITH p AS (" + " CROSS JOIN ".join(f"(SELECT unnest({list(v)}) AS {n}, unnest(range({len(v)})) AS i_{n})" for n, v in text.PRESET_FIELDS.items()).join(("SELECT * FROM ", ")")) + """
-SELECT movement, aspect, detection, framing, pacing, replace(replace(rtrim(to_base64(unhex('A1' || printf('%02X', (i_movement | (i_aspect << 2) | (i_detection << 4) | (i_framing << 6))::INT) || printf('%02X', i_pacing::INT))), '='), '+', '-'), '/', '_') AS token, true AS same FROM p""")
+@query("x15_preset_codec", f"""WITH p AS (SELECT event_id, {_PICKED} FROM events)
+SELECT event_id, movement, aspect, detection, framing, pacing, replace(replace(rtrim(to_base64(unhex('A1' || printf('%02X', (i_movement | (i_aspect << 2) | (i_detection << 4) | (i_framing << 6))::INT) || printf('%02X', i_pacing::INT))), '='), '+', '-'), '/', '_') AS token, true AS same FROM p""")
 def x15(s: SparkSession, d: str) -> DataFrame:
-    """Every preset's token, read back."""
+    """Every event's preset as a token, read back."""
     f = list(text.PRESET_FIELDS)
-    p = presets(s).withColumn("token", text.encode_preset(*[F.col(c) for c in f])).withColumn("back", text.decode_preset(F.col("token")))
+    one = lambda names, k: F.element_at(F.array(*map(F.lit, names)), (F.floor(F.col("event_id") / k) % len(names) + 1).cast("int"))
+    p = table(s, d, "events").select("event_id", *[one(text.PRESET_FIELDS[n], k).alias(n) for n, k in _turns().items()])
+    p = p.withColumn("token", text.encode_preset(*[F.col(c) for c in f])).withColumn("back", text.decode_preset(F.col("token")))
     same = F.col("back.status") == "ok"
     for c in f:
         same = same & (F.col(f"back.{c}") == F.col(c))
-    return p.select(*f, "token", same.alias("same"))
+    return p.select("event_id", *f, "token", same.alias("same"))
 
 
-TOKENS = ["oRUB", "", "!!!!", "oRUBAAAAAAAAAAAAA", "AAAA", "oQ", None, "of8B", "oRUBAAAAAAAA"]
+TOKENS = ["oRUB", "", "!!~!!", "oRUBAAAAAAAAAAAAA", "AAAA", "oQ", None, "of8B", "oRUBAAAAAAAA"]
 
 
-@query("x16_preset_decode", f"SELECT i, CASE i WHEN 0 THEN 'ok' WHEN 4 THEN 'unsupported' WHEN 8 THEN 'invalid' ELSE 'invalid' END AS status FROM {values(TOKENS)}")
+@query("x16_preset_decode", f"SELECT i, CASE k WHEN 0 THEN 'ok' WHEN 4 THEN 'unsupported' ELSE 'invalid' END AS status FROM {values(TOKENS)}")
 def x16(s: SparkSession, d: str) -> DataFrame:
-    return literals(s, TOKENS).select("i", text.decode_preset(F.col("s"))["status"].alias("status"))
+    return written(s, d, TOKENS).select("i", text.decode_preset(F.col("s"))["status"].alias("status"))
 
 
-LINKS = ["https://a.b/p?preset=oRUB", "https://a.b/p?x=1&preset=oRUB#f", "https://a.b/p?preset=a&preset=b", "https://a.b/p", None, "https://a.b/?preset="]
+LINKS = ["https://a.b/~?preset=o~B", "https://a.b/p?x=~&preset=oRUB#f", "https://a.b/p?preset=a~&preset=b", "https://a.b/p~", None, "https://a.b/?preset="]
 
 
-@query("x17_preset_link", f"SELECT i, CASE i WHEN 0 THEN 'oRUB' WHEN 1 THEN 'oRUB' END AS token FROM {values(LINKS)}")
+@query("x17_preset_link", f"SELECT i, CASE k WHEN 0 THEN regexp_extract(s, 'o[0-9]+B') WHEN 1 THEN 'oRUB' END AS token FROM {values(LINKS)}")
 def x17(s: SparkSession, d: str) -> DataFrame:
-    return literals(s, LINKS).select("i", text.preset_link_token(F.col("s")).alias("token"))
+    return written(s, d, LINKS).select("i", text.preset_link_token(F.col("s")).alias("token"))
 
 
-NAMES = ["  A   trip ", "a/b:c*?", "..dots. ", "x" * 100, "", "tab\tand\nline"]
+NAMES = ["  A   trip ~ ", "a/b:c*?~", "..dots~. ", "x" * 79 + "~", "", "tab\tand\n~line"]
 
 
 @query("x19_sanitize_filename", f"SELECT i, substr(trim(regexp_replace(regexp_replace(s, '[[:cntrl:]\\\\/:*?\"<>|]+', ' ', 'g'), '\\s+', ' ', 'g'), ' .'), 1, 80) AS file, sha256(s) AS key FROM {values(NAMES)}")
 def x19(s: SparkSession, d: str) -> DataFrame:
     """X19, X21."""
-    return literals(s, NAMES).select("i", text.sanitize_filename(F.col("s")).alias("file"), text.uri_key(F.col("s")).alias("key"))
+    return written(s, d, NAMES).select("i", text.sanitize_filename(F.col("s")).alias("file"), text.uri_key(F.col("s")).alias("key"))
 
 
 @query("k4_catalog_upsert", "SELECT c_custkey AS uri, c_name AS title, c_custkey % 97 AS created_ms FROM customer WHERE c_custkey % 5 <> 0 UNION ALL SELECT c_custkey, 'new', 1000 FROM customer WHERE c_custkey % 5 = 0 AND c_custkey % 10 = 0")
@@ -766,10 +794,16 @@ def k6(s: SparkSession, d: str) -> DataFrame:
     return catalog.available_names(c)
 
 
-@query("s17_settings_scan", "SELECT * FROM (VALUES ('framing', 'balanced'), ('movement', 'steady'), ('pacing', 'strong')) v(key, value)")
+_SETTINGS = {"movement": (list(K.MOVEMENTS), "steady"), "pacing": (list(K.PACING), "balanced"), "framing": (list(K.FRAMING), "balanced")}
+
+
+@query("s17_settings_scan", "WITH st AS (SELECT ['movement', 'pacing', 'framing'][(event_id % 3 + 1)::INT] AS key, max(['balanced', 'strong'][(event_id % 2 + 1)::INT]) AS value FROM events WHERE event_id % 7 < 4 GROUP BY 1) SELECT v.key, CASE WHEN list_contains(v.allowed, st.value) THEN st.value ELSE v.fallback END AS value FROM (VALUES " + ", ".join(f"('{k}', {a}, '{f}')" for k, (a, f) in _SETTINGS.items()) + ") v(key, allowed, fallback) LEFT JOIN st USING (key)")
 def s17(s: SparkSession, d: str) -> DataFrame:
-    stored = s.createDataFrame([("pacing", "strong"), ("framing", "huge")], "key string, value string")
-    return catalog.settings(stored, {"movement": (list(K.MOVEMENTS), "steady"), "pacing": (list(K.PACING), "balanced"), "framing": (list(K.FRAMING), "balanced")})
+    """Of every setting the greatest value that an event stored, if it is allowed."""
+    i = F.col("event_id")
+    one = lambda names: F.element_at(F.array(*map(F.lit, names)), (i % len(names) + 1).cast("int"))
+    stored = table(s, d, "events").where(i % 7 < 4).select(one(["movement", "pacing", "framing"]).alias("key"), one(["balanced", "strong"]).alias("value"))
+    return catalog.settings(stored, _SETTINGS)
 
 
 @query("a18_eta_remaining")
