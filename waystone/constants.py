@@ -26,6 +26,8 @@ DENSIFY_KM, DENSIFY_MOST = 75.0, 320
 BLOCK_ROWS = 256
 #: Points of a node of the camera's bounds, nodes of one on the next level, and levels above the points.
 NODE_FAN, NODE_LEVELS = 4, 8
+#: Rows of a journey that a camera's task holds in memory, others in a file, and journeys that are smoothed at once.
+JOURNEY_HELD, JOURNEY_BATCH = 1 << 20, 128
 
 POLAR_CORE, POLAR_CORRIDOR = 70.0, 50.0
 DRAWN_PX = 1.35

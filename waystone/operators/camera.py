@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -235,22 +237,241 @@ def camera_track(raw: DataFrame, movement: Movement, aspect: float = K.CAMERA_AS
     return d.mapInPandas(run, f"{key} {dict(raw.dtypes)[key]}, sample int, center_x double, center_y double, span_y double, zoom int")
 
 
-def journey_camera(h: DataFrame, legs: DataFrame, totals: DataFrame, curve: DataFrame | None, movement: Movement, framing: float | None = None, aspect: float = K.CAMERA_ASPECT, width: int = 480, key: str = "traveler_id") -> DataFrame:
+class Held:
+    """Columns of numbers that come in pieces: in memory, beyond JOURNEY_HELD rows in the task's temporary files, mapped."""
+
+    def __init__(self, width: int) -> None:
+        self.width, self.n, self.parts, self.files = width, 0, [], None
+
+    def add(self, piece: list[np.ndarray]) -> None:
+        self.parts.append(piece)
+        self.n += len(piece[0])
+        if self.n > K.JOURNEY_HELD:
+            self.files = self.files or [tempfile.TemporaryFile() for _ in range(self.width)]
+            self.n = 0
+            self._flush()
+
+    def _flush(self) -> None:
+        for f, *c in zip(self.files, *self.parts):
+            f.writelines(x.tobytes() for x in c)
+            f.flush()
+        self.parts = []
+
+    def columns(self) -> list[np.ndarray]:
+        if self.files is None:
+            return [np.concatenate(c) for c in zip(*self.parts)] if self.parts else [np.zeros(0)] * self.width
+        self._flush()
+        return [np.memmap(f, np.float64, "r") for f in self.files]
+
+
+def _smoothstep(t: np.ndarray) -> np.ndarray:
+    c = np.clip(t, 0.0, 1.0)
+    return c * c * (3.0 - 2.0 * c)
+
+
+def _log_lerp(a: np.ndarray, b: np.ndarray, t: np.ndarray) -> np.ndarray:
+    return np.exp(np.log(a) + (np.log(b) - np.log(a)) * t)
+
+
+def sample_distances(p: np.ndarray, total: float, x: np.ndarray, y: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """J5 of one journey's samples, see pacing.distance_at; no knots for linear progress."""
+    straight = total * p
+    if not len(x):
+        return straight
+    j = np.searchsorted(x, p, "right") - 1
+    a, b = np.maximum(j, 0), np.minimum(np.maximum(j, 0) + 1, len(x) - 1)
+    x0, y0 = x[a], y[a]
+    last, h = (b == a) | (p == x0), np.where(b == a, 1.0, x[b] - x0)
+    t = (p - x0) / h
+    t2, t3 = t * t, t * t * t
+    d = (t3 * 2 - t2 * 3 + 1) * y0 + (t3 - t2 * 2 + t) * h * m[a] + (t2 * 3 - t3 * 2) * y[b] + (t3 - t2) * h * m[b]
+    return np.maximum(0.0, np.minimum(total, np.where(j < 0, straight, np.where(last, y0, d))))
+
+
+def sample_windows(d: np.ndarray, total: float, legs: list[np.ndarray], movement: Movement, framing: float | None) -> dict[str, np.ndarray]:
+    """T3, T4 of one journey's samples, see context_windows: tail, look, pad, arrival, alignment."""
+    n, start_km, end_km, far = len(d) - 1, *legs
+    own = movement.pad * (framing if framing is not None else 1.0)
+    ctx0 = max(movement.low_km, min(movement.high_km, total * movement.fraction))
+    j = np.searchsorted(start_km, d, "right") - 1 if movement.leg_aware else np.full(len(d), -1)
+    if not len(start_km) or not movement.leg_aware:
+        return {"tail": np.maximum(0.0, d - ctx0), "look": np.minimum(total, d + ctx0), "pad": np.full(len(d), own), "arrival": np.zeros(len(d)), "alignment": np.zeros(len(d))}
+    on, at, frames = j >= 0, np.maximum(j, 0), framing is not None
+    nxt, more = np.minimum(at + 1, len(start_km) - 1), on & (at + 1 < len(start_km))
+    s, e, transfer = start_km[at], end_km[at], on & (far[at] > 0)
+    next_far, next_local, after = more & (far[nxt] > 0), more & (far[nxt] == 0), on & (at > 0) & (far[np.maximum(at - 1, 0)] > 0)
+    length, off = e - s, d - s
+    real = np.where(length > 0, length, 1.0)
+    blend = np.where(transfer & next_local & (length > 0), _smoothstep((off / real - 0.75) / 0.25), 0.0) if frames else np.zeros(len(d))
+    near = np.maximum(0.001, np.minimum(ctx0, np.where(more, end_km[nxt] - start_km[nxt], np.inf)))
+    ctx = np.where(transfer, np.where(blend > 0, _log_lerp(real, near, blend), length), ctx0)
+    pad = np.where(transfer, K.TRANSFER_PAD + (own - K.TRANSFER_PAD) * blend, own)
+    leaving = on & (e - d <= np.minimum(50.0, length * 0.15))
+    ahead = np.where(~on, total, np.where(transfer, np.where(next_local, end_km[nxt], e), total if not frames else np.where(leaving & next_far, end_km[nxt], e)))
+    hold = np.maximum(0.001, np.minimum(length, total * (2.0 / n)))
+    settle = np.minimum(length, np.maximum(25.0, hold))
+    landed = np.where(off <= hold, 1.0, np.where(settle > hold, 1.0 - _smoothstep((off - hold) / np.where(settle > hold, settle - hold, 1.0)), 0.0))
+    arrival = np.where(transfer, blend, np.where(after, landed, 0.0)) if frames else np.zeros(len(d))
+    align = np.where(transfer, arrival, on.astype(float)) if frames else np.zeros(len(d))
+    return {"tail": np.maximum(np.where(on, s, 0.0), d - ctx), "look": np.minimum(ahead, d + ctx), "pad": pad, "arrival": arrival, "alignment": align}
+
+
+def _along(lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """X2, see geo.great_circle."""
+    a, b, c, d = (np.radians(v) for v in (lat1, lon1, lat2, lon2))
+    u = (np.cos(a) * np.cos(b), np.cos(a) * np.sin(b), np.sin(a))
+    v = (np.cos(c) * np.cos(d), np.cos(c) * np.sin(d), np.sin(c))
+    w = np.arccos(np.clip(u[0] * v[0] + u[1] * v[1] + u[2] * v[2], -1.0, 1.0))
+    tiny, sin = np.sin(w) < 1e-8, np.where(np.sin(w) < 1e-8, 1.0, np.sin(w))
+    p, q = (np.where(tiny, t, np.sin(t * w) / sin) for t in (1.0 - f, f))
+    x, y, z = (p * i + q * j for i, j in zip(u, v))
+    at = lambda one, two, mid: np.where(f <= 0, one, np.where(f >= 1, two, np.degrees(mid)))
+    return at(lat1, lat2, np.arctan2(z, np.sqrt(x * x + y * y))), at(lon1, lon2, np.arctan2(y, x))
+
+
+def range_bounds(v: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(least, greatest) of v[lo:hi] for each lo < hi: bounds between all the cuts, then two runs of cells a range."""
+    cuts = np.unique(np.concatenate([lo, hi]))
+    a, b = np.searchsorted(cuts, lo), np.searchsorted(cuts, hi)
+    k, out = np.log2(b - a).astype(int), []
+    for least in (np.fmin, np.fmax):
+        table = [least.reduceat(v[cuts[0] : cuts[-1]], cuts[:-1] - cuts[0])]
+        for i in range(int(k.max())):
+            t = table[-1].copy()
+            t[: len(t) - (1 << i)] = least(t[: len(t) - (1 << i)], table[-1][1 << i :])
+            table.append(t)
+        table = np.stack(table)
+        out.append(least(table[k, a], table[k, b - (1 << k)]))
+    return out[0], out[1]
+
+
+def sample_viewports(d: np.ndarray, w: dict[str, np.ndarray], points: list[np.ndarray], movement: Movement, aspect: float, seen: bool) -> dict[str, np.ndarray]:
+    """T3, J7 (T5 unless seen) of one journey's samples, see raw_viewports; points in order, x unwrapped along them."""
+    cum, cum0, hop, lat, lon, x, y = points
+    moving = None if not np.isnan(lat[:-1]).any() else np.flatnonzero(~np.isnan(lat[:-1])) + 1
+    at = {n: np.maximum(0.0, np.minimum(cum[-1], v)) for n, v in (("d", d), ("tail", w["tail"]), ("look", w["look"]))}
+    q = np.concatenate(list(at.values()))
+    i = np.searchsorted(cum[1:], q) + 1 if moving is None else moving[np.searchsorted(cum[moving], q)]
+    f = np.where(hop[i] > 0, np.clip((q - cum0[i]) / np.where(hop[i] > 0, hop[i], 1.0), 0.0, 1.0), 0.0)
+    place_lat, place_lon = _along(lat[i - 1], lon[i - 1], lat[i], lon[i], f)
+    sin = np.sin(np.radians(np.clip(place_lat, -K.MAX_LAT, K.MAX_LAT)))
+    px, py = ((place_lon + 180.0) / 360.0).reshape(3, -1), (0.5 - np.log((1.0 + sin) / (1.0 - sin)) / (4 * math.pi)).reshape(3, -1)
+    px = np.stack([px[0], _near(px[1], px[0]), _near(px[2], px[0])])
+    x0, x1, y0, y1 = px.min(0), px.max(0), py.min(0), py.max(0)
+    if seen:
+        lo, hi = np.searchsorted(cum, at["tail"]), np.searchsorted(cum, at["look"], "right")
+        some = np.flatnonzero(lo < hi)
+        if len(some):
+            lo, hi, mark = lo[some], hi[some], px[0][some]
+            (sx0, sx1), (sy0, sy1) = range_bounds(x, lo, hi), range_bounds(y, lo, hi)
+            nx0, nx1 = _near(sx0, mark), _near(sx1, mark)
+            for t in np.flatnonzero(np.abs((nx0 - sx0) - (nx1 - sx1)) > 0.5):  # the edge of the world around the marker lies between them
+                lows, highs = zip(*((np.nanmin(v), np.nanmax(v)) for a in range(lo[t], hi[t], K.JOURNEY_HELD) for v in [_near(x[a : min(hi[t], a + K.JOURNEY_HELD)], mark[t])] if not np.isnan(v).all()))
+                nx0[t], nx1[t] = min(lows), max(highs)
+            x0[some], x1[some], y0[some], y1[some] = np.fmin(x0[some], nx0), np.fmax(x1[some], nx1), np.fmin(y0[some], sy0), np.fmax(y1[some], sy1)
+    cx, cy = np.maximum(K.CONTENT_FLOOR, x1 - x0), np.maximum(K.CONTENT_FLOOR, y1 - y0)
+    span = np.maximum(movement.min_span, np.minimum(K.SPAN_MAX, np.maximum(cy * w["pad"], cx * w["pad"] / aspect)))
+    return {"marker_x": px[0], "marker_y": py[0], "center_x": (x0 + x1) / 2, "center_y": (y0 + y1) / 2, "span_x": span * aspect, "span_y": span, "arrival": w["arrival"], "alignment": w["alignment"]}
+
+
+_HEAD, _KNOT, _LEG, _POINT = range(4)
+_WIDTHS = (1, 3, 3, 7)
+
+
+def _journeys(h: DataFrame, legs: DataFrame | None, totals: DataFrame, curve: DataFrame | None, movement: Movement, framing: float | None, aspect: float, width: int, key: str, tie: str, points: bool, tracks: bool, n: int = K.CAMERA_SAMPLES) -> DataFrame:
+    """Samples of all available journeys as raw viewports or as tracks.
+
+    What a journey's samples are made of meets in the task of the journey, sorted: its total, knots, legs and points.
+    Samples are made there and never shuffled, so what is shuffled grows with the points alone.
+    """
+    part = lambda d, kind, order, *c: d.select(key, F.lit(kind).alias("__kind"), F.col(order).cast("double").alias("__order") if order else F.lit(0.0).alias("__order"), *[(F.col(c[i]).cast("double") if i < len(c) else F.lit(None).cast("double")).alias(f"__c{i}") for i in range(max(_WIDTHS))])
+    rows = part(totals.where("available"), _HEAD, None, "total_km").unionByName(part(journey.unwrapped(h, key, (tie,)), _POINT, tie, "cum_km", "cum0_km", "hop_km", "lat", "lon", "x", "y"))
+    if curve is not None:
+        rows = rows.unionByName(part(curve, _KNOT, "k", "x", "y", "m"))
+    if legs is not None and movement.leg_aware:
+        rows = rows.unionByName(part(legs, _LEG, "leg_no", "start_km", "end_km", "is_transfer"))
+    names = ["center_x", "center_y", "span_y", "zoom"] if tracks else ["marker_x", "marker_y", "center_x", "center_y", "span_x", "span_y", "arrival", "alignment"]
+    p = np.arange(n + 1) / float(n)
+
+    def view(held: list[Held]) -> dict[str, np.ndarray] | None:
+        (total,), knots, own = (held[k].columns() for k in (_HEAD, _KNOT, _LEG))
+        if not len(total):
+            return None
+        d = sample_distances(p, total[0], *knots)
+        return sample_viewports(d, sample_windows(d, total[0], own, movement, framing), held[_POINT].columns(), movement, aspect, points)
+
+    def out(keys: list, views: list[dict[str, np.ndarray]], kind: pa.DataType) -> pa.RecordBatch:
+        v = {c: np.stack([x[c] for x in views]) for c in views[0]}
+        if tracks:
+            fixed = np.sort(v["span_y"], axis=1)[:, math.ceil(K.FIXED_PERCENTILE * (n + 1)) - 1] if movement.fixed else None
+            t = smooth_tracks(v, movement, aspect, width, fixed, framing is not None and movement.leg_aware)
+            v = {c: t[:, :, i].astype(np.int32) if c == "zoom" else t[:, :, i] for i, c in enumerate(names)}
+        ids = pa.array(keys, kind).take(pa.array(np.repeat(np.arange(len(keys)), n + 1)))
+        return pa.RecordBatch.from_arrays([ids, pa.array(np.tile(np.arange(n + 1, dtype=np.int32), len(keys))), *[pa.array(v[c].ravel()) for c in names]], [key, "sample", *names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, keys, views = None, None, [], []
+
+        def done() -> None:
+            x = view(held)
+            if x is not None:
+                keys.append(now)
+                views.append(x)
+
+        for b in batches:
+            if not len(b):
+                continue
+            ids, kinds = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy()
+            values = [b.column(3 + i).to_numpy(zero_copy_only=False) for i in range(max(_WIDTHS))]
+            cuts = np.concatenate([[0], np.flatnonzero((ids[1:] != ids[:-1]) | (kinds[1:] != kinds[:-1])) + 1, [len(ids)]])
+            for a, z in zip(cuts[:-1], cuts[1:]):
+                if held is None or ids[a] != now:
+                    if held is not None:
+                        done()
+                    now, held = b.column(0)[int(a)].as_py(), [Held(k) for k in _WIDTHS]
+                    if len(keys) == K.JOURNEY_BATCH:
+                        yield out(keys, views, b.column(0).type)
+                        keys, views = [], []
+                held[kinds[a]].add([c[a:z].astype(float) for c in values[: _WIDTHS[kinds[a]]]])
+            kind = b.column(0).type
+        if held is not None:
+            done()
+        if keys:
+            yield out(keys, views, kind)
+
+    d = rows.where(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, "__kind", "__order")
+    types = ", ".join(f"{c} {'int' if c == 'zoom' else 'double'}" for c in names)
+    return d.mapInArrow(run, f"`{key}` {dict(h.dtypes)[key]}, sample int, {types}")
+
+
+def journey_viewports(h: DataFrame, legs: DataFrame | None, totals: DataFrame, curve: DataFrame | None, movement: Movement, framing: float | None = None, aspect: float = K.CAMERA_ASPECT, key: str = "traveler_id", tie: str = "i", points: bool = True) -> DataFrame:
+    """What raw_viewports gives for the samples of all journeys, without a row of them shuffled."""
+    return _journeys(h, legs, totals, curve, movement, framing, aspect, 0, key, tie, points, False)
+
+
+def journey_camera(h: DataFrame, legs: DataFrame | None, totals: DataFrame, curve: DataFrame | None, movement: Movement, framing: float | None = None, aspect: float = K.CAMERA_ASPECT, width: int = 480, key: str = "traveler_id", tie: str = "i") -> DataFrame:
     """The whole way from hop rows to a camera track; without a pacing curve progress is linear."""
-    p = samples(totals, key)
-    at = pacing.distance_at(p, curve if curve is not None else h, totals, linear=curve is None, key=key)
-    raw = raw_viewports(context_windows(at, legs, totals, movement, framing, key), h, movement, aspect, key)
-    return camera_track(raw, movement, aspect, width, framing, key)
+    return _journeys(h, legs, totals, curve, movement, framing, aspect, width, key, tie, True, True)
 
 
 def camera_at(probes: DataFrame, track: DataFrame, p: str = "p", key: str = "traveler_id", n: int = K.CAMERA_SAMPLES) -> DataFrame:
-    """Probes with center_x, center_y, span_y, zoom between the two samples around p: equi-joins on their numbers."""
+    """Probes with center_x, center_y, span_y, zoom between the two samples around p.
+
+    Samples and probes meet once, by key: a sample carries the one after it on to its probes, and the track is read once.
+    """
     pos = clamp(F.col(p), 0.0, 1.0) * n
-    d = probes.withColumn("__i", F.least(F.lit(n - 1), F.floor(pos)).cast("int")).withColumn("__f", pos - F.col("__i"))
-    side = lambda x: track.select(F.col(key).alias(f"__k{x}"), F.col("sample").alias(f"__s{x}"), *[F.col(c).alias(f"{c}{x}") for c in ("center_x", "center_y", "span_y", "zoom")])
-    d = d.join(side("a"), (F.col(key) == F.col("__ka")) & (F.col("__i") == F.col("__sa"))).join(side("b"), (F.col(key) == F.col("__kb")) & (F.col("__i") + 1 == F.col("__sb")))
-    x = lerp(F.col("center_xa"), unwrap_near(F.col("center_xb"), F.col("center_xa")), F.col("__f"))
-    return d.select(*probes.columns, x.alias("center_x"), lerp(F.col("center_ya"), F.col("center_yb"), F.col("__f")).alias("center_y"), log_lerp(F.col("span_ya"), F.col("span_yb"), F.col("__f")).alias("span_y"), F.when(F.col("__f") < 0.5, F.col("zooma")).otherwise(F.col("zoomb")).alias("zoom"))
+    names = ["center_x", "center_y", "span_y", "zoom"]
+    d = probes.where(F.col(key).isNotNull()).withColumn("__i", F.least(F.lit(n - 1), F.floor(pos)).cast("int")).withColumn("__f", pos - F.col("__i")).withColumn("__probe", F.lit(1))
+    t = track.select(key, F.col("sample").alias("__i"), F.struct(*names).alias("__a"), F.lit(0).alias("__probe"))
+    u = d.unionByName(t, allowMissingColumns=True).repartition(key)
+    after = Window.partitionBy(key, "__probe").orderBy("__i")
+    b = F.when((F.col("__probe") == 0) & (F.lead("__i").over(after) == F.col("__i") + 1), F.lead("__a").over(after))
+    u = u.withColumn("__at", F.when(F.col("__probe") == 0, F.struct(F.col("__i").alias("i"), F.col("__a").alias("a"), b.alias("b"))))
+    w = Window.partitionBy(key).orderBy("__i", "__probe").rowsBetween(Window.unboundedPreceding, 0)
+    u = u.withColumn("__at", F.last("__at", ignorenulls=True).over(w)).where("__probe = 1 AND __at.i = __i AND __at.b IS NOT NULL")
+    a, b, f = (lambda c: F.col(f"__at.a.{c}")), (lambda c: F.col(f"__at.b.{c}")), F.col("__f")
+    x = lerp(a("center_x"), unwrap_near(b("center_x"), a("center_x")), f)
+    return u.select(*probes.columns, x.alias("center_x"), lerp(a("center_y"), b("center_y"), f).alias("center_y"), log_lerp(a("span_y"), b("span_y"), f).alias("span_y"), F.when(f < 0.5, a("zoom")).otherwise(b("zoom")).alias("zoom"))
 
 
 def viewport(center_x: Column, center_y: Column, span_x: Column, span_y: Column, width: int) -> list[Column]:

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from waystone import constants as K
 from waystone.constants import Movement
-from waystone.operators import camera, journey, pacing
+from waystone.operators import camera, journey
 from waystone.plans import sql
-from waystone.plans.queries import _OVERVIEW, ORACLES, hops, limits_of, query, r
+from waystone.plans.queries import _OVERVIEW, ORACLES, hops, query, r
 
 _N = K.CAMERA_SAMPLES
 
@@ -153,6 +153,4 @@ def t5(s: SparkSession, d: str) -> DataFrame:
     """T5: the ends of the windows alone."""
     h = hops(s, d)
     t = journey.totals(h)
-    at = pacing.distance_at(camera.samples(t), h, t, linear=True)
-    raw = camera.raw_viewports(camera.context_windows(at, journey.legs(h, limits_of(h)), t, _STEADY), h, _STEADY, points=False)
-    return raw.select("traveler_id", "sample", r("center_x", 6), r("center_y", 6), r("span_y", 6))
+    return camera.journey_viewports(h, None, t, None, _STEADY, points=False).select("traveler_id", "sample", r("center_x", 6), r("center_y", 6), r("span_y", 6))

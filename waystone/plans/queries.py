@@ -511,8 +511,7 @@ def w16(s: SparkSession, d: str) -> DataFrame:
     """Steady windows over a linear journey."""
     h = hops(s, d)
     t, m = journey.totals(h), K.MOVEMENTS["steady"]
-    at = pacing.distance_at(camera.samples(t), h, t, linear=True)
-    return camera.raw_viewports(camera.context_windows(at, journey.legs(h, limits_of(h)), t, m), h, m).select("traveler_id", "sample", r("center_x", 6), r("center_y", 6), r("span_y", 6))
+    return camera.journey_viewports(h, None, t, None, m).select("traveler_id", "sample", r("center_x", 6), r("center_y", 6), r("span_y", 6))
 
 
 @query("w17_camera_steady")
@@ -534,7 +533,7 @@ def a6(s: SparkSession, d: str) -> DataFrame:
 @query("j4_camera_at")
 def j4(s: SparkSession, d: str) -> DataFrame:
     t = track_of(s, d, "steady")
-    p = t.select("traveler_id").distinct().select("traveler_id", F.explode(F.sequence(F.lit(0), F.lit(100))).alias("n")).withColumn("p", F.col("n") / 100.0)
+    p = journey.totals(hops(s, d)).where("available").select("traveler_id", F.explode(F.sequence(F.lit(0), F.lit(100))).alias("n")).withColumn("p", F.col("n") / 100.0)
     return camera.camera_at(p, t).select("traveler_id", "n", r("center_x", 6), r("center_y", 6), r("span_y", 6), "zoom")
 
 
