@@ -146,3 +146,15 @@ def test_op12_edges(spark):
     assert out.columns == ["doc_id", "__row", "word", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     rows = out.collect()
     assert len(rows) == len(ODD) and all(r.base_score == 0 and r.n_known == 0 and r.train_tokens == 0 and r.score < 0 for r in rows)
+
+
+def test_every_id_of_every_text_is_learnt_once(spark):
+    sub = Subwords()
+    texts = [None, "", "a", " ".join(f"word{i}" for i in range(500)), "x1y2z3" * 200 + " end", "日本 " * 100]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    spans = [np.frombuffer(r.ids, "<u2").tolist() for r in lm.training_spans(docs, sub).collect()]
+    got = [i for s in spans for i in s[1:]]
+    assert got == [i for t in texts for i in [*sub.encode(pa.array((t or "").split()))[0].tolist(), sub.end]]
+    assert all(1 < len(s) <= lm.CONTEXT + 1 for s in spans) and [s[0] for s in spans[1:]] == [s[-1] for s in spans[:-1]] and spans[0][0] == sub.end
+    some = lm.training_spans(docs, sub, 4).count()
+    assert len(texts) <= some < len(spans) / 2

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -15,7 +14,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_SPACE, free_names, materialize, numbered_words, split_words, with_fields
+from .common import NO_SPACE, free_names, materialize, numbered_words, with_fields
 from .quality import fold
 
 #: A public byte-level vocabulary for many languages; END is the id after its last and stands for a text's end.
@@ -28,10 +27,11 @@ DIGIT_BITS, DIGITS = 4, 4
 BASE = 1 << DIGIT_BITS
 #: Added to each subword's count in the digits' tables.
 SMOOTH = 0.1
-#: One training span of SPAN words for each so many spans of a text, at least one for each text.
-EVERY, SPAN = 32, 16
-#: Passes over the training spans; spans that a task learns from between two averages of the models; step size.
-ROUNDS, PART, STEP, BATCH = 2, 8_192, 0.2, 32
+#: Of how many windows of a text one is learnt from: all.
+EVERY = 1
+#: Passes over the training windows, shares of them at most between which the models are averaged; windows that a task learns from in
+#: a share; step size.
+ROUNDS, SHARES, PART, STEP, BATCH = 1, 8, 8_192, 0.2, 32
 #: Most frequent training words whose counts go to every task, and the bytes that such a word has at most.
 HEAD, HEAD_BYTES = 1 << 18, 32
 RUN_BYTES = 4 << 20
@@ -286,40 +286,30 @@ def subword_counts(counts: DataFrame, subwords: Subwords) -> np.ndarray:
     return out
 
 
-def _span_places(n: int, text: bytes, every: int) -> np.ndarray:
-    """First words of the training spans of a text of n words: evenly spaced, from a place that the text decides."""
-    m = max(1, -(-n // (SPAN * every)))
-    at = np.floor((np.arange(m) + zlib.crc32(text) / 2.0**32) * ((n + SPAN - 1) / m)).astype(np.int64) - (SPAN - 1)
-    return np.clip(at, 0, max(0, n - 1))
-
-
 def training_spans(docs: DataFrame, subwords: Subwords, every: int = EVERY) -> DataFrame:
-    """(ids): spans of CONTEXT + 1 subword ids or fewer from every text (text), one for each every SPAN words of it; ids as two bytes each.
+    """(ids): windows of CONTEXT + 1 subword ids or fewer over every whole text (text); ids as two bytes each.
 
-    Each begins with the id before it, which for a text's first word is the end of another text.
+    Each begins with the id before it, which for a text's first one is the end of another text, so that every id of every
+    text, its end included, is to be predicted once. With every above 1, of each so many windows of a text one, at least one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(subwords)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sub = shared.value
         for b in batches:
-            for lo, hi, words, ends in split_words(b.column("text"), NO_SPACE, RUN_BYTES):
-                spans = []  # (first word of what is encoded, word after it, whether the text begins, whether it ends)
-                for i in range(hi - lo):
-                    n, base = int(ends[i + 1] - ends[i]), int(ends[i])
-                    for s in _span_places(n, (b.column("text")[lo + i].as_py() or "").encode("utf-8", "surrogatepass"), every):
-                        spans.append((base + max(0, s - 1), base + min(n, s + SPAN), s == 0, s + SPAN >= n))
-                off = np.append(0, np.cumsum([e - s for s, e, _, _ in spans])).astype(np.int64)
-                at = np.concatenate([np.arange(s, e) for s, e, _, _ in spans]) if spans else np.zeros(0, np.int64)
-                ids, piece = sub.encode(words.take(pa.array(at, pa.int64())))
-                rows = []
-                for k, (_, _, begins, closes) in enumerate(spans):
-                    own = ids[piece[off[k]] : piece[off[k + 1]]]
-                    if not begins:
-                        own = own[piece[off[k] + 1] - piece[off[k]] - 1 :]  # of the word before, the last id
-                    own = np.concatenate([[sub.end] * int(begins), own, [sub.end] * int(closes)])[: CONTEXT + 1]
-                    rows.append(own.astype("<u2").tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["ids"])
+            for lo, hi, distinct, number, ends in numbered_words(b.column("text"), NO_SPACE, RUN_BYTES):
+                pieces, off = sub.encode(distinct)
+                pieces, off = np.append(pieces, sub.end), np.append(off, len(pieces) + 1)
+                ids, at = gather_runs(pieces, off, np.insert(number.astype(np.int64), ends[1:], len(distinct)))
+                texts = at[np.append(0, (ends + np.arange(hi - lo + 1))[1:])]
+                count = -(-np.diff(texts) // CONTEXT)
+                j = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                some = j % every == np.repeat(texts[1:] % np.minimum(every, count), count)
+                first, stop = np.repeat(texts[:-1], count)[some] + j[some] * CONTEXT, np.repeat(texts[1:], count)[some]
+                size = np.minimum(stop - first, CONTEXT) + 1
+                cut = np.append(0, np.cumsum(size))
+                flat = np.append(sub.end, ids).astype("<u2")[np.repeat(first - cut[:-1], size) + np.arange(cut[-1])]
+                yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((cut * 2).astype(np.int32)), pa.py_buffer(flat.tobytes())])], ["ids"])
 
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "ids binary")
 
@@ -333,17 +323,19 @@ def _windows(spans: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
     return ids, targets
 
 
-def fit_attention(spans: DataFrame, model: Attention, end: int, rounds: int = ROUNDS, part: int = PART) -> Attention:
+def fit_attention(spans: DataFrame, model: Attention, end: int, rounds: int = ROUNDS, part: int = PART, shares: int = SHARES) -> Attention:
     """Learns from all spans (ids): parts of about part spans learn in tasks of their own, each from the same model.
 
-    After each round the models are averaged row by row, weighted by how often a part met the row; what comes to the
+    A round takes all spans, share after share (fewer of them where there are fewer parts). After each share the models are averaged row by row, weighted by how often a part met the row; what comes to the
     driver is one matrix. Parts are dealt by a number that stands in a written table, so a task that runs again learns
     the same.
     """
     spark, rows = spans.sparkSession, Attention.rows(model.vocabulary)
     t = materialize(spans.withColumn("no", F.monotonically_increasing_id()))
     n = t.count()
-    for r in range(rounds if n else 0):
+    shares = max(1, min(shares, -(-n // part)))
+    own = F.pmod(F.xxhash64(F.lit(-1), "no"), F.lit(shares))
+    for r in range(rounds * shares if n else 0):
         shared = spark.sparkContext.broadcast(model)
 
         def run(table: pa.Table) -> pa.Table:
@@ -358,8 +350,8 @@ def fit_attention(spans: DataFrame, model: Attention, end: int, rounds: int = RO
             d = pa.FixedSizeListArray.from_arrays(pa.array((new.matrix - old.matrix)[row].ravel()), WIDTH).cast(pa.list_(pa.float32()))
             return pa.Table.from_arrays([pa.array(row), pa.array(weight), d], ["row", "weight", "d"])
 
-        key = F.pmod(F.xxhash64(F.lit(r), "no"), F.lit(max(1, -(-n // part))))
-        moved = t.groupBy(key.alias("part")).applyInArrow(run, "row long, weight double, d array<float>")
+        key = F.pmod(F.xxhash64(F.lit(r), "no"), F.lit(max(1, -(-n // (part * shares)))))
+        moved = t.where(own == r % shares).groupBy(key.alias("part")).applyInArrow(run, "row long, weight double, d array<float>")
         mean = [(F.sum(F.get("d", F.lit(i)) * F.col("weight")) / F.sum("weight")).alias(f"d{i}") for i in range(WIDTH)]
         got = moved.groupBy("row").agg(*mean).toArrow()
         model.matrix[got["row"].to_numpy()] += np.stack([got[f"d{i}"].to_numpy() for i in range(WIDTH)], axis=1).astype(np.float32)
@@ -369,8 +361,8 @@ def fit_attention(spans: DataFrame, model: Attention, end: int, rounds: int = RO
 def train_language_model(docs: DataFrame, folds: int = 7, out_fold: int = 2, subwords: Subwords | None = None, rounds: int = ROUNDS, every: int = EVERY) -> LanguageModel:
     """Learns from the texts of docs (doc_id, text) outside one fold of the ids.
 
-    Words and subwords are counted over all of them; the attention model learns from spans of every text, one word in
-    every, so its work grows with the texts, and only averages and counts of a bounded vocabulary come to the driver.
+    Words and subwords are counted over all of them; the attention model learns from every id of every text (of every
+    windows one), so its work grows with the texts, and only averages and counts of a bounded vocabulary come to the driver.
     Null and empty texts are a text's end alone; null ids are in fold 0; repeated rows count each; without rows the
     model knows nothing.
     """
