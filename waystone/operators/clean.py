@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -125,6 +126,18 @@ def _kmh(km: float, ms: float) -> float:
 
 
 _VALUES = ["lat", "lon", "t_ms", "accuracy_m"]
+#: By how much whole columns' distances may differ from km_between's, relative; what is nearer to a limit is asked one by one.
+_SLACK = 1e-9
+
+
+def _hops(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(about the km, about the km/h) from each row of (lat, lon, t_ms, …) to the next; the last row's are NaN."""
+    r, dt = np.radians(v[:, :2]), np.diff(v[:, 2], append=np.nan)
+    p, d = r[:, 0], np.diff(r, axis=0, append=np.full((min(1, len(r)), 2), np.nan)) / 2
+    s = np.sin(d[:, 0]) ** 2 + np.cos(p) * np.cos(np.append(p[1:], np.nan)[: len(p)]) * np.sin(d[:, 1]) ** 2
+    km = 2 * K.EARTH_KM * np.arcsin(np.minimum(1.0, np.sqrt(s)))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return km, np.where(dt <= 0, np.inf, km / (dt / 3_600_000))
 
 
 def _taken(held: pd.DataFrame | None, rows: pd.DataFrame, keep: list[int]) -> list[pd.DataFrame]:
@@ -141,7 +154,6 @@ class _Spikes(Fold):
 
     def __init__(self) -> None:
         self.before: tuple | None = None
-        self.last: pd.DataFrame | None = None
         self.pending: pd.DataFrame | None = None
 
     def feed(self, rows: pd.DataFrame) -> list[pd.DataFrame]:
@@ -153,15 +165,31 @@ class _Spikes(Fold):
                 self.before = now
             now, at = tuple(after), i
         out = _taken(self.pending, rows, keep)
-        self.last = out[-1].tail(1) if out else self.last
         self.pending = rows.take([len(rows) - 1]) if len(rows) else self.pending
         return out
 
     def end(self) -> list[pd.DataFrame]:
         return [] if self.pending is None else [self.pending]
 
-    def rows(self) -> list[pd.DataFrame]:
-        return [x for x in (self.last, self.pending) if x is not None]
+    @classmethod
+    def settle(cls, rows: pd.DataFrame, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        v, end = rows[_VALUES].to_numpy(float), np.append(first[1:], True)
+        km, kmh = _hops(v)
+        far = np.fmax(K.SPIKE_KM, 5 * v[:, 3] / 1000)
+        ask = ~first & ~end & ~(km < far * (1 - _SLACK)) & ~(kmh <= K.SPIKE_KMH * (1 - _SLACK))
+        kept, before = np.ones(len(v), bool), {}  # the row kept before a spike
+        for i in np.flatnonzero(ask).tolist():
+            b = before.get(i - 1, i - 1)
+            if cls._spike(tuple(v[b]), tuple(v[i]), tuple(v[i + 1])):
+                kept[i], before[i] = False, b
+        hold = end.copy()
+        ends = np.flatnonzero(end & ~first)
+        hold[[before.get(i - 1, i - 1) for i in ends.tolist()]] = True
+        return kept & ~end, hold
+
+    @classmethod
+    def finish(cls, rows: pd.DataFrame, first: np.ndarray) -> np.ndarray:
+        return np.append(first[1:], True)[: len(first)]
 
     @staticmethod
     def _spike(b: tuple, c: tuple, a: tuple) -> bool:
@@ -202,7 +230,7 @@ class _Stationary(Fold):
         keep, at = [], -1
         last = None if self.kept is None else self.kept[_VALUES].to_numpy(float)[0]
         for i, p in enumerate(rows[_VALUES].to_numpy(float)):
-            if last is not None and 0 <= p[2] - last[2] <= K.STATIONARY_MS and km_between(*last[:2], *p[:2]) <= max(K.STATIONARY_KM, (last[3] + p[3]) / 1000):
+            if last is not None and self._near(last, p):
                 if p[3] < last[3]:
                     last, at = p, i
                 continue
@@ -216,8 +244,30 @@ class _Stationary(Fold):
     def end(self) -> list[pd.DataFrame]:
         return [] if self.kept is None else [self.kept]
 
-    def rows(self) -> list[pd.DataFrame]:
-        return self.end()
+    @classmethod
+    def settle(cls, rows: pd.DataFrame, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        v = rows[_VALUES].to_numpy(float)
+        km, most, dt = _hops(v)[0], np.fmax(K.STATIONARY_KM, (v[:, 3] + np.append(v[1:, 3], np.nan)) / 1000), np.diff(v[:, 2], append=np.nan)
+        sure = np.where(km <= most * (1 - _SLACK), 1, np.where(km > most * (1 + _SLACK), 0, 2))
+        near = np.where((dt >= 0) & (dt <= K.STATIONARY_MS), sure, 0).tolist()  # of a row and the next
+        acc, kept, hold, last = v[:, 3].tolist(), np.zeros(len(v), bool), np.zeros(len(v), bool), -1
+        for i, fresh in enumerate(first.tolist()):
+            if fresh or not (near[last] == 1 or cls._near(v[last], v[i]) if near[last] and last == i - 1 else last < i - 1 and cls._near(v[last], v[i])):
+                if last >= 0:
+                    (hold if fresh else kept)[last] = True
+                last = i
+            elif acc[i] < acc[last]:
+                last = i
+        hold[last] = True
+        return kept, hold
+
+    @classmethod
+    def finish(cls, rows: pd.DataFrame, first: np.ndarray) -> np.ndarray:
+        return np.ones(len(rows), bool)
+
+    @staticmethod
+    def _near(last: np.ndarray, p: np.ndarray) -> bool:
+        return 0 <= p[2] - last[2] <= K.STATIONARY_MS and km_between(*last[:2], *p[:2]) <= max(K.STATIONARY_KM, (last[3] + p[3]) / 1000)
 
 
 class _Excursions(Fold):
@@ -225,36 +275,34 @@ class _Excursions(Fold):
 
     reach = K.EXCURSION_MS
 
-    def __init__(self) -> None:
-        self.held: pd.DataFrame | None = None
-
-    def feed(self, rows: pd.DataFrame) -> list[pd.DataFrame]:
-        if not len(rows):
-            return []
-        keep = [0] if self.held is None else []
-        d = rows if self.held is None else pd.concat([self.held, rows])
-        at = self._walk(d, keep, K.LONGEST_RUN + 1)
-        self.held = d.iloc[at:]
-        return [d.take(keep)] if keep else []
-
-    def end(self) -> list[pd.DataFrame]:
-        keep: list[int] = []
-        if self.held is not None:
-            self._walk(self.held, keep, 1)
-        return [self.held.take(keep)] if keep else []
+    @classmethod
+    def settle(cls, rows: pd.DataFrame, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        kept, at = cls._walk(rows, first, K.LONGEST_RUN + 1)
+        n = np.arange(len(kept))
+        return kept & (n <= at), n >= at
 
-    def rows(self) -> list[pd.DataFrame]:
-        return [] if self.held is None else [self.held]
+    @classmethod
+    def finish(cls, rows: pd.DataFrame, first: np.ndarray) -> np.ndarray:
+        return cls._walk(rows, first, 1)[0]
 
     @classmethod
-    def _walk(cls, d: pd.DataFrame, keep: list[int], ahead: int) -> int:
-        """Adds the kept rows to keep, as long as so many rows stand after the last kept one; returns that one."""
-        v, at = d[["lat", "lon", "t_ms"]].to_numpy(float), 0
-        while at + ahead < len(v):
-            run = next((n for n in range(K.LONGEST_RUN, 0, -1) if at + n + 1 < len(v) and cls._away(v[at : at + n + 2])), 0)
-            at += run + 1
-            keep.append(at)
-        return at
+    def _walk(cls, rows: pd.DataFrame, first: np.ndarray, ahead: int) -> tuple[np.ndarray, np.ndarray]:
+        """(rows in no excursion, for each row the place up to which its key is decided); a run begins only where so many
+        rows stand after the one before it. Runs are looked for where a row is far from the next alone."""
+        v, n = rows[["lat", "lon", "t_ms"]].to_numpy(float), len(rows)
+        begin = np.flatnonzero(first)
+        stop = np.append(begin[1:], n)
+        size = stop - begin
+        end = np.repeat(stop, size)
+        km, kmh = _hops(v)
+        ask = (np.arange(n) + ahead < end) & ~(km < K.EXCURSION_KM * (1 - _SLACK)) & ~(kmh <= K.EXCURSION_KMH * (1 - _SLACK))
+        kept, free = np.ones(n, bool), 0
+        for i in np.flatnonzero(ask).tolist():
+            if i >= free:
+                run = next((r for r in range(K.LONGEST_RUN, 0, -1) if i + r + 1 < end[i] and cls._away(v[i : i + r + 2])), 0)
+                kept[i + 1 : i + run + 1], free = False, i + run + 1
+        after = np.minimum.accumulate(np.where(kept, np.arange(n), n)[::-1])[::-1]
+        return kept, np.repeat(after[np.maximum(begin, stop - ahead)], size)
 
     @staticmethod
     def _away(v) -> bool:

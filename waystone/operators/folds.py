@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -11,8 +12,10 @@ from pyspark.sql import DataFrame
 class Fold:
     """Per-key state: feed() takes the key's next rows and returns rows that are settled, end() the rest.
 
-    For streams, rows() gives the few rows that bring a new fold to the same state when they are fed to it (what it returns
-    then was given out before), and reach is the time in ms after the last of them beyond which none can matter.
+    For streams, settle and finish take sorted rows of many keys at once, first marking where a key begins. settle gives
+    the rows that feed would give, and those few that bring a new fold to the same state when they are fed to it (what it
+    gives of them then was given out before); finish what end would give of the latter. reach is the time in ms after the
+    last of them beyond which none can matter.
     """
 
     reach = 0
@@ -23,7 +26,12 @@ class Fold:
     def end(self) -> list[pd.DataFrame]:
         return []
 
-    def rows(self) -> list[pd.DataFrame]:
+    @classmethod
+    def settle(cls, rows: pd.DataFrame, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raise NotImplementedError
+
+    @classmethod
+    def finish(cls, rows: pd.DataFrame, first: np.ndarray) -> np.ndarray:
         raise NotImplementedError
 
 

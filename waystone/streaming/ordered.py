@@ -5,8 +5,9 @@ from __future__ import annotations
 import io
 import math
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow.feather as feather
 from pyspark.sql import DataFrame
@@ -21,6 +22,8 @@ _STATE = "stages array<binary>, waiting binary"
 #: after 2160 are no times of a stream (pandas' own range of times ends in 2262).
 SHIFT_MS = 36_524 * 86_400_000
 LAST_MS = 69_396 * 86_400_000
+#: States that keys are dealt to; a stream that goes on from a checkpoint needs the same number.
+BUCKETS = 64
 
 
 def pack(rows: pd.DataFrame) -> bytes:
@@ -34,60 +37,81 @@ def unpack(held: bytes) -> pd.DataFrame:
     return feather.read_feather(io.BytesIO(bytes(held)))
 
 
-def stream_fold(rows: DataFrame, stages: list[Callable[[], Fold]], key: str, order: list[str], late: str, ms: str = "t_ms") -> DataFrame:
+def _by_key(parts: list[pd.DataFrame], key: str) -> tuple[pd.DataFrame, np.ndarray]:
+    """(rows of all parts, a key's rows beside each other in the order they came, where keys begin)."""
+    d = pd.concat(parts, ignore_index=True)
+    codes = pd.factorize(d[key])[0]
+    at = np.argsort(codes, kind="stable")
+    return d.take(at), _starts(codes[at])
+
+
+def _starts(codes: np.ndarray) -> np.ndarray:
+    return np.append(np.ones(min(1, len(codes)), bool), codes[1:] != codes[:-1])
+
+
+def stream_fold(rows: DataFrame, stages: list[type[Fold]], key: str, order: list[str], late: str, ms: str = "t_ms") -> DataFrame:
     """What the folds, each over what the one before gives, would give over all of a stream's rows in order.
 
-    A row waits in its key's state until the watermark (the latest time seen, less late) passes it; then nothing earlier
-    can come, and the folds take it. Rows that come once the batch before theirs has passed their time are dropped and
+    A row waits in state until the watermark (the latest time seen, less late) passes it; then nothing earlier can come,
+    and the folds take it. Rows that come once the batch before theirs has passed their time are dropped and
     counted by Spark (numRowsDroppedByWatermark of the query's progress). When the watermark is a fold's reach past its
-    last rows, they are settled and the key's state goes: it holds the rows of the last `late` and a few more. Rows
-    without a time or outside 1870 to 2160 are left out, rows without a key only move the watermark. A micro-batch's rows
-    of a key are in one task: maxFilesPerTrigger or its like bounds them.
+    last rows of a key, they are settled and the key's state goes: it holds the rows of the last `late` and a few more. Rows
+    without a time or outside 1870 to 2160 are left out, rows without a key only move the watermark. Keys are dealt to
+    BUCKETS states, and the folds take all keys of one at once, so a micro-batch costs by its rows, not by its keys. A
+    micro-batch's rows of a bucket are in one task: maxFilesPerTrigger or its like bounds them.
     """
     names, schema = rows.columns, rows.schema
-    at = "__at"
+    at, part, given = "__at", "__bucket", "__given"
     d = rows.where(F.col(ms).between(-SHIFT_MS, LAST_MS)).withColumn(at, F.timestamp_millis(F.col(ms) + SHIFT_MS)).withWatermark(at, late)
+    bucket = F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], s: GroupState) -> Iterator[pd.DataFrame]:
-        if pd.isna(k[0]):
+        if k[0] < 0:
             for _ in batches:
                 pass
             return
-        mark, folds, parts = s.getCurrentWatermarkMs() - SHIFT_MS, [make() for make in stages], []
-        if s.exists:
-            held, waiting = s.get
-            for fold, h in zip(folds, held, strict=True):
-                if h is not None:
-                    fold.feed(unpack(h))
-            parts += [] if waiting is None else [unpack(waiting)]
-        if not s.hasTimedOut:
-            parts += [b[names] for b in batches]
-        new = pd.concat(parts).sort_values(order, kind="stable") if parts else None
-        due = None if new is None else new[ms] <= mark
-        flow = [] if new is None or not due.any() else [new[due]]
-        waiting = None if new is None or due.all() else new[~due]
-        held, timers, open_before = [], [] if waiting is None else [int(waiting[ms].iloc[0])], False
-        for i, fold in enumerate(folds):
-            flow = [out for x in flow for out in fold.feed(x) if len(out)]
-            state = [x for x in fold.rows() if len(x)]
-            last = int(state[-1][ms].iloc[-1]) + fold.reach if state else mark
-            if state and not open_before and mark >= last:
-                flow += [x for x in fold.end() if len(x)]
-                state = []
-            open_before = open_before or bool(state)
-            timers += [last] if state else []
-            held.append(pack(pd.concat(state)) if state else None)
-        yield from flow
+        mark = s.getCurrentWatermarkMs() - SHIFT_MS
+        held, waiting = s.get if s.exists else ([None] * len(stages), None)
+        new = [] if waiting is None else [unpack(waiting)]
+        new += [] if s.hasTimedOut else [b[names] for b in batches]
+        flow, waiting = [], None
+        if new:
+            new = pd.concat(new, ignore_index=True)
+            due = (new[ms] <= mark).to_numpy()
+            flow, waiting = [new[due].sort_values(order, kind="stable").assign(**{given: False})], new[~due]
+            new = None
+        timers = [int(waiting[ms].min())] if waiting is not None and len(waiting) else []
+        open_before, states = set(), []
+        for fold, h in zip(stages, held, strict=True):
+            parts = [x for x in (*([] if h is None else [unpack(h)]), *flow) if len(x)]
+            flow, state = [], None
+            if parts:
+                d, first = _by_key(parts, key)
+                kept, hold = fold.settle(d, first)
+                was = d[given].to_numpy(bool)
+                flow = [d[kept & ~was].assign(**{given: False})]
+                state = d[hold].assign(**{given: (kept | was)[hold]})
+                first = _starts((np.cumsum(first) - 1)[hold])
+                last = state[ms].to_numpy()[np.append(first[1:], True)].astype(np.int64) + fold.reach
+                done = (last <= mark)[np.cumsum(first) - 1] & ~state[key].isin(open_before).to_numpy()
+                if done.any():
+                    e = state[done]
+                    flow.append(e[fold.finish(e, first[done]) & ~e[given].to_numpy(bool)].assign(**{given: False}))
+                    state, last = state[~done], last[~done[first]]
+                open_before |= set(state[key])
+                timers += [int(last.min())] if len(last) else []
+            states.append(pack(state) if state is not None and len(state) else None)
+        yield from (x[names] for x in flow if len(x))
         if timers:
-            s.update((held, None if waiting is None else pack(waiting)))
+            s.update((states, pack(waiting) if waiting is not None and len(waiting) else None))
             s.setTimeoutTimestamp(max(mark, min(timers)) + SHIFT_MS)
         elif s.exists:
             s.remove()
 
-    return d.groupBy(key).applyInPandasWithState(run, schema, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return d.withColumn(part, bucket).groupBy(part).applyInPandasWithState(run, schema, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def replay(rows: DataFrame, folder: str, reach: int, ms: str = "t_ms", part_rows: int = 2_000_000) -> tuple[DataFrame, str]:
+def replay(rows: DataFrame, folder: str, reach: int, ms: str = "t_ms", part_rows: int = 500_000) -> tuple[DataFrame, str]:
     """rows as a stream and how late its rows may be: a table written into a folder part by part, in order of time.
 
     The parts are equal spans of time, at least two, of about part_rows rows where times are even; each comes as micro-
