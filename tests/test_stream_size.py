@@ -9,7 +9,8 @@ import pytest
 
 from tests.test_streams import HOUR, RAW, files, noisy
 from waystone.operators.clean import _Excursions, _Spikes, _Stationary
-from waystone.streaming import ordered, sessions
+from waystone.sources import exports
+from waystone.streaming import ordered, reconciled, sessions
 
 
 @pytest.mark.parametrize(("fold", "step", "jump"), [(_Spikes, 240_000, 1.0), (_Stationary, 120_000, 1.0), (_Excursions, HOUR, 30.0)])
@@ -57,3 +58,15 @@ def test_many_keys_share_few_states(spark, tmp_path):
 
 def test_a_replayed_batch_is_bounded():
     assert inspect.signature(ordered.replay).parameters["part_rows"].default <= 500_000
+
+
+def test_many_histories_share_few_states(spark, tmp_path):
+    seg = '{"startTime":"2024-01-0%dT00:00:00Z","endTime":"2024-01-0%dT00:10:00Z","visit":{"topCandidate":{"placeLocation":"3,%d"}}}'
+    batches = [[(f"h{k}", i, seg % (i + 1, i + 1, k % 90)) for k in range(reconciled.GROUPS * 3)] for i in range(2)]
+    stream = files(spark, str(tmp_path / "in"), batches, "source string, idx long, text string")
+    changes = reconciled.stream_reconciled(exports.flatten_segments(exports.parse_elements(stream)))
+    q = changes.writeStream.format("memory").queryName("few_histories").outputMode("append").trigger(availableNow=True).start()
+    assert q.awaitTermination(300)
+    assert 0 < max(o["numRowsTotal"] for p in q.recentProgress for o in p["stateOperators"]) <= reconciled.GROUPS
+    assert reconciled.settled(spark.table("few_histories")).select("source").distinct().count() == reconciled.GROUPS * 3
+    assert spark.table("few_histories").count() == reconciled.GROUPS * 6

@@ -14,6 +14,8 @@ from waystone.streaming.ordered import pack, unpack
 
 #: Length of the pieces of time that a history's state is split in.
 BUCKET_MS = 30 * 86_400_000
+#: States that the pieces of all histories are dealt to; a stream that goes on from a checkpoint needs the same number.
+GROUPS = 512
 _ITEM = "struct<bucket:bigint,a:bigint,b:bigint,ord:bigint,lat:double,lon:double,tz_missing:boolean,recorded:int,standalone:boolean>"
 _NO_DATE = -(1 << 31)
 _OUT = ["source", "ts", "lat", "lon", "tz_missing", "recorded"]
@@ -36,21 +38,25 @@ def _items(segments: DataFrame, bucket_ms: int) -> DataFrame:
 
 
 def _merged(iv: pd.DataFrame) -> pd.DataFrame:
-    """Disjoint unions of closed intervals (a, b)."""
-    iv = iv.sort_values(["a", "b"])
-    island = (iv["a"] > iv["b"].cummax().shift()).cumsum()
-    return iv.groupby(island).agg({"a": "min", "b": "max"})
+    """Disjoint unions of closed intervals (a, b) of each piece (g)."""
+    iv = iv.sort_values(["g", "a", "b"], ignore_index=True)
+    past = iv.groupby("g")["b"].cummax().shift(fill_value=0)
+    island = ((iv["g"] != iv["g"].shift()) | (iv["a"] > past)).cumsum()
+    return iv.groupby(island).agg({"source": "first", "bucket": "first", "g": "first", "a": "min", "b": "max"})
 
 
 def _kept(p: pd.DataFrame, iv: pd.DataFrame) -> pd.DataFrame:
-    """Points with live (some later state can still show them) and wins (they are shown now)."""
-    i = np.searchsorted(iv["a"].to_numpy(), p["a"].to_numpy(), side="right") - 1
-    ends = np.append(iv["b"].to_numpy(), -(1 << 62))  # the last one stands for no interval
+    """Points with live (some later state can still show them) and wins (they are shown now), each by its piece (g)."""
+    times = np.unique(iv["a"].to_numpy())
+    at = lambda d: d["g"].to_numpy() * (len(times) + 1) + np.searchsorted(times, d["a"].to_numpy(), side="right")
+    i = np.searchsorted(at(iv), at(p), side="right") - 1
+    ends, of = np.append(iv["b"].to_numpy(), -(1 << 62)), np.append(iv["g"].to_numpy(), -1)  # the last one stands for no interval
     loose = p["standalone"].astype(bool) & ~p["tz_missing"].astype(bool)
-    p = p.assign(hidden=loose & (ends[i] >= p["a"]), late=p["standalone"].astype(int), after=np.where(p["standalone"].astype(bool), p["a"], 0), ms=p["a"] // 1000)
+    covered = (of[i] == p["g"].to_numpy()) & (ends[i] >= p["a"].to_numpy())
+    p = p.assign(hidden=loose & covered, late=p["standalone"].astype(int), after=np.where(p["standalone"].astype(bool), p["a"], 0), ms=p["a"] // 1000)
     p = p.sort_values(["hidden", "late", "after", "seg_idx", "ord"], kind="stable")
-    live = ~p["hidden"] & ~p.duplicated(["a", "lat", "lon", "tz_missing", "standalone"])
-    return p.assign(live=live, wins=live & ~p.duplicated(["ms", "lat", "lon"]))
+    live = ~p["hidden"] & ~p.duplicated(["g", "a", "lat", "lon", "tz_missing", "standalone"])
+    return p.assign(live=live, wins=live & ~p.duplicated(["g", "ms", "lat", "lon"]))
 
 
 def stream_reconciled(segments: DataFrame, bucket_ms: int = BUCKET_MS) -> DataFrame:
@@ -59,32 +65,36 @@ def stream_reconciled(segments: DataFrame, bucket_ms: int = BUCKET_MS) -> DataFr
     segments: a stream of flatten_segments whose source names a history, which many files may add to in any order, and
     seg_idx a segment's place in it. A path point that a later file's interval covers, or a duplicate that a better one
     replaces, is taken back; settled gives what stands. State is kept by history and piece of time (bucket_ms): the
-    disjoint unions of its intervals and the points that none covers, each exact copy once, so a long history is many
-    small states in many tasks. An interval is in every piece it touches: 121,000 if it goes from year 0 to 9999. Rows
+    disjoint unions of its intervals and the points that none covers, each exact copy once, so a long history is in
+    many tasks; pieces are dealt to GROUPS states, all of one settled at once, so a micro-batch costs by rows, not by pieces. An interval is in every piece it touches: 121,000 if it goes from year 0 to 9999. Rows
     without a source are left out.
     """
     if bucket_ms <= 0:
         raise ValueError("a piece of time is a positive number of milliseconds")
     d = _items(segments.where("source IS NOT NULL"), bucket_ms)
-    columns = [c for c in d.columns if c not in ("source", "bucket")]
+    columns = d.columns
     stored = [c for c in columns if c != "b"]
 
-    def run(k: tuple, batches: Iterator[pd.DataFrame], s: GroupState) -> Iterator[pd.DataFrame]:
+    def run(_: tuple, batches: Iterator[pd.DataFrame], s: GroupState) -> Iterator[pd.DataFrame]:
         new = pd.concat([b[columns] for b in batches], ignore_index=True).assign(shown=False)
         point = new["b"] < new["a"]
-        iv, p = new[~point][["a", "b"]], new[point].drop(columns="b")
+        iv, p = new[~point][["source", "bucket", "a", "b"]], new[point].drop(columns="b")
         if s.exists:
             old_iv, old_p = (unpack(x) for x in s.get)
             iv, p = pd.concat([old_iv, iv]), pd.concat([old_p, p]) if len(old_p) else p
+        both = pd.concat([iv[["source", "bucket"]], p[["source", "bucket"]]], ignore_index=True)
+        g = pd.factorize(both["source"])[0] * (both["bucket"].nunique() + 1) + pd.factorize(both["bucket"])[0]
+        iv, p = iv.assign(g=g[: len(iv)]), p.assign(g=g[len(iv) :])
         iv = _merged(iv)
         p = _kept(p.reset_index(drop=True), iv)
         changed, live = p[p["shown"] != p["wins"]], p[p["live"]]
-        s.update((pack(iv), pack(live.assign(shown=live["wins"])[[*stored, "shown"]])))
+        s.update((pack(iv.drop(columns="g")), pack(live.assign(shown=live["wins"])[[*stored, "shown"]])))
         if len(changed):
-            yield changed.assign(op=np.where(changed["wins"], 1, -1), source=k[0])[["op", "source", "a", "lat", "lon", "tz_missing", "recorded"]]
+            yield changed.assign(op=np.where(changed["wins"], 1, -1))[["op", "source", "a", "lat", "lon", "tz_missing", "recorded"]]
 
     out = "op int, source string, a bigint, lat double, lon double, tz_missing boolean, recorded bigint"
-    c = d.groupBy("source", "bucket").applyInPandasWithState(run, out, "intervals binary, points binary", "append", GroupStateTimeout.NoTimeout)
+    group = F.pmod(F.xxhash64("source", "bucket"), F.lit(GROUPS)).cast("int")
+    c = d.withColumn("__group", group).groupBy("__group").applyInPandasWithState(run, out, "intervals binary, points binary", "append", GroupStateTimeout.NoTimeout)
     recorded = F.when(F.col("recorded") != _NO_DATE, F.date_from_unix_date(F.col("recorded").cast("int")))
     return c.select("op", "source", F.timestamp_micros("a").alias("ts"), "lat", "lon", "tz_missing", recorded.alias("recorded"))
 
