@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from waystone import constants as K
+from waystone.functions.geo import let
 
 # The enums of a preset, in the order of their codes.
 PRESET_FORMAT = 0xA1
@@ -70,28 +71,38 @@ def encode_preset(movement: Column, aspect: Column, detection: Column, framing:
 
 def decode_preset(token: Column) -> Column:
     """struct(status, movement, aspect, detection, framing, pacing); status ok, invalid or unsupported."""
-    ok = F.coalesce(token.rlike(r"^[A-Za-z0-9_-]{1,16}$") & (F.char_length(token) % 4 != 1), F.lit(False))
-    padded = F.rpad(F.translate(F.when(ok, token).otherwise("AAAA"), "-_", "+/"), F.when(ok, F.char_length(token) + F.pmod(-F.char_length(token), F.lit(4))).otherwise(F.lit(4)), "=")
-    h = F.hex(F.unbase64(padded))
-    byte = lambda i: F.conv(F.substr(h, F.lit(2 * i + 1), F.lit(2)), 16, 10).cast("int")
-    packed, code = byte(1), {}
-    for i, f in enumerate(("movement", "aspect", "detection", "framing")):
-        code[f] = F.shiftright(packed, 2 * i).bitwiseAND(3)
-    code["pacing"] = byte(2).bitwiseAND(3)
-    value = {f: F.get(F.array(*map(F.lit, PRESET_FIELDS[f])), c) for f, c in code.items()}
-    size = (F.char_length(h) / 2).cast("int")
-    known = F.lit(True)
-    for v in value.values():
-        known = known & v.isNotNull()
-    status = F.when(~ok | ~size.between(3, 8), "invalid").when(byte(0) != PRESET_FORMAT, "unsupported").when(known, "ok").otherwise("invalid")
-    return F.struct(status.alias("status"), *[F.when(status == "ok", v).alias(f) for f, v in value.items()])
+    named = lambda **d: F.struct(*[c.alias(n) for n, c in d.items()])
+
+    def content(t: Column) -> Column:
+        ok = F.coalesce(t.rlike(r"^[A-Za-z0-9_-]{1,16}$") & (F.char_length(t) % 4 != 1), F.lit(False))
+        padded = lambda t: F.rpad(F.translate(t, "-_", "+/"), F.char_length(t) + F.pmod(-F.char_length(t), F.lit(4)), "=")
+        return named(ok=ok, h=F.hex(F.unbase64(let(F.when(ok, t).otherwise("AAAA"), padded))))
+
+    def numbers(x: Column) -> Column:
+        byte = lambda i: F.conv(F.substr(x["h"], F.lit(2 * i + 1), F.lit(2)), 16, 10).cast("int")
+        return named(ok=x["ok"], size=(F.char_length(x["h"]) / 2).cast("int"), form=byte(0), packed=byte(1), pacing=byte(2))
+
+    def values(x: Column) -> Column:
+        code = {f: F.shiftright(x["packed"], 2 * i).bitwiseAND(3) for i, f in enumerate(("movement", "aspect", "detection", "framing"))}
+        code["pacing"] = x["pacing"].bitwiseAND(3)
+        return named(x=x, **{f: F.get(F.array(*map(F.lit, PRESET_FIELDS[f])), c) for f, c in code.items()})
+
+    def checked(v: Column) -> Column:
+        x, known = v["x"], F.lit(True)
+        for f in PRESET_FIELDS:
+            known = known & v[f].isNotNull()
+        status = F.when(~x["ok"] | ~x["size"].between(3, 8), "invalid").when(x["form"] != PRESET_FORMAT, "unsupported").when(known, "ok").otherwise("invalid")
+        return named(v=v, status=status)
+
+    last = lambda y: F.struct(y["status"].alias("status"), *[F.when(y["status"] == "ok", y["v"][f]).alias(f) for f in PRESET_FIELDS])
+    return let(let(let(let(let(token, content), numbers), values), checked), last)
 
 
 def preset_link_token(link: Column) -> Column:
     """The token of a link with exactly one preset parameter; null for others."""
     query = F.split(F.regexp_extract(link, r"\?([^#]*)", 1), "&")
     found = F.filter(query, lambda x: x.startswith("preset="))
-    return F.when(F.size(found) == 1, F.nullif(F.substr(F.get(found, F.lit(0)), F.lit(8)), F.lit("")))
+    return let(found, lambda f: F.when(F.size(f) == 1, F.nullif(F.substr(F.get(f, F.lit(0)), F.lit(8)), F.lit(""))))
 
 
 def normalise_preset_name(name: Column) -> Column:
