@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from waystone.functions import text
+from waystone.operators import journey
 
 
 def test_a_link_is_taken_apart_once(spark):
@@ -12,3 +13,11 @@ def test_a_link_is_taken_apart_once(spark):
     assert plan.count("unbase64(") == 1
     got = [tuple(r) for r in d.collect()]
     assert got[0] == ("ok", "fixed", "portrait", "sensitive", "close", "balanced") and got[1:] == [("invalid", *[None] * 5)] * 3
+
+
+def test_samples_share_what_their_hop_has(spark):
+    points = spark.createDataFrame([(1, i, i * 1000, 10.0 * i, 20.0 * i) for i in range(3)], "traveler_id long, seq long, t_ms long, lat double, lon double")
+    d = journey.densify(journey.hops(points))
+    above = d._jdf.queryExecution().optimizedPlan().toString().split("explode(sequence(")[0].lower()
+    assert "sin(" in above and "acos(" not in above and "lambda" not in above
+    assert d.columns[:5] == points.columns and d.where("seq = 2").count() == d.where("seq = 2").agg(F.max("k")).first()[0] > 30

@@ -67,28 +67,40 @@ def haversine_km(lat1: Num, lon1: Num, lat2: Num, lon2: Num) -> Column:
     return F.lit(2 * K.EARTH_KM) * F.nanvl(F.asin(h), F.lit(math.pi / 2))  # antipodes may come out a little over 1
 
 
-def great_circle(lat1: Num, lon1: Num, lat2: Num, lon2: Num, f: Num) -> Column:
-    """struct(lat, lon) at fraction f of the way; outside 0..1 the ends themselves; linear for tiny angles."""
-    p = [F.radians(_c(x)) for x in (lat1, lon1, lat2, lon2)]
+def great_way(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """struct(x0, y0, z0, x1, y1, z1, w), both ends on the unit sphere and the angle between them: what all
+    fractions of a way share."""
+    p = [F.radians(x) for x in (lat1, lon1, lat2, lon2)]
     unit = {f"{n}{k}": c for k, i in ((0, 0), (1, 2)) for n, c in (("x", F.cos(p[i]) * F.cos(p[i + 1])), ("y", F.cos(p[i]) * F.sin(p[i + 1])), ("z", F.sin(p[i])))}
-    ends = {"f": _c(f), "lat1": _c(lat1), "lon1": _c(lon1), "lat2": _c(lat2), "lon2": _c(lon2)}
-    named = lambda d: F.struct(*[c.alias(n) for n, c in d.items()])
 
     def angle(v: Column) -> Column:
         dot = clamp(v["x0"] * v["x1"] + v["y0"] * v["y1"] + v["z0"] * v["z1"], -1.0, 1.0)
-        return named({"v": v, "w": F.acos(dot)})
+        return F.struct(*[v[n].alias(n) for n in unit], F.acos(dot).alias("w"))
+
+    return let(F.struct(*[c.alias(n) for n, c in unit.items()]), angle)
+
 
-    def weights(a: Column) -> Column:
-        f, w, tiny = a["v"]["f"], a["w"], F.sin(a["w"]) < 1e-8
-        part = lambda t: F.when(tiny, t).otherwise(F.sin(t * w) / F.sin(w))
-        return named({"v": a["v"], "a": part(F.lit(1.0) - f), "b": part(f)})
+def way_weights(way: Column, f: Column) -> Column:
+    """struct(a, b): how much either end counts at fraction f of a way; linear for tiny angles."""
+    w, tiny = way["w"], F.sin(way["w"]) < 1e-8
+    part = lambda t: F.when(tiny, t).otherwise(F.sin(t * w) / F.sin(w))
+    return F.struct(part(F.lit(1.0) - f).alias("a"), part(f).alias("b"))
 
-    def place(q: Column) -> Column:
-        v, (x, y, z) = q["v"], (q["a"] * q["v"][f"{n}0"] + q["b"] * q["v"][f"{n}1"] for n in "xyz")
-        at = lambda n, c: F.when(v["f"] <= 0, v[f"{n}1"]).when(v["f"] >= 1, v[f"{n}2"]).otherwise(F.degrees(c)).alias(n)
-        return F.struct(at("lat", F.atan2(z, F.sqrt(x * x + y * y))), at("lon", F.atan2(y, x)))
 
-    return let(let(let(named(unit | ends), angle), weights), place)
+def way_place(way: Column, q: Column, lat1: Column, lon1: Column, lat2: Column, lon2: Column, f: Column) -> Column:
+    """struct(lat, lon) at fraction f of a way of these ends, given its weights; outside 0..1 the ends themselves."""
+    x, y, z = (q["a"] * way[f"{n}0"] + q["b"] * way[f"{n}1"] for n in "xyz")
+    at = lambda n, first, last, c: F.when(f <= 0, first).when(f >= 1, last).otherwise(F.degrees(c)).alias(n)
+    return F.struct(at("lat", lat1, lat2, F.atan2(z, F.sqrt(x * x + y * y))), at("lon", lon1, lon2, F.atan2(y, x)))
+
+
+def great_circle(lat1: Num, lon1: Num, lat2: Num, lon2: Num, f: Num) -> Column:
+    """struct(lat, lon) at fraction f of the way; outside 0..1 the ends themselves; linear for tiny angles."""
+    ends, f = [_c(x) for x in (lat1, lon1, lat2, lon2)], _c(f)
+    v = F.struct(great_way(*ends).alias("way"), f.alias("f"), *[c.alias(n) for n, c in zip(("lat1", "lon1", "lat2", "lon2"), ends, strict=True)])
+    both = lambda v: F.struct(v.alias("v"), way_weights(v["way"], v["f"]).alias("q"))
+    place = lambda s: way_place(s["v"]["way"], s["q"], *[s["v"][n] for n in ("lat1", "lon1", "lat2", "lon2")], s["v"]["f"])
+    return let(let(v, both), place)
 
 
 def mercator_m(lat: Num, lon: Num) -> Column:

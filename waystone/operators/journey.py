@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waystone import constants as K
-from waystone.functions.geo import great_circle, haversine_km, unwrap_near, world_x, world_y, wrap_near
+from waystone.functions.geo import great_circle, great_way, haversine_km, held, unwrap_near, way_place, way_weights, world_x, world_y, wrap_near
 from waystone.operators.median import exact_medians
 from waystone.operators.scan import scan, time_slice
 
@@ -108,11 +108,16 @@ def sample_steps() -> Column:
 
 def densify(h: DataFrame) -> DataFrame:
     """Hop rows as samples at most 75 km apart (320 a hop at most): k, steps, at_km, lat, lon; a first point once."""
-    d = h.withColumn("steps", sample_steps()).withColumn("k", F.explode(F.sequence(F.lit(1), F.col("steps"))))
-    f = F.col("k") / F.col("steps")
-    at = great_circle(F.coalesce("lat0", "lat"), F.coalesce("lon0", "lon"), F.col("lat"), F.col("lon"), f)
-    d = d.withColumn("__p", at).withColumn("at_km", F.col("cum0_km") + F.col("hop_km") * f)
-    return d.withColumn("lat", F.col("__p.lat")).withColumn("lon", F.col("__p.lon")).drop("__p")
+    names = [c for c in h.columns if c not in ("lat", "lon", "steps", "k", "at_km")]
+    lat0, lon0 = (F.coalesce(f"{c}0", c) for c in ("lat", "lon"))
+    d = held(h.withColumn("steps", sample_steps()), __way=great_way(lat0, lon0, F.col("lat"), F.col("lon")))
+    d = d.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("steps"))))
+    d = d.withColumn("__f", F.col("k") / F.col("steps"))
+    d = held(d, __ab=way_weights(F.col("__way"), F.col("__f")))
+    d = d.withColumn("__p", way_place(F.col("__way"), F.col("__ab"), lat0, lon0, F.col("lat"), F.col("lon"), F.col("__f")))
+    at_km = (F.col("cum0_km") + F.col("hop_km") * F.col("__f")).alias("at_km")
+    d = d.select(*names, F.col("__p.lat").alias("lat"), F.col("__p.lon").alias("lon"), "steps", "k", at_km)
+    return d.select(*[c for c in h.columns if c in d.columns and c not in ("steps", "k", "at_km")], "steps", "k", "at_km")
 
 
 def unwrapped(points: DataFrame, key: str = KEY, order: tuple[str, ...] = ORDER, slice_ms: int | None = None) -> DataFrame:
