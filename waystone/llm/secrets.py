@@ -196,16 +196,19 @@ class Index:
 
     def __init__(self, asked: list[bytes]):
         self.number = {g: i for i, g in enumerate(asked)}
-        self.table = np.zeros(1 << 24, np.uint16)
+        own = sorted(set(b"".join(asked)))  # bytes of no asked trigram are one class, 0
+        self.classes, self.base = np.zeros(256, np.uint32), np.uint32(len(own) + 1)
+        self.classes[own] = np.arange(1, len(own) + 1)
+        self.classes[65:91] = self.classes[97:123]
+        self.table = np.zeros(int(self.base) ** 3, np.uint16)
         for g, i in self.number.items():
-            self.table[int.from_bytes(g, "big")] = i + 1
-        self.lower = np.arange(256, dtype=np.uint32)
-        self.lower[65:91] += 32
+            a, b, c = self.classes[list(g)].tolist()
+            self.table[(a * int(self.base) + b) * int(self.base) + c] = i + 1
 
     def build(self, buf: np.ndarray, off: np.ndarray) -> None:
         n, self.texts = len(off) - 1, len(off) - 1
-        b = self.lower[buf]
-        code = self.table[(b[:-2] << 16) | (b[1:-1] << 8) | b[2:]] if len(b) > 2 else np.zeros(0, np.uint16)
+        b = self.classes[buf]
+        code = self.table[(b[:-2] * self.base + b[1:-1]) * self.base + b[2:]] if len(b) > 2 else np.zeros(0, np.uint16)
         at = np.flatnonzero(code)
         text = np.searchsorted(off, at, side="right") - 1
         inside = at + 3 <= off[text + 1]
