@@ -123,6 +123,30 @@ def test_virtual_samples_are_those_of_the_densified_journey(track, tmp_path):
             assert (r.lat, r.lon, r.at_km) == pytest.approx(want.get((r.traveler_id, r.n), (None, None, None)), abs=1e-9)
 
 
+@pytest.mark.parametrize("count", [2, 7, 50, 5000])
+def test_even_samples_are_those_of_the_densified_journey(track, count):
+    from pyspark.sql import Window
+
+    one = track.sparkSession.createDataFrame([(77, 0, 5, 10.0, 20.0)], "traveler_id long, seq long, t_ms long, lat double, lon double")
+    h = journey.hops(track.where("traveler_id IS NOT NULL").select(*one.columns).unionByName(one))
+    w = Window.partitionBy("traveler_id").orderBy("t_ms", "seq", "k")
+    want = {(r.traveler_id, r.n): (r.lat, r.lon, r.at_km) for r in journey.densify(h).withColumn("n", F.row_number().over(w)).collect()}
+    size = {k: max(n for q, n in want if q == k) for k, _ in want}
+    asked = {(k, 1 + (m - 1) * j // (count - 1)) for k, m in size.items() for j in range(count)}
+    rows = lookup.even_samples(h, count).collect()
+    assert sorted((r.traveler_id, r.n) for r in rows) == sorted(asked) and (77, 1) in asked
+    for r in rows:
+        assert (r.lat, r.lon, r.at_km) == pytest.approx(want[r.traveler_id, r.n], abs=1e-9)
+
+
+def test_virtual_samples_sort_a_journey_once(spark, sf_dir):
+    """Each sort of a journey's rows is a task's memory; a union with probes sorted the wider rows again."""
+    from waystone.plans.queries import QUERIES
+
+    plan = QUERIES["w3_virtual_samples"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and plan.count("Exchange ") == 1 and "Union" not in plan
+
+
 def test_trail_points_are_those_between_the_ends(track):
     from waystone.operators import frames
 

@@ -78,6 +78,25 @@ def samples_at(probes: DataFrame, h: DataFrame, number: str = "n", key: str = "t
     return d.unionByName(rest.select(*probes.columns, *[F.lit(None).cast("double").alias(c) for c in ("lat", "lon", "at_km")]))
 
 
+def even_samples(h: DataFrame, count: int, key: str = "traveler_id", order: tuple[str, ...] = ("t_ms", "seq")) -> DataFrame:
+    """Key, n, lat, lon, at_km: count (2 or more) samples of each densified journey, evenly apart by number, the first and last among them.
+
+    Of all samples numbers 1 + floor((all - 1) * j / (count - 1)) for j from 0, each once. A hop knows its samples' numbers from
+    running sums and so which of them are asked for: journeys are sorted once and meet no probes.
+    """
+    if count < 2:
+        raise ValueError("samples are two at least")
+    s = scan(h.withColumn("steps", sample_steps()), key, list(order), sums={"upto": F.col("steps").cast("long")})
+    s = s.withColumns({"all": F.max("upto").over(Window.partitionBy(key)), "gaps": F.lit(count - 1).cast("long")})
+    s = s.selectExpr(f"`{key}`", "upto - steps AS past", "upto", "steps", "all - 1 AS span", "gaps", "lat0", "lon0", "lat", "lon", "cum0_km", "hop_km")
+    first = lambda c: F.expr(f"(gaps * ({c}) + greatest(span, 1) - 1) div greatest(span, 1)")  # noqa: E731  the least j whose number is beyond c
+    s = s.withColumns({"j0": first("past"), "j1": F.least(F.col("gaps"), first("upto") - 1)}).where("j0 <= j1")
+    s = s.withColumn("n", F.explode(F.expr("array_distinct(transform(sequence(j0, j1), j -> 1 + span * j div gaps))")))
+    f = (F.col("n") - F.col("past")) / F.col("steps")
+    at = great_circle(F.coalesce("lat0", "lat"), F.coalesce("lon0", "lon"), F.col("lat"), F.col("lon"), f)
+    return s.select(key, "n", at.alias("__p"), (F.col("cum0_km") + F.col("hop_km") * f).alias("at_km")).select(key, "n", "__p.lat", "__p.lon", "at_km")
+
+
 def ranked(h: DataFrame, key: str = "traveler_id") -> DataFrame:
     """h with below and upto, how many points of the journey lie before a point's place and how many not behind it."""
     w = Window.partitionBy(key).orderBy("cum_km")

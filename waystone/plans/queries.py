@@ -344,10 +344,7 @@ asked AS (SELECT DISTINCT traveler_id, 1 + (n_all - 1) * j // 49 AS n FROM (SELE
 SELECT traveler_id, n, round({_DENSE[0]}, 6) AS lat, round({_DENSE[1]}, 6) AS lon, round(cum0_km + hop_km * f, 3) AS at_km FROM fx JOIN asked USING (traveler_id, n)""")
 def w3_virtual(s: SparkSession, d: str) -> DataFrame:
     """Fifty samples of every densified journey, found without making the others."""
-    h = hops(s, d)
-    n = h.groupBy("traveler_id").agg(F.sum(journey.sample_steps()).alias("all"))
-    asked = n.select("traveler_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(49)), lambda j: 1 + F.floor((F.col("all") - 1) * j / 49))).alias("n")).distinct()
-    return lookup.samples_at(asked, h).select("traveler_id", "n", r("lat", 6), r("lon", 6), r("at_km"))
+    return lookup.even_samples(hops(s, d), 50).select("traveler_id", "n", r("lat", 6), r("lon", 6), r("at_km"))
 
 
 @query("w4_unwrap_dateline", f"WITH {sql.UNWRAPPED} SELECT traveler_id, seq, round(x, 9) AS x, round(y, 9) AS y FROM un")
