@@ -178,8 +178,8 @@ def s3(s: SparkSession, d: str) -> DataFrame:
 
 @query("s2_scan_nested_files", f"WITH {_SCANNED} SELECT DISTINCT CAST(traveler_id AS VARCHAR) AS source, t_ms, lat, lon FROM u WHERE traveler_id % 10 > 5 OR traveler_id % 10 = 1")
 def s2(s: SparkSession, d: str) -> DataFrame:
-    """Every user's export written as a nested file and read by blocks; of a cut file what stands before the break."""
-    e = blocks.read_export_blocks(s, export_files(s, d)).where("kind = 'segment'").withColumn("source", F.regexp_extract("source", "source=([^/]+)/", 1))
+    """Every user's export, nested, written into files of many and read by blocks; of a cut one what stands before the break."""
+    e = blocks.read_export_blocks(s, export_files(s, d), bundled=True).where("kind = 'segment'").withColumn("source", F.substring_index("source", "#", -1))
     return reconcile.reconcile(exports.flatten_segments(exports.parse_elements(e))).select("source", F.unix_millis("ts").alias("t_ms"), "lat", "lon")
 
 
