@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 
 from waystone.llm import lm
+from waystone.llm.common import NO_SPACE, numbered_words
 from waystone.llm.lm import Attention, Subwords, op12_lm_scoring, score_documents, score_texts, train_language_model
 
 ODD = [
@@ -158,3 +159,41 @@ def test_every_id_of_every_text_is_learnt_once(spark):
     assert all(1 < len(s) <= lm.CONTEXT + 1 for s in spans) and [s[0] for s in spans[1:]] == [s[-1] for s in spans[:-1]] and spans[0][0] == sub.end
     some = lm.training_spans(docs, sub, 4).count()
     assert len(texts) <= some < len(spans) / 2
+
+
+def test_words_that_tasks_know_are_not_encoded_again(monkeypatch):
+    sub = Subwords()
+    texts = pa.array(["The cat  sat", None, "", "naïve cat 日本\tsat sat", "unknown_word the"])
+    runs = list(numbered_words(texts, NO_SPACE, 1 << 20))
+    known = lm.CommonWords(pa.array(["sat", "the", "日本", "naïve", "absent"]), np.array([5, 4, 3, 2, 1]), sub)
+    plain = lm.CommonWords(pa.array([], pa.string()), np.zeros(0, np.int64), sub)
+    want = [plain.text_ids(d, no, ends) for _, _, d, no, ends in runs]
+    asked, encode = [], Subwords.encode
+    monkeypatch.setattr(Subwords, "encode", lambda self, words: asked.extend(words.to_pylist()) or encode(self, words))
+    for (_, _, d, no, ends), (ids, texts_at, _) in zip(runs, want, strict=True):
+        got = known.text_ids(d, no, ends)
+        assert got[0].tolist() == ids.tolist() and got[1].tolist() == texts_at.tolist()
+        assert [known.words[i].as_py() for i in got[2] if i >= 0] == [w for w in d.to_pylist() if w in known.words.to_pylist()]
+    assert sorted(asked) == ["cat", "unknown_word"]
+    ids = [i for t in texts.to_pylist() for i in [*encode(sub, pa.array((t or "").replace("T", "t").split()))[0].tolist(), sub.end]]
+    assert [i for w in want for i in w[0].tolist()] == ids
+
+
+def test_careful_gradients_are_the_same_and_large_parameters_leave_them_finite():
+    m, rng = model(), np.random.default_rng(5)
+    ids, targets = rng.integers(0, 300, (3, 32)), rng.integers(-1, 300, (3, 32))
+    plain, careful = m._gradient(ids, targets), m._gradient(ids, targets, True)
+    assert plain[0] == pytest.approx(careful[0], rel=1e-5) and plain[1].tolist() == careful[1].tolist() == sorted(set(ids.ravel().tolist()))
+    for a, b in zip(plain[2:], careful[2:], strict=True):
+        assert np.abs(a - b).max() < 1e-5
+    m.matrix *= 300
+    loss, _, dx, rest = m._gradient(ids, targets)
+    assert math.isfinite(loss) and np.isfinite(dx).all() and np.isfinite(rest).all()
+
+
+def test_windows_of_spans_are_filled_up():
+    spans = [[7], [300, 5], list(range(300, 300 + lm.CONTEXT + 1))]
+    column = pa.array([np.array(s, "<u2").tobytes() for s in [[1, 2, 3], *spans]], pa.binary())[1:]
+    ids, targets = lm._windows(column, 999)
+    for s, i, t in zip(spans, ids.tolist(), targets.tolist(), strict=True):
+        assert i == s[:-1] + [999] * (lm.CONTEXT + 1 - len(s)) and t == s[1:] + [-1] * (lm.CONTEXT + 1 - len(s))

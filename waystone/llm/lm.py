@@ -5,13 +5,13 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import tiktoken
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import NO_SPACE, free_names, materialize, numbered_words, with_fields
@@ -39,10 +39,9 @@ RUN_BYTES = 4 << 20
 BLOCK = 8_192
 
 
-def tokens(text: Column) -> Column:
-    """The words between white space of the whole text, A-Z lower-cased; [] for null or none."""
-    t = F.translate(F.coalesce(text.cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.array_remove(F.split(t, r"[\x20\x09-\x0D]+"), "")
+def _strings(words: pa.Array) -> list[str]:
+    """As to_pylist, without an object of Arrow's for each."""
+    return words.to_numpy(zero_copy_only=False).tolist()
 
 
 class Subwords:
@@ -63,11 +62,42 @@ class Subwords:
         if self._encoding is None:
             self._encoding = tiktoken.Encoding("subwords", pat_str=PIECES, mergeable_ranks=self.ranks, special_tokens={})
         one = self._encoding.encode_ordinary
-        ids = np.asarray(one("".join(f" {w}\n" for w in words.to_pylist())), np.int64)  # no word holds a line's end
+        ids = np.asarray(one("".join(f" {w}\n" for w in _strings(words))), np.int64)  # no word holds a line's end
         stop = ids == self.line
         return ids[~stop], np.append(0, np.cumsum(~stop)[stop])
 
 
+class CommonWords:
+    """Words whose counts and subword ids every task knows; others are encoded where they stand."""
+
+    def __init__(self, words: pa.Array, counts: np.ndarray, subwords: Subwords) -> None:
+        self.words, self.counts, self.subwords = words, counts, subwords
+        ids, self.off = subwords.encode(words)
+        self.ids = ids.astype(np.uint16)
+        self._numbers: dict[str, int] | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_numbers": None}
+
+    def find(self, distinct: pa.Array) -> np.ndarray:
+        """The number of each word, -1 for others."""
+        if self._numbers is None:
+            self._numbers = {w: i for i, w in enumerate(_strings(self.words))}
+        return np.fromiter(map(self._numbers.get, _strings(distinct), repeat(-1)), np.int64, len(distinct))
+
+    def text_ids(self, distinct: pa.Array, number: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all texts of a run as numbered_words gives it, END after each; the texts' offsets; find's numbers of the distinct words)."""
+        found = self.find(distinct)
+        others = np.flatnonzero(found < 0)
+        more, off = self.subwords.encode(distinct.take(pa.array(others)))
+        pieces = np.concatenate([self.ids, more, [self.subwords.end]]).astype(np.int64)
+        off = np.concatenate([self.off, len(self.ids) + off[1:], [len(pieces)]])
+        row = found.copy()
+        row[others] = len(self.words) + np.arange(len(others))
+        ids, at = gather_runs(pieces, off, np.insert(row[number], ends[1:], len(off) - 2))
+        return ids, at[np.append(0, (ends + np.arange(len(ends)))[1:])], found
+
+
 def gather_runs(values: np.ndarray, off: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(the runs off[i] to off[i + 1] of values for each i of which, end to end; their offsets)."""
     size = np.diff(off)[which]
@@ -75,6 +105,21 @@ def gather_runs(values: np.ndarray, off: np.ndarray, which: np.ndarray) -> tuple
     return values[np.repeat(off[which] - ends[:-1], size) + np.arange(ends[-1])], ends
 
 
+_ONES = np.ones(BASE, np.float32)
+_SHIFTS = (DIGIT_BITS * np.arange(DIGITS)[::-1])[:, None]
+
+
+@lru_cache
+def _before(w: int) -> np.ndarray:
+    """One where a place sees another: itself and those before."""
+    return np.tri(w, dtype=np.float32)
+
+
+def _thirds(qkv: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(queries, keys, values with what follows them)."""
+    return qkv[:, :, :WIDTH], qkv[:, :, WIDTH : 2 * WIDTH], qkv[:, :, 2 * WIDTH :]
+
+
 @dataclass
 class Attention:
     """One layer of causal self-attention over subword ids, all parameters rows of one matrix.
@@ -88,10 +133,13 @@ class Attention:
     tables: list[np.ndarray]
 
     @cached_property
-    def shares(self) -> list[np.ndarray]:
-        return [np.exp(t) for t in self.tables]
+    def shares(self) -> np.ndarray:
+        """The digits' shares after an id's own digits before them: (id without its last digit, digit's place and digit)."""
+        before = np.arange(BASE ** (DIGITS - 1))
+        return np.concatenate([np.exp(self.tables[d]).take(before >> (DIGIT_BITS * (DIGITS - 1 - d)), axis=0) for d in range(DIGITS)], axis=1)
 
     @staticmethod
+    @lru_cache
     def rows(vocabulary: int) -> dict[str, slice]:
         out, at = {}, 0
         for name, n in (("embed", vocabulary), ("place", CONTEXT), ("query", WIDTH), ("key", WIDTH), ("value", WIDTH), ("mix", WIDTH), ("digit", BASE * DIGITS)):
@@ -117,111 +165,155 @@ class Attention:
     def parts(self) -> dict[str, np.ndarray]:
         return {k: self.matrix[v] for k, v in self.rows(self.vocabulary).items()}
 
-    def _forward(self, ids: np.ndarray) -> dict[str, np.ndarray]:
-        p, w = self.parts(), ids.shape[1]
-        x = p["embed"][ids] + p["place"][:w]
-        flat = x.reshape(-1, WIDTH)
-        q, k, v = (flat @ p[n] for n in ("query", "key", "value"))
-        q, k, v = (a.reshape(x.shape) for a in (q * np.float32(WIDTH**-0.5), k, v))
+    def _states(self, ids: np.ndarray, p: dict[str, np.ndarray], careful: bool) -> dict[str, np.ndarray]:
+        """Of windows of ids: flat, their embeddings; maps to what is queried with (scaled), asked and given; qkv, these and
+        ones; a, weights of the places seen, and their sums; seen, what these give.
+
+        A careful one subtracts each place's maximum before the exponentials.
+        """
+        n, w = ids.shape
+        x = p["embed"].take(ids.ravel(), axis=0).reshape(n, w, WIDTH)
+        x += p["place"][:w]
+        at = self.rows(self.vocabulary)
+        maps = self.matrix[at["query"].start : at["value"].stop].reshape(3, WIDTH, WIDTH).transpose(1, 0, 2).reshape(WIDTH, -1)
+        maps[:, :WIDTH] *= np.float32(WIDTH**-0.5)
+        flat, qkv = x.reshape(-1, WIDTH), np.empty((n * w, 3 * WIDTH + 1), np.float32)
+        np.matmul(flat, maps, out=qkv[:, :-1])
+        qkv[:, -1] = 1
+        q, k, v = _thirds(qkv.reshape(n, w, -1))
         a = q @ k.transpose(0, 2, 1)
-        a += np.triu(np.full((w, w), -1e9, np.float32), 1)
-        a -= a.max(2, keepdims=True)
+        if careful:
+            a += np.triu(np.full((w, w), -np.inf, np.float32), 1)
+            a -= a.max(2, keepdims=True)
         np.exp(a, out=a)
-        a /= a.sum(2, keepdims=True)
-        seen = (a @ v).reshape(-1, WIDTH)
-        return {"flat": flat, "q": q, "k": k, "v": v, "a": a, "seen": seen, "z": flat + seen @ p["mix"]}
-
-    def _digits(self, z: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(log probability of each target, the digits' probabilities as (digit's place, digit, target))."""
-        logits = (self.parts()["digit"] @ z.T).reshape(DIGITS, BASE, -1)
-        n, total = np.arange(len(targets)), np.zeros(len(targets), np.float32)
-        for k in range(DIGITS):
-            before = targets // BASE ** (DIGITS - k)
-            own = targets // BASE ** (DIGITS - 1 - k) % BASE
-            logits[k] += self.tables[k][before].T
-            logits[k] -= logits[k].max(0)
-            total += logits[k][own, n]
-            np.exp(logits[k], out=logits[k])
-            sums = logits[k].sum(0)
-            total -= np.log(sums)
-            logits[k] /= sums
-        return total, logits
-
-    def log_probabilities(self, ids: np.ndarray, targets: np.ndarray, own: np.ndarray) -> np.ndarray:
+        a *= _before(w)
+        seen = (a @ v).reshape(n * w, -1)  # the ones give the sums
+        sums = seen[:, WIDTH:].copy()
+        return {"flat": flat, "maps": maps, "qkv": qkv, "a": a, "sums": sums, "seen": seen[:, :WIDTH] / sums}
+
+    def _digits(self, z: np.ndarray, targets: np.ndarray, p: dict[str, np.ndarray], careful: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(log probability of each target, the digits' weights as (target, digit's place and digit), one by their sums as
+        (target, digit's place), flat numbers of the targets' own digits' weights and their probabilities as (digit's place,
+        target)).
+
+        Shares times exponentials; a careful one adds logarithms and subtracts each digit's maximum first.
+        """
+        e, n = z @ p["digit"].T, len(targets)
+        shares = self.shares.take(targets >> DIGIT_BITS, axis=0)
+        at = targets >> _SHIFTS
+        at &= BASE - 1
+        at += np.arange(0, DIGITS * BASE, BASE)[:, None]
+        at += np.arange(0, n * BASE * DIGITS, BASE * DIGITS)
+        if careful:
+            e += np.log(shares)
+            digits = e.reshape(-1, DIGITS, BASE)
+            digits -= digits.max(2, keepdims=True)
+            total = e.ravel().take(at).sum(0, dtype=float)
+        np.exp(e, out=e)
+        if not careful:
+            e *= shares
+        sums = e.reshape(-1, BASE) @ _ONES
+        if careful:
+            total -= np.log(sums.astype(float)).reshape(n, DIGITS).sum(1)
+        inverse = (np.float32(1) / sums).reshape(n, DIGITS)
+        own = e.ravel().take(at) * inverse.T
+        if not careful:
+            total = np.log(np.multiply.reduce(own, axis=0, dtype=float))
+        return total, e, inverse, at, own
+
+    def log_probabilities(self, ids: np.ndarray, targets: np.ndarray, own: np.ndarray, careful: bool = False) -> np.ndarray:
         """Natural log probability of each target that own marks, after the ids of its window up to its place.
 
-        ids, targets and own are (windows, places); others are 0. Shares times exponentials, without the detour of
-        subtracting a maximum; where that leaves the range of floats, the careful way is gone.
+        ids, targets and own are (windows, places); others are 0. Windows that leave the range of floats go the careful way.
         """
-        p, (n, w) = self.parts(), ids.shape
-        flat = (p["embed"].take(ids.ravel(), axis=0).reshape(n, w, WIDTH) + p["place"][:w]).reshape(-1, WIDTH)
-        qkv = flat @ np.concatenate([p["query"] * np.float32(WIDTH**-0.5), p["key"], p["value"]], axis=1)
-        q, k = (qkv[:, i * WIDTH : (i + 1) * WIDTH].reshape(n, w, WIDTH) for i in (0, 1))
-        v = np.ones((n * w, WIDTH + 1), np.float32)
-        v[:, :WIDTH] = qkv[:, 2 * WIDTH :]
+        p, at, out = self.parts(), np.flatnonzero(own.ravel()), np.zeros(ids.size)
         with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
-            a = q @ k.transpose(0, 2, 1)
-            np.exp(a, out=a)
-            a *= np.tri(w, dtype=np.float32)
-            seen = (a @ v.reshape(n, w, -1)).reshape(n * w, -1)
-            at = np.flatnonzero(own.ravel())
-            z = flat.take(at, axis=0) + (seen[:, :WIDTH].take(at, axis=0) / seen[:, WIDTH].take(at)[:, None]) @ p["mix"]
-            e = z @ p["digit"].T
-            np.exp(e, out=e)
-            t, rows, total = targets.ravel().take(at), np.arange(len(at)) * (BASE * DIGITS), np.ones(len(at))
-            for d in range(DIGITS):
-                before = t >> (DIGIT_BITS * (DIGITS - d))
-                digit = (t >> (DIGIT_BITS * (DIGITS - 1 - d))) & (BASE - 1)
-                share = self.shares[d].take(before, axis=0)
-                total *= self.shares[d].ravel().take(before * BASE + digit) * e.ravel().take(rows + (d * BASE + digit)) / np.einsum("ij,ij->i", share, e[:, d * BASE : (d + 1) * BASE])
-            lp = np.log(total)
-        out = np.zeros(n * w)
-        out[at] = lp
-        out = out.reshape(n, w)
-        bad = np.flatnonzero(~np.isfinite(out).all(1))
-        if len(bad):
-            out[bad] = np.where(own[bad], self._digits(self._forward(ids[bad])["z"], targets[bad].ravel())[0].reshape(len(bad), w), 0)
+            f = self._states(ids, p, careful)
+            z = f["seen"].take(at, axis=0) @ p["mix"]
+            z += f["flat"].take(at, axis=0)
+            out[at] = self._digits(z, targets.ravel().take(at), p, careful)[0]
+        out = out.reshape(ids.shape)
+        if not careful and not np.isfinite(out.sum()):
+            bad = np.flatnonzero(~np.isfinite(out).all(1))
+            out[bad] = self.log_probabilities(ids[bad], targets[bad], own[bad], True)
         return out
 
     def gradient(self, ids: np.ndarray, targets: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, dict[str, np.ndarray]]:
         """(mean loss, rows of embed that stand in ids, their gradients, gradients of the other parts); targets below 0 don't count."""
-        p, f = self.parts(), self._forward(ids)
-        live = targets.ravel() >= 0
-        t, n = np.maximum(targets.ravel(), 0), max(1, int(live.sum()))
-        lp, prob = self._digits(f["z"], t)
-        for k in range(DIGITS):
-            prob[k][t // BASE ** (DIGITS - 1 - k) % BASE, np.arange(len(t))] -= 1
-        dl = prob.reshape(DIGITS * BASE, -1) * (live / np.float32(n)).astype(np.float32)
-        g = {"digit": dl @ f["z"]}
-        dy = dl.T @ p["digit"]
-        g["mix"] = f["seen"].T @ dy
-        shape = f["q"].shape
-        ds = (dy @ p["mix"].T).reshape(shape)
-        dv = f["a"].transpose(0, 2, 1) @ ds
-        da = ds @ f["v"].transpose(0, 2, 1)
-        da = f["a"] * (da - (da * f["a"]).sum(2, keepdims=True))
-        dq, dk = (da @ f["k"]) * np.float32(WIDTH**-0.5), da.transpose(0, 2, 1) @ f["q"]
-        dx = dy.copy()
-        for name, d in (("query", dq), ("key", dk), ("value", dv)):
-            d = d.reshape(-1, WIDTH)
-            g[name] = f["flat"].T @ d
-            dx += d @ p[name].T
-        g["place"] = np.zeros((CONTEXT, WIDTH), np.float32)
-        g["place"][: shape[1]] = dx.reshape(shape).sum(0)
-        order = np.argsort(ids.ravel(), kind="stable")
-        rows, first = np.unique(ids.ravel()[order], return_index=True)
-        return -float(lp[live].sum()) / n, rows, np.add.reduceat(dx[order], first), g
+        loss, rows, dx, rest = self._gradient(ids, targets)
+        return loss, rows, dx, {k: rest[v] for k, v in self.rows(0).items() if k != "embed"}
+
+    def _gradient(self, ids: np.ndarray, targets: np.ndarray, careful: bool = False) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+        """As gradient, with those of the other parts as one matrix.
+
+        Weights stay undivided by their sums, what meets them is divided instead: no pass over all pairs of places for that.
+        """
+        p, (n, w) = self.parts(), ids.shape
+        t = targets.ravel()
+        dead = np.flatnonzero(t < 0)
+        t, share = np.maximum(t, 0), np.float32(1 / max(1, len(t) - len(dead)))
+        with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+            f = self._states(ids, p, careful)
+            z = f["seen"] @ p["mix"]
+            z += f["flat"]
+            lp, e, inverse, at, own = self._digits(z, t, p, careful)
+        lp[dead] = 0
+        loss = -float(lp.sum()) * float(share)
+        if not careful and not np.isfinite(loss):
+            return self._gradient(ids, targets, True)
+        inverse *= share
+        own -= 1
+        own *= share
+        inverse[dead], own[:, dead] = 0, 0
+        e *= inverse.ravel().repeat(BASE).reshape(e.shape)
+        e.ravel()[at] = own
+        rest = np.zeros((len(self.matrix) - self.vocabulary, WIDTH), np.float32)
+        g = {k: rest[v] for k, v in self.rows(0).items()}
+        np.matmul(e.T, z, out=g["digit"])
+        dx = e @ p["digit"]
+        np.matmul(f["seen"].T, dx, out=g["mix"])
+        ds = np.empty((n * w, WIDTH + 1), np.float32)
+        own = dx @ p["mix"].T
+        ds[:, :-1], ds[:, -1] = own, (own * f["seen"]) @ -np.ones(WIDTH, np.float32)
+        ds /= f["sums"]
+        ds, d = ds.reshape(n, w, -1), np.empty((n, w, 3 * WIDTH), np.float32)
+        q, k, v = _thirds(f["qkv"].reshape(n, w, -1))
+        dq, dk, dv = _thirds(d)
+        np.matmul(f["a"].transpose(0, 2, 1), ds[:, :, :-1], out=dv)
+        da = ds @ v.transpose(0, 2, 1)
+        da *= f["a"]
+        np.matmul(da, k, out=dq)
+        np.matmul(da.transpose(0, 2, 1), q, out=dk)
+        d = d.reshape(n * w, -1)
+        maps = f["flat"].T @ d
+        maps[:, :WIDTH] *= np.float32(WIDTH**-0.5)
+        rest[CONTEXT : CONTEXT + 3 * WIDTH].reshape(3, WIDTH, WIDTH)[:] = maps.reshape(WIDTH, 3, WIDTH).transpose(1, 0, 2)
+        dx += d @ f["maps"].T
+        g["place"][:w] = dx.reshape(n, -1).sum(0).reshape(w, WIDTH)
+        flat, number = ids.ravel().astype(np.uint16), np.empty(n * w, np.int64)  # an id is DIGITS digits; numbers so small are sorted by counting
+        order = flat.argsort(kind="stable")
+        flat = flat.take(order)
+        fresh = np.ones(n * w, bool)
+        np.not_equal(flat[1:], flat[:-1], out=fresh[1:])
+        rows = flat[fresh].astype(np.int64)
+        number[order] = fresh.cumsum() * WIDTH - WIDTH
+        cells = (number[:, None] + np.arange(WIDTH)).ravel()
+        return loss, rows, np.bincount(cells, dx.ravel()).astype(np.float32).reshape(-1, WIDTH), rest
 
     def learn(self, ids: np.ndarray, targets: np.ndarray, step: float = STEP, batch: int = BATCH) -> float:
         """One pass over windows by Adagrad, in place; the mean loss on the way."""
-        at, total = self.rows(self.vocabulary), 0.0
-        past = np.full_like(self.matrix, 1e-4)
+        total, (past, rest) = 0.0, (np.full_like(self.matrix, 1e-4), slice(self.vocabulary, None))
         for i in range(0, len(ids), batch):  # ids count from 0, targets of -1 only fill windows up
-            loss, rows, dx, g = self.gradient(ids[i : i + batch], targets[i : i + batch])
+            loss, rows, dx, g = self._gradient(ids[i : i + batch], targets[i : i + batch])
             total += loss * len(ids[i : i + batch])
-            for where, d in [(rows, dx), *((at[k], d) for k, d in g.items())]:
-                past[where] += d * d
-                self.matrix[where] -= np.float32(step) * d / np.sqrt(past[where])
+            now = past.take(rows, axis=0)
+            now += dx * dx
+            past[rows] = now
+            dx *= np.float32(step)
+            dx /= np.sqrt(now, out=now)
+            self.matrix[rows] = self.matrix.take(rows, axis=0) - dx
+            past[rest] += g * g
+            self.matrix[rest] -= np.float32(step) * g / np.sqrt(past[rest])
         return total / max(1, len(ids))
 
 
@@ -250,21 +342,26 @@ def score_texts(model: Attention, ids: np.ndarray, off: np.ndarray, end: int) ->
 
 @dataclass
 class LanguageModel:
-    """What score_documents needs: training counts (word, c) as a written table, their sums, the commonest words with
-    their counts, the attention model and the subwords."""
+    """What score_documents needs: training counts (word, c) as a written table, their sums, the commonest words and the
+    attention model."""
 
     counts: DataFrame
     total: int
     distinct: int
     ends: int
-    head: pa.Table
+    common: CommonWords
     attention: Attention
-    subwords: Subwords
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, c) over all whole texts."""
-    return docs.select(F.explode(tokens(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("c"))
+    """(word, c) over all whole texts: the words between white space, A-Z lower-cased. A row a run of texts and word is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, _, distinct, number, _ in numbered_words(b.column("text"), NO_SPACE, 4 * RUN_BYTES):
+                yield pa.RecordBatch.from_arrays([distinct, pa.array(np.bincount(number, minlength=len(distinct)))], ["word", "c"])
+
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def subword_counts(counts: DataFrame, subwords: Subwords) -> np.ndarray:
@@ -286,41 +383,39 @@ def subword_counts(counts: DataFrame, subwords: Subwords) -> np.ndarray:
     return out
 
 
-def training_spans(docs: DataFrame, subwords: Subwords, every: int = EVERY) -> DataFrame:
+def training_spans(docs: DataFrame, subwords: Subwords, every: int = EVERY, common: CommonWords | None = None) -> DataFrame:
     """(ids): windows of CONTEXT + 1 subword ids or fewer over every whole text (text); ids as two bytes each.
 
     Each begins with the id before it, which for a text's first one is the end of another text, so that every id of every
     text, its end included, is to be predicted once. With every above 1, of each so many windows of a text one, at least one.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(subwords)
+    shared = docs.sparkSession.sparkContext.broadcast(common or CommonWords(pa.array([], pa.string()), np.zeros(0, np.int64), subwords))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sub = shared.value
+        known = shared.value
         for b in batches:
-            for lo, hi, distinct, number, ends in numbered_words(b.column("text"), NO_SPACE, RUN_BYTES):
-                pieces, off = sub.encode(distinct)
-                pieces, off = np.append(pieces, sub.end), np.append(off, len(pieces) + 1)
-                ids, at = gather_runs(pieces, off, np.insert(number.astype(np.int64), ends[1:], len(distinct)))
-                texts = at[np.append(0, (ends + np.arange(hi - lo + 1))[1:])]
+            for _, _, distinct, number, ends in numbered_words(b.column("text"), NO_SPACE, RUN_BYTES):
+                ids, texts, _ = known.text_ids(distinct, number, ends)
                 count = -(-np.diff(texts) // CONTEXT)
                 j = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                 some = j % every == np.repeat(texts[1:] % np.minimum(every, count), count)
                 first, stop = np.repeat(texts[:-1], count)[some] + j[some] * CONTEXT, np.repeat(texts[1:], count)[some]
                 size = np.minimum(stop - first, CONTEXT) + 1
                 cut = np.append(0, np.cumsum(size))
-                flat = np.append(sub.end, ids).astype("<u2")[np.repeat(first - cut[:-1], size) + np.arange(cut[-1])]
+                flat = np.append(known.subwords.end, ids).astype("<u2")[np.repeat(first - cut[:-1], size) + np.arange(cut[-1])]
                 yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((cut * 2).astype(np.int32)), pa.py_buffer(flat.tobytes())])], ["ids"])
 
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "ids binary")
 
 
-def _windows(spans: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
+def _windows(spans: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
     """(ids, targets) of spans, filled up with end and -1."""
-    ids, targets = np.full((len(spans), CONTEXT), end, np.int64), np.full((len(spans), CONTEXT), -1, np.int64)
-    for i, s in enumerate(spans):
-        x = np.frombuffer(s, "<u2").astype(np.int64)
-        ids[i, : len(x) - 1], targets[i, : len(x) - 1] = x[:-1], x[1:]
-    return ids, targets
+    _, off, flat = spans.buffers()
+    off = np.frombuffer(off, np.int32)[spans.offset : spans.offset + len(spans) + 1] // 2
+    place, size = np.arange(CONTEXT + 1), np.diff(off)[:, None]
+    both = np.full((len(spans), CONTEXT + 1), -1, np.int64)
+    both[place < size] = np.frombuffer(flat, "<u2")[off[0] : off[-1]]
+    return np.where(place[1:] < size, both[:, :-1], end), both[:, 1:].copy()
 
 
 def fit_attention(spans: DataFrame, model: Attention, end: int, rounds: int = ROUNDS, part: int = PART, shares: int = SHARES) -> Attention:
@@ -341,8 +436,9 @@ def fit_attention(spans: DataFrame, model: Attention, end: int, rounds: int = RO
         def run(table: pa.Table) -> pa.Table:
             old = shared.value  # noqa: B023
             table = table.sort_by("no")
-            ids, targets = _windows(table["ids"].to_pylist(), end)
+            ids, targets = _windows(pa.concat_arrays(table["ids"].chunks), end)
             new = Attention(old.vocabulary, old.matrix.copy(), old.tables)
+            new.shares = old.shares
             new.learn(ids, targets)
             met = np.bincount(ids.ravel(), minlength=old.vocabulary)
             row = np.concatenate([np.flatnonzero(met), np.arange(rows["place"].start, rows["digit"].stop)])
@@ -372,10 +468,11 @@ def train_language_model(docs: DataFrame, folds: int = 7, out_fold: int = 2, sub
     ends = d.count()
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("total"), F.count("*").alias("distinct")).first()
     head = counts.where(F.octet_length("word") <= HEAD_BYTES).orderBy(F.desc("c"), "word").limit(HEAD).toArrow()
+    common = CommonWords(pa.concat_arrays([pa.array([], pa.string()), *head["word"].cast(pa.string()).chunks]), head["c"].to_numpy(), subwords)
     seen = subword_counts(counts, subwords)
     seen[subwords.end] = ends
-    attention = fit_attention(training_spans(d, subwords, every), Attention.fresh(subwords.end + 1, seen), subwords.end, rounds)
-    return LanguageModel(counts, sums["total"] + ends, sums["distinct"] + (ends > 0), ends, head, attention, subwords)
+    attention = fit_attention(training_spans(d, subwords, every, common), Attention.fresh(subwords.end + 1, seen), subwords.end, rounds)
+    return LanguageModel(counts, sums["total"] + ends, sums["distinct"] + (ends > 0), ends, common, attention)
 
 
 def score_documents(docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -391,22 +488,19 @@ def score_documents(docs: DataFrame, model: LanguageModel) -> DataFrame:
     new = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     keep = [c for c in docs.columns if c not in new and c != "text"]
     row, text, known, base, words, times, more, also = free_names(docs.select(*keep), "row", "text", "known", "base", "words", "times", "more", "also")
-    rest = LanguageModel(None, model.total, model.distinct, model.ends, model.head, model.attention, model.subwords)
+    rest = LanguageModel(None, model.total, model.distinct, model.ends, model.common, model.attention)
     shared = docs.sparkSession.sparkContext.broadcast(rest)
     per_word = lambda c: np.log10((c + 1) / (rest.total + rest.distinct + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        head, c_head = m.head["word"].combine_chunks(), m.head["c"].to_numpy()
+        c_head, end = m.common.counts, m.common.subwords.end
         ending = per_word(m.ends)
         for b in batches:
             for lo, hi, distinct, number, ends in numbered_words(b.column(text), NO_SPACE, RUN_BYTES):
                 n, size = hi - lo, np.diff(ends)
-                pieces, off = m.subwords.encode(distinct)
-                pieces, off = np.append(pieces, m.subwords.end), np.append(off, len(pieces) + 1)
-                ids, at = gather_runs(pieces, off, np.insert(number.astype(np.int64), ends[1:], len(distinct)))
-                nats = score_texts(m.attention, ids, at[np.append(0, (ends + np.arange(n + 1))[1:])], m.subwords.end)
-                found = pc.index_in(distinct, head).fill_null(-1).to_numpy()
+                ids, texts, found = m.common.text_ids(distinct, number, ends)
+                nats = score_texts(m.attention, ids, texts, end)
                 of, where = np.repeat(np.arange(n), size), found[number]
                 common = where >= 0
                 sums = np.bincount(of[common], per_word(c_head[where[common]]), n) + ending
